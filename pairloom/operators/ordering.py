@@ -3,7 +3,7 @@
 Rows have no order in Spark, so every ordered operator names a total key. A window without ``partitionBy`` (or with one
 hot group) would pull that whole group into one task. The helpers here range-partition the *keys*, write them to
 reliable storage once (a second sampling could choose other ranges), and combine per-range totals, of which there are
-at most as many as ranges.
+at most as many as ranges. Sets counted to be small take the plain window or top-k instead.
 """
 
 from __future__ import annotations
@@ -18,22 +18,30 @@ from pairloom.session import materialize
 
 _CHUNK = "_chunk"
 
-# A top-k of this many rows is kept in every task's memory; larger slices go through key cut-offs.
+# A top-k of this many whole rows is kept in every task's memory; larger slices go through key cut-offs.
 TOP_K_ROWS = 1000
+# The same for keys alone, and the largest set (counted first) that one task may put in order.
+SMALL_KEYS = 100_000
 
 
 def _ranged(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return materialize(df.repartitionByRange(*keys).withColumn(_CHUNK, F.spark_partition_id()))
 
 
-def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
+def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, out: str,
+                  small: int = SMALL_KEYS) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows strictly before this one in its group.
 
     ``group + order`` must be a total key. A hot group is spread over many ranges; a range is the largest unit one task
     ever holds.
     """
     group, order = list(group), list(order)
-    rows = _ranged(df.withColumn("_value", value.cast("long")), group + order)
+    zero = F.lit(0).cast("long")
+    stored = materialize(df.withColumn("_value", value.cast("long")))
+    if stored.count() <= small:
+        whole = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return stored.withColumn(out, F.coalesce(F.sum("_value").over(whole), zero)).drop("_value")
+    rows = _ranged(stored, group + order)
     totals = rows.groupBy(*group, _CHUNK).agg(F.sum("_value").alias("_total"))
     before = Window.partitionBy(*group).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     # A group has an earlier range only if it is the first group of its own range: at most one row per range, so the
@@ -44,7 +52,6 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], val
         .select(*group, _CHUNK, "_offset")
     )
     inside = Window.partitionBy(*group, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
     return (
         rows.join(F.broadcast(offsets), [*group, _CHUNK], "left")
         .withColumn(out, F.coalesce("_offset", zero) + F.coalesce(F.sum("_value").over(inside), zero))
@@ -52,9 +59,10 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], val
     )
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str,
+             small: int = SMALL_KEYS) -> DataFrame:
     """Add the 0-based position of each row within its group."""
-    return running_total(df, group, order, F.lit(1), out)
+    return running_total(df, group, order, F.lit(1), out, small)
 
 
 def with_order_columns(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, list[str]]:
@@ -62,10 +70,13 @@ def with_order_columns(df: DataFrame, order: Sequence[Column]) -> tuple[DataFram
     return df.select("*", *[c.alias(n) for c, n in zip(order, names)]), names
 
 
-def keys_at(df: DataFrame, order: Sequence[Column], positions: Sequence[int]) -> list[Row | None]:
+def keys_at(df: DataFrame, order: Sequence[Column], positions: Sequence[int],
+            small: int = SMALL_KEYS) -> list[Row | None]:
     """The order keys at the given 0-based positions (``None`` past the end). Only keys are read and shuffled."""
     names = [f"_k{i}" for i in range(len(order))]
     keys = df.select(*[c.alias(n) for c, n in zip(order, names)])
+    if max(positions) < small:
+        return [keys.orderBy(*names).offset(p).limit(1).first() for p in positions]
     rows = _ranged(keys, names)
     counts = sorted((r[_CHUNK], r["n"]) for r in rows.groupBy(_CHUNK).agg(F.count("*").alias("n")).collect())
     found: list[Row | None] = []
@@ -113,17 +124,20 @@ def ordered_slice(df: DataFrame, order: Sequence[Column], skip: int, count: int
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
-              rows_per_task: int = 1_000_000) -> DataFrame:
+              rows_per_task: int = 1_000_000, left_rows: int | None = None) -> DataFrame:
     """Equi-join whose ``left`` side may hold a large share of its rows under one key.
 
     Keys with more than ``rows_per_task`` left rows are split over enough salts to bring each task back under that
     number, and only their right rows are repeated. There are at most ``rows(left) / rows_per_task`` such keys, which
     bounds the broadcast list. ``how`` is one of inner, left, left_semi, left_anti. ``left`` is read twice, so pass
-    one that is cheap to read.
+    one that is cheap to read. If the caller knows ``left_rows`` and they fit one task, no key can be hot and this is
+    a plain join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot split the left side of a {how} join")
     on = list(on)
+    if left_rows is not None and left_rows <= rows_per_task:
+        return left.join(right, on, how)
     hot = F.broadcast(
         left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_task)
         .select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_fan"))

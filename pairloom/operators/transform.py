@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.code_types import resolve
@@ -123,11 +123,12 @@ def _finish(planned: DataFrame, done: DataFrame) -> DataFrame:
     copies = planned.where(F.col("action").isin(COPY, OVER_COUNT)).select(
         "rel_path", "out_path", F.lit(0).alias("part"), "content"
     )
-    paths = planned.where(F.col("action") != UNSUPPORTED).select("out_path", "rel_path")
-    clashes = paths.groupBy("out_path").agg(F.max("rel_path").alias("_last"), F.count("*").alias("_n")).where(
-        F.col("_n") > 1
+    # One path can only come from as many inputs as there are suffixes, which bounds the window's groups.
+    last = F.max("rel_path").over(Window.partitionBy("out_path"))
+    losers = (
+        planned.where(F.col("action") != UNSUPPORTED).select("rel_path", last.alias("_last"))
+        .where(F.col("rel_path") < F.col("_last")).select("rel_path")
     )
-    losers = paths.join(clashes, "out_path").where(F.col("rel_path") < F.col("_last")).select("rel_path")
     losers = bounded_broadcast(materialize(losers), LOSER_BROADCAST_ROWS)
     both = copies.unionByName(done.select("rel_path", "out_path", "part", "content"))
     return both.join(losers, "rel_path", "left_anti").select(F.col("out_path").alias("rel_path"), "part", "content")

@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import MARKER_PREFIX, TRUNCATION_WARNING, file_name
+from pairloom.sources.files import hadoop_path
+
+
+# Spark's default size of one scan task.
+SCAN_SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,75 +21,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, spread over the cores: the table is one file that a single task would read and then parse."""
-    docs = table(spark, sf_dir, "documents")
-    want = spark.sparkContext.defaultParallelism
+    """The documents, spread over the cores when the table is too small to be split by the scan itself."""
+    path = f"{sf_dir}/documents.parquet"
+    docs = spark.read.parquet(path)
+    qualified, fs = hadoop_path(spark, path)
+    cores = spark.sparkContext.defaultParallelism
+    if fs.getContentSummary(qualified).getLength() >= cores * SCAN_SPLIT_BYTES:
+        return docs
     # Round robin would depend on input order; the id spreads evenly and is stable.
-    return docs.repartition(want, "doc_id")
+    return docs.repartition(cores, "doc_id")
 
 
-def _name(line: Column) -> Column:
-    word = F.regexp_extract(line, "^[A-Za-z]+", 0)
-    return F.concat(F.lit("do_"), F.when(word == "", "anon").otherwise(word))
+def _name(line: str) -> str:
+    return f"concat('do_', coalesce(nullif(regexp_extract({line}, '^[A-Za-z]+', 0), ''), 'anon'))"
 
 
-def _quoted(line: Column) -> Column:
-    escaped = F.replace(F.replace(line, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('emit("'), escaped, F.lit('");'))
+def _quoted(line: str) -> str:
+    return rf"""concat('emit("', replace(replace({line}, r'\', r'\\'), '"', r'\"'), '");')"""
 
 
-def _every(line: Column, n: int) -> Column:
-    return F.length(line) % n == 0
+def _every(line: str, n: int, then: str, otherwise: str = "''") -> str:
+    return f"if(length({line}) % {n} = 0, {then}, {otherwise})"
 
 
-def source_function(line: Column) -> Column:
+def source_function(line: str) -> str:
     """A one-line definition; some are local to the source, some have a blank body (their line stays as a comment)."""
-    name = F.concat(_name(line), F.when(_every(line, 7), "_local").otherwise(""))
-    blank = _every(line, 11)
-    return F.concat(
-        F.when(blank, F.concat(F.lit("// "), line, F.lit("\n"))).otherwise(""),
-        F.lit("int "), name, F.lit("(void) {"),
-        F.when(blank, " ").otherwise(F.concat(F.lit(" "), _quoted(line), F.lit(" "))), F.lit("}"),
-    )
+    comment = _every(line, 11, f"concat('// ', {line}, '\\n')")
+    body = _every(line, 11, "' '", f"concat(' ', {_quoted(line)}, ' ')")
+    local = _every(line, 7, "'_local'")
+    return f"concat({comment}, 'int ', {_name(line)}, {local}, '(void) {{', {body}, '}}')"
 
 
-def decompiled_name(line: Column) -> Column:
-    return F.concat(F.when(_every(line, 5), "FUN_").otherwise(""), _name(line))
+def decompiled_name(line: str) -> str:
+    prefix = _every(line, 5, "'FUN_'")
+    return f"concat({prefix}, {_name(line)})"
 
 
-def marker_name(line: Column) -> Column:
-    return F.concat(decompiled_name(line), F.when(_every(line, 13), "<int>").otherwise(""))
+def marker_name(line: str) -> str:
+    template = _every(line, 13, "'<int>'")
+    return f"concat({decompiled_name(line)}, {template})"
 
 
-def decompiled_function(line: Column, truncated: bool = False) -> Column:
+def decompiled_function(line: str, truncated: bool = False) -> str:
     """A decompiled function with nested braces; some bodies are blank, some (on request) carry the warning."""
-    warning = F.when(_every(line, 19), f"  /* {TRUNCATION_WARNING} */\n").otherwise("") if truncated else F.lit("")
-    return F.concat(
-        F.lit("\nundefined8 "), decompiled_name(line), F.lit("(void)\n\n{"),
-        F.when(_every(line, 17), "").otherwise(
-            F.concat(F.lit("\n"), warning, F.lit("  if (ok) {\n    "), _quoted(line), F.lit("\n  }\n"))
-        ),
-        F.lit("}\n"),
-    )
+    warning = _every(line, 19, f"'  /* {TRUNCATION_WARNING} */\\n'") if truncated else "''"
+    full = f"concat('\\n', {warning}, '  if (ok) {{\\n    ', {_quoted(line)}, '\\n  }}\\n')"
+    body = _every(line, 17, "''", full)
+    return f"concat('\\nundefined8 ', {decompiled_name(line)}, '(void)\\n\\n{{', {body}, '}}\\n')"
 
 
-def _stem() -> Column:
-    number = F.floor(F.col("doc_id") / 20) % 25
-    return F.concat("source", F.lit("/d"), F.lpad(F.col("doc_id").cast("string"), 6, "0"),
-                    F.lit("/f"), F.lpad(number.cast("string"), 2, "0"))
+_STEM = "concat(source, '/d', lpad(cast(doc_id as string), 6, '0'), '/f', lpad(cast((doc_id div 20) % 25 as string), 2, '0'))"
 
 
 def source_path() -> Column:
-    kind = F.col("doc_id") % 3
-    return F.concat(_stem(), F.when(kind == 0, ".c").when(kind == 1, ".cpp").otherwise(".cc"))
+    return F.expr(f"concat({_STEM}, case doc_id % 3 when 0 then '.c' when 1 then '.cpp' else '.cc' end)")
 
 
 def marked_path() -> Column:
-    return F.concat(_stem(), F.lit(".o.c"))
+    return F.expr(f"concat({_STEM}, '.o.c')")
 
 
-def _files(rows: DataFrame) -> DataFrame:
-    return rows.select(
+def object_path() -> Column:
+    return F.expr(f"concat({_STEM}, '.o')")
+
+
+def _files(docs: DataFrame, path: Column, content: Column) -> DataFrame:
+    return docs.select("source", path.alias("path"), F.encode(content, "UTF-8").alias("content")).select(
         F.lit("docs").alias("repo"), F.col("source").alias("artifact"), "path", F.col("path").alias("rel_path"),
         file_name("path").alias("file_name"), F.octet_length("content").cast("long").alias("length"), "content",
     )
@@ -93,25 +95,13 @@ def _files(rows: DataFrame) -> DataFrame:
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source file and a marked file per document, one function per line in each."""
     docs = documents(spark, sf_dir).withColumn("_lines", F.split("text", "\n"))
-    source = F.array_join(F.transform("_lines", source_function), "\n")
-    marked = F.concat(
-        F.lit("/* doc "), F.col("doc_id").cast("string"), F.lit(" */\n"),
-        F.array_join(
-            F.transform(
-                "_lines",
-                lambda x: F.concat(F.lit(MARKER_PREFIX), marker_name(x), F.lit("\n"), decompiled_function(x)),
-            ),
-            "",
-        ),
-    )
-    sides = F.array(
-        F.struct(source_path().alias("path"), source.alias("content")),
-        F.struct(marked_path().alias("path"), marked.alias("content")),
-    )
-    rows = docs.select("source", F.explode(sides).alias("_f")).select(
-        "source", "_f.path", F.encode(F.col("_f.content"), "UTF-8").alias("content")
+    source = F.expr(f"array_join(transform(_lines, x -> {source_function('x')}), '\\n')")
+    function = f"concat('{MARKER_PREFIX}', {marker_name('x')}, '\\n', {decompiled_function('x')})"
+    marked = F.expr(
+        f"concat('/* doc ', cast(doc_id as string), ' */\\n', array_join(transform(_lines, x -> {function}), ''))"
     )
-    return _files(rows)
+    # Two branches rather than one explode: a query that needs only paths then reads no text.
+    return _files(docs, source_path(), source).unionByName(_files(docs, marked_path(), marked))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

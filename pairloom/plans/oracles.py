@@ -244,7 +244,7 @@ SELECT 'docs' AS repo, 'source=' || source AS artifact, CAST(sum(length(text) +
        CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS newlines,
        CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes
 FROM documents GROUP BY source"""
-    q["scan_files_depth"] = f"SELECT * FROM ({_PAGE_PATHS}) WHERE len(string_split(rel_path, '/')) <= 2"
+    q["scan_files_depth"] = f"SELECT * FROM ({_PAGE_PATHS}) WHERE len(string_split(rel_path, '/')) <= 3"
     q["derive_artifact"] = (f"SELECT page_id, rel_path, split_part(rel_path, '/', 1) AS artifact FROM ({_PAGE_PATHS}) "
                             "WHERE contains(rel_path, '/')")
     q["classify_files"] = _with(_CLASSIFIED) + "SELECT path, code_type, side, suffix FROM classified"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,7 +12,7 @@ from pairloom.functions import text as T
 from pairloom.operators import dataset, encode, extract, includes, markers, pairing, transform, worklist
 from pairloom.plans import fixtures as X
 from pairloom.plans.build import build_examples, match_sides, read_functions
-from pairloom.session import checkpoint_root, materialize
+from pairloom.session import materialize, scratch
 from pairloom.sources import examples as example_files
 from pairloom.sources import files as file_source
 from pairloom.sources import tree as tree_source
@@ -29,11 +28,6 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder next to the checkpoints, which every executor can reach."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stand_in_model(texts: pd.Series) -> pd.Series:
     """Deterministic replacement of a real model."""
     return texts.str.replace(" ", "_", regex=False)
@@ -96,7 +90,7 @@ def _page_paths(spark, sf_dir):
 
 @query
 def scan_files_depth(spark, sf_dir):
-    return file_source.scan_files_depth(_page_paths(spark, sf_dir), 2)
+    return file_source.scan_files_depth(_page_paths(spark, sf_dir), 3)
 
 
 @query
@@ -145,8 +139,8 @@ def read_examples(spark, sf_dir):
 
 def _decompiled_functions(spark, sf_dir):
     return X.lines(spark, sf_dir).select(
-        "artifact", "path", "pos", X.marker_name(F.col("line")).alias("name"),
-        X.decompiled_function(F.col("line"), truncated=True).alias("text"),
+        "artifact", "path", "pos", F.expr(X.marker_name("line")).alias("name"),
+        F.expr(X.decompiled_function("line", truncated=True)).alias("text"),
     )
 
 
@@ -204,7 +198,7 @@ def has_body(spark, sf_dir):
 @query
 def function_id(spark, sf_dir):
     return X.lines(spark, sf_dir).select(
-        "doc_id", "pos", T.function_id("path", X.marker_name(F.col("line"))).alias("function_id")
+        "doc_id", "pos", T.function_id("path", F.expr(X.marker_name("line"))).alias("function_id")
     )
 
 
@@ -236,7 +230,7 @@ def output_path(spark, sf_dir):
 @query
 def decompiled_path(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select(
-        "doc_id", T.decompiled_path(T.output_path(X.marked_path(), F.lit(".c"), F.lit(""))).alias("path")
+        "doc_id", T.decompiled_path(X.object_path()).alias("path")
     )
 
 
@@ -307,7 +301,7 @@ def include_closure(spark, sf_dir):
 def functions_with_imports(spark, sf_dir):
     functions = X.lines(spark, sf_dir).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "pos",
-        X.decompiled_name(F.col("line")).alias("name"),
+        F.expr(X.decompiled_name("line")).alias("name"),
     )
     joined = includes.functions_with_imports(functions, _closure(spark, sf_dir))
     return joined.select("path", "def_path", "pos", "imported", T.function_id("path", "name").alias("function_id"))
@@ -463,7 +457,7 @@ def examples_per_artifact(spark, sf_dir):
 
 def _objects(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select(
-        "doc_id", T.output_path(X.marked_path(), F.lit(".c"), F.lit("")).alias("path")
+        "doc_id", X.object_path().alias("path")
     )
 
 

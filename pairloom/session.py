@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +42,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or root
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the checkpoints."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into reliable storage, so later reads agree with each other and survive a lost executor."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once into a table on reliable storage and read it back.
+
+    Later reads agree with each other, survive a lost executor, carry no lineage, and take only the columns they need.
+    ``checkpoint()`` would compute the plan twice and always read whole rows.
+    """
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
