@@ -9,12 +9,19 @@ from pairloom.functions.text import function_id, has_body, split_function
 from pairloom.operators.extract import scanned
 from pairloom.operators.markers import marked_functions
 from pairloom.operators.pairing import KEY, drop_half_blank
-from pairloom.sources.files import classify_files, read_text, skip_empty_files
+from pairloom.sources.files import classify_files, read_text, recognised_files, skip_empty_files, with_content
 
 
 def read_functions(files: DataFrame, code_types=None) -> DataFrame:
-    """Functions with a body of both sides. Every file is read once, and only source texts cross to Python."""
-    texts = read_text(classify_files(skip_empty_files(files), code_types))
+    """Functions with a body of both sides. Every file is read once, and only source texts cross to Python.
+
+    ``files`` may come with content (``scan_files``) or without (``list_files``); in the latter case only recognised,
+    non-empty files are opened.
+    """
+    wanted = recognised_files(skip_empty_files(files), code_types)
+    if "content" not in files.columns:
+        wanted = with_content(wanted)
+    texts = read_text(classify_files(wanted, code_types))
     source = F.col("side") == "source"
     found = (
         texts.withColumn("_scan", scanned(F.when(source, F.col("text"))))

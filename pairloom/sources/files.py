@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom import schemas
 from pairloom.code_types import resolve
 from pairloom.functions.text import decode_lossy, file_name
+from pairloom.session import materialize
+
+# Bytes of file contents a task holds before it passes them on.
+CONTENT_BATCH_BYTES = 64 * 1024 * 1024
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -17,8 +27,84 @@ def hadoop_path(spark: SparkSession, path: str):
     return fs.makeQualified(raw), fs
 
 
+def list_files(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
+    """Every regular file below ``root`` without its content, empty and hidden ones included.
+
+    Directories are listed level by level in tasks, so the list of a very large tree is never held by the driver. Add
+    ``with_content`` after filtering: only files that are still wanted get opened.
+    """
+    qualified, fs = hadoop_path(spark, root)
+    if not fs.exists(qualified):
+        raise ValueError(f"repo dir {root} does not exist")
+    base = qualified.toString().rstrip("/")
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                filesystem, path = pafs.FileSystem.from_uri(uri)
+                found = filesystem.get_file_info(pafs.FileSelector(path))
+                prefix = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
+                kept = [i for i in found if i.type in (pafs.FileType.File, pafs.FileType.Directory)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([prefix + i.path for i in kept], pa.string()),
+                        pa.array([i.type == pafs.FileType.Directory for i in kept], pa.bool_()),
+                        pa.array([i.size or 0 for i in kept], pa.int64()),
+                    ],
+                    names=["path", "is_dir", "length"],
+                )
+
+    directories = spark.createDataFrame([(base,)], "path string")
+    levels = []
+    while True:
+        # Hash partitioning spreads the directories of a level over the tasks.
+        spread = directories.repartition("path")
+        level = materialize(spread.mapInArrow(entries, "path string, is_dir boolean, length long"))
+        levels.append(level.where(~F.col("is_dir")).select("path", "length"))
+        directories = level.where("is_dir").select("path")
+        if directories.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, levels)
+    files = found.select(
+        F.lit(repo).alias("repo"), "path", F.substr("path", F.lit(len(base) + 2)).alias("rel_path"),
+        file_name("path").alias("file_name"), "length",
+    )
+    return derive_artifact(files).select("repo", "artifact", "path", "rel_path", "file_name", "length")
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """Read the bytes of listed files, spread by path over the tasks and passed on in bounded batches."""
+    names = files.columns
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents, start, held = [], 0, 0
+            for i, uri in enumerate(batch.column(names.index("path")).to_pylist()):
+                filesystem, path = pafs.FileSystem.from_uri(uri)
+                with filesystem.open_input_stream(path) as stream:
+                    contents.append(stream.read())
+                held += len(contents[-1])
+                if held >= CONTENT_BATCH_BYTES or i + 1 == batch.num_rows:
+                    rows = batch.slice(start, len(contents))
+                    yield pa.RecordBatch.from_arrays(
+                        [*rows.columns, pa.array(contents, pa.binary())], names=[*names, "content"]
+                    )
+                    contents, start, held = [], i + 1, 0
+
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
+    return files.repartition("path").mapInArrow(read, schema)
+
+
 def scan_files(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
-    """Every regular file below ``root``. Spark's listing leaves out names that start with ``_`` or ``.``."""
+    """Every regular file below ``root`` with its content."""
+    return with_content(list_files(spark, root, repo))
+
+
+def scan_binary_files(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
+    """The same through Spark's own binary file source, for any Hadoop path.
+
+    That source leaves out empty files and names that start with ``_`` or ``.``, and keeps the file list on the driver.
+    """
     qualified, fs = hadoop_path(spark, root)
     if not fs.exists(qualified):
         raise ValueError(f"repo dir {root} does not exist")
@@ -48,22 +134,31 @@ def derive_artifact(files: DataFrame) -> DataFrame:
     )
 
 
+def _matches(code_types) -> Column:
+    """Array of the (code type, side, suffix) a file name matches; decompiled suffixes beat source suffixes."""
+    matches = []
+    for ct in resolve(code_types):
+        cases = "".join(
+            f" WHEN endswith(file_name, '{suffix}') THEN struct('{ct.name}' AS code_type, '{side}' AS side, "
+            f"'{suffix}' AS suffix)"
+            for side, suffixes in (("decompiled", ct.decompiled), ("source", ct.source))
+            for suffix in sorted(suffixes, key=len, reverse=True)
+        )
+        matches.append(f"CASE{cases} END")
+    return F.expr(f"array_compact(array({', '.join(matches)}))")
+
+
+def recognised_files(files: DataFrame, code_types=None) -> DataFrame:
+    """Files that match any of the code types; a cheap filter before contents are read."""
+    return files.where(F.size(_matches(code_types)) > 0)
+
+
 def classify_files(files: DataFrame, code_types=None) -> DataFrame:
     """One row per (file, matching code type) with its side and the matched suffix.
 
     A decompiled suffix beats a source suffix of the same code type (``x.o.c`` also ends in ``.c``).
     """
-    matches = []
-    for ct in resolve(code_types):
-        match = None
-        for side, suffixes in (("decompiled", ct.decompiled), ("source", ct.source)):
-            for suffix in sorted(suffixes, key=len, reverse=True):
-                hit = F.struct(F.lit(ct.name).alias("code_type"), F.lit(side).alias("side"),
-                               F.lit(suffix).alias("suffix"))
-                test = F.endswith("file_name", F.lit(suffix))
-                match = F.when(test, hit) if match is None else match.when(test, hit)
-        matches.append(match)
-    return files.select("*", F.explode(F.array_compact(F.array(*matches))).alias("_m")).select(*files.columns, "_m.*")
+    return files.select("*", F.explode(_matches(code_types)).alias("_m")).select(*files.columns, "_m.*")
 
 
 def skip_empty_files(files: DataFrame) -> DataFrame:

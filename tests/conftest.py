@@ -5,7 +5,10 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
+# Python workers import the package and the test modules' functions.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    filter(None, [ROOT, os.path.dirname(os.path.abspath(__file__)), os.environ.get("PYTHONPATH")])
+)
 
 from pairloom.session import builder  # noqa: E402
 
