@@ -11,19 +11,25 @@ from __future__ import annotations
 
 import re
 
-# Everything that can hide braces. Order matters: numbers first, for their digit separators.
+# Everything that can hide braces. It starts with one character class, so the engine skips plain code quickly, and the
+# look-behinds pick the case. A hash outside of literals always starts a preprocessor line. Numbers are here for their
+# digit separators.
 _HIDING = re.compile(
-    r"""(?P<num>\b\d(?:'?[\w.])*)
-      | //(?:[^\\\n]|\\.)*
-      | /\*.*?(?:\*/|\Z)
-      | \b(?:u8|[uUL])?R"(?P<delim>[^()\\\s]{0,16})\(.*?(?:\)(?P=delim)"|\Z)
-      | "(?P<str>(?:[^"\\\n]|\\.)*)(?:"|(?=\n)|\Z)
-      | '(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z)
-      | ^[ \t]*\#(?:/\*.*?(?:\*/|\Z)|\\.|[^\\\n])*""",
-    re.S | re.M | re.X,
+    r"""[/"'\#0-9](?:
+        (?<=/)(?:/[^\\\n]*(?:\\.[^\\\n]*)* | \*.*?(?:\*/|\Z))
+      | (?:(?<=\bR")|(?<=\b[uUL]R")|(?<=\bu8R"))(?P<delim>[^()\\\s]{0,16})\(.*?(?:\)(?P=delim)"|\Z)
+      | (?<=")(?P<str>[^"\\\n]*(?:\\.[^"\\\n]*)*)(?:"|(?=\n)|\Z)
+      | (?<=')[^'\\\n]*(?:\\.[^'\\\n]*)*(?:'|(?=\n)|\Z)
+      | (?<=\#)(?:[^\n\\/]+|\\.|/\*.*?(?:\*/|\Z)|/)*
+      | (?<=[0-9])(?<!\w[0-9])(?P<num>(?:'?[\w.])*))""",
+    re.S | re.X,
 )
 _TOKEN = re.compile(r"[(){};]")
 _VISIBLE = re.compile(r"\S")
+_CODE = re.compile(r"[^\n]")
+_PAIRS = {"(": re.compile(r"[()]"), "<": re.compile(r"[<>]")}
+_COLON = re.compile(r"(?<!:):(?!:)")
+_NAME_END = re.compile(r"[\w>]\s*\Z")
 
 # Words that precede "(" without naming a function.
 _NOT_NAMES = frozenset(
@@ -52,19 +58,23 @@ _NO_BODY = re.compile(r"=\s*(?:default|delete)\s*\Z")
 
 
 def _hide(match: re.Match) -> str:
+    kind = match.lastgroup
     text = match.group()
-    if match.group("num"):
+    if kind == "num":
         return text
-    blank = re.sub(r"[^\n]", " ", text)
-    if match.group("str") is not None and len(text) > 1:
+    if kind == "str" and len(text) > 1:
         # Quotes stay, so that linkage strings remain visible.
-        return '"' + blank[1:-1] + ('"' if text[-1] == '"' else " ")
-    return blank
+        return '"' + _blank(text[1:-1]) + ('"' if text[-1] == '"' else " ")
+    return _blank(text)
+
+
+def _blank(text: str) -> str:
+    return _CODE.sub(" ", text) if "\n" in text else " " * len(text)
 
 
 def _closing(text: str, at: int, opening: str, closing: str) -> int:
     depth = 0
-    for m in re.compile("[" + re.escape(opening + closing) + "]").finditer(text, at):
+    for m in _PAIRS[opening].finditer(text, at):
         depth += 1 if m.group() == opening else -1
         if depth == 0:
             return m.start()
@@ -175,5 +185,5 @@ def scan_functions(text: str, cpp: bool) -> tuple[list[tuple[str, str]], str | N
 def _opens_initializer(head: str) -> bool:
     """Whether a brace after ``head`` initialises a member in a constructor's list rather than opening the body."""
     paren = _closing(head, head.find("("), "(", ")")
-    colon = re.compile(r"(?<!:):(?!:)").search(head, paren)
-    return bool(colon) and bool(re.search(r"[\w>]\s*\Z", head[colon.end():]))
+    colon = _COLON.search(head, paren)
+    return bool(colon) and bool(_NAME_END.search(head, colon.end()))

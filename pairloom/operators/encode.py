@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators.ordering import bounded_broadcast
+from pairloom.operators.ordering import skew_join
 
 # Special tokens with their ids, and the token pattern (names, numbers, single other characters).
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
@@ -15,8 +16,8 @@ SPECIAL_TOKENS = ("<pad>", "<s>", "</s>", "<unk>")
 TOKEN_PATTERN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^ A-Za-z0-9_]"
 DEFAULT_MAX_LEN = 512
 
-# A vocabulary up to this many rows is broadcast; a larger one is joined by shuffle.
-VOCAB_BROADCAST_ROWS = 1_000_000
+# A vocabulary up to this many rows becomes a lookup constant of the plan; a larger one is joined by shuffle.
+LOOKUP_ROWS = 200_000
 
 
 def tokens(text: Column | str) -> Column:
@@ -36,14 +37,47 @@ def build_vocab(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
     return counts.select("token", (rank + len(SPECIAL_TOKENS) - 1).cast("int").alias("id"))
 
 
-def _ids(df: DataFrame, key: Sequence[str], texts: dict[str, str], vocab: DataFrame, max_len: int) -> DataFrame:
-    """One row per ``key`` with an id array per entry of ``texts`` (output name to text column).
+def _lookup(vocab: DataFrame) -> Callable[[Column], Column] | None:
+    """Token column to id column (null if unknown) without a join, or None if the vocabulary is too large for that.
 
-    Texts are cut to the limit before they are exploded, so a group never has more than the limit's rows, and the
-    vocabulary join needs no shuffle.
+    A map is searched entry by entry, so the tokens are spread over many small maps by hash.
     """
+    slots = 1 << max(vocab.limit(LOOKUP_ROWS + 1).count() // 2, 1).bit_length()
+
+    def slot(token: Column | str) -> Column:
+        return F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
+
+    rows = vocab.select("token", "id", slot("token").alias("slot")).limit(LOOKUP_ROWS + 1).collect()
+    if len(rows) > LOOKUP_ROWS:
+        return None
+    maps: list[dict[str, int]] = [{} for _ in range(slots)]
+    for row in rows:
+        maps[row["slot"]][row["token"]] = row["id"]
+    table = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+    return lambda token: F.try_element_at(F.get(table, slot(token)), token)
+
+
+def _framed(ids: Column) -> Column:
+    return F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS)))
+
+
+def _ids(df: DataFrame, key: Sequence[str], texts: dict[str, str], vocab: DataFrame, max_len: int) -> DataFrame:
+    """One row per ``key`` with an id array per entry of ``texts`` (output name to text column)."""
     if max_len < 2:
         raise ValueError("max_len must leave room for the two sentence marks")
+    find = _lookup(vocab)
+    if find is None:
+        return _ids_by_join(df, key, texts, vocab, max_len)
+    return df.select(*key, *[
+        _framed(F.transform(F.slice(tokens(column), 1, max_len - 2), lambda t: F.coalesce(find(t), F.lit(UNK))))
+        .alias(name)
+        for name, column in texts.items()
+    ])
+
+
+def _ids_by_join(df: DataFrame, key: Sequence[str], texts: dict[str, str], vocab: DataFrame,
+                 max_len: int) -> DataFrame:
+    """The same for a vocabulary of any size. Texts are cut to the limit first, so groups stay within it."""
     sides = F.array(*[
         F.struct(F.lit(name).alias("side"), F.slice(tokens(column), 1, max_len - 2).alias("tokens"))
         for name, column in texts.items()
@@ -53,17 +87,17 @@ def _ids(df: DataFrame, key: Sequence[str], texts: dict[str, str], vocab: DataFr
         # The outer explode keeps empty texts.
         .select(*key, F.col("_s.side").alias("_side"), F.posexplode_outer("_s.tokens").alias("_pos", "token"))
     )
-    looked_up = exploded.join(bounded_broadcast(vocab, VOCAB_BROADCAST_ROWS), "token", "left")
+    # Frequent tokens are hot on this side.
+    known = exploded.where(F.col("token").isNotNull())
+    looked_up = skew_join(known, vocab, ["token"], "left").unionByName(
+        exploded.where(F.col("token").isNull()).withColumn("id", F.lit(None).cast("int"))
+    )
     entry = F.when(
         F.col("token").isNotNull(), F.struct(F.col("_pos").alias("p"), F.coalesce("id", F.lit(UNK)).alias("id"))
     )
-    collected = [
-        F.collect_list(F.when(F.col("_side") == name, entry)).alias(name) for name in texts
-    ]
-    mark = [F.array(F.lit(BOS)), F.array(F.lit(EOS))]
+    collected = [F.collect_list(F.when(F.col("_side") == name, entry)).alias(name) for name in texts]
     return looked_up.groupBy(*key).agg(*collected).select(
-        *key,
-        *[F.concat(mark[0], F.transform(F.array_sort(name), lambda x: x["id"]), mark[1]).alias(name) for name in texts],
+        *key, *[_framed(F.transform(F.array_sort(name), lambda x: x["id"])).alias(name) for name in texts]
     )
 
 
@@ -109,9 +143,14 @@ def encode_dataset(examples: DataFrame, vocab: DataFrame, max_len: int = DEFAULT
     ids = _ids(examples, list(key), {"input_ids": "decompiled", "labels": "source"}, vocab, max_len)
     if bucket is not None:
         return pad_longest(pad_longest(ids, "input_ids", bucket=bucket), "labels", bucket=bucket, mask_col=None)
-    longest = ids.agg(F.max(F.size("input_ids")).alias("_in"), F.max(F.size("labels")).alias("_out"))
+
+    def longest(column: str) -> Column:
+        # From the token counts alone: the ids are not needed to know how long they will be.
+        return F.max(F.least(F.size(tokens(column)), F.lit(max_len - 2)) + 2)
+
+    lengths = examples.agg(longest("decompiled").alias("_in"), longest("source").alias("_out"))
     inputs, labels = F.col("input_ids"), F.col("labels")
-    return ids.join(F.broadcast(longest)).select(
+    return ids.join(F.broadcast(lengths)).select(
         *key,
         _padded(inputs, F.col("_in"), PAD).alias("input_ids"),
         _mask(inputs, F.col("_in")).alias("attention_mask"),
@@ -123,11 +162,20 @@ def decode_tokens(df: DataFrame, ids_col: str, vocab: DataFrame, key: Sequence[s
     """Ids back to text, one space between tokens, special ids dropped."""
     key = list(key)
     wanted = F.filter(F.col(ids_col), lambda i: i >= len(SPECIAL_TOKENS))
+    rows = vocab.select("token", "id").limit(LOOKUP_ROWS + 1).collect()
+    if len(rows) <= LOOKUP_ROWS and all(0 <= r["id"] < 2 * LOOKUP_ROWS for r in rows):
+        by_id: list[str | None] = [None] * (max((r["id"] for r in rows), default=0) + 1)
+        for row in rows:
+            by_id[row["id"]] = row["token"]
+        table = F.from_json(F.lit(json.dumps(by_id)), "array<string>")
+        return df.select(*key, F.array_join(F.transform(wanted, lambda i: F.get(table, i)), " ").alias("text"))
     exploded = df.select(*key, F.posexplode_outer(wanted).alias("_pos", "id"))
-    joined = exploded.join(bounded_broadcast(vocab, VOCAB_BROADCAST_ROWS), "id", "left")
+    known = skew_join(exploded.where(F.col("id").isNotNull()), vocab, ["id"], "left").unionByName(
+        exploded.where(F.col("id").isNull()).withColumn("token", F.lit(None).cast("string")), allowMissingColumns=True
+    )
     entry = F.when(F.col("token").isNotNull(), F.struct(F.col("_pos").alias("p"), F.col("token").alias("t")))
     # A row holds at most the encoder's limit of ids.
-    return joined.groupBy(*key).agg(
+    return known.groupBy(*key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["t"]), " ").alias("text")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import is_blank
+from pairloom.session import materialize
 
 KEY = ["artifact", "code_type", "function_id"]
 
@@ -58,13 +59,15 @@ def missing_report(source: DataFrame, decompiled: DataFrame, sample: int = 100)
     """Per artifact, code type and missing side: how many ids, and the first ``sample`` of them.
 
     Counts are complete. The sample is cut on the map side before the shuffle (a limit per group), so an artifact
-    holding most ids sends at most ``sample`` of them per task.
+    holding most ids sends at most ``sample`` of them per task. The missing ids are stored once, for both uses.
     """
     sides = source.select(*KEY, F.lit(True).alias("_s")).join(
         decompiled.select(*KEY, F.lit(True).alias("_d")), KEY, "full_outer"
     )
-    missing = sides.where(F.col("_s").isNull() | F.col("_d").isNull()).select(
-        *KEY, F.when(F.col("_s").isNull(), "source").otherwise("decompiled").alias("side")
+    missing = materialize(
+        sides.where(F.col("_s").isNull() | F.col("_d").isNull()).select(
+            *KEY, F.when(F.col("_s").isNull(), "source").otherwise("decompiled").alias("side")
+        )
     )
     group = ["artifact", "code_type", "side"]
     counts = missing.groupBy(*group).agg(F.count("*").alias("n"))
@@ -117,16 +120,17 @@ def repo_profile(classified: DataFrame) -> DataFrame:
 
 
 def new_ids_per_file(functions: DataFrame) -> DataFrame:
-    """Per file, code type and side: how many ids are first seen in it (0 for files that only repeat)."""
-    first = functions.groupBy("artifact", "code_type", "side", "function_id").agg(
-        F.min(F.struct("path", "pos")).alias("first")
-    )
-    new = first.groupBy("artifact", "code_type", "side", F.col("first.path").alias("path")).agg(
-        F.count("*").alias("new_ids")
-    )
+    """Per file, code type and side: how many ids are first seen in it (0 for files that only repeat).
+
+    The distinct (file, id) pairs, without any text, are stored once, so files are not read again for the second use.
+    """
     file_key = ["artifact", "code_type", "side", "path"]
+    pairs = materialize(functions.select(*file_key, "function_id").distinct())
+    # The first position of an id lies in the smallest path that has it.
+    first = pairs.groupBy("artifact", "code_type", "side", "function_id").agg(F.min("path").alias("path"))
+    new = first.groupBy(*file_key).agg(F.count("*").alias("new_ids"))
     return (
-        functions.select(*file_key).distinct().join(new, file_key, "left")
+        pairs.select(*file_key).distinct().join(new, file_key, "left")
         .select(*file_key, F.coalesce("new_ids", F.lit(0)).cast("long").alias("new_ids"))
     )
 

@@ -86,22 +86,42 @@ def object_path() -> Column:
 
 
 def _files(docs: DataFrame, path: Column, content: Column) -> DataFrame:
-    return docs.select("source", path.alias("path"), F.encode(content, "UTF-8").alias("content")).select(
+    # The explode keeps the rendering from being repeated in every expression that reads the content.
+    rendered = docs.select("source", path.alias("path"), F.explode(F.array(F.encode(content, "UTF-8"))).alias("content"))
+    return rendered.select(
         F.lit("docs").alias("repo"), F.col("source").alias("artifact"), "path", F.col("path").alias("rel_path"),
         file_name("path").alias("file_name"), F.octet_length("content").cast("long").alias("length"), "content",
     )
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source file and a marked file per document, one function per line in each."""
-    docs = documents(spark, sf_dir).withColumn("_lines", F.split("text", "\n"))
-    source = F.expr(f"array_join(transform(_lines, x -> {source_function('x')}), '\\n')")
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file per document, one function per line."""
+    docs = documents(spark, sf_dir)
+    content = F.expr(f"array_join(transform(split(text, '\\n'), x -> {source_function('x')}), '\\n')")
+    return _files(docs, source_path(), content)
+
+
+def marked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A marked file per document, one function per line."""
+    docs = documents(spark, sf_dir)
     function = f"concat('{MARKER_PREFIX}', {marker_name('x')}, '\\n', {decompiled_function('x')})"
-    marked = F.expr(
-        f"concat('/* doc ', cast(doc_id as string), ' */\\n', array_join(transform(_lines, x -> {function}), ''))"
+    content = F.expr(
+        "concat('/* doc ', cast(doc_id as string), ' */\\n', "
+        f"array_join(transform(split(text, '\\n'), x -> {function}), ''))"
     )
-    # Two branches rather than one explode: a query that needs only paths then reads no text.
-    return _files(docs, source_path(), source).unionByName(_files(docs, marked_path(), marked))
+    return _files(docs, marked_path(), content)
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both files of every document."""
+    return source_files(spark, sf_dir).unionByName(marked_files(spark, sf_dir))
+
+
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files by name only."""
+    docs = table(spark, sf_dir, "documents")
+    paths = docs.select(F.col("source").alias("artifact"), F.explode(F.array(source_path(), marked_path())).alias("path"))
+    return paths.select("artifact", "path", F.col("path").alias("rel_path"), file_name("path").alias("file_name"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

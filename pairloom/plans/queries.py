@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,18 +47,27 @@ def _examples(spark: SparkSession, sf_dir: str, code_types=None) -> DataFrame:
     return materialize(build_examples(X.code_files(spark, sf_dir), code_types))
 
 
-def _sides(spark: SparkSession, sf_dir: str, code_types=None) -> tuple[DataFrame, DataFrame]:
-    functions = read_functions(X.code_files(spark, sf_dir), code_types)
-    return (pairing.dedupe_source(functions.where(F.col("side") == "source")),
-            pairing.dedupe_decompiled(functions.where(F.col("side") == "decompiled")))
+def _side(spark: SparkSession, sf_dir: str, source: bool) -> DataFrame:
+    files = X.source_files(spark, sf_dir) if source else X.marked_files(spark, sf_dir)
+    dedupe = pairing.dedupe_source if source else pairing.dedupe_decompiled
+    return dedupe(read_functions(files))
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _side(spark, sf_dir, True), _side(spark, sf_dir, False)
 
 
 def _classified(spark: SparkSession, sf_dir: str, code_types=BOTH) -> DataFrame:
-    return file_source.classify_files(X.code_files(spark, sf_dir), code_types)
+    return file_source.classify_files(X.file_names(spark, sf_dir), code_types)
+
+
+def _source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = file_source.classify_files(X.source_files(spark, sf_dir), "cpp")
+    return file_source.read_text(files).select("artifact", "code_type", "path", "rel_path", "text")
 
 
 def _marked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _classified(spark, sf_dir, "cpp").where(F.col("side") == "decompiled")
+    files = file_source.classify_files(X.marked_files(spark, sf_dir), "cpp")
     return file_source.read_text(files).select("artifact", "code_type", "path", "rel_path", "text")
 
 
@@ -246,10 +256,7 @@ def render_examples(spark, sf_dir):
 
 @query
 def extract_functions(spark, sf_dir):
-    files = _classified(spark, sf_dir, "cpp").where(F.col("side") == "source")
-    functions, _ = extract.extract_functions(
-        file_source.read_text(files).select("artifact", "code_type", "path", "text")
-    )
+    functions, _ = extract.extract_functions(_source_text(spark, sf_dir))
     return functions.select("path", "pos", "name", "text")
 
 
@@ -313,13 +320,13 @@ def functions_with_imports(spark, sf_dir):
 
 @query
 def dedupe_source(spark, sf_dir):
-    return _sides(spark, sf_dir)[0].select(*pairing.KEY, "body", F.col("seq.path").alias("seq_path"),
+    return _side(spark, sf_dir, True).select(*pairing.KEY, "body", F.col("seq.path").alias("seq_path"),
                                            F.col("seq.pos").alias("seq_pos"))
 
 
 @query
 def dedupe_decompiled(spark, sf_dir):
-    return _sides(spark, sf_dir)[1].select(*pairing.KEY, "body", F.col("seq.path").alias("seq_path"),
+    return _side(spark, sf_dir, False).select(*pairing.KEY, "body", F.col("seq.path").alias("seq_path"),
                                            F.col("seq.pos").alias("seq_pos"))
 
 
@@ -676,15 +683,18 @@ def reassemble(spark, sf_dir):
     return transform.reassemble(X.segments(spark, sf_dir))
 
 
+def _page_files(spark, sf_dir):
+    return X.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("html/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("rel_path"),
+        F.encode("html", "UTF-8").alias("content"),
+    )
+
+
 def _mixed_tree(spark, sf_dir):
     """Source and marked files, an object file per document and a page per page."""
     code = X.code_files(spark, sf_dir).select("rel_path", "content")
     objects = _objects(spark, sf_dir).select(F.col("path").alias("rel_path"), F.unhex(F.lit("7F454C46")).alias("content"))
-    pages = X.table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("html/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("rel_path"),
-        F.encode("html", "UTF-8").alias("content"),
-    )
-    return code.unionByName(objects).unionByName(pages)
+    return code.unionByName(objects).unionByName(_page_files(spark, sf_dir))
 
 
 @query
@@ -696,7 +706,9 @@ def transform_raw(spark, sf_dir):
 
 @query
 def plan_tree(spark, sf_dir):
-    return transform.plan_tree(_mixed_tree(spark, sf_dir), BOTH, count=150)
+    names = [X.file_names(spark, sf_dir).select("rel_path"), _objects(spark, sf_dir).select(F.col("path").alias("rel_path")),
+             _page_files(spark, sf_dir).select("rel_path")]
+    return transform.plan_tree(reduce(DataFrame.unionByName, names), BOTH, count=150)
 
 
 @query

@@ -54,11 +54,13 @@ def test_encode_dataset(spark):
         E.encode_dataset(examples.limit(0), vocab)
 
 
-def test_large_vocabulary_is_not_broadcast(texts, monkeypatch, rows):
+def test_large_vocabulary_is_joined(texts, monkeypatch, rows):
     vocab = E.build_vocab(texts, ["text"], 100)
-    want = rows(E.tokenize(texts, "text", vocab))
-    monkeypatch.setattr(E, "VOCAB_BROADCAST_ROWS", 2)
-    assert rows(E.tokenize(texts, "text", vocab)) == want
+    ids = E.tokenize(texts, "text", vocab)
+    want_ids, want_text = rows(ids), rows(E.decode_tokens(ids, "input_ids", vocab))
+    monkeypatch.setattr(E, "LOOKUP_ROWS", 2)
+    assert rows(E.tokenize(texts, "text", vocab)) == want_ids
+    assert rows(E.decode_tokens(ids, "input_ids", vocab)) == want_text
 
 
 def test_accuracy(spark):
