@@ -125,13 +125,12 @@ def pad_longest(df: DataFrame, ids_col: str = "input_ids", pad_id: int = PAD, bu
     ids = F.col(ids_col)
     if bucket is not None:
         length = (F.ceil(F.size(ids) / bucket) * bucket).cast("int")
-        rows = df
     else:
-        rows = df.join(F.broadcast(df.agg(F.max(F.size(ids)).alias("_longest"))))
-        length = F.col("_longest")
+        length = df.agg(F.max(F.size(ids))).scalar()
+    rows = df
     if mask_col:
-        rows = rows.withColumn("_mask", _mask(ids, length))
-    out = rows.withColumn(ids_col, _padded(ids, length, pad_id)).drop("_longest")
+        rows = df.withColumn("_mask", _mask(ids, length))
+    out = rows.withColumn(ids_col, _padded(ids, length, pad_id))
     return out.withColumnRenamed("_mask", mask_col) if mask_col else out
 
 
@@ -148,13 +147,13 @@ def encode_dataset(examples: DataFrame, vocab: DataFrame, max_len: int = DEFAULT
         # From the token counts alone: the ids are not needed to know how long they will be.
         return F.max(F.least(F.size(tokens(column)), F.lit(max_len - 2)) + 2)
 
-    lengths = examples.agg(longest("decompiled").alias("_in"), longest("source").alias("_out"))
     inputs, labels = F.col("input_ids"), F.col("labels")
-    return ids.join(F.broadcast(lengths)).select(
+    input_length, label_length = examples.agg(longest("decompiled")).scalar(), examples.agg(longest("source")).scalar()
+    return ids.select(
         *key,
-        _padded(inputs, F.col("_in"), PAD).alias("input_ids"),
-        _mask(inputs, F.col("_in")).alias("attention_mask"),
-        _padded(labels, F.col("_out"), PAD).alias("labels"),
+        _padded(inputs, input_length, PAD).alias("input_ids"),
+        _mask(inputs, input_length).alias("attention_mask"),
+        _padded(labels, label_length, PAD).alias("labels"),
     )
 
 

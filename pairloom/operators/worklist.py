@@ -29,15 +29,14 @@ def list_packages(lines: DataFrame, n: int | None = None) -> DataFrame:
 
 def list_packages_drop_last(lines: DataFrame, n: int | None = None) -> DataFrame:
     """The same for a listing whose trailing line is a remark."""
-    last = lines.agg(F.max("line_no").alias("_last"))
-    kept = lines.join(F.broadcast(last), F.col("line_no") < F.col("_last")).drop("_last")
-    return list_packages(kept, n)
+    last = lines.agg(F.max("line_no")).scalar()
+    return list_packages(lines.where(F.col("line_no") < last), n)
 
 
 def latest_per_package(lines: DataFrame, header: int = 2, n: int | None = None) -> DataFrame:
     """``name/version`` lines after ``header`` lines: the last one of each name, in listing order, first ``n``."""
-    start = lines.agg(F.min("line_no").alias("_start"))
-    body = lines.join(F.broadcast(start), F.col("line_no") >= F.col("_start") + header).drop("_start")
+    start = lines.agg(F.min("line_no")).scalar()
+    body = lines.where(F.col("line_no") >= start + header)
     name = F.substring_index("line", "/", 1)
     latest = (
         body.groupBy("repo", name.alias("package"))

@@ -150,13 +150,13 @@ def header_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     and, for some lengths, (7a+3) mod N as a system header.
     """
     docs = documents(spark, sf_dir)
-    total = table(spark, sf_dir, "documents").agg(F.count("*").alias("_n"))
+    total = table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
     a = F.col("doc_id")
 
     def name(doc: Column) -> Column:
         return F.concat(F.lit("h"), doc.cast("string"), F.lit(".h"))
 
-    third, half, far = F.floor(a / 3), F.floor(a / 2), (a * 7 + 3) % F.col("_n")
+    third, half, far = F.floor(a / 3), F.floor(a / 2), (a * 7 + 3) % total
     text = F.concat(
         F.lit('#include "src'), (third % 20).cast("string"), F.lit("/"), name(third), F.lit('"\n'),
         F.lit('#  include "./'), name(half), F.lit('"\n'),
@@ -164,7 +164,7 @@ def header_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("/* #include <none.h> */\n"),
         F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("// "), x)), "\n"),
     )
-    return docs.join(F.broadcast(total)).select(
+    return docs.select(
         F.concat(F.lit("tree/src"), (a % 20).cast("string"), F.lit("/"), name(a)).alias("path"), text.alias("text")
     )
 
@@ -172,12 +172,10 @@ def header_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def include_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolved edges between documents, cycles included: a to a/3, and for some lengths a to (7a+3) mod N."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    total = docs.agg(F.count("*").alias("_n"))
+    total = docs.agg(F.count("*")).scalar()
     a = F.col("doc_id")
     near = docs.select(a.alias("_a"), F.floor(a / 3).alias("_b"))
-    far = docs.where(F.col("n_chars") % 10 == 0).join(F.broadcast(total)).select(
-        a.alias("_a"), ((a * 7 + 3) % F.col("_n")).alias("_b")
-    )
+    far = docs.where(F.col("n_chars") % 10 == 0).select(a.alias("_a"), ((a * 7 + 3) % total).alias("_b"))
     return near.unionByName(far).select(
         F.concat(F.lit("d"), F.col("_a").cast("string")).alias("path"),
         F.concat(F.lit("d"), F.col("_b").cast("string")).alias("resolved_path"),
