@@ -17,7 +17,7 @@ TOKEN_PATTERN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^ A-Za-z0-9_]"
 DEFAULT_MAX_LEN = 512
 
 # A vocabulary up to this many rows becomes a lookup constant of the plan; a larger one is joined by shuffle.
-LOOKUP_ROWS = 200_000
+LOOKUP_ROWS = 50_000
 
 
 def tokens(text: Column | str) -> Column:

@@ -62,13 +62,17 @@ def _model_column(fn: Model | None, loader: Callable[[], Model] | None, text: Co
     return run(text)
 
 
-def apply_model(segments: DataFrame, fn: Model | None = None, *, loader: Callable[[], Model] | None = None) -> DataFrame:
+def apply_model(segments: DataFrame, fn: Model | None = None, *, loader: Callable[[], Model] | None = None,
+                spread: bool = True) -> DataFrame:
     """Run the model on REGULAR segments; others keep their text.
 
     One pass: pass-through text is replaced by null before it would cross to Python, so only model input is sent.
+    Running a model costs far more than moving a segment, so segments are spread evenly first; otherwise a file with
+    very many functions would be one task's work. ``spread=False`` leaves them where they are.
     """
     regular = F.col("kind") == REGULAR
-    answers = segments.withColumn("_answer", _model_column(fn, loader, F.when(regular, F.col("text"))))
+    placed = segments.repartition("rel_path", "pos") if spread else segments
+    answers = placed.withColumn("_answer", _model_column(fn, loader, F.when(regular, F.col("text"))))
     return answers.withColumn("text", F.when(regular, F.col("_answer")).otherwise(F.col("text"))).drop("_answer")
 
 
