@@ -8,7 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators.ordering import skew_join
+from pairloom.operators.ordering import ordered_slice, skew_join
+from pairloom.session import materialize
 
 # Special tokens with their ids, and the token pattern (names, numbers, single other characters).
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
@@ -26,15 +27,15 @@ def tokens(text: Column | str) -> Column:
 
 def build_vocab(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
     """(token, id) of the ``size`` most frequent tokens, ties by token; ids follow the special tokens."""
-    counts = (
+    counts = materialize(
         df.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("_text"))
         .select(F.explode(tokens("_text")).alias("token"))
         .groupBy("token").agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "token").limit(size)
     )
+    frequent = ordered_slice(counts, [-F.col("n"), F.col("token")], 0, size)
     # At most ``size`` rows reach this window.
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
-    return counts.select("token", (rank + len(SPECIAL_TOKENS) - 1).cast("int").alias("id"))
+    return frequent.select("token", (rank + len(SPECIAL_TOKENS) - 1).cast("int").alias("id"))
 
 
 def _lookup(vocab: DataFrame) -> Callable[[Column], Column] | None:

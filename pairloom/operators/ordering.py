@@ -3,7 +3,7 @@
 Rows have no order in Spark, so every ordered operator names a total key. A window without ``partitionBy`` (or with one
 hot group) would pull that whole group into one task. The helpers here range-partition the *keys*, write them to
 reliable storage once (a second sampling could choose other ranges), and combine per-range totals, of which there are
-at most as many as ranges. Sets counted to be small take the plain window or top-k instead.
+at most as many as ranges. Sets counted to be small take the plain window or sort instead.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ from pairloom.session import materialize
 
 _CHUNK = "_chunk"
 
-# A top-k of this many whole rows is kept in every task's memory; larger slices go through key cut-offs.
-TOP_K_ROWS = 1000
-# The same for keys alone, and the largest set (counted first) that one task may put in order.
+# The largest set of keys (counted first) that one task may put in order. A top-k over more would send its k rows from
+# every task to a single one, so size of the set decides, not k.
 SMALL_KEYS = 100_000
 
 
@@ -70,13 +69,13 @@ def with_order_columns(df: DataFrame, order: Sequence[Column]) -> tuple[DataFram
     return df.select("*", *[c.alias(n) for c, n in zip(order, names)]), names
 
 
-def keys_at(df: DataFrame, order: Sequence[Column], positions: Sequence[int],
-            small: int = SMALL_KEYS) -> list[Row | None]:
+def keys_at(df: DataFrame, order: Sequence[Column], positions: Sequence[int], small: int = SMALL_KEYS) -> list[Row | None]:
     """The order keys at the given 0-based positions (``None`` past the end). Only keys are read and shuffled."""
     names = [f"_k{i}" for i in range(len(order))]
-    keys = df.select(*[c.alias(n) for c, n in zip(order, names)])
-    if max(positions) < small:
-        return [keys.orderBy(*names).offset(p).limit(1).first() for p in positions]
+    keys = materialize(df.select(*[c.alias(n) for c, n in zip(order, names)]))
+    total = keys.count()
+    if total <= small:
+        return [keys.orderBy(*names).offset(p).limit(1).first() if p < total else None for p in positions]
     rows = _ranged(keys, names)
     counts = sorted((r[_CHUNK], r["n"]) for r in rows.groupBy(_CHUNK).agg(F.count("*").alias("n")).collect())
     found: list[Row | None] = []
@@ -103,16 +102,15 @@ def precedes(order: Sequence[Column], key: Row) -> Column:
     return (order[0] <= literals[0]) & exact if len(order) > 1 else exact
 
 
-def ordered_slice(df: DataFrame, order: Sequence[Column], skip: int, count: int | None) -> DataFrame:
-    """Rows ``[skip, skip + count)`` in the given total order."""
+def ordered_slice(df: DataFrame, order: Sequence[Column], skip: int, count: int | None,
+                  small: int = SMALL_KEYS) -> DataFrame:
+    """Rows ``[skip, skip + count)`` in the given total order, as a filter between two keys."""
     if skip < 0 or (count is not None and count < 0):
         raise ValueError("skip and count must not be negative")
     if count == 0:
         return df.limit(0)
-    if count is not None and skip + count <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(skip).limit(count)
     positions = ([skip] if skip else []) + ([skip + count] if count is not None else [])
-    keys = keys_at(df, order, positions) if positions else []
+    keys = keys_at(df, order, positions, small) if positions else []
     if skip:
         first = keys.pop(0)
         if first is None:

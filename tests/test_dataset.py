@@ -18,12 +18,11 @@ def examples(spark):
     return spark.createDataFrame(DATA, schemas.EXAMPLES).repartition(7)
 
 
-@pytest.fixture(params=["top_k", "cut_offs"])
+@pytest.fixture(params=["small", "ranges"])
 def path(request, monkeypatch):
     """Run with the shortcuts for small sets, and without any."""
-    if request.param == "cut_offs":
-        monkeypatch.setattr(O, "TOP_K_ROWS", 0)
-        for name in ("keys_at", "running_total", "numbered"):
+    if request.param == "ranges":
+        for name in ("keys_at", "ordered_slice", "running_total", "numbered"):
             original = getattr(O, name)
             defaults = original.__defaults__
             monkeypatch.setattr(original, "__defaults__", (*defaults[:-1], 0))

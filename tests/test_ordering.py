@@ -41,14 +41,13 @@ def test_keys_at(data, small):
     assert [None if f is None else tuple(f) for f in found] == [ranked[0], ranked[1], ranked[500], ranked[999], None]
 
 
-@pytest.mark.parametrize("top", [0, 5000])
+@pytest.mark.parametrize("small", [0, 10_000])
 @pytest.mark.parametrize("skip, count", [(0, 10), (3, 0), (990, 100), (2000, 5), (5, None), (0, None), (0, 1000)])
-def test_ordered_slice(data, rows, monkeypatch, top, skip, count):
-    monkeypatch.setattr(O, "TOP_K_ROWS", top)
+def test_ordered_slice(data, rows, small, skip, count):
     order = [F.col("v"), F.col("k")]
     ranked = sorted((v, k) for _, k, v in DATA)
     end = None if count is None else skip + count
-    assert rows(O.ordered_slice(data, order, skip, count), "v", "k") == sorted(ranked[skip:end], key=repr)
+    assert rows(O.ordered_slice(data, order, skip, count, small), "v", "k") == sorted(ranked[skip:end], key=repr)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
