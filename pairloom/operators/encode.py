@@ -32,7 +32,7 @@ def build_vocab(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
         .select(F.explode(tokens("_text")).alias("token"))
         .groupBy("token").agg(F.count("*").alias("n"))
     )
-    frequent = ordered_slice(counts, [-F.col("n"), F.col("token")], 0, size)
+    frequent = ordered_slice(counts, [-F.col("n"), F.col("token")], 0, size, stored=True)
     # At most ``size`` rows reach this window.
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
     return frequent.select("token", (rank + len(SPECIAL_TOKENS) - 1).cast("int").alias("id"))

@@ -20,7 +20,7 @@ _CHUNK = "_chunk"
 
 # The largest set of keys (counted first) that one task may put in order. A top-k over more would send its k rows from
 # every task to a single one, so size of the set decides, not k.
-SMALL_KEYS = 100_000
+SMALL_KEYS = 1_000_000
 
 
 def _ranged(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,10 +69,16 @@ def with_order_columns(df: DataFrame, order: Sequence[Column]) -> tuple[DataFram
     return df.select("*", *[c.alias(n) for c, n in zip(order, names)]), names
 
 
-def keys_at(df: DataFrame, order: Sequence[Column], positions: Sequence[int], small: int = SMALL_KEYS) -> list[Row | None]:
-    """The order keys at the given 0-based positions (``None`` past the end). Only keys are read and shuffled."""
+def keys_at(df: DataFrame, order: Sequence[Column], positions: Sequence[int], small: int = SMALL_KEYS, *,
+            stored: bool = False) -> list[Row | None]:
+    """The order keys at the given 0-based positions (``None`` past the end). Only keys are read and shuffled.
+
+    ``stored`` says that ``df`` is a stored table, so its keys need not be stored again.
+    """
     names = [f"_k{i}" for i in range(len(order))]
-    keys = materialize(df.select(*[c.alias(n) for c, n in zip(order, names)]))
+    keys = df.select(*[c.alias(n) for c, n in zip(order, names)])
+    if not stored:
+        keys = materialize(keys)
     total = keys.count()
     if total <= small:
         return [keys.orderBy(*names).offset(p).limit(1).first() if p < total else None for p in positions]
@@ -103,14 +109,14 @@ def precedes(order: Sequence[Column], key: Row) -> Column:
 
 
 def ordered_slice(df: DataFrame, order: Sequence[Column], skip: int, count: int | None,
-                  small: int = SMALL_KEYS) -> DataFrame:
+                  small: int = SMALL_KEYS, *, stored: bool = False) -> DataFrame:
     """Rows ``[skip, skip + count)`` in the given total order, as a filter between two keys."""
     if skip < 0 or (count is not None and count < 0):
         raise ValueError("skip and count must not be negative")
     if count == 0:
         return df.limit(0)
     positions = ([skip] if skip else []) + ([skip + count] if count is not None else [])
-    keys = keys_at(df, order, positions, small) if positions else []
+    keys = keys_at(df, order, positions, small, stored=stored) if positions else []
     if skip:
         first = keys.pop(0)
         if first is None:
