@@ -1,8 +1,11 @@
-"""Registry of code types: which file-name suffixes belong to which side. A new language is a new row."""
+"""Registry of code types: which file-name suffixes belong to which side, and how functions are found.
+
+A new language is a ``CodeType`` of the caller's, given to the operators in place of a name.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +20,9 @@ class CodeType:
     source: tuple[str, ...]
     bytecode: tuple[str, ...]
     decompiled: tuple[str, ...]
-    language: str  # which extraction rules apply: "c" or "cpp"
+    language: str = ""  # which built-in extraction rules apply: "c" or "cpp"
+    # A type's own extractor: text to (name, text of the function) in order, and what was wrong with it, if anything.
+    extract: Callable[[str], tuple[list[tuple[str, str]], str | None]] | None = None
 
     @property
     def output_suffix(self) -> str:

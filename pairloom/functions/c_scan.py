@@ -27,7 +27,9 @@ _HIDING = re.compile(
 _TOKEN = re.compile(r"[(){};]")
 _VISIBLE = re.compile(r"\S")
 _CODE = re.compile(r"[^\n]")
-_PAIRS = {"(": re.compile(r"[()]"), "<": re.compile(r"[<>]")}
+_PAIRS = {"(": re.compile(r"[()]"), "<": re.compile(r"[<>]"), "{": re.compile(r"[{}]")}
+_CATCH = re.compile(r"\s*catch\s*\(")
+_TRY = re.compile(r"\)[^(){}]*\btry\b")
 _COLON = re.compile(r"(?<!:):(?!:)")
 _NAME_END = re.compile(r"[\w>]\s*\Z")
 
@@ -136,6 +138,7 @@ def scan_functions(text: str, cpp: bool) -> tuple[list[tuple[str, str]], str | N
     stack: list[tuple[str, int, int, int, str]] = []  # kind, parens outside, statement to resume, start, name
     problem = None
     statement, parens = 0, 0
+    bodies: list[int] = []  # where the bodies of the open functions begin
     for m in _TOKEN.finditer(clean):
         token, at = m.group(), m.start()
         if token == "(":
@@ -150,21 +153,33 @@ def scan_functions(text: str, cpp: bool) -> tuple[list[tuple[str, str]], str | N
                     if declared:
                         found.append((statement + declared[1], at + 1, declared[0]))
                 statement = at + 1
+        elif token == "{" and stack and stack[-1][0] == "values":
+            # Inside an initializer's list every brace opens another list: no head is cut out of the text before it.
+            stack.append(("values", parens, -2, -1, ""))
+            parens = 0
+        elif token == "{" and parens:
+            # Inside an argument list: nothing is declared, and the text before is looked at once the list has ended.
+            stack.append(("function" if stack and stack[-1][0] == "function" else "block", parens, statement, -1, ""))
+            statement, parens = at + 1, 0
         elif token == "{":
             head = clean[statement:at]
             in_body = any(frame[0] == "function" for frame in stack[-1:])
-            declared = _declarator(head, cpp, in_body) if parens == 0 else None
+            declared = _declarator(head, cpp, in_body)
             if declared and cpp and _opens_initializer(head):
                 declared, resume = None, statement
-            elif parens or head.rstrip().endswith(("=", ",", "return")):
+            elif head.rstrip().endswith(("=", "return")):
                 resume = statement
             else:
                 resume = -1
             if declared:
                 stack.append(("function", parens, -1, statement + declared[1], declared[0]))
+                if cpp:
+                    bodies.append(at)
             else:
                 kind = "scope" if _SCOPE.match(head, _skip_lead(head)) else "block"
-                if kind == "block" and in_body:
+                if kind == "block" and head.rstrip().endswith("="):
+                    kind = "values"
+                elif kind == "block" and in_body:
                     kind = "function"  # still inside a body
                 stack.append((kind, parens, resume, -1, ""))
             statement, parens = at + 1, 0
@@ -174,14 +189,30 @@ def scan_functions(text: str, cpp: bool) -> tuple[list[tuple[str, str]], str | N
         else:
             _, parens, resume, start, name = stack.pop()
             if start >= 0:
-                found.append((start, at + 1, name))
-            statement = resume if resume >= 0 else at + 1
+                tried = cpp and _TRY.search(clean, start, bodies.pop())
+                found.append((start, _handlers_end(clean, at + 1) if tried else at + 1, name))
+            if resume != -2:
+                statement = resume if resume >= 0 else at + 1
     if stack:
         problem = "unbalanced_braces"
     found.sort()
     return [(name, text[start:end]) for start, end, name in found], problem
 
 
+def _handlers_end(text: str, at: int) -> int:
+    """End of the ``catch`` handlers that follow a function whose body is a try block, or ``at``."""
+    while m := _CATCH.match(text, at):
+        closed = _closing(text, m.end() - 1, "(", ")")
+        opened = _VISIBLE.search(text, closed + 1) if closed >= 0 else None
+        if not opened or opened.group() != "{":
+            break
+        end = _closing(text, opened.start(), "{", "}")
+        if end < 0:
+            break
+        at = end + 1
+    return at
+
+
 def _opens_initializer(head: str) -> bool:
     """Whether a brace after ``head`` initialises a member in a constructor's list rather than opening the body."""
     paren = _closing(head, head.find("("), "(", ")")

@@ -1,12 +1,15 @@
 """Operations on example sets: filters, slices, shuffles, splits, sorts, budgets and listings.
 
-An example set carries its order in columns. The natural order is (artifact, code_type, seq, ident);
+An example set carries its order in columns. The natural order is (repo if present, artifact, code_type, seq,
+ident);
 ``seeded_shuffle`` adds ``shuffle_key`` and ``sort_by_length`` adds ``sort_len``, which come before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pairloom.code_types import CODE_TYPES, resolve
@@ -18,6 +21,7 @@ from pairloom.operators.ordering import (
     running_total,
     with_order_columns,
 )
+from pairloom.operators.pairing import within
 from pairloom.session import materialize
 
 SHUFFLE_KEY = "shuffle_key"
@@ -27,7 +31,7 @@ SORT_LENGTH = "sort_len"
 def order_of(examples: DataFrame) -> list[Column]:
     """The total order an example set is in."""
     extra = [F.col(c) for c in (SORT_LENGTH, SHUFFLE_KEY) if c in examples.columns]
-    return [*extra, F.col("artifact"), F.col("code_type"), F.col("seq.path"), F.col("seq.pos"), F.col("ident")]
+    return [*extra, *[F.col(c) for c in within(examples, "artifact", "code_type")], F.col("seq.path"), F.col("seq.pos"), F.col("ident")]
 
 
 def sort_length() -> Column:
@@ -62,9 +66,10 @@ def sort_by_length(examples: DataFrame) -> DataFrame:
 def with_position(examples: DataFrame, out: str = "idx") -> DataFrame:
     """Add each row's 0-based position in the set's order. Only keys are numbered, then joined back."""
     keyed, names = with_order_columns(examples, order_of(examples))
-    ident = ["artifact", "code_type", "ident"]
-    positions = numbered(keyed.select(*ident, *names), [], names, out).select(*ident, out)
-    return examples.join(positions, ident)
+    ident = within(examples, "artifact", "code_type", "ident")
+    positions = numbered(keyed.select(*[F.col(c).alias(f"_of_{c}") for c in ident], *names), [], names, out)
+    same = reduce(lambda a, b: a & b, [examples[c].eqNullSafe(F.col(f"_of_{c}")) for c in ident])
+    return examples.join(positions.drop(*names), same).drop(*[f"_of_{c}" for c in ident])
 
 
 def split_off_end(examples: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
@@ -133,7 +138,7 @@ def soft_cap_files(files_with_new_ids: DataFrame, max_len: int) -> DataFrame:
         return files_with_new_ids
     columns = files_with_new_ids.columns
     totals = running_total(
-        files_with_new_ids, ["artifact", "side"], ["path", "code_type"], F.col("new_ids"), "_before"
+        files_with_new_ids, within(files_with_new_ids, "artifact", "side"), ["path", "code_type"], F.col("new_ids"), "_before"
     )
     return totals.where(F.col("_before") < max_len).select(*columns)
 
@@ -142,8 +147,14 @@ def artifact_cutoff(examples: DataFrame, max_len: int) -> DataFrame:
     """Artifacts in name order up to and including the one that makes the total exceed ``max_len``; 0 means all."""
     if max_len <= 0:
         return examples
-    counts = examples.groupBy("artifact").agg(F.count("*").alias("_n"))
-    totals = running_total(counts, [], ["artifact"], F.col("_n"), "_before")
-    # The kept artifacts are a prefix, so the last one's name is the whole answer: one scalar, one filter.
-    last = totals.where(F.col("_before") <= max_len).agg(F.max("artifact")).first()[0]
-    return examples.where(F.col("artifact") <= F.lit(last)) if last is not None else examples
+    key = within(examples, "artifact")
+    counts = examples.groupBy(*key).agg(F.count("*").alias("_n"))
+    totals = materialize(running_total(counts, [], key, F.col("_n"), "_before"))
+    # The kept artifacts are a prefix, so the last one's name is the whole answer: one row, one filter.
+    last = totals.where(F.col("_before") <= max_len).agg(F.max(F.struct("_before", *key)).alias("last")).first()["last"]
+    if last is None:
+        return examples
+    order = [F.col(c) for c in key]
+    named = Row(*[last[c] for c in key])
+    same = reduce(lambda a, b: a & b, [c.eqNullSafe(F.lit(v)) for c, v in zip(order, named)])
+    return examples.where(precedes(order, named) | same)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators.ordering import ordered_slice, skew_join
+from pairloom.operators.ordering import ordered_slice
 from pairloom.session import materialize
 
 # Special tokens with their ids, and the token pattern (names, numbers, single other characters).
@@ -17,42 +18,52 @@ SPECIAL_TOKENS = ("<pad>", "<s>", "</s>", "<unk>")
 TOKEN_PATTERN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^ A-Za-z0-9_]"
 DEFAULT_MAX_LEN = 512
 
-# A vocabulary up to this many rows becomes a lookup constant of the plan; a larger one is joined by shuffle.
+# The caller may ask for a vocabulary to become a constant of the plan; a larger one than this is then an error.
 LOOKUP_ROWS = 50_000
 
+# A caller's tokenizer: texts to lists of ids; its counterpart: lists of ids to texts.
+Tokenizer = Callable[[pd.Series], Sequence[Sequence[int]]]
+Decoder = Callable[[pd.Series], Sequence[str]]
+
 
 def tokens(text: Column | str) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
+    """Tokens of a text; null has none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def build_vocab(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
     """(token, id) of the ``size`` most frequent tokens, ties by token; ids follow the special tokens."""
+    return _vocab(df.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("_text")).select(
+        tokens("_text").alias("_tokens")), ["_tokens"], size)
+
+
+def _vocab(df: DataFrame, cols: Sequence[str], size: int) -> DataFrame:
     counts = materialize(
-        df.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("_text"))
-        .select(F.explode(tokens("_text")).alias("token"))
+        df.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("_one")).select(F.explode("_one").alias("token"))
         .groupBy("token").agg(F.count("*").alias("n"))
     )
-    frequent = ordered_slice(counts, [-F.col("n"), F.col("token")], 0, size, stored=True)
+    frequent = ordered_slice(counts, [-F.col("n"), F.col("token")], 0, size)
     # At most ``size`` rows reach this window.
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
     return frequent.select("token", (rank + len(SPECIAL_TOKENS) - 1).cast("int").alias("id"))
 
 
-def _lookup(vocab: DataFrame) -> Callable[[Column], Column] | None:
-    """Token column to id column (null if unknown) without a join, or None if the vocabulary is too large for that.
+def _lookup(vocab: DataFrame) -> Callable[[Column], Column]:
+    """Token column to id column (null if unknown) without a join.
 
     A map is searched entry by entry, so the tokens are spread over many small maps by hash.
     """
-    slots = 1 << max(vocab.limit(LOOKUP_ROWS + 1).count() // 2, 1).bit_length()
+    rows = vocab.select("token", "id").limit(LOOKUP_ROWS + 1).collect()
+    if len(rows) > LOOKUP_ROWS:
+        raise ValueError(f"a lookup takes at most {LOOKUP_ROWS} tokens; join a larger vocabulary")
+    slots = 1 << max(len(rows) // 2, 1).bit_length()
 
     def slot(token: Column | str) -> Column:
         return F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
 
-    rows = vocab.select("token", "id", slot("token").alias("slot")).limit(LOOKUP_ROWS + 1).collect()
-    if len(rows) > LOOKUP_ROWS:
-        return None
+    placed = vocab.select("token", "id", slot("token").alias("slot")).limit(LOOKUP_ROWS).collect()
     maps: list[dict[str, int]] = [{} for _ in range(slots)]
-    for row in rows:
+    for row in placed:
         maps[row["slot"]][row["token"]] = row["id"]
     table = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
     return lambda token: F.try_element_at(F.get(table, slot(token)), token)
@@ -62,50 +73,81 @@ def _framed(ids: Column) -> Column:
     return F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS)))
 
 
-def _ids(df: DataFrame, key: Sequence[str], texts: dict[str, str], vocab: DataFrame, max_len: int) -> DataFrame:
-    """One row per ``key`` with an id array per entry of ``texts`` (output name to text column)."""
+def _ids(df: DataFrame, key: Sequence[str], texts: dict[str, Column], vocab: DataFrame, max_len: int,
+         lookup: bool) -> DataFrame:
+    """One row per row of ``df`` with an id array per entry of ``texts`` (output name to a column of token arrays)."""
     if max_len < 2:
         raise ValueError("max_len must leave room for the two sentence marks")
-    find = _lookup(vocab)
-    if find is None:
-        return _ids_by_join(df, key, texts, vocab, max_len)
-    return df.select(*key, *[
-        _framed(F.transform(F.slice(tokens(column), 1, max_len - 2), lambda t: F.coalesce(find(t), F.lit(UNK))))
-        .alias(name)
-        for name, column in texts.items()
-    ])
-
-
-def _ids_by_join(df: DataFrame, key: Sequence[str], texts: dict[str, str], vocab: DataFrame,
-                 max_len: int) -> DataFrame:
-    """The same for a vocabulary of any size. Texts are cut to the limit first, so groups stay within it."""
-    sides = F.array(*[
-        F.struct(F.lit(name).alias("side"), F.slice(tokens(column), 1, max_len - 2).alias("tokens"))
-        for name, column in texts.items()
-    ])
+    cut = {name: F.slice(column, 1, max_len - 2) for name, column in texts.items()}
+    if lookup:
+        find = _lookup(vocab)
+        return df.select(*key, *[
+            _framed(F.transform(column, lambda t: F.coalesce(find(t), F.lit(UNK)))).alias(name)
+            for name, column in cut.items()
+        ])
+    return _ids_by_join(df, key, cut, vocab)
+
+
+def _ids_by_join(df: DataFrame, key: Sequence[str], texts: dict[str, Column], vocab: DataFrame) -> DataFrame:
+    """The same by a join; a token found very often is split by the runtime. Arrays are cut already, so groups stay
+    within the limit. Rows with one key are told apart by their tokens, and equal rows are counted and given back."""
+    sides = F.array(*[F.struct(F.lit(name).alias("side"), column.alias("tokens")) for name, column in texts.items()])
     exploded = (
-        df.select(*key, F.explode(sides).alias("_s"))
+        df.select(*key, F.xxhash64(*texts.values()).alias("_row"), F.explode(sides).alias("_s"))
         # The outer explode keeps empty texts.
-        .select(*key, F.col("_s.side").alias("_side"), F.posexplode_outer("_s.tokens").alias("_pos", "token"))
-    )
-    # Frequent tokens are hot on this side.
-    known = exploded.where(F.col("token").isNotNull())
-    looked_up = skew_join(known, vocab, ["token"], "left").unionByName(
-        exploded.where(F.col("token").isNull()).withColumn("id", F.lit(None).cast("int"))
+        .select(*key, "_row", F.col("_s.side").alias("_side"), F.posexplode_outer("_s.tokens").alias("_pos", "token"))
     )
-    entry = F.when(
-        F.col("token").isNotNull(), F.struct(F.col("_pos").alias("p"), F.coalesce("id", F.lit(UNK)).alias("id"))
-    )
-    collected = [F.collect_list(F.when(F.col("_side") == name, entry)).alias(name) for name in texts]
-    return looked_up.groupBy(*key).agg(*collected).select(
-        *key, *[_framed(F.transform(F.array_sort(name), lambda x: x["id"])).alias(name) for name in texts]
+    found = exploded.join(vocab, "token", "left")
+    entry = F.when(F.col("token").isNotNull(), F.struct(F.col("_pos").alias("p"), F.coalesce("id", F.lit(UNK)).alias("id")))
+    collected = [F.array_sort(F.collect_set(F.when(F.col("_side") == name, entry))).alias(name) for name in texts]
+    first = (F.col("_side") == next(iter(texts))) & (F.coalesce("_pos", F.lit(0)) == 0)
+    return (
+        found.groupBy(*key, "_row").agg(F.count_if(first).cast("int").alias("_copies"), *collected)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .select(*key, *[_framed(F.transform(name, lambda x: x["id"])).alias(name) for name in texts])
     )
 
 
 def tokenize(df: DataFrame, col: str, vocab: DataFrame, max_len: int = DEFAULT_MAX_LEN,
-             key: Sequence[str] = ("ident",)) -> DataFrame:
-    """Ids of each text, framed by the sentence marks and cut to ``max_len``. ``key`` must identify a row."""
-    return _ids(df, list(key), {"input_ids": col}, vocab, max_len)
+             key: Sequence[str] = ("ident",), lookup: bool = False) -> DataFrame:
+    """Ids of each text, framed by the sentence marks and cut to ``max_len``. A null text has the marks only.
+
+    ``lookup`` makes a vocabulary of up to ``LOOKUP_ROWS`` tokens a constant of the plan, which saves the shuffle of a
+    join; the rows are the same.
+    """
+    return _ids(df, list(key), {"input_ids": tokens(col)}, vocab, max_len, lookup)
+
+
+def _called(fn: Callable | None, loader: Callable[[], Callable] | None, kind: str, column: Column) -> Column:
+    """A caller's function over batches of the column, nulls left out and null in the result."""
+    if (fn is None) == (loader is None):
+        raise ValueError("give either fn or loader")
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        call = loader() if loader is not None else fn  # loaded once per task
+        for batch in batches:
+            out = pd.Series([None] * len(batch), dtype=object)
+            wanted = batch.dropna()
+            if len(wanted):
+                for at, value in zip(batch.notna().to_numpy().nonzero()[0], call(wanted)):
+                    out.iat[at] = value
+            yield out
+
+    return F.pandas_udf(run, kind)(column)
+
+
+def tokenize_with(df: DataFrame, col: str, fn: Tokenizer | None = None, max_len: int = DEFAULT_MAX_LEN,
+                  key: Sequence[str] = ("ident",), *, loader: Callable[[], Tokenizer] | None = None) -> DataFrame:
+    """Ids of each text by the caller's tokenizer, cut to ``max_len``; it sets its own sentence marks."""
+    ids = _called(fn, loader, "array<int>", F.coalesce(col, F.lit("")))
+    return df.select(*key, F.slice(ids, 1, max_len).alias("input_ids"))
+
+
+def decode_with(df: DataFrame, ids_col: str, fn: Decoder | None = None, key: Sequence[str] = ("ident",), *,
+                loader: Callable[[], Decoder] | None = None) -> DataFrame:
+    """Ids back to text by the caller's tokenizer; null ids are no ids."""
+    ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
+    return df.select(*key, _called(fn, loader, "string", ids).alias("text"))
 
 
 def _padded(ids: Column, length: Column, pad_id: int) -> Column:
@@ -135,21 +177,30 @@ def pad_longest(df: DataFrame, ids_col: str = "input_ids", pad_id: int = PAD, bu
     return out.withColumnRenamed("_mask", mask_col) if mask_col else out
 
 
-def encode_dataset(examples: DataFrame, vocab: DataFrame, max_len: int = DEFAULT_MAX_LEN,
-                   bucket: int | None = None, key: Sequence[str] = ("artifact", "code_type", "ident")) -> DataFrame:
-    """Decompiled texts to padded ``input_ids`` and ``attention_mask``, sources to padded ``labels``."""
-    if examples.isEmpty():
-        raise ValueError("Cannot create dataset from no data")
-    ids = _ids(examples, list(key), {"input_ids": "decompiled", "labels": "source"}, vocab, max_len)
-    if bucket is not None:
-        return pad_longest(pad_longest(ids, "input_ids", bucket=bucket), "labels", bucket=bucket, mask_col=None)
+def encode_dataset(examples: DataFrame, vocab: DataFrame | int, max_len: int = DEFAULT_MAX_LEN,
+                   bucket: int | None = None, key: Sequence[str] = ("artifact", "code_type", "ident"),
+                   lookup: bool = False) -> DataFrame:
+    """Decompiled texts to padded ``input_ids`` and ``attention_mask``, sources to padded ``labels``.
+
+    Texts are cut into tokens once and stored; ids and both lengths come from there. A number as ``vocab`` is the size
+    of the vocabulary to build from the same tokens, before they are cut to ``max_len``.
+    """
+    cut = materialize(examples.select(*key, tokens("decompiled").alias("_in"), tokens("source").alias("_out")))
+    if isinstance(vocab, int):
+        vocab = materialize(_vocab(cut, ["_in", "_out"], vocab))
 
     def longest(column: str) -> Column:
-        # From the token counts alone: the ids are not needed to know how long they will be.
-        return F.max(F.least(F.size(tokens(column)), F.lit(max_len - 2)) + 2)
+        return F.max(F.least(F.size(column), F.lit(max_len - 2)) + 2)
 
+    # One row: both lengths of the whole set.
+    lengths = cut.agg(longest("_in").alias("inputs"), longest("_out").alias("labels")).first()
+    if lengths["inputs"] is None:
+        raise ValueError("no examples to encode")
+    ids = _ids(cut, list(key), {"input_ids": F.col("_in"), "labels": F.col("_out")}, vocab, max_len, lookup)
+    if bucket is not None:
+        return pad_longest(pad_longest(ids, "input_ids", bucket=bucket), "labels", bucket=bucket, mask_col=None)
     inputs, labels = F.col("input_ids"), F.col("labels")
-    input_length, label_length = examples.agg(longest("decompiled")).scalar(), examples.agg(longest("source")).scalar()
+    input_length, label_length = F.lit(lengths["inputs"]), F.lit(lengths["labels"])
     return ids.select(
         *key,
         _padded(inputs, input_length, PAD).alias("input_ids"),
@@ -158,25 +209,32 @@ def encode_dataset(examples: DataFrame, vocab: DataFrame, max_len: int = DEFAULT
     )
 
 
-def decode_tokens(df: DataFrame, ids_col: str, vocab: DataFrame, key: Sequence[str] = ("ident",)) -> DataFrame:
-    """Ids back to text, one space between tokens, special ids dropped."""
+def decode_tokens(df: DataFrame, ids_col: str, vocab: DataFrame, key: Sequence[str] = ("ident",),
+                  lookup: bool = False) -> DataFrame:
+    """Ids back to text, one space between tokens, special and unknown ids dropped; null ids give an empty text.
+
+    ``lookup`` as for ``tokenize``. Rows with one key are told apart by their ids, and equal rows are given back.
+    """
     key = list(key)
-    wanted = F.filter(F.col(ids_col), lambda i: i >= len(SPECIAL_TOKENS))
-    rows = vocab.select("token", "id").limit(LOOKUP_ROWS + 1).collect()
-    if len(rows) <= LOOKUP_ROWS and all(0 <= r["id"] < 2 * LOOKUP_ROWS for r in rows):
+    wanted = F.filter(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda i: i >= len(SPECIAL_TOKENS))
+    if lookup:
+        rows = vocab.select("token", "id").limit(LOOKUP_ROWS + 1).collect()
+        if len(rows) > LOOKUP_ROWS or any(not 0 <= r["id"] < 2 * LOOKUP_ROWS for r in rows):
+            raise ValueError(f"a lookup takes at most {LOOKUP_ROWS} tokens; join a larger vocabulary")
         by_id: list[str | None] = [None] * (max((r["id"] for r in rows), default=0) + 1)
         for row in rows:
             by_id[row["id"]] = row["token"]
         table = F.from_json(F.lit(json.dumps(by_id)), "array<string>")
         return df.select(*key, F.array_join(F.transform(wanted, lambda i: F.get(table, i)), " ").alias("text"))
-    exploded = df.select(*key, F.posexplode_outer(wanted).alias("_pos", "id"))
-    known = skew_join(exploded.where(F.col("id").isNotNull()), vocab, ["id"], "left").unionByName(
-        exploded.where(F.col("id").isNull()).withColumn("token", F.lit(None).cast("string")), allowMissingColumns=True
-    )
+    exploded = df.select(*key, F.xxhash64(wanted).alias("_row"), F.posexplode_outer(wanted).alias("_pos", "id"))
+    found = exploded.join(vocab.select("id", "token"), "id", "left")
     entry = F.when(F.col("token").isNotNull(), F.struct(F.col("_pos").alias("p"), F.col("token").alias("t")))
     # A row holds at most the encoder's limit of ids.
-    return known.groupBy(*key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["t"]), " ").alias("text")
+    return (
+        found.groupBy(*key, "_row").agg(
+            F.count_if(F.coalesce("_pos", F.lit(0)) == 0).cast("int").alias("_copies"),
+            F.array_join(F.transform(F.array_sort(F.collect_set(entry)), lambda x: x["t"]), " ").alias("text"))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*key, "text")
     )
 
 

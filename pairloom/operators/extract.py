@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from pairloom.code_types import CODE_TYPES
+from pairloom.code_types import CODE_TYPES, CodeType, resolve
 from pairloom.functions.c_scan import scan_functions
 
 _FUNCTION = pa.struct([("name", pa.string()), ("text", pa.string())])
@@ -15,42 +18,50 @@ _RESULT = pa.struct([("functions", pa.list_(_FUNCTION)), ("problem", pa.string()
 _RESULT_TYPE = from_arrow_type(_RESULT)
 
 
-@F.arrow_udf(_RESULT_TYPE)
-def _scan(text: pa.Array, cpp: pa.Array) -> pa.Array:
-    out = []
-    for content, is_cpp in zip(text, cpp):
-        if not content.is_valid:
-            out.append(None)
-            continue
-        try:
-            functions, problem = scan_functions(content.as_py(), bool(is_cpp.as_py()))
-        except Exception as error:  # one bad file must not fail the job
-            functions, problem = [], f"failed: {error}"
-        out.append({"functions": [{"name": n, "text": t} for n, t in functions], "problem": problem})
-    return pa.array(out, type=_RESULT)
+Extractor = Callable[[str], tuple[list[tuple[str, str]], str | None]]
+
+
+def _extractor(ct: CodeType) -> Extractor:
+    return ct.extract or partial(scan_functions, cpp=ct.language == "cpp")
 
 
-def scanned(text: Column, language: str | None = None) -> Column:
+def scanned(text: Column, language: str | None = None, code_types=None) -> Column:
     """Struct (functions: array of (name, text) in order, problem) of one file; null text gives null.
 
-    ``language`` is "c" or "cpp"; by default each row's ``code_type`` decides.
+    ``language`` is "c" or "cpp"; by default each row's ``code_type`` decides, which is one of ``code_types`` (names or
+    types of the caller's, which bring their own rules) or of the registry.
     """
     if language is None:
-        cpp = F.col("code_type").isin([ct.name for ct in CODE_TYPES.values() if ct.language == "cpp"])
+        types = {**CODE_TYPES, **{ct.name: ct for ct in resolve(code_types)}}
+        kind, rules = F.col("code_type"), {name: _extractor(ct) for name, ct in types.items()}
     else:
-        cpp = F.lit(language == "cpp")
-    return _scan(text, cpp)
+        kind, rules = F.lit(language), {language: partial(scan_functions, cpp=language == "cpp")}
+
+    def scan(text: pa.Array, kind: pa.Array) -> pa.Array:
+        out = []
+        for content, name in zip(text, kind):
+            if not content.is_valid:
+                out.append(None)
+                continue
+            try:
+                functions, problem = rules[name.as_py()](content.as_py())
+            except Exception as error:  # one bad file must not fail the job; it is listed in the rejects
+                functions, problem = [], f"failed: {error}"
+            out.append({"functions": [{"name": n, "text": t} for n, t in functions], "problem": problem})
+        return pa.array(out, type=_RESULT)
+
+    return F.arrow_udf(scan, _RESULT_TYPE)(text, kind)
 
 
-def extract_functions(files_text: DataFrame, language: str | None = None,
-                      keep_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+def extract_functions(files_text: DataFrame, language: str | None = None, keep_empty: bool = False,
+                      code_types=None) -> tuple[DataFrame, DataFrame]:
     """Every function definition of each file's ``text``, and the files that were not well formed.
 
     Filter before this step: nothing can be pushed through it. The two results are separate scans of the input.
     ``keep_empty`` gives files without functions one nameless, empty row.
     """
     keep = [c for c in files_text.columns if c != "text"]
-    rows = files_text.select(*keep, scanned(F.col("text"), language).alias("_r"))
+    rows = files_text.select(*keep, scanned(F.col("text"), language, code_types).alias("_r"))
     explode = F.posexplode_outer if keep_empty else F.posexplode
     found = rows.select(*keep, explode("_r.functions").alias("pos", "_f"))
     functions = found.select(

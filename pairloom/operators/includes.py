@@ -8,12 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import normalize_path
-from pairloom.operators.ordering import skew_join
 from pairloom.session import materialize
 
-# A graph with up to this many edges is sent to every executor.
-EDGE_BROADCAST_ROWS = 1_000_000
-
 # Comments and literals are consumed first, so an include inside them is not seen; group 1 is the delimited target.
 _INCLUDE = (
     r"""(?md)/\*(?s:.*?)\*/|//[^\n]*|^[ \t]*#[ \t]*include[ \t]*(<[^>\n]+>|"[^"\n]+")"""
@@ -82,12 +78,6 @@ def resolve_includes(includes: DataFrame, files: DataFrame, library_dirs: Sequen
     def rank(tier: int, position: Column, detail: Column) -> Column:
         return F.struct(F.lit(tier).alias("tier"), position.cast("int").alias("n"), detail.alias("detail"))
 
-    # Every request has at most this many candidates of a kind, which bounds the candidate rows.
-    n_requests, depth = requests.agg(
-        F.count("*"), F.coalesce(F.max(F.size(F.split("dir", "/"))), F.lit(0))
-    ).first()
-    n_local, n_library = n_requests * depth, n_requests * len(library_dirs)
-
     local = requests.where(~F.col("is_system")).select(*key, F.explode(_ancestors(F.col("dir"))).alias("_a"))
     candidates = local.select(*key, place(F.col("_a.dir")).alias("candidate"),
                               rank(0, F.col("_a.rank"), no_detail).alias("priority"))
@@ -100,10 +90,10 @@ def resolve_includes(includes: DataFrame, files: DataFrame, library_dirs: Sequen
             .select(*key, place(F.col("_l.dir")).alias("candidate"),
                     rank(2, F.col("_l.rank"), no_detail).alias("priority"))
         )
-    # A header everybody includes makes its candidate path hot on this side only.
-    hits = skew_join(candidates, known, ["candidate"], left_rows=n_local + n_library)
+    # A header everybody includes makes its candidate path hot on this side only; the runtime splits such a key.
+    hits = candidates.join(known, "candidate")
     if child_depth > 0:
-        hits = hits.unionByName(_below_ancestors(local, known, key, child_depth, rank, n_local))
+        hits = hits.unionByName(_below_ancestors(local, known, key, child_depth, rank))
     best = hits.groupBy(*key).agg(F.min_by("candidate", "priority").alias("resolved_path"))
     answered = requests.join(best, key, "left")
     return (
@@ -113,11 +103,12 @@ def resolve_includes(includes: DataFrame, files: DataFrame, library_dirs: Sequen
     )
 
 
-def _below_ancestors(local: DataFrame, known: DataFrame, key: list[str], depth: int, rank,
-                     n_local: int) -> DataFrame:
+def _below_ancestors(local: DataFrame, known: DataFrame, key: list[str], depth: int, rank) -> DataFrame:
     """Matches in directories 1..depth levels below an ancestor, visited parents first, in name order.
 
-    Targets that lead upwards ("../x.h") are looked up from ancestors only. Instead of listing directories per include, each file states under which (ancestor, remaining path) it can be found.
+    Targets that lead upwards ("../x.h") are looked up from ancestors only. Instead of listing directories per include,
+    each file states under which (ancestor, remaining path) it can be found. Of all files with one such statement only
+    the first can ever be the answer, so the others are dropped before requests meet them: one row per request.
     """
     parts = F.split("candidate", "/")
     offers = (
@@ -131,66 +122,49 @@ def _below_ancestors(local: DataFrame, known: DataFrame, key: list[str], depth:
             F.array_join(F.slice("_p", F.col("_cut") + 1, F.size("_p")), "/").alias("_rest"),
             F.slice("_p", F.lit(1), F.col("_cut")).alias("_dir"),
         )
+        .groupBy("_anc", "_rest").agg(F.min(F.struct("_dir", "candidate")).alias("_best"))
     )
     wanted = local.select(*key, F.col("_a.dir").alias("_anc"), F.col("_a.rank").alias("_rank"),
                           normalize_path("target").alias("_rest"))
-    return skew_join(wanted, offers, ["_anc", "_rest"], left_rows=n_local).select(
-        *key, "candidate", rank(1, F.col("_rank"), F.col("_dir")).alias("priority")
+    return wanted.join(offers, ["_anc", "_rest"]).select(
+        *key, F.col("_best.candidate").alias("candidate"),
+        rank(1, F.col("_rank"), F.col("_best._dir")).alias("priority")
     )
 
 
-def include_closure(includes: DataFrame, roots: DataFrame, max_rounds: int | None = None,
-                    rows_per_task: int = 1_000_000) -> DataFrame:
+def include_closure(includes: DataFrame, roots: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(root, path) for every file reachable from each root over resolved includes; a root reaches itself.
 
-    Semi-naive rounds: only pairs found in the last round are extended, pairs already found are removed, so cycles end.
-    Each round is written to reliable storage, which cuts the lineage. Files reached by a large share of the roots are
-    salted (see ``skew_join``). Edges are never paired with each other, so work follows the result's size.
+    Semi-naive rounds of one hop: only pairs found in the last round are extended, pairs already found are removed, so
+    cycles end. Each round is written to reliable storage, which cuts the lineage. ``max_hops`` leaves out what is
+    farther away than so many includes; without it the closure is complete.
     """
     edges = materialize(
         includes.where(F.col("resolved_path").isNotNull()).select("path", "resolved_path").distinct()
     )
-    # A small graph is broadcast, which leaves one shuffle per round; the hint is given only after counting the edges.
-    small = edges.count() <= EDGE_BROADCAST_ROWS
-    if small:
-        edges = _longer_steps(edges)
     frontier = materialize(roots.select(F.col("path").alias("root"), "path").distinct())
-    visited, rounds, found = frontier, 0, frontier.count()
-    while found and (max_rounds is None or rounds < max_rounds):
-        if small:  # at most the bound's edges, plus as many per doubling
-            joined = frontier.join(F.broadcast(edges), "path")
-        else:
-            joined = skew_join(frontier, edges, ["path"], rows_per_task=rows_per_task, left_rows=found)
-        step = joined.select("root", F.col("resolved_path").alias("path")).distinct()
+    visited, hops = frontier, 0
+    while (max_hops is None or hops < max_hops) and not frontier.isEmpty():
+        step = frontier.join(edges, "path").select("root", F.col("resolved_path").alias("path")).distinct()
         frontier = materialize(step.join(visited, ["root", "path"], "left_anti"))
-        visited, rounds, found = visited.unionByName(frontier), rounds + 1, frontier.count()
+        visited, hops = visited.unionByName(frontier), hops + 1
     return visited
 
 
-def _longer_steps(edges: DataFrame, doublings: int = 3) -> DataFrame:
-    """Edges of up to 2, 4, 8 hops, as long as they stay few: fewer rounds for the same pairs.
-
-    How many rows the next doubling makes follows from the degrees, so it is known before any are made.
-    """
-    for _ in range(doublings):
-        into = edges.groupBy(F.col("resolved_path").alias("_mid")).agg(F.count("*").alias("_in"))
-        out = edges.groupBy(F.col("path").alias("_mid")).agg(F.count("*").alias("_out"))
-        made = into.join(out, "_mid").agg(F.coalesce(F.sum(F.col("_in") * F.col("_out")), F.lit(0))).first()[0]
-        if made == 0 or made > EDGE_BROADCAST_ROWS:
-            break
-        second = edges.select(F.col("path").alias("resolved_path"), F.col("resolved_path").alias("_end"))
-        two = edges.join(second, "resolved_path").select("path", F.col("_end").alias("resolved_path"))
-        edges = materialize(edges.unionByName(two).distinct())
-    return edges
-
-
-def functions_with_imports(functions: DataFrame, closure: DataFrame) -> DataFrame:
+def functions_with_imports(functions: DataFrame, closure: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Functions of each root and of everything it includes, under the root's path; ``def_path`` is where they stand.
 
-    Every file is parsed once however many roots include it. ``closure`` is counted and read again, so pass a stored
-    one, as ``include_closure`` returns.
+    Every file is parsed once however many roots include it. ``wanted``, if given, holds (path, name), and code_type if
+    the functions have one: only functions of that name are brought to that root, so a header's functions meet the roots
+    that can use them instead of all.
     """
     defined = functions.withColumnRenamed("path", "def_path")
     reached = closure.select("root", F.col("path").alias("def_path"))
-    joined = skew_join(reached, defined, ["def_path"], left_rows=closure.count()).withColumnRenamed("root", "path")
+    if wanted is None:
+        joined = reached.join(defined, "def_path")
+    else:
+        kind = ["code_type"] if "code_type" in wanted.columns else []
+        asked = wanted.select(F.col("path").alias("root"), "name", *kind).distinct()
+        joined = reached.join(asked, "root").join(defined, ["def_path", "name", *kind])
+    joined = joined.withColumnRenamed("root", "path")
     return joined.withColumn("imported", F.col("path") != F.col("def_path"))

@@ -1,9 +1,9 @@
-"""Order without a single-task sort: exact ranks, running totals and key cut-offs, plus skew-safe joins.
+"""Order without a single-task sort: exact ranks, running totals and key cut-offs.
 
 Rows have no order in Spark, so every ordered operator names a total key. A window without ``partitionBy`` (or with one
 hot group) would pull that whole group into one task. The helpers here range-partition the *keys*, write them to
 reliable storage once (a second sampling could choose other ranges), and combine per-range totals, of which there are
-at most as many as ranges. Sets counted to be small take the plain window or sort instead.
+at most as many as ranges. There is one way for all sizes. Nulls come first, as in Spark's own ascending sort.
 """
 
 from __future__ import annotations
@@ -18,17 +18,12 @@ from pairloom.session import materialize
 
 _CHUNK = "_chunk"
 
-# The largest set of keys (counted first) that one task may put in order. A top-k over more would send its k rows from
-# every task to a single one, so size of the set decides, not k.
-SMALL_KEYS = 1_000_000
-
 
 def _ranged(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return materialize(df.repartitionByRange(*keys).withColumn(_CHUNK, F.spark_partition_id()))
 
 
-def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, out: str,
-                  small: int = SMALL_KEYS) -> DataFrame:
+def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows strictly before this one in its group.
 
     ``group + order`` must be a total key. A hot group is spread over many ranges; a range is the largest unit one task
@@ -36,11 +31,7 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], val
     """
     group, order = list(group), list(order)
     zero = F.lit(0).cast("long")
-    stored = materialize(df.withColumn("_value", value.cast("long")))
-    if stored.count() <= small:
-        whole = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return stored.withColumn(out, F.coalesce(F.sum("_value").over(whole), zero)).drop("_value")
-    rows = _ranged(stored, group + order)
+    rows = _ranged(df.withColumn("_value", value.cast("long")), group + order)
     totals = rows.groupBy(*group, _CHUNK).agg(F.sum("_value").alias("_total"))
     before = Window.partitionBy(*group).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     # A group has an earlier range only if it is the first group of its own range: at most one row per range, so the
@@ -48,20 +39,20 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], val
     offsets = (
         totals.withColumn("_offset", F.sum("_total").over(before))
         .where(F.col("_offset").isNotNull())
-        .select(*group, _CHUNK, "_offset")
+        .select(*[F.col(c).alias(f"_of_{c}") for c in (*group, _CHUNK)], "_offset")
     )
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*group, _CHUNK)])
     inside = Window.partitionBy(*group, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.join(F.broadcast(offsets), [*group, _CHUNK], "left")
+        rows.join(F.broadcast(offsets), same, "left")
         .withColumn(out, F.coalesce("_offset", zero) + F.coalesce(F.sum("_value").over(inside), zero))
-        .drop("_value", "_offset", _CHUNK)
+        .drop("_value", "_offset", _CHUNK, *[f"_of_{c}" for c in (*group, _CHUNK)])
     )
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str,
-             small: int = SMALL_KEYS) -> DataFrame:
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """Add the 0-based position of each row within its group."""
-    return running_total(df, group, order, F.lit(1), out, small)
+    return running_total(df, group, order, F.lit(1), out)
 
 
 def with_order_columns(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, list[str]]:
@@ -69,20 +60,13 @@ def with_order_columns(df: DataFrame, order: Sequence[Column]) -> tuple[DataFram
     return df.select("*", *[c.alias(n) for c, n in zip(order, names)]), names
 
 
-def keys_at(df: DataFrame, order: Sequence[Column], positions: Sequence[int], small: int = SMALL_KEYS, *,
-            stored: bool = False) -> list[Row | None]:
+def keys_at(df: DataFrame, order: Sequence[Column], positions: Sequence[int]) -> list[Row | None]:
     """The order keys at the given 0-based positions (``None`` past the end). Only keys are read and shuffled.
 
-    ``stored`` says that ``df`` is a stored table, so its keys need not be stored again.
+    The driver gets one count per range and one key per position.
     """
     names = [f"_k{i}" for i in range(len(order))]
-    keys = df.select(*[c.alias(n) for c, n in zip(order, names)])
-    if not stored:
-        keys = materialize(keys)
-    total = keys.count()
-    if total <= small:
-        return [keys.orderBy(*names).offset(p).limit(1).first() if p < total else None for p in positions]
-    rows = _ranged(keys, names)
+    rows = _ranged(df.select(*[c.alias(n) for c, n in zip(order, names)]), names)
     counts = sorted((r[_CHUNK], r["n"]) for r in rows.groupBy(_CHUNK).agg(F.count("*").alias("n")).collect())
     found: list[Row | None] = []
     for position in positions:
@@ -98,25 +82,31 @@ def keys_at(df: DataFrame, order: Sequence[Column], positions: Sequence[int], sm
 
 
 def precedes(order: Sequence[Column], key: Row) -> Column:
-    """True for rows whose order key is strictly smaller than ``key``: a plain predicate that scans can push down."""
-    literals = [F.lit(v) for v in key]
+    """True for rows whose order key is strictly smaller than ``key``, false for all others, nulls first.
+
+    A plain predicate that scans can push down.
+    """
+    def less(column: Column, value) -> Column:
+        return F.lit(False) if value is None else column.isNull() | (column < F.lit(value))
+
     terms = []
     for i, column in enumerate(order):
-        equal = [c == v for c, v in zip(order[:i], literals[:i])]
-        terms.append(reduce(lambda a, b: a & b, [*equal, column < literals[i]]))
-    exact = reduce(lambda a, b: a | b, terms)
-    return (order[0] <= literals[0]) & exact if len(order) > 1 else exact
+        equal = [c.eqNullSafe(F.lit(v)) for c, v in zip(order[:i], key)]
+        terms.append(reduce(lambda a, b: a & b, [*equal, less(column, key[i])]))
+    exact = F.coalesce(reduce(lambda a, b: a | b, terms), F.lit(False))
+    if len(order) == 1 or key[0] is None:
+        return exact
+    return (order[0].isNull() | (order[0] <= F.lit(key[0]))) & exact
 
 
-def ordered_slice(df: DataFrame, order: Sequence[Column], skip: int, count: int | None,
-                  small: int = SMALL_KEYS, *, stored: bool = False) -> DataFrame:
+def ordered_slice(df: DataFrame, order: Sequence[Column], skip: int, count: int | None) -> DataFrame:
     """Rows ``[skip, skip + count)`` in the given total order, as a filter between two keys."""
     if skip < 0 or (count is not None and count < 0):
         raise ValueError("skip and count must not be negative")
     if count == 0:
         return df.limit(0)
     positions = ([skip] if skip else []) + ([skip + count] if count is not None else [])
-    keys = keys_at(df, order, positions, small, stored=stored) if positions else []
+    keys = keys_at(df, order, positions) if positions else []
     if skip:
         first = keys.pop(0)
         if first is None:
@@ -125,42 +115,3 @@ def ordered_slice(df: DataFrame, order: Sequence[Column], skip: int, count: int
     if keys and keys[0] is not None:
         df = df.where(precedes(order, keys[0]))
     return df
-
-
-def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
-              rows_per_task: int = 1_000_000, left_rows: int | None = None) -> DataFrame:
-    """Equi-join whose ``left`` side may hold a large share of its rows under one key.
-
-    Keys with more than ``rows_per_task`` left rows are split over enough salts to bring each task back under that
-    number, and only their right rows are repeated. There are at most ``rows(left) / rows_per_task`` such keys, which
-    bounds the broadcast list. ``how`` is one of inner, left, left_semi, left_anti. ``left`` is read twice, so pass
-    one that is cheap to read. If the caller knows ``left_rows`` and they fit one task, no key can be hot and this is
-    a plain join.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"cannot split the left side of a {how} join")
-    on = list(on)
-    if left_rows is not None and left_rows <= rows_per_task:
-        return left.join(right, on, how)
-    hot = F.broadcast(
-        left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_task)
-        .select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_fan"))
-    )
-    fan = F.coalesce("_fan", F.lit(1))
-    salted_left = (
-        left.join(hot, on, "left")
-        # Hash of the whole row: stable if a task is run again.
-        .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), fan).cast("int"))
-        .drop("_fan")
-    )
-    salted_right = (
-        right.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), fan - 1)))
-        .drop("_fan")
-    )
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after checking the size; otherwise leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -13,12 +13,18 @@ from pairloom.session import materialize
 KEY = ["artifact", "code_type", "function_id"]
 
 
+def within(df: DataFrame, *columns: str) -> list[str]:
+    """The columns, preceded by ``repo`` if the set has one: artifacts of different repos never mix. A set without that
+    column is one repo."""
+    return (["repo"] if "repo" in df.columns else []) + list(columns)
+
+
 def dedupe_functions(functions: DataFrame, last_by: Sequence[str] = ("path", "pos")) -> DataFrame:
     """One body per (artifact, code type, function id): the last one, kept at the first one's position.
 
     An id shared by many functions is reduced before the shuffle; the later join reuses this grouping's partitioning.
     """
-    return functions.groupBy(*KEY).agg(
+    return functions.groupBy(*within(functions, *KEY)).agg(
         F.max_by("body", F.struct(*last_by)).alias("body"),
         F.min(F.struct("path", F.col("pos").cast("int").alias("pos"))).alias("seq"),
     )
@@ -37,22 +43,25 @@ def dedupe_decompiled(functions: DataFrame) -> DataFrame:
 
 
 def pair_examples(source: DataFrame, decompiled: DataFrame) -> DataFrame:
-    """One example per id present on both sides of the same artifact and code type."""
-    s = source.select(*KEY, F.col("body").alias("source"))
-    d = decompiled.select(*KEY, F.col("body").alias("decompiled"), "seq")
-    return s.join(d, KEY).select(
-        "artifact", "code_type", F.col("function_id").alias("ident"), "source", "decompiled", "seq"
+    """One example per id present on both sides of the same repo, artifact and code type."""
+    key = within(source, *KEY)
+    s = source.select(*key, F.col("body").alias("source"))
+    d = decompiled.select(*key, F.col("body").alias("decompiled"), "seq")
+    return s.join(d, key).select(
+        *within(source), "artifact", "code_type", F.col("function_id").alias("ident"), "source", "decompiled", "seq"
     )
 
 
 def missing_sources(source: DataFrame, decompiled: DataFrame) -> DataFrame:
     """Decompiled ids without a source."""
-    return decompiled.select(*KEY).join(source.select(*KEY), KEY, "left_anti")
+    key = within(source, *KEY)
+    return decompiled.select(*key).join(source.select(*key), key, "left_anti")
 
 
 def missing_decompileds(source: DataFrame, decompiled: DataFrame) -> DataFrame:
     """Source ids that no decompiled function claimed."""
-    return source.select(*KEY).join(decompiled.select(*KEY), KEY, "left_anti")
+    key = within(source, *KEY)
+    return source.select(*key).join(decompiled.select(*key), key, "left_anti")
 
 
 def missing_report(source: DataFrame, decompiled: DataFrame, sample: int = 100) -> DataFrame:
@@ -61,15 +70,16 @@ def missing_report(source: DataFrame, decompiled: DataFrame, sample: int = 100)
     Counts are complete. The sample is cut on the map side before the shuffle (a limit per group), so an artifact
     holding most ids sends at most ``sample`` of them per task. The missing ids are stored once, for both uses.
     """
-    sides = source.select(*KEY, F.lit(True).alias("_s")).join(
-        decompiled.select(*KEY, F.lit(True).alias("_d")), KEY, "full_outer"
+    key = within(source, *KEY)
+    sides = source.select(*key, F.lit(True).alias("_s")).join(
+        decompiled.select(*key, F.lit(True).alias("_d")), key, "full_outer"
     )
     missing = materialize(
         sides.where(F.col("_s").isNull() | F.col("_d").isNull()).select(
-            *KEY, F.when(F.col("_s").isNull(), "source").otherwise("decompiled").alias("side")
+            *key, F.when(F.col("_s").isNull(), "source").otherwise("decompiled").alias("side")
         )
     )
-    group = ["artifact", "code_type", "side"]
+    group = within(source, "artifact", "code_type", "side")
     counts = missing.groupBy(*group).agg(F.count("*").alias("n"))
     first = Window.partitionBy(*group).orderBy("function_id")
     samples = (
@@ -87,7 +97,7 @@ def drop_half_blank(examples: DataFrame) -> DataFrame:
 def half_blank_report(examples: DataFrame) -> DataFrame:
     """The pairs ``drop_half_blank`` drops, and which side was blank."""
     return examples.where(is_blank("source") != is_blank("decompiled")).select(
-        "artifact",
+        *within(examples, "artifact"),
         F.col("seq.path").alias("path"),
         F.col("seq.pos").alias("pos"),
         F.when(is_blank("source"), "blank_source").otherwise("blank_decompiled").alias("reason"),
@@ -107,13 +117,13 @@ def union_code_types(parts: Sequence[DataFrame]) -> DataFrame:
 
 def distinct_artifacts(classified: DataFrame) -> DataFrame:
     """Artifacts with at least one recognised file."""
-    return classified.select("artifact").distinct()
+    return classified.select(*within(classified, "artifact")).distinct()
 
 
 def repo_profile(classified: DataFrame) -> DataFrame:
     """Number of artifacts, source files and decompiled files. A file counts once per matching code type."""
     return classified.agg(
-        F.count_distinct("artifact").alias("artifacts"),
+        F.count_distinct(*within(classified, "artifact")).alias("artifacts"),
         F.count_if(F.col("side") == "source").alias("source_files"),
         F.count_if(F.col("side") == "decompiled").alias("decompiled_files"),
     )
@@ -124,10 +134,10 @@ def new_ids_per_file(functions: DataFrame) -> DataFrame:
 
     The distinct (file, id) pairs, without any text, are stored once, so files are not read again for the second use.
     """
-    file_key = ["artifact", "code_type", "side", "path"]
+    file_key = within(functions, "artifact", "code_type", "side", "path")
     pairs = materialize(functions.select(*file_key, "function_id").distinct())
     # The first position of an id lies in the smallest path that has it.
-    first = pairs.groupBy("artifact", "code_type", "side", "function_id").agg(F.min("path").alias("path"))
+    first = pairs.groupBy(*within(pairs, "artifact", "code_type", "side", "function_id")).agg(F.min("path").alias("path"))
     new = first.groupBy(*file_key).agg(F.count("*").alias("new_ids"))
     return (
         pairs.select(*file_key).distinct().join(new, file_key, "left")

@@ -11,17 +11,13 @@ from pyspark.sql import functions as F
 from pairloom.code_types import resolve
 from pairloom.functions.text import decode_lossy, file_name, has_body, output_path, split_function
 from pairloom.operators.extract import extract_functions
-from pairloom.operators.ordering import bounded_broadcast, keys_at, precedes
-from pairloom.session import materialize
-from pairloom.sources.tree import PART_PIECES, ordered_concat
+from pairloom.operators.ordering import keys_at, precedes
+from pairloom.sources.tree import ordered_concat
 
 REGULAR, PASS_THROUGH = 0, 1
 SEPARATOR = "\n\n"
 TRANSFORM, OVER_COUNT, COPY, UNSUPPORTED = "transform", "copy_over_count", "copy", "unsupported"
 
-# Inputs that lose their output path to another input are broadcast up to this many.
-LOSER_BROADCAST_ROWS = 1_000_000
-
 Model = Callable[[pd.Series], pd.Series]
 
 
@@ -76,7 +72,7 @@ def apply_model(segments: DataFrame, fn: Model | None = None, *, loader: Callabl
     return answers.withColumn("text", F.when(regular, F.col("_answer")).otherwise(F.col("text"))).drop("_answer")
 
 
-def reassemble(segments: DataFrame, sep: str = SEPARATOR, part_pieces: int = PART_PIECES) -> DataFrame:
+def reassemble(segments: DataFrame, sep: str = SEPARATOR, part_pieces: int | None = None) -> DataFrame:
     """Join the segments of each file in order into (rel_path, part, content)."""
     return ordered_concat(segments, "rel_path", "pos", "text", sep, part_pieces)
 
@@ -133,7 +129,6 @@ def _finish(planned: DataFrame, done: DataFrame) -> DataFrame:
         planned.where(F.col("action") != UNSUPPORTED).select("rel_path", last.alias("_last"))
         .where(F.col("rel_path") < F.col("_last")).select("rel_path")
     )
-    losers = bounded_broadcast(materialize(losers), LOSER_BROADCAST_ROWS)
     both = copies.unionByName(done.select("rel_path", "out_path", "part", "content"))
     return both.join(losers, "rel_path", "left_anti").select(F.col("out_path").alias("rel_path"), "part", "content")
 
@@ -160,7 +155,7 @@ def transform_tree(files: DataFrame, fn: Model | None = None, code_types=None, c
     text = planned.where(F.col("action") == TRANSFORM).select(
         "rel_path", "code_type", decode_lossy("content").alias("text")
     )
-    functions, _ = extract_functions(text, keep_empty=True)
+    functions, _ = extract_functions(text, keep_empty=True, code_types=code_types)
     answered = apply_model(segment_files(functions), fn, loader=loader)
     joined = reassemble(answered).withColumn("content", F.col("content").cast("binary"))
     done = _planned(joined, code_types, None, bytecode=False)

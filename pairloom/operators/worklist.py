@@ -7,36 +7,45 @@ from pyspark.sql import functions as F
 
 from pairloom import schemas
 from pairloom.functions.text import decompiled_path
-from pairloom.operators.ordering import numbered, ordered_slice
 
 # Lines are counted in blocks of this many, so running counts need no window over a whole listing.
 _BLOCK = 65_536
 
 
-def _first(packages: DataFrame, n: int | None) -> DataFrame:
-    return packages if n is None else ordered_slice(packages, [F.col("line_no"), F.col("package")], 0, n)
+def cap_per_repo(packages: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` packages of each repo in listing order. The limit per group is applied before the shuffle too."""
+    if n is None:
+        return packages
+    listing = Window.partitionBy("repo").orderBy("line_no", "package")
+    return packages.withColumn("_nth", F.row_number().over(listing)).where(F.col("_nth") <= n).drop("_nth")
 
 
 def _first_field(line: Column) -> Column:
     return F.substring_index(line, " ", 1)
 
 
+def _with_bound(lines: DataFrame, bound: Column) -> DataFrame:
+    """Add ``_bound``, an aggregate over each repo's lines: one row per repo, reduced before it is shuffled."""
+    bounds = lines.groupBy(F.col("repo").alias("_repo")).agg(bound.alias("_bound"))
+    return lines.join(bounds, F.col("repo").eqNullSafe(F.col("_repo"))).drop("_repo")
+
+
 def list_packages(lines: DataFrame, n: int | None = None) -> DataFrame:
-    """First field of each of the first ``n`` listing lines. Input: repo, line_no, line."""
-    return _first(lines.select("repo", "line_no", _first_field(F.col("line")).alias("package"),
-                               F.lit(None).cast("string").alias("version")), n)
+    """First field of each of the first ``n`` listing lines of each repo. Input: repo, line_no, line."""
+    return cap_per_repo(lines.select("repo", "line_no", _first_field(F.col("line")).alias("package"),
+                                     F.lit(None).cast("string").alias("version")), n)
 
 
 def list_packages_drop_last(lines: DataFrame, n: int | None = None) -> DataFrame:
-    """The same for a listing whose trailing line is a remark."""
-    last = lines.agg(F.max("line_no")).scalar()
-    return list_packages(lines.where(F.col("line_no") < last), n)
+    """The same for listings whose trailing line is a remark."""
+    kept = _with_bound(lines, F.max("line_no")).where(F.col("line_no") < F.col("_bound")).drop("_bound")
+    return list_packages(kept, n)
 
 
 def latest_per_package(lines: DataFrame, header: int = 2, n: int | None = None) -> DataFrame:
-    """``name/version`` lines after ``header`` lines: the last one of each name, in listing order, first ``n``."""
-    start = lines.agg(F.min("line_no")).scalar()
-    body = lines.where(F.col("line_no") >= start + header)
+    """``name/version`` lines after each repo's ``header`` lines: the last one of each name, in listing order, the first
+    ``n`` of each repo."""
+    body = _with_bound(lines, F.min("line_no")).where(F.col("line_no") >= F.col("_bound") + header)
     name = F.substring_index("line", "/", 1)
     latest = (
         body.groupBy("repo", name.alias("package"))
@@ -44,12 +53,7 @@ def latest_per_package(lines: DataFrame, header: int = 2, n: int | None = None)
         .select("repo", "line_no", "package",
                 F.when(F.contains("_line", F.lit("/")), F.substr("_line", F.length("package") + 2)).alias("version"))
     )
-    return _first(latest, n)
-
-
-def cap_per_repo(packages: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` packages of each registry."""
-    return numbered(packages, ["repo"], ["line_no", "package"], "_idx").where(F.col("_idx") < n).drop("_idx")
+    return cap_per_repo(latest, n)
 
 
 def latest_status(ledger: DataFrame) -> DataFrame:

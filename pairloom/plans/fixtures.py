@@ -9,11 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import MARKER_PREFIX, TRUNCATION_WARNING, file_name
-from pairloom.sources.files import hadoop_path
-
-
-# Spark's default size of one scan task.
-SCAN_SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, spread over the cores when the table is too small to be split by the scan itself."""
-    path = f"{sf_dir}/documents.parquet"
-    docs = spark.read.parquet(path)
-    qualified, fs = hadoop_path(spark, path)
-    cores = spark.sparkContext.defaultParallelism
-    if fs.getContentSummary(qualified).getLength() >= cores * SCAN_SPLIT_BYTES:
-        return docs
-    # Round robin would depend on input order; the id spreads evenly and is stable.
-    return docs.repartition(cores, "doc_id")
+    """The documents, dealt by id: a small table is one scan task, and rendering a corpus needs all cores."""
+    return table(spark, sf_dir, "documents").repartition("doc_id")
 
 
 def _name(line: str) -> str:
@@ -117,6 +105,29 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_files(spark, sf_dir).unionByName(marked_files(spark, sf_dir))
 
 
+def faulty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with a brace too many in every tenth source and a function without a body in every tenth marked file."""
+    last = F.regexp_extract("path", "/d0*([0-9]+)/", 1).cast("long") % 10
+    marked = F.endswith("path", F.lit(".o.c"))
+    more = F.when(~marked & (last == 7), "\n}").when(
+        marked & (last == 3), f"{MARKER_PREFIX}nobody\nundefined8 nobody(void);\n").otherwise("")
+    files = code_files(spark, sf_dir).withColumn("content", F.concat("content", F.encode(more, "UTF-8")))
+    return files.withColumn("length", F.octet_length("content").cast("long"))
+
+
+def files_with_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with a header per document that defines what its source has under a local name only."""
+    docs = documents(spark, sf_dir)
+    line = f"if(length(x) % 7 = 0, concat('int ', {_name('x')}, '(void) {{ imported(); }}\\n'), '')"
+    content = F.expr(f"array_join(transform(split(text, '\\n'), x -> {line}), '')")
+    folder = F.substring_index(source_path(), "/", 2)
+    headers = _files(docs, F.concat(folder, F.lit("/h.h")), F.concat(F.lit("/* header */\n"), content))
+    include = F.when(F.endswith("path", F.lit(".o.c")), F.lit("")).otherwise(F.lit('#include "h.h"\n'))
+    code = code_files(spark, sf_dir).withColumn("content", F.concat(F.encode(include, "UTF-8"), "content"))
+    both = code.unionByName(headers)
+    return both.withColumn("length", F.octet_length("content").cast("long"))
+
+
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same files by name only."""
     docs = table(spark, sf_dir, "documents")
@@ -133,13 +144,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases are successes, errors are failures, of the package named by the user."""
-    kind = F.col("event_type")
-    return (
-        table(spark, sf_dir, "events")
-        .withColumn("status", F.when(kind == "error", "failed").when(kind == "purchase", "success"))
-        .where(F.col("status").isNotNull())
-        .select(F.lit("main").alias("repo"), F.col("user_id").cast("string").alias("package"), "status", "ts")
+    """Every event is an entry: errors are failures of the package named by the user, all other events successes."""
+    return table(spark, sf_dir, "events").select(
+        F.lit("main").alias("repo"), F.col("user_id").cast("string").alias("package"),
+        F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), "ts",
     )
 
 

@@ -123,7 +123,7 @@ inc2 AS (
 _LEDGER = """
 led AS (
   SELECT CAST(user_id AS VARCHAR) AS package, CASE event_type WHEN 'error' THEN 'failed' ELSE 'success' END AS status, ts
-  FROM events WHERE event_type IN ('error', 'purchase')),
+  FROM events),
 latest AS (SELECT package, last(status ORDER BY ts, status) AS status FROM led GROUP BY ALL)"""
 
 _VOCAB = r"""
@@ -188,7 +188,7 @@ plan AS (
          CASE kind WHEN 'marked' THEN left(rel_path, length(rel_path) - 4) || '.c'
                    WHEN 'object' THEN left(rel_path, length(rel_path) - 2) || '.c' ELSE rel_path END AS out_path,
          CASE kind WHEN 'object' THEN 'unsupported'
-                   WHEN 'marked' THEN CASE WHEN row_number() OVER (PARTITION BY kind ORDER BY rel_path) <= 150
+                   WHEN 'marked' THEN CASE WHEN row_number() OVER (PARTITION BY kind ORDER BY rel_path) <= {count}
                                            THEN 'transform' ELSE 'copy_over_count' END
                    ELSE 'copy' END AS action,
          CASE WHEN kind IN ('marked', 'object') THEN {code_type} END AS code_type
@@ -238,6 +238,55 @@ def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["paired_examples"] = _corpus(f"SELECT {_EXAMPLE_COLUMNS} FROM ex")
 
+    cpp_blank = f"code_type = 'cpp' AND {_BLANK.format('source')} <> {_BLANK.format('decompiled')}"
+    q["build_with_rejects"] = _corpus(f"""
+SELECT 'example' AS kind, seq_path AS path, seq_pos AS pos, ident AS detail FROM ex
+UNION ALL SELECT 'extraction', path, NULL, 'unbalanced_braces' FROM (SELECT DISTINCT path FROM src WHERE doc_id % 10 = 7)
+UNION ALL SELECT 'no_body', path, CAST(count(*) AS INTEGER), 'nobody' FROM dec WHERE doc_id % 10 = 3 GROUP BY path
+UNION ALL SELECT CASE WHEN {_BLANK.format('source')} THEN 'blank_source' ELSE 'blank_decompiled' END, seq_path, seq_pos,
+  ident FROM pairs WHERE {cpp_blank}""")
+    q["build_with_budget"] = _with(_LINES, _FUNCTIONS, """
+f AS (SELECT artifact, 'source' AS side, function_id, path, pos, body FROM sfun WHERE code_type = 'cpp'
+      UNION ALL SELECT artifact, 'decompiled', function_id, path, pos, body FROM dfun WHERE code_type = 'cpp'),
+seen AS (SELECT artifact, side, function_id, min(path) AS path FROM f GROUP BY ALL),
+counts AS (
+  SELECT p.artifact, p.side, p.path, count(s.function_id) AS n
+  FROM (SELECT DISTINCT artifact, side, path FROM f) p LEFT JOIN seen s USING (artifact, side, path) GROUP BY ALL),
+few AS (
+  SELECT artifact, side, path FROM (
+    SELECT *, coalesce(sum(n) OVER (PARTITION BY artifact, side ORDER BY path
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counts)
+  WHERE before < 150),
+g AS (
+  SELECT artifact, side, function_id, last(body ORDER BY path, pos) AS body, first(path ORDER BY path, pos) AS seq_path,
+         first(pos ORDER BY path, pos) AS seq_pos FROM f JOIN few USING (artifact, side, path) GROUP BY ALL),
+two AS (
+  SELECT s.artifact, 'cpp' AS code_type, s.function_id AS ident, s.body AS source, d.body AS decompiled, d.seq_path, d.seq_pos
+  FROM g s JOIN g d ON s.artifact = d.artifact AND s.function_id = d.function_id AND s.side = 'source'
+    AND d.side = 'decompiled' WHERE (trim(s.body) = '') = (trim(d.body) = '')),
+cut AS (
+  SELECT artifact FROM (
+    SELECT artifact, coalesce(sum(n) OVER (ORDER BY artifact ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM (SELECT artifact, count(*) AS n FROM two GROUP BY artifact)) WHERE before <= 150)""") + f"""
+SELECT {_EXAMPLE_COLUMNS} FROM two JOIN cut USING (artifact)"""
+    q["build_with_imports"] = _with(_LINES, _FUNCTIONS, """
+more AS (
+  SELECT artifact, stem || '::' || name AS function_id, path, false AS imported, pos, body FROM src
+  UNION ALL
+  SELECT artifact, stem || '::' || nm, fstem || CASE doc_id % 3 WHEN 0 THEN '.c' WHEN 1 THEN '.cpp' ELSE '.cc' END, true,
+         pos, ' imported(); ' FROM ln WHERE n % 7 = 0),
+ms AS (SELECT artifact, function_id, last(body ORDER BY path, imported, pos) AS body FROM more GROUP BY ALL)""") + """
+SELECT artifact, code_type, function_id AS ident, ms.body AS source, dd.body AS decompiled, seq_path, seq_pos
+FROM ms JOIN dd USING (artifact, function_id)
+WHERE code_type = 'cpp' AND (trim(ms.body) = '') = (trim(dd.body) = '')"""
+    q["extract_own_type"] = _with(_LINES, """
+rendered AS (
+  SELECT path, string_agg(CASE WHEN n % 11 = 0 THEN '// ' || line || chr(10) ELSE '' END || 'int ' || name || '(void) {'
+    || body || '}', chr(10) ORDER BY pos) AS content FROM src GROUP BY path),
+rl AS (SELECT path, [x for x in string_split(content, chr(10)) if x <> ''] AS l FROM rendered)""") + """
+SELECT path, 'notes' AS code_type, CAST(i AS INTEGER) AS pos, split_part(l[i + 1], ' ', 1) AS name,
+       CAST(length(l[i + 1]) AS INTEGER) AS length FROM rl, unnest(range(len(l))) AS u(i)"""
+
     # Scans, sources, sinks.
     q["scan_files"] = """
 SELECT 'docs' AS repo, 'source=' || source AS artifact, CAST(sum(length(text) + 1) AS BIGINT) AS chars,
@@ -313,6 +362,12 @@ SELECT path, pos, target, is_system, {0} AS resolved_path FROM inc2"""
     q["resolve_includes_children"] = _with(_INCLUDES) + resolved.format(
         f"CASE WHEN pos < 2 THEN real_path ELSE {library} END")
     q["include_closure"] = _with(_EDGES, recursive=True) + "SELECT 'd' || root AS root, 'd' || node AS path FROM closure"
+    q["include_closure_hops"] = _with(_EDGES, """
+near(root, node, hops) AS (
+  SELECT doc_id, doc_id, 0 FROM documents
+  UNION
+  SELECT c.root, e.b, c.hops + 1 FROM near c JOIN edges e ON e.a = c.node WHERE c.hops < 2)""", recursive=True) + """
+SELECT DISTINCT 'd' || root AS root, 'd' || node AS path FROM near"""
     q["functions_with_imports"] = _with(_EDGES, _LINES, recursive=True) + """
 SELECT 'd' || root AS path, 'd' || node AS def_path, pos, root <> node AS imported,
        'd' || root || '::' || name AS function_id
@@ -323,6 +378,14 @@ FROM closure JOIN dec ON dec.doc_id = closure.node"""
     q["dedupe_source"] = _corpus(side.format("sd"))
     q["dedupe_decompiled"] = _corpus(side.format("dd"))
     q["pair_examples"] = _corpus(f"SELECT {_EXAMPLE_COLUMNS} FROM pairs WHERE code_type = 'cpp'")
+    repos = """
+rs AS (SELECT *, 'r' || (pos % 2) AS repo FROM sfun WHERE code_type = 'cpp'),
+rd AS (SELECT *, 'r' || (pos % 2) AS repo FROM dfun WHERE code_type = 'cpp')"""
+    q["pair_examples_repos"] = _with(_LINES, _FUNCTIONS, repos) + """
+SELECT repo, artifact, code_type, function_id AS ident, s.body AS source, d.body AS decompiled
+FROM (SELECT repo, artifact, code_type, function_id, last(body ORDER BY path, pos) AS body FROM rs GROUP BY ALL) s
+JOIN (SELECT repo, artifact, code_type, function_id, last(body ORDER BY path, pos) AS body FROM rd GROUP BY ALL) d
+USING (repo, artifact, code_type, function_id)"""
     q["missing_sources"] = _sides_missing("SELECT artifact, code_type, function_id FROM missing WHERE side = 'source'")
     q["missing_decompileds"] = _sides_missing(
         "SELECT artifact, code_type, function_id FROM missing WHERE side = 'decompiled'")
@@ -348,6 +411,16 @@ SELECT artifact, code_type, side, path, new_ids FROM (
   SELECT *, coalesce(sum(new_ids) OVER (PARTITION BY artifact, side ORDER BY path, code_type
                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM new_ids)
 WHERE before < 150""", _NEW_IDS)
+    holes = """
+holes AS (
+  SELECT CASE WHEN n_chars % 3 = 0 THEN NULL ELSE source END AS artifact,
+         CASE WHEN n_chars % 5 = 0 THEN NULL ELSE lang END AS code_type, doc_id AS ident FROM documents),
+placed AS (SELECT *, row_number() OVER (
+  ORDER BY artifact NULLS FIRST, code_type NULLS FIRST, ident) AS r, count(*) OVER () AS n FROM holes)"""
+    q["limit_count_nulls"] = _with(holes) + "SELECT artifact, code_type, ident FROM placed WHERE r > 20 AND r <= 120"
+    q["split_off_end_nulls"] = _with(holes) + """
+SELECT artifact, code_type, ident, CASE WHEN r <= floor(n * CAST(0.3 AS DOUBLE)) THEN 'left' ELSE 'right' END AS part
+FROM placed"""
     q["artifact_cutoff"] = _corpus("""
 SELECT artifact, code_type, ident FROM ex JOIN (
   SELECT artifact, coalesce(sum(n) OVER (ORDER BY artifact ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
@@ -407,6 +480,15 @@ WHERE p_partkey < (SELECT max(p_partkey) FROM part)"""
     q["latest_per_package"] = """
 SELECT 'listing' AS repo, max(p_partkey) AS line_no, p_name AS package, CAST(max(p_partkey) AS VARCHAR) AS version
 FROM part WHERE p_partkey >= 2 + (SELECT min(p_partkey) FROM part) GROUP BY p_name ORDER BY line_no LIMIT 50"""
+    q["list_packages_repos"] = f"""
+SELECT repo, line_no, package FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY line_no) AS r, max(line_no) OVER (PARTITION BY repo) AS m FROM (
+    SELECT p_type AS repo, p_partkey AS line_no, {_PART} AS package FROM part)) WHERE line_no < m AND r <= 40"""
+    q["latest_per_package_repos"] = """
+SELECT p_type AS repo, max(p_partkey) AS line_no, p_name AS package, CAST(max(p_partkey) AS VARCHAR) AS version
+FROM part JOIN (SELECT p_type, min(p_partkey) AS low FROM part GROUP BY p_type) USING (p_type)
+WHERE p_partkey >= low + 2 GROUP BY p_type, p_name
+QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY max(p_partkey)) <= 20"""
     q["cap_per_repo"] = """
 SELECT p_type AS repo, p_partkey AS line_no, p_name AS package FROM part
 QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) <= 30"""
@@ -454,6 +536,15 @@ SELECT ident, coalesce(text, '') AS text FROM ids LEFT JOIN (
   FROM (SELECT ident, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM ids) JOIN vocab USING (id)
   GROUP BY ident) USING (ident)"""
 
+    q["encode_by_join"], q["tokenize_by_join"], q["decode_by_join"] = (
+        q["encode_dataset"], q["tokenize"], q["decode_tokens"])
+    q["tokenize_with"] = """
+SELECT doc_id AS ident, array_to_string(list_transform(
+  [x for x in string_split(text, ' ') if x <> ''][1:64], lambda x: length(x)), ',') AS input_ids FROM documents"""
+    q["decode_with"] = """
+SELECT doc_id AS ident, array_to_string(list_transform(
+  [x for x in string_split(text, ' ') if x <> ''][1:64], lambda x: repeat('x', length(x))), ' ') AS text FROM documents"""
+
     # Batch transformation.
     seg = """
 seg AS (
@@ -466,16 +557,15 @@ SELECT CAST(conv_id AS VARCHAR) AS rel_path, CAST(turn AS INTEGER) AS pos,
        CASE WHEN role = 'system' THEN 1 ELSE 0 END AS kind,
        CASE WHEN role = 'system' THEN text ELSE replace(text, ' ', '_') END AS text FROM conversations"""
     q["reassemble"] = reassembled
-    q["plan_tree"] = _with(_CLASSIFIED, _PLAN.format(code_type="'c'")) + """
+    q["plan_tree"] = _with(_CLASSIFIED, _PLAN.format(code_type="'c'", count=150)) + """
 SELECT rel_path, out_path, action, code_type FROM plan"""
     q["transform_raw"] = _with(_LINES, _RENDERED_FILES) + """
 SELECT out_path AS rel_path, 0 AS part, content FROM (
   SELECT rel_path, CASE WHEN marked THEN left(rel_path, length(rel_path) - 4) || '.c' ELSE rel_path END AS out_path,
-         CASE WHEN marked AND r <= 150 THEN replace(content, ' ', '_') ELSE content END AS content
-  FROM (SELECT *, rel_path LIKE '%.o.c' AS marked,
-               row_number() OVER (PARTITION BY rel_path LIKE '%.o.c' ORDER BY rel_path) AS r FROM filetext))
+         CASE WHEN marked THEN replace(content, ' ', '_') ELSE content END AS content
+  FROM (SELECT *, rel_path LIKE '%.o.c' AS marked FROM filetext))
 QUALIFY row_number() OVER (PARTITION BY out_path ORDER BY rel_path DESC) = 1"""
-    q["transform_tree"] = _with(_CLASSIFIED, _PLAN.format(code_type="'cpp'"), _LINES, _RENDERED_FILES, seg) + """
+    q["transform_tree"] = _with(_CLASSIFIED, _PLAN.format(code_type="'cpp'", count="9e15"), _LINES, _RENDERED_FILES, seg) + """
 SELECT out_path AS rel_path, 0 AS part, content FROM (
   SELECT rel_path, out_path, CASE WHEN action = 'transform' THEN t.content WHEN kind = 'page' THEN html
                                   ELSE f.content END AS content

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.code_types import CodeType
 from pairloom.functions import text as T
 from pairloom.operators import dataset, encode, extract, includes, markers, pairing, transform, worklist
 from pairloom.plans import fixtures as X
-from pairloom.plans.build import build_examples, match_sides, read_functions
+from pairloom.plans.build import build, build_examples, match_sides, read_functions
 from pairloom.session import materialize, scratch
 from pairloom.sources import examples as example_files
 from pairloom.sources import files as file_source
@@ -78,6 +79,41 @@ def paired_examples(spark, sf_dir):
     return _example_columns(build_examples(X.code_files(spark, sf_dir)))
 
 
+@query
+def build_with_rejects(spark, sf_dir):
+    built = build(X.faulty_files(spark, sf_dir))
+    examples = built.examples.select(F.lit("example").alias("kind"), F.col("seq.path").alias("path"),
+                                     F.col("seq.pos").alias("pos"), F.col("ident").alias("detail"))
+    return examples.unionByName(built.rejects.select(F.col("reason").alias("kind"), "path", "pos", "detail"))
+
+
+@query
+def build_with_budget(spark, sf_dir):
+    return _example_columns(build(X.code_files(spark, sf_dir), max_len=150).examples)
+
+
+@query
+def build_with_imports(spark, sf_dir):
+    return _example_columns(build(X.files_with_headers(spark, sf_dir), imports=True).examples)
+
+
+def _lines_of(text: str) -> tuple[list[tuple[str, str]], str | None]:
+    """Rules of an own code type: every line is a function named by its first word."""
+    lines = [line for line in text.split("\n") if line]
+    return [(line.split(" ")[0], line) for line in lines], None if lines else "empty"
+
+
+NOTES = CodeType("notes", "Notes", (".c", ".cpp", ".cc"), (), (), extract=_lines_of)
+
+
+@query
+def extract_own_type(spark, sf_dir):
+    files = file_source.classify_files(X.source_files(spark, sf_dir), [NOTES])
+    functions, _ = extract.extract_functions(
+        file_source.read_text(files).select("artifact", "code_type", "path", "text"), code_types=[NOTES])
+    return functions.select("path", "code_type", "pos", "name", F.length("text").alias("length"))
+
+
 # Scans, sources, sinks.
 
 @query
@@ -306,6 +342,14 @@ def include_closure(spark, sf_dir):
     return _closure(spark, sf_dir)
 
 
+@query
+def include_closure_hops(spark, sf_dir):
+    roots = X.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path")
+    )
+    return includes.include_closure(X.include_edges(spark, sf_dir), roots, max_hops=2)
+
+
 @query
 def functions_with_imports(spark, sf_dir):
     functions = X.lines(spark, sf_dir).select(
@@ -335,19 +379,30 @@ def pair_examples(spark, sf_dir):
     return _example_columns(pairing.pair_examples(*_sides(spark, sf_dir)))
 
 
+@query
+def pair_examples_repos(spark, sf_dir):
+    """The same artifacts in two repos: functions at even and at odd places of their files."""
+    functions = read_functions(X.code_files(spark, sf_dir)).withColumn(
+        "repo", F.concat(F.lit("r"), (F.col("pos") % 2).cast("string")))
+    source = pairing.dedupe_source(functions.where(F.col("side") == "source"))
+    decompiled = pairing.dedupe_decompiled(functions.where(F.col("side") == "decompiled"))
+    return pairing.pair_examples(source, decompiled).select(
+        "repo", "artifact", "code_type", "ident", "source", "decompiled")
+
+
 @query
 def missing_sources(spark, sf_dir):
-    return pairing.missing_sources(*_sides(spark, sf_dir))
+    return pairing.missing_sources(*_sides(spark, sf_dir)).drop("repo")
 
 
 @query
 def missing_decompileds(spark, sf_dir):
-    return pairing.missing_decompileds(*_sides(spark, sf_dir))
+    return pairing.missing_decompileds(*_sides(spark, sf_dir)).drop("repo")
 
 
 @query
 def missing_report(spark, sf_dir):
-    return pairing.missing_report(*_sides(spark, sf_dir)).withColumn("sample", F.array_join("sample", " "))
+    return pairing.missing_report(*_sides(spark, sf_dir)).drop("repo").withColumn("sample", F.array_join("sample", " "))
 
 
 def _pairs(spark, sf_dir):
@@ -364,13 +419,15 @@ def drop_half_blank(spark, sf_dir):
 
 @query
 def half_blank_report(spark, sf_dir):
-    return pairing.half_blank_report(_pairs(spark, sf_dir))
+    return pairing.half_blank_report(_pairs(spark, sf_dir)).drop("repo")
 
 
 @query
 def union_code_types(spark, sf_dir):
     files = X.code_files(spark, sf_dir)
-    return _example_columns(pairing.union_code_types([build_examples(files, ct) for ct in BOTH]))
+    examples = materialize(build_examples(files, BOTH))
+    parts = [dataset.limit_code_types(examples, ct) for ct in BOTH]
+    return _example_columns(pairing.union_code_types(parts))
 
 
 @query
@@ -397,13 +454,33 @@ def limit_count_large(spark, sf_dir):
     return large.select("artifact", "code_type", "ident")
 
 
+def _holes(spark, sf_dir):
+    """A set with nulls in its order keys."""
+    return X.table(spark, sf_dir, "documents").select(
+        F.when(F.col("n_chars") % 3 != 0, F.col("source")).alias("artifact"),
+        F.when(F.col("n_chars") % 5 != 0, F.col("lang")).alias("code_type"), F.col("doc_id").alias("ident"),
+        F.struct(F.lit("p").alias("path"), F.lit(0).alias("pos")).alias("seq"),
+    )
+
+
+@query
+def limit_count_nulls(spark, sf_dir):
+    return dataset.limit_count(_holes(spark, sf_dir), 100, 20).drop("seq")
+
+
+@query
+def split_off_end_nulls(spark, sf_dir):
+    left, right = dataset.split_off_end(_holes(spark, sf_dir), 0.3)
+    return left.withColumn("part", F.lit("left")).unionByName(right.withColumn("part", F.lit("right"))).drop("seq")
+
+
 def _new_ids(spark, sf_dir):
     return pairing.new_ids_per_file(read_functions(X.code_files(spark, sf_dir), BOTH))
 
 
 @query
 def soft_cap_files(spark, sf_dir):
-    return dataset.soft_cap_files(_new_ids(spark, sf_dir), 150)
+    return dataset.soft_cap_files(_new_ids(spark, sf_dir), 150).drop("repo")
 
 
 @query
@@ -456,7 +533,7 @@ def repo_profile(spark, sf_dir):
 
 @query
 def new_ids_per_file(spark, sf_dir):
-    return _new_ids(spark, sf_dir)
+    return _new_ids(spark, sf_dir).drop("repo")
 
 
 @query
@@ -561,6 +638,24 @@ def latest_per_package(spark, sf_dir):
     )
 
 
+def _typed_lines(spark, sf_dir, line: Column):
+    return X.table(spark, sf_dir, "part").select(
+        F.col("p_type").alias("repo"), F.col("p_partkey").alias("line_no"), line.alias("line"))
+
+
+@query
+def list_packages_repos(spark, sf_dir):
+    """A listing per repo, each with its own trailing line."""
+    return worklist.list_packages_drop_last(_typed_lines(spark, sf_dir, _dashed()), 40).select("repo", "line_no", "package")
+
+
+@query
+def latest_per_package_repos(spark, sf_dir):
+    line = F.concat("p_name", F.lit("/"), F.col("p_partkey").cast("string"))
+    return worklist.latest_per_package(_typed_lines(spark, sf_dir, line), n=20).select(
+        "repo", "line_no", "package", "version")
+
+
 @query
 def cap_per_repo(spark, sf_dir):
     packages = X.table(spark, sf_dir, "part").select(
@@ -623,18 +718,27 @@ def build_vocab(spark, sf_dir):
     return encode.build_vocab(_texts(spark, sf_dir), ["text"], VOCAB_SIZE)
 
 
+def _vocabulary(spark, sf_dir):
+    return materialize(encode.build_vocab(_texts(spark, sf_dir), ["text"], VOCAB_SIZE))
+
+
+def _tokenized(spark, sf_dir, lookup: bool):
+    return encode.tokenize(_texts(spark, sf_dir), "text", _vocabulary(spark, sf_dir), lookup=lookup)
+
+
 @query
 def tokenize(spark, sf_dir):
-    texts = _texts(spark, sf_dir)
-    vocab = materialize(encode.build_vocab(texts, ["text"], VOCAB_SIZE))
-    return encode.tokenize(texts, "text", vocab).select("ident", _joined("input_ids").alias("input_ids"))
+    return _tokenized(spark, sf_dir, True).select("ident", _joined("input_ids").alias("input_ids"))
+
+
+@query
+def tokenize_by_join(spark, sf_dir):
+    return _tokenized(spark, sf_dir, False).select("ident", _joined("input_ids").alias("input_ids"))
 
 
 @query
 def pad_longest(spark, sf_dir):
-    texts = _texts(spark, sf_dir)
-    vocab = materialize(encode.build_vocab(texts, ["text"], VOCAB_SIZE))
-    ids = materialize(encode.tokenize(texts, "text", vocab))
+    ids = materialize(_tokenized(spark, sf_dir, True))
     whole = encode.pad_longest(ids).withColumn("mode", F.lit("longest"))
     bucketed = encode.pad_longest(ids, bucket=64).withColumn("mode", F.lit("bucket"))
     return whole.unionByName(bucketed).select(
@@ -642,25 +746,58 @@ def pad_longest(spark, sf_dir):
     )
 
 
-def _encoded(spark, sf_dir):
-    examples = _examples(spark, sf_dir)
-    vocab = materialize(encode.build_vocab(examples, ["source", "decompiled"], VOCAB_SIZE))
-    return encode.encode_dataset(examples, vocab), vocab
+def _encoded(spark, sf_dir, lookup: bool):
+    return encode.encode_dataset(_examples(spark, sf_dir), VOCAB_SIZE, lookup=lookup).select(
+        "artifact", "code_type", "ident", _joined("input_ids").alias("input_ids"),
+        _joined("attention_mask").alias("attention_mask"), _joined("labels").alias("labels"),
+    )
 
 
 @query
 def encode_dataset(spark, sf_dir):
-    return _encoded(spark, sf_dir)[0].select(
-        "artifact", "code_type", "ident", _joined("input_ids").alias("input_ids"),
-        _joined("attention_mask").alias("attention_mask"), _joined("labels").alias("labels"),
-    )
+    return _encoded(spark, sf_dir, True)
+
+
+@query
+def encode_by_join(spark, sf_dir):
+    return _encoded(spark, sf_dir, False)
+
+
+def _decoded(spark, sf_dir, lookup: bool):
+    vocab = _vocabulary(spark, sf_dir)
+    ids = materialize(encode.tokenize(_texts(spark, sf_dir), "text", vocab, lookup=True))
+    return encode.decode_tokens(ids, "input_ids", vocab, lookup=lookup)
 
 
 @query
 def decode_tokens(spark, sf_dir):
-    texts = _texts(spark, sf_dir)
-    vocab = materialize(encode.build_vocab(texts, ["text"], VOCAB_SIZE))
-    return encode.decode_tokens(encode.tokenize(texts, "text", vocab), "input_ids", vocab)
+    return _decoded(spark, sf_dir, True)
+
+
+@query
+def decode_by_join(spark, sf_dir):
+    return _decoded(spark, sf_dir, False)
+
+
+def word_lengths(texts: pd.Series) -> list[list[int]]:
+    """Deterministic stand-in for a caller's tokenizer: a word's id is its length."""
+    return [[len(w) for w in text.split(" ") if w] for text in texts]
+
+
+def words_of_lengths(ids: pd.Series) -> list[str]:
+    return [" ".join("x" * i for i in row) for row in ids]
+
+
+@query
+def tokenize_with(spark, sf_dir):
+    ids = encode.tokenize_with(_texts(spark, sf_dir), "text", word_lengths, max_len=64)
+    return ids.select("ident", _joined("input_ids").alias("input_ids"))
+
+
+@query
+def decode_with(spark, sf_dir):
+    ids = encode.tokenize_with(_texts(spark, sf_dir), "text", loader=lambda: word_lengths, max_len=64)
+    return encode.decode_with(ids, "input_ids", words_of_lengths)
 
 
 # Batch transformation.
@@ -700,7 +837,7 @@ def _mixed_tree(spark, sf_dir):
 @query
 def transform_raw(spark, sf_dir):
     files = X.code_files(spark, sf_dir)
-    done = transform.transform_raw(files, stand_in_model, count=150)
+    done = transform.transform_raw(files, stand_in_model)
     return done.select("rel_path", "part", F.decode("content", "UTF-8").alias("content"))
 
 
@@ -713,7 +850,7 @@ def plan_tree(spark, sf_dir):
 
 @query
 def transform_tree(spark, sf_dir):
-    done = transform.transform_tree(_mixed_tree(spark, sf_dir), stand_in_model, count=150)
+    done = transform.transform_tree(_mixed_tree(spark, sf_dir), stand_in_model)
     return done.select("rel_path", "part", F.decode("content", "UTF-8").alias("content"))
 
 

@@ -69,6 +69,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_tables: dict[str, list[str]] = {}
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete the tables this application has stored so far. Results that still read them must have been used."""
+    for path in _tables.pop(spark.sparkContext.applicationId, []):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into a table on reliable storage and read it back.
 
@@ -76,5 +86,6 @@ def materialize(df: DataFrame) -> DataFrame:
     ``checkpoint()`` would compute the plan twice and always read whole rows.
     """
     path = scratch(df.sparkSession, "table")
+    _tables.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

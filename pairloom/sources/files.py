@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -18,6 +20,8 @@ from pairloom.session import materialize
 
 # Bytes of file contents a task holds before it passes them on.
 CONTENT_BATCH_BYTES = 64 * 1024 * 1024
+# Entries of a directory listed in one batch.
+LISTING_BATCH = 10_000
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -27,39 +31,63 @@ def hadoop_path(spark: SparkSession, path: str):
     return fs.makeQualified(raw), fs
 
 
-def list_files(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
-    """Every regular file below ``root`` without its content, empty and hidden ones included.
+_LOCATION = re.compile(r"([a-zA-Z][a-zA-Z0-9+.-]*):(?://([^/]*))?(/.*)", re.S)
 
-    Directories are listed level by level in tasks, so the list of a very large tree is never held by the driver. Add
-    ``with_content`` after filtering: only files that are still wanted get opened.
-    """
-    qualified, fs = hadoop_path(spark, root)
-    if not fs.exists(qualified):
-        raise ValueError(f"repo dir {root} does not exist")
-    base = qualified.toString().rstrip("/")
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                filesystem, path = pafs.FileSystem.from_uri(uri)
-                found = filesystem.get_file_info(pafs.FileSelector(path))
-                prefix = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
-                kept = [i for i in found if i.type in (pafs.FileType.File, pafs.FileType.Directory)]
+@cache
+def _file_system(scheme: str, authority: str) -> tuple[pafs.FileSystem, str]:
+    found, root = pafs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return found, root.rstrip("/")
+
+
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a qualified path, and the path in it. The path is taken as it is, never as an encoded URI."""
+    scheme, authority, plain = _LOCATION.fullmatch(path).groups()
+    found, root = _file_system(scheme, authority or "")
+    return found, root + plain
+
+
+def _is_link(filesystem: pafs.FileSystem, path: str) -> bool:
+    return isinstance(filesystem, pafs.LocalFileSystem) and os.path.islink(path)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files and directories of the directories, in bounded batches. Links to directories are left out: no cycles."""
+    for batch in batches:
+        for directory in batch.column(0).to_pylist():
+            filesystem, plain = _opened(directory)
+            kept = [i for i in filesystem.get_file_info(pafs.FileSelector(plain))
+                    if i.type == pafs.FileType.File
+                    or i.type == pafs.FileType.Directory and not _is_link(filesystem, i.path)]
+            for at in range(0, len(kept), LISTING_BATCH):
+                part = kept[at:at + LISTING_BATCH]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([prefix + i.path for i in kept], pa.string()),
-                        pa.array([i.type == pafs.FileType.Directory for i in kept], pa.bool_()),
-                        pa.array([i.size or 0 for i in kept], pa.int64()),
+                        pa.array([f"{directory.rstrip('/')}/{i.base_name}" for i in part], pa.string()),
+                        pa.array([i.type == pafs.FileType.Directory for i in part], pa.bool_()),
+                        pa.array([i.size or 0 for i in part], pa.int64()),
                     ],
                     names=["path", "is_dir", "length"],
                 )
 
+
+def list_files(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
+    """Every regular file below ``root`` without its content, empty and hidden ones included.
+
+    Directories are listed level by level in tasks, so the list of a very large tree is never held by the driver. Names
+    may hold any characters. Linked files are files, linked directories are not entered. Add ``with_content`` after
+    filtering: only files that are still wanted get opened.
+    """
+    qualified, fs = hadoop_path(spark, root)
+    if not fs.exists(qualified):
+        raise ValueError(f"no folder at {root}")
+    base = qualified.toString().rstrip("/")
     directories = spark.createDataFrame([(base,)], "path string")
     levels = []
     while True:
         # Hash partitioning spreads the directories of a level over the tasks.
         spread = directories.repartition("path")
-        level = materialize(spread.mapInArrow(entries, "path string, is_dir boolean, length long"))
+        level = materialize(spread.mapInArrow(_entries, "path string, is_dir boolean, length long"))
         levels.append(level.where(~F.col("is_dir")).select("path", "length"))
         directories = level.where("is_dir").select("path")
         if directories.isEmpty():
@@ -73,17 +101,23 @@ def list_files(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
 
 
 def with_content(files: DataFrame) -> DataFrame:
-    """Read the bytes of listed files, spread by path over the tasks and passed on in bounded batches."""
+    """Read the bytes of listed files, spread by path over the tasks and passed on in bounded batches.
+
+    A file that cannot be read has null content; ``unreadable`` lists such files, and the others are not affected.
+    """
     names = files.columns
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             contents, start, held = [], 0, 0
-            for i, uri in enumerate(batch.column(names.index("path")).to_pylist()):
-                filesystem, path = pafs.FileSystem.from_uri(uri)
-                with filesystem.open_input_stream(path) as stream:
-                    contents.append(stream.read())
-                held += len(contents[-1])
+            for i, location in enumerate(batch.column(names.index("path")).to_pylist()):
+                filesystem, plain = _opened(location)
+                try:
+                    with filesystem.open_input_stream(plain) as stream:
+                        contents.append(stream.read())
+                except OSError:
+                    contents.append(None)
+                held += len(contents[-1] or b"")
                 if held >= CONTENT_BATCH_BYTES or i + 1 == batch.num_rows:
                     rows = batch.slice(start, len(contents))
                     yield pa.RecordBatch.from_arrays(
@@ -95,6 +129,14 @@ def with_content(files: DataFrame) -> DataFrame:
     return files.repartition("path").mapInArrow(read, schema)
 
 
+def unreadable(files: DataFrame) -> DataFrame:
+    """Rejects of files whose content could not be read."""
+    return files.where(F.col("content").isNull()).select(
+        "artifact", "path", F.lit(None).cast("int").alias("pos"), F.lit("unreadable").alias("reason"),
+        F.col("file_name").alias("detail"),
+    )
+
+
 def scan_files(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
     """Every regular file below ``root`` with its content."""
     return with_content(list_files(spark, root, repo))
@@ -107,7 +149,7 @@ def scan_binary_files(spark: SparkSession, root: str, repo: str = "") -> DataFra
     """
     qualified, fs = hadoop_path(spark, root)
     if not fs.exists(qualified):
-        raise ValueError(f"repo dir {root} does not exist")
+        raise ValueError(f"no folder at {root}")
     prefix = qualified.toString().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return derive_artifact(

@@ -6,44 +6,45 @@ import os
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import MARKER_PREFIX
 from pairloom.sources.files import hadoop_path
 
-# Pieces of one file joined by one task. A longer file comes out as several rows, ``part`` 0, 1, 2, ...
-PART_PIECES = 65_536
-
 
 def ordered_concat(pieces: DataFrame, key: str, pos: str, text: str, sep: str,
-                   part_pieces: int = PART_PIECES) -> DataFrame:
-    """Concatenate ``text`` by ``pos`` per ``key`` into (key, part, content).
+                   part_pieces: int | None = None) -> DataFrame:
+    """Concatenate ``text`` by ``pos`` per ``key`` into (key, part, content): one row per file, its part is 0.
 
-    Pieces are grouped by (key, block of positions), so even a file holding a large share of all pieces is joined by
-    many tasks; every part but the first starts with ``sep``, which makes plain concatenation of the parts exact.
+    A caller whose files do not fit one cell gives ``part_pieces``: files then come in parts of so many positions,
+    numbered by position, each joined by its own task; every part but a file's first starts with ``sep``, which makes
+    plain concatenation of the parts exact (``join_parts``).
     """
-    # Positions count from 0 in every file and may have holes after that.
-    part = F.floor(F.col(pos) / part_pieces).cast("int")
-    joined = (
-        pieces.groupBy(F.col(key), part.alias("part"))
-        .agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")))),
-                    lambda x: x["t"],
-                ),
-                sep,
-            ).alias("content")
-        )
+    part = F.lit(0) if part_pieces is None else F.floor(F.col(pos) / part_pieces).cast("int")
+    joined = pieces.groupBy(F.col(key), part.alias("part")).agg(
+        F.array_join(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")))),
+                lambda x: x["t"],
+            ),
+            sep,
+        ).alias("content")
     )
-    if not sep:
+    if part_pieces is None or not sep:
         return joined
-    return joined.withColumn("content", F.when(F.col("part") > 0, F.concat(F.lit(sep), "content")).otherwise(
-        F.col("content")))
+    first = F.min("part").over(Window.partitionBy(key))
+    return joined.withColumn("_first", first).withColumn(
+        "content", F.when(F.col("part") > F.col("_first"), F.concat(F.lit(sep), "content")).otherwise(F.col("content"))
+    ).drop("_first")
+
+
+def join_parts(tree: DataFrame, key: str = "rel_path") -> DataFrame:
+    """(key, part, content) with the parts of each file put together again, as part 0."""
+    return ordered_concat(tree.select(key, F.col("part").alias("_pos"), "content"), key, "_pos", "content", "")
 
 
-def build_marked_files(functions: DataFrame, part_pieces: int = PART_PIECES) -> DataFrame:
+def build_marked_files(functions: DataFrame, part_pieces: int | None = None) -> DataFrame:
     """Per object file, ``// FUNCTION name`` and the text of each function in order.
 
     The marker always ends its line, which is what the reader of these files needs.
@@ -70,7 +71,7 @@ def write_tree_files(tree: DataFrame, out_root: str, force: bool = False) -> Non
     path, fs = hadoop_path(spark, out_root)
     if fs.exists(path):
         if not force:
-            raise ValueError(f"Path {out_root} already exists")
+            raise ValueError(f"{out_root} is there already; force replaces it")
         fs.delete(path, True)
     fs.mkdirs(path)
     root = path.toUri().getPath()

@@ -11,34 +11,50 @@ from pyspark.sql.streaming import StreamingQuery
 from pairloom import schemas
 from pairloom.sources.files import hadoop_path
 
-_DONE = "repo string, package string, batch_id long"
+_STATE = "repo string, package string, status string, ts timestamp, handled boolean"
 
 
 def watch_ledger(spark: SparkSession, ledger_path: str, process: Callable[[DataFrame, int], None], checkpoint: str,
                  force: bool = False, files_per_batch: int | None = None, continuous: bool = False) -> StreamingQuery:
     """Call ``process(packages, batch_id)`` with every package that newly succeeded; each only once unless ``force``.
 
-    Successes are reduced per package before the shuffle, so a package reporting very often does not burden one task,
-    and packages handled in earlier batches are removed by a join with the list kept next to the checkpoint. That
-    list is written per batch, so a batch repeated after a failure sees the same work again: ``process`` must be able
-    to run twice for one ``batch_id``. The result does not depend on how entries fall into batches.
+    Entries are reduced per package before the shuffle, so a package reporting very often does not burden one task. A
+    table of packages (newest status, whether handled) is kept next to the checkpoint, one version per batch: a batch
+    reads the version before it and writes its own, so its cost does not grow with the number of batches, and a batch
+    repeated after a failure sees the same work again. ``process`` must be able to run twice for one ``batch_id``. The
+    packages handled do not depend on how entries fall into batches: any success counts, as processing cannot be undone
+    when a failure follows.
     """
-    done_path = f"{checkpoint.rstrip('/')}/done"
+    state_path = f"{checkpoint.rstrip('/')}/packages"
+
+    def version(batch_id: int) -> str:
+        return f"{state_path}/batch_id={batch_id}"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        new = batch.where(F.col("status") == "success").groupBy("repo", "package").agg(F.max("ts").alias("ts"))
-        path, fs = hadoop_path(session, done_path)
-        if not force and fs.exists(path):
-            earlier = session.read.schema(_DONE).parquet(done_path).where(F.col("batch_id") < batch_id)
-            new = new.join(earlier.select("repo", "package"), ["repo", "package"], "left_anti")
-        new = new.persist()
-        try:
-            process(new, batch_id)
-            if not force:
-                new.select("repo", "package").write.mode("overwrite").parquet(f"{done_path}/batch_id={batch_id}")
-        finally:
-            new.unpersist()
+        path, fs = hadoop_path(session, version(batch_id - 1))
+        if fs.exists(path):
+            known = session.read.schema(_STATE).parquet(version(batch_id - 1))
+        else:
+            known = session.createDataFrame([], _STATE)
+        success = F.col("status") == "success"
+        new = batch.groupBy("repo", "package").agg(
+            F.max(F.struct("ts", "status")).alias("_last"), F.max(F.when(success, F.col("ts"))).alias("_ts"))
+        before = known.select(F.col("repo").alias("_r"), F.col("package").alias("_p"), "handled",
+                              F.struct("ts", "status").alias("_old"))
+        same = F.col("repo").eqNullSafe(F.col("_r")) & F.col("package").eqNullSafe(F.col("_p"))
+        both = new.join(before, same, "full_outer").select(
+            F.coalesce("repo", "_r").alias("repo"), F.coalesce("package", "_p").alias("package"), "_ts",
+            F.greatest("_last", "_old").alias("_now"), F.coalesce("handled", F.lit(False)).alias("_handled"))
+        todo = F.col("_ts").isNotNull() & (F.lit(force) | ~F.col("_handled"))
+        stored = both.withColumn("_todo", todo).select(
+            "repo", "package", "_now.status", "_now.ts", (F.col("_handled") | F.col("_todo")).alias("handled"),
+            F.when(F.col("_todo"), F.col("_ts")).alias("since"))
+        stored.write.mode("overwrite").parquet(version(batch_id))
+        written = session.read.schema(_STATE + ", since timestamp").parquet(version(batch_id))
+        process(written.where(F.col("since").isNotNull()).select("repo", "package", F.col("since").alias("ts")), batch_id)
+        older, fs = hadoop_path(session, version(batch_id - 2))
+        fs.delete(older, True)
 
     reader = spark.readStream.schema(schemas.LEDGER)
     if files_per_batch is not None:

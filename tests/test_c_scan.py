@@ -73,6 +73,39 @@ def test_unbalanced_is_reported_and_the_rest_kept():
     assert [n for n, _ in functions] == ["g"] and problem == "unbalanced_braces"
 
 
+@pytest.mark.parametrize("shape", [
+    "int a[][2] = {{{0}}};", "int a[][2]{{{{{0}}}}};", "int f(void) {{ static T t[] = {{{0}}}; g({{{0}}}); }}",
+    "T t = make({0}); int g(void) {{ }}",
+])
+def test_long_tables_stay_linear(shape):
+    import time
+
+    def seconds(entries):
+        text = shape.format("{1, 2}, " * entries)
+        start = time.perf_counter()
+        scan_functions(text, True)
+        return time.perf_counter() - start
+
+    seconds(1_000)
+    assert min(seconds(64_000) for _ in range(3)) < 12 * max(min(seconds(16_000) for _ in range(3)), 0.02)
+
+
+def test_function_after_a_table():
+    text = "static const int t[] = { {1, 2}, {3, 4} };\nint f(void) { int b[] = { g({1}), {2} }; return b[0]; }\nint h(void) { }"
+    assert names(text, cpp=False) == ["f", "h"]
+    assert scan_functions(text, False)[0][0][1] == "int f(void) { int b[] = { g({1}), {2} }; return b[0]; }"
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("int f() try { g(); } catch (int a) { h(); } catch (...) { }\nint k() { }",
+     [("f", "int f() try { g(); } catch (int a) { h(); } catch (...) { }"), ("k", "int k() { }")]),
+    ("A::A(int x) try : b_(x) { } catch (...) { throw; }", [("A", "A::A(int x) try : b_(x) { } catch (...) { throw; }")]),
+    ("int f() { try { } catch (...) { } }", [("f", "int f() { try { } catch (...) { } }")]),
+])
+def test_function_try_block_is_whole(text, expected):
+    assert scan_functions(text, True)[0] == expected
+
+
 def test_long_inputs_stay_linear():
     text = "".join(f"int f{i}(int a) {{ if (a) {{ g({i}); }} return \"{{\"; }}\n" for i in range(5000))
     assert len(scan_functions(text, True)[0]) == 5000

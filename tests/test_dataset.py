@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from pairloom import schemas
 from pairloom.operators import dataset as D
-from pairloom.operators import ordering as O
 from pairloom.sources.examples import read_examples, write_examples
 
 DATA = [
@@ -18,22 +17,11 @@ def examples(spark):
     return spark.createDataFrame(DATA, schemas.EXAMPLES).repartition(7)
 
 
-@pytest.fixture(params=["small", "ranges"])
-def path(request, monkeypatch):
-    """Run with the shortcuts for small sets, and without any."""
-    if request.param == "ranges":
-        for name in ("keys_at", "ordered_slice", "running_total", "numbered"):
-            original = getattr(O, name)
-            defaults = original.__defaults__
-            monkeypatch.setattr(original, "__defaults__", (*defaults[:-1], 0))
-    return request.param
-
-
 def idents(df):
     return [r.ident for r in df.select("ident").collect()]
 
 
-def test_limit_count(examples, path):
+def test_limit_count(examples):
     for count, skip in ((10, 0), (25, 180), (None, 150), (None, 0), (0, 3), (500, 0)):
         end = None if count is None else skip + count
         assert sorted(idents(D.limit_count(examples, count, skip))) == sorted(r[2] for r in NATURAL[skip:end])
@@ -56,7 +44,7 @@ def test_shuffle_is_a_permutation_that_ignores_layout(examples, rows):
 
 
 @pytest.mark.parametrize("ratio", [0.0, 0.1, 0.7, 0.999, 1.0])
-def test_split(examples, path, ratio):
+def test_split(examples, ratio):
     left, right = D.split_off_end(examples, ratio)
     cut = int(200 * ratio)
     assert sorted(idents(left)) == sorted(r[2] for r in NATURAL[:cut])
@@ -72,7 +60,7 @@ def test_train_eval_split(examples):
     assert D.train_eval_split(examples, code_types="c,cpp")[0].count() == 200
 
 
-def test_sort_by_length_is_stable(examples, path):
+def test_sort_by_length_is_stable(examples):
     want = sorted(NATURAL, key=lambda r: max(len(r[3]), len(r[4])))
     assert idents(D.sort_by_length(examples)) == [r[2] for r in want]
     positions = D.with_position(D.sort_by_length(examples))
@@ -91,7 +79,7 @@ def test_render_and_inspect(examples):
     assert [r.idx for r in picked] == [0, 1, 2, 3, 4]
 
 
-def test_soft_cap_keeps_a_prefix_and_the_crossing_file(spark, path, rows):
+def test_soft_cap_keeps_a_prefix_and_the_crossing_file(spark, rows):
     files = [("hot", "source", f"p{i:02d}", "c", n) for i, n in enumerate([3, 0, 4, 0, 5, 1])] + [("b", "source", "q", "c", 99)]
     df = spark.createDataFrame(files, "artifact string, side string, path string, code_type string, new_ids long")
     kept = D.soft_cap_files(df, 7)
@@ -99,7 +87,7 @@ def test_soft_cap_keeps_a_prefix_and_the_crossing_file(spark, path, rows):
     assert D.soft_cap_files(df, 0).count() == 7
 
 
-def test_artifact_cutoff(examples, path):
+def test_artifact_cutoff(examples):
     # 50 examples per artifact; the total must exceed the budget.
     for budget, artifacts in ((0, 4), (49, 1), (50, 2), (99, 2), (1000, 4)):
         assert D.artifact_cutoff(examples, budget).select("artifact").distinct().count() == artifacts
@@ -119,3 +107,21 @@ def test_save_and_load(spark, examples, tmp_path, rows):
     left, right = D.split_off_end(saved, 0.9)
     longest = lambda df: df.agg(F.max("sort_len"), F.min("sort_len")).first()
     assert longest(left)[0] <= longest(right)[1]
+
+
+def test_null_keys_are_in_no_part_twice_and_in_none_lost(spark):
+    data = [(None if i % 2 else "a", None if i % 3 else "c", f"n{i}", "s", "d", ("p", i)) for i in range(10)]
+    examples = spark.createDataFrame(data, schemas.EXAMPLES)
+    left, right = D.split_off_end(examples, 0.5)
+    assert left.count() == right.count() == 5
+    assert sorted(idents(left) + idents(right)) == sorted(r[2] for r in data)
+    assert D.limit_count(examples, 8).count() == 8 and D.with_position(examples).count() == 10
+
+
+def test_artifacts_of_two_repos_are_cut_apart(spark):
+    data = [(repo, "a", "c", f"n{i}", "s", "d", ("p", i)) for repo in ("r1", "r2") for i in range(5)]
+    schema = "repo string, artifact string, code_type string, ident string, source string, decompiled string, " \
+             "seq struct<path:string,pos:int>"
+    examples = spark.createDataFrame(data, schema)
+    assert {r.repo for r in D.artifact_cutoff(examples, 3).collect()} == {"r1"}
+    assert D.artifact_cutoff(examples, 6).count() == 10

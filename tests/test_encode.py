@@ -54,13 +54,32 @@ def test_encode_dataset(spark):
         E.encode_dataset(examples.limit(0), vocab)
 
 
-def test_large_vocabulary_is_joined(texts, monkeypatch, rows):
+def test_lookup_and_join_give_the_same_rows(spark, texts, rows, monkeypatch):
+    more = texts.unionByName(spark.createDataFrame(
+        [("5", None), ("1", "int b"), ("1", "int b"), ("6", "  "), (None, "a")], "ident string, text string"))
     vocab = E.build_vocab(texts, ["text"], 100)
-    ids = E.tokenize(texts, "text", vocab)
-    want_ids, want_text = rows(ids), rows(E.decode_tokens(ids, "input_ids", vocab))
+    ids = E.tokenize(more, "text", vocab, lookup=True)
+    assert rows(ids) == rows(E.tokenize(more, "text", vocab)) and ids.count() == 9
+    assert [r.input_ids for r in ids.where("ident = '5'").collect()] == [[1, 2]]
+    holes = ids.unionByName(spark.createDataFrame([("7", None), ("8", [])], "ident string, input_ids array<int>"))
+    text = rows(E.decode_tokens(holes, "input_ids", vocab, lookup=True))
+    assert text == rows(E.decode_tokens(holes, "input_ids", vocab)) and ("7", "") in text and ("8", "") in text
     monkeypatch.setattr(E, "LOOKUP_ROWS", 2)
-    assert rows(E.tokenize(texts, "text", vocab)) == want_ids
-    assert rows(E.decode_tokens(ids, "input_ids", vocab)) == want_text
+    for call in (lambda: E.tokenize(more, "text", vocab, lookup=True),
+                 lambda: E.decode_tokens(ids, "input_ids", vocab, lookup=True)):
+        with pytest.raises(ValueError, match="lookup"):
+            call()
+
+
+def test_tokenizer_of_the_caller(spark, rows):
+    df = spark.createDataFrame([("a", "one three"), ("b", ""), ("c", None)], "ident string, text string")
+    call = lambda texts: [[len(w) for w in t.split()] for t in texts]
+    ids = E.tokenize_with(df, "text", call, max_len=1)
+    assert rows(ids) == [("a", [3]), ("b", []), ("c", [])]
+    back = lambda ids: ["-".join(map(str, i)) for i in ids]
+    assert rows(E.decode_with(ids, "input_ids", loader=lambda: back)) == [("a", "3"), ("b", ""), ("c", "")]
+    with pytest.raises(ValueError):
+        E.tokenize_with(df, "text")
 
 
 def test_accuracy(spark):

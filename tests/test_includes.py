@@ -79,13 +79,27 @@ EDGES = [(f"n{i}", f"n{(i * 7 + 3) % 60}") for i in range(60)] + [(f"n{i}", "hub
     ("hub", "n1"), ("hub", "end"), ("self", "self")]
 
 
-@pytest.mark.parametrize("bound", [0, 1_000_000])
-def test_closure_with_cycles(spark, monkeypatch, bound):
-    monkeypatch.setattr(I, "EDGE_BROADCAST_ROWS", bound)
+def test_closure_by_hops(spark):
+    includes = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(20)], "path string, resolved_path string")
+    root = spark.createDataFrame([("n0",)], "path string")
+    for hops in (0, 1, 3, 50):
+        assert I.include_closure(includes, root, max_hops=hops).count() == min(hops, 20) + 1
+    assert I.include_closure(includes, root).count() == 21
+
+
+def test_children_meet_requests_once(spark):
+    files = spark.createDataFrame([(f"r/d{i:03d}/config.h",) for i in range(200)], "path string")
+    includes = spark.createDataFrame([(f"r/s{i:03d}.c", 0, "config.h", False) for i in range(200)],
+                                     "path string, pos int, target string, is_system boolean")
+    got = I.resolve_includes(includes, files, child_depth=1)
+    assert {r.resolved_path for r in got.collect()} == {"r/d000/config.h"} and got.count() == 200
+
+
+def test_closure_with_cycles(spark):
     includes = spark.createDataFrame([*EDGES, ("n5", None)], "path string, resolved_path string")
     roots = [f"n{i}" for i in range(60)] + ["self", "alone"]
     df = spark.createDataFrame([(r,) for r in roots], "path string")
-    closure = I.include_closure(includes, df, rows_per_task=5)
+    closure = I.include_closure(includes, df)
     assert {tuple(r) for r in closure.collect()} == brute_closure(EDGES, roots)
     assert closure.count() == len(brute_closure(EDGES, roots))
 
@@ -100,6 +114,9 @@ def test_functions_with_imports(spark, rows):
         ("a.c", "a.c", "f", False), ("a.c", "h.h", "f", True), ("a.c", "h.h", "g", True),
         ("b.c", "h.h", "f", True), ("b.c", "h.h", "g", True),
     ]
+    wanted = spark.createDataFrame([("a.c", "g"), ("b.c", "f"), ("b.c", "none")], "path string, name string")
+    assert rows(I.functions_with_imports(functions, closure, wanted), "path", "def_path", "name", "imported") == [
+        ("a.c", "h.h", "g", True), ("b.c", "h.h", "f", True)]
     from pairloom.functions.text import function_id
     from pairloom.operators.pairing import dedupe_source
 

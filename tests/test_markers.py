@@ -1,34 +1,29 @@
-import re
-
 from pyspark.sql import functions as F
 
 from pairloom.operators import markers
 from pairloom.sources.tree import build_marked_files
 
-TEXTS = [
-    "",
-    "no marker",
-    "pre\n// FUNCTION a\n{1}\n// FUNCTION b\n{2}",
-    "// FUNCTION a\r\n{1}\r\n",
-    "x\u0085// FUNCTION not at line start\n// FUNCTION yes\n{}",
-    "// FUNCTION na me\n{}",
-    "// FUNCTION last",
-    "lone\r// FUNCTION no\n// FUNCTION \n// FUNCTION  two\n{}",
-    " // FUNCTION indented\n",
+# Text and its (name, text) pairs, written out by hand.
+CUTS = [
+    ("", []),
+    ("no marker", []),
+    ("pre\n// FUNCTION a\n{1}\n// FUNCTION b\n{2}", [("a", "\n{1}\n"), ("b", "\n{2}")]),
+    ("// FUNCTION a\r\n{1}\r\n", [("a\r", "\n{1}\r\n")]),
+    ("x\u0085// FUNCTION not at line start\n// FUNCTION yes\n{}", [("yes", "\n{}")]),
+    ("// FUNCTION na me\n{}", [("na me", "\n{}")]),
+    ("// FUNCTION u\u2028v\n{}", [("u\u2028v", "\n{}")]),
+    ("// FUNCTION last", [("last", "")]),
+    ("lone\r// FUNCTION no\n// FUNCTION \n// FUNCTION  two\n{}", [(" two", "\n{}")]),
+    (" // FUNCTION indented\n", []),
 ]
 
 
-def python_split(text):
-    parts = re.split(r"^// FUNCTION (.+)$", text, flags=re.MULTILINE)[1:]
-    return list(zip(parts[::2], parts[1::2]))
-
-
-def test_split_agrees_with_python(spark):
-    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(TEXTS)], "path string, text string")
+def test_split_marked_functions(spark):
+    df = spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(CUTS)], "path string, text string")
     got = {}
     for r in markers.split_marked_functions(df).orderBy("path", "pos").collect():
         got.setdefault(r.path, []).append((r.name, r.text))
-    assert got == {str(i): python_split(t) for i, t in enumerate(TEXTS) if python_split(t)}
+    assert got == {str(i): pairs for i, (_, pairs) in enumerate(CUTS) if pairs}
 
 
 def test_bodiless_chunk_is_rejected_alone(spark, rows):

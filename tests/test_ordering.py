@@ -16,9 +16,8 @@ def data(spark):
     return spark.createDataFrame(DATA, "g string, k string, v int").repartition(6)
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_running_total(data, rows, small):
-    got = rows(O.running_total(data, ["g"], ["k"], F.col("v"), "before", small), "g", "k", "before")
+def test_running_total(data, rows):
+    got = rows(O.running_total(data, ["g"], ["k"], F.col("v"), "before"), "g", "k", "before")
     want = []
     for group in {g for g, _, _ in DATA}:
         members = sorted((k, v) for g, k, v in DATA if g == group)
@@ -27,42 +26,55 @@ def test_running_total(data, rows, small):
     assert got == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_numbered_whole_set(data, rows, small):
-    got = rows(O.numbered(data, [], ["k"], "idx", small), "k", "idx")
+def test_numbered_whole_set(data, rows):
+    got = rows(O.numbered(data, [], ["k"], "idx"), "k", "idx")
     assert got == sorted(((k, i) for i, k in enumerate(sorted(k for _, k, _ in DATA))), key=repr)
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_keys_at(data, small):
+def test_keys_at(data):
     order = [F.col("v"), F.col("k")]
     ranked = sorted((v, k) for _, k, v in DATA)
-    found = O.keys_at(data, order, [0, 1, 500, 999, 1000], small)
+    found = O.keys_at(data, order, [0, 1, 500, 999, 1000])
     assert [None if f is None else tuple(f) for f in found] == [ranked[0], ranked[1], ranked[500], ranked[999], None]
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
 @pytest.mark.parametrize("skip, count", [(0, 10), (3, 0), (990, 100), (2000, 5), (5, None), (0, None), (0, 1000)])
-def test_ordered_slice(data, rows, small, skip, count):
+def test_ordered_slice(data, rows, skip, count):
     order = [F.col("v"), F.col("k")]
     ranked = sorted((v, k) for _, k, v in DATA)
     end = None if count is None else skip + count
-    assert rows(O.ordered_slice(data, order, skip, count, small), "v", "k") == sorted(ranked[skip:end], key=repr)
+    assert rows(O.ordered_slice(data, order, skip, count), "v", "k") == sorted(ranked[skip:end], key=repr)
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_skew_join_equals_plain_join(spark, data, rows, how):
-    right = spark.createDataFrame([(g, n) for g in ("hot", "g0", "zz") for n in range(3)], "g string, n int")
-    assert rows(O.skew_join(data, right, ["g"], how, rows_per_task=20)) == rows(data.join(right, ["g"], how))
+# Nulls in every part of the key, and repeated values.
+NULLS = [(None if i % 5 == 0 else i % 3, None if i % 7 == 0 else f"k{i % 40:02d}", i) for i in range(200)]
 
 
-def test_skew_join_spreads_the_hot_key(data, spark):
-    right = spark.createDataFrame([("hot", 1)], "g string, n int")
-    plan = O.skew_join(data, right, ["g"], rows_per_task=100)
-    assert plan.count() == sum(1 for g, _, _ in DATA if g == "hot")
+def nulls_first(row):
+    return [(x is not None, x if x is not None else 0) for x in row]
 
 
-def test_bounded_broadcast(spark):
-    df = spark.range(10)
-    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
-    assert hinted(O.bounded_broadcast(df, 10)) and not hinted(O.bounded_broadcast(df, 9))
+@pytest.mark.parametrize("skip, count", [(0, 8), (0, 60), (35, 20), (100, None), (199, 5), (0, 200)])
+def test_slices_with_null_keys(spark, rows, skip, count):
+    df = spark.createDataFrame(NULLS, "a int, b string, c int").repartition(5)
+    order = [F.col("a"), F.col("b"), F.col("c")]
+    end = None if count is None else skip + count
+    got = rows(O.ordered_slice(df, order, skip, count), "a", "b", "c")
+    assert got == sorted(sorted(NULLS, key=nulls_first)[skip:end], key=repr)
+
+
+@pytest.mark.parametrize("at", [0, 3, 30, 50, 111, 199])
+def test_precedes_cuts_the_set_in_two_whole_parts(spark, at):
+    df = spark.createDataFrame(NULLS, "a int, b string, c int")
+    order = [F.col("a"), F.col("b"), F.col("c")]
+    key = O.keys_at(df, order, [at])[0]
+    assert df.where(O.precedes(order, key)).count() == at
+    assert df.where(~O.precedes(order, key)).count() == len(NULLS) - at
+
+
+def test_running_total_with_null_groups(spark, rows):
+    df = spark.createDataFrame(NULLS, "a int, b string, c int").repartition(5)
+    got = {c: n for _, _, c, n in rows(O.numbered(df, ["a"], ["b", "c"], "n"), "a", "b", "c", "n")}
+    for group in (None, 0, 1, 2):
+        members = sorted((r for r in NULLS if r[0] == group), key=nulls_first)
+        assert [got[c] for _, _, c in members] == list(range(len(members)))

@@ -33,3 +33,12 @@ def test_materialize_is_computed_once(spark):
 
     stored = session.materialize(spark.range(100).mapInArrow(count, "id long"))
     assert stored.count() == stored.distinct().count() == 100 and seen.value == 100
+
+
+def test_stored_tables_are_dropped(spark):
+    import os
+    stored = session.materialize(spark.range(3))
+    path = stored.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    session.drop_materialized(spark)
+    assert not os.path.exists(path)

@@ -28,10 +28,43 @@ def test_scan(spark, root, rows):
     assert rows(files, "repo", "artifact", "rel_path", "file_name", "length", "content") == by_repr(
         ("r", rel.split("/")[0], rel, rel.split("/")[-1], len(c), c) for rel, c in TREE.items() if "/" in rel)
     assert rows(S.scan_files_depth(files, 2), "rel_path") == by_repr((r,) for r in TREE if r.count("/") == 1)
-    with pytest.raises(ValueError, match="does not exist"):
+    with pytest.raises(ValueError, match="no folder"):
         S.scan_files(spark, root + "/none")
 
 
+NAMES = ["a b.c", "a#b.c", "100%.c", "x%20y.c", "[k].c", "what?.c", "ümläut.c", "a+b&c.c", "q'\"q.c", "a"]
+
+
+def test_names_of_any_characters(spark, tmp_path, rows):
+    base = tmp_path / "re po#1%"
+    for i, name in enumerate(NAMES):
+        (base / "d [1]" / f"s{i}").mkdir(parents=True)
+        (base / "d [1]" / name).write_bytes(f"content {i}".encode())
+    files = S.scan_files(spark, str(base))
+    assert rows(files, "rel_path", "content") == by_repr(
+        (f"d [1]/{name}", f"content {i}".encode()) for i, name in enumerate(NAMES))
+
+
+def test_links_and_unreadable_files(spark, root, rows):
+    import os
+    os.symlink(root, f"{root}/a/loop")
+    os.symlink(f"{root}/a/x.c", f"{root}/a/link.c")
+    os.symlink("nowhere", f"{root}/a/broken.c")
+    listed = S.list_files(spark, root)
+    assert rows(listed.where("artifact = 'a'"), "rel_path") == by_repr([("a/x.c",), ("a/deep/er/y.o.c",), ("a/link.c",)])
+    os.remove(f"{root}/b/z.o")
+    again = S.with_content(listed)
+    assert rows(S.unreadable(again), "path", "reason") == [(f"file:{root}/b/z.o", "unreadable")]
+    assert again.where("content is not null").count() == listed.count() - 1
+
+
+def test_large_directories_come_in_batches(spark, root, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(S, "LISTING_BATCH", 2)
+    sizes = [b.num_rows for b in S._entries([pa.RecordBatch.from_arrays([pa.array([f"file:{root}/b"])], names=["path"])])]
+    assert sum(sizes) == 5 and max(sizes) == 2
+
+
 def test_content_in_small_batches(spark, root, rows, monkeypatch):
     monkeypatch.setattr(S, "CONTENT_BATCH_BYTES", 1)
     got = S.with_content(S.list_files(spark, root).coalesce(1))
@@ -55,6 +88,17 @@ def test_build_from_listing(spark, root, rows):
     assert rows(read_functions(listed, "c"), "name") == [("f",), ("k",), ("s",)]
 
 
+def test_lost_files_are_rejects_of_the_build(spark, root, rows):
+    import os
+
+    from pairloom.plans.build import build
+    listed = S.list_files(spark, root, "r")
+    os.remove(f"{root}/a/x.c")
+    built = build(listed, "c")
+    assert rows(built.rejects, "repo", "artifact", "path", "reason") == [("r", "a", f"file:{root}/a/x.c", "unreadable")]
+    assert built.examples.count() == 0
+
+
 def test_classify(spark, root, rows):
     got = S.classify_files(S.scan_binary_files(spark, root).unionByName(
         S.scan_files(spark, root).where("length = 0")), "c,cpp")

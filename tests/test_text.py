@@ -12,25 +12,39 @@ def apply(spark, values, column, kind="string"):
     return [r[0] for r in df.orderBy("i").select(column(F.col("v"))).collect()]
 
 
-def split_python(text):
-    if "{" not in text:
-        return None
-    head, rest = text.split("{", 1)
-    if "}" in rest:
-        body, foot = rest.rsplit("}", 1)
-        return head + "{", body, "}" + foot
-    return head + "{", rest, ""
-
-
-SHAPES = ["", "int f() {}", "int f() { a { b } c } tail", "no braces", "int f() { open", "} before {", "a } { b", "{", "{}",
-          "é { ü } ß", "{{}}", "x{\n}\n", "}{}", "{}}"]
+# Text and its head, body and tail, written out by hand.
+SPLITS = [
+    ("", None),
+    ("no braces", None),
+    ("int f() {}", ("int f() {", "", "}")),
+    ("int f() { a { b } c } tail", ("int f() {", " a { b } c ", "} tail")),
+    ("int f() { open", ("int f() {", " open", "")),
+    ("} before {", ("} before {", "", "")),
+    ("a } { b", ("a } {", " b", "")),
+    ("{", ("{", "", "")),
+    ("{}", ("{", "", "}")),
+    ("é { ü } ß", ("é {", " ü ", "} ß")),
+    ("{{}}", ("{", "{}", "}")),
+    ("x{\n}\n", ("x{", "\n", "}\n")),
+    ("}{}", ("}{", "", "}")),
+    ("{}}", ("{", "}", "}")),
+]
+SHAPES = [text for text, _ in SPLITS]
 
 
 def test_split_function(spark):
     got = apply(spark, SHAPES, T.split_function)
-    assert [None if g is None else tuple(g) for g in got] == [split_python(s) for s in SHAPES]
-    for text, parts in zip(SHAPES, got):
-        assert parts is None or "".join(parts) == text
+    assert [None if g is None else tuple(g) for g in got] == [parts for _, parts in SPLITS]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.text("{}ab\n", max_size=12), min_size=20, max_size=40))
+def test_split_parts_make_up_the_text(spark, values):
+    for text, parts in zip(values, apply(spark, values, T.split_function)):
+        assert (parts is None) == ("{" not in text)
+        if parts is not None:
+            assert parts.head + parts.body + parts.tail == text
+            assert parts.head.count("{") == 1 and parts.tail.count("}") == min(1, len(parts.tail))
 
 
 def test_has_body(spark):

@@ -53,6 +53,10 @@ def test_reassemble_in_parts(spark):
     assert whole.content == "\n\n".join(f"s{i}" for i in range(10)) and whole.part == 0
     parts = X.reassemble(segments, part_pieces=3).orderBy("part").collect()
     assert len(parts) == 4 and "".join(p.content for p in parts) == whole.content
+    from pairloom.sources.tree import join_parts
+    assert join_parts(X.reassemble(segments, part_pieces=3)).collect() == [whole]
+    late = X.reassemble(segments.where("pos >= 7"), part_pieces=3).orderBy("part").collect()
+    assert "".join(p.content for p in late) == "s7\n\ns8\n\ns9"
 
 
 def test_plan(files, rows):
@@ -104,7 +108,7 @@ def test_write_tree(spark, files, tmp_path, rows):
     assert (target / "x/sub/d.c").read_bytes() == b"int d() {\n\n_1_2_\n\n}"
     assert {str(p.relative_to(target)) for p in target.rglob("*") if p.is_file()} == {
         "readme.md", "x/a.c", "x/b.c", "x/sub/d.c"}
-    with pytest.raises(ValueError, match="already exists"):
+    with pytest.raises(ValueError, match="is there already"):
         write_tree_files(tree, str(target))
     write_tree_files(tree, str(target), force=True)
     assert (target / "readme.md").read_bytes() == b"text \xff"

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom import schemas
 from pairloom.operators import worklist as W
@@ -24,6 +25,15 @@ def test_latest_per_package(spark, rows):
     assert rows(W.latest_per_package(lines(spark, listing), n=2), "package") == [("b",), ("c",)]
 
 
+def test_listings_of_two_repos(spark, rows):
+    both = lines(spark, ["h", "", "a/1", "b/1", "end"]).unionByName(lines(spark, ["H", "", "a/2", "end"], "conan"))
+    shifted = both.withColumn("line_no", F.when(F.col("repo") == "conan", F.col("line_no") + 100).otherwise(F.col("line_no")))
+    assert rows(W.list_packages_drop_last(shifted, 3), "repo", "package") == [
+        ("apt", ""), ("apt", "a/1"), ("apt", "h"), ("conan", ""), ("conan", "H"), ("conan", "a/2")]
+    assert rows(W.latest_per_package(shifted), "repo", "package", "version") == [
+        ("apt", "a", "1"), ("apt", "b", "1"), ("apt", "end", None), ("conan", "a", "2"), ("conan", "end", None)]
+
+
 def test_cap_per_repo(spark, rows):
     data = [("big", i, f"p{i}", None) for i in range(50)] + [("small", 0, "q", None)]
     packages = spark.createDataFrame(data, schemas.PACKAGES).repartition(4)
