@@ -7,10 +7,12 @@
    slot can become smaller; a long text needs one or two steps. Signatures have 128 slots of 16 bits, in 32 bands of
    four: two sets of similarity 0.75 miss each other with a probability of about 5 in a million.
 3. Members of a bucket are compared with the bucket's smallest class on their full sets. What is linked is grouped.
-   In buckets that still hold several groups, members of different groups are compared by their signatures inside the
-   task, in blocks of bounded size, and those with an agreement above ``AGREEMENT`` (over five standard deviations below
-   0.75) are compared on full sets too. So every pair that shares a bucket is linked, grouped already, or refused, and
-   the pairs of a large group are never listed.
+   Buckets that still hold several groups are looked at again: in blocks of bounded size their members' signatures are
+   compared inside the task, and groups with members that agree above ``AGREEMENT`` (over five standard deviations below
+   0.75) are put into one cluster, by at most one pair per member. Each cluster's members then meet once, in blocks, with
+   their full sets: the pairs that agree enough are checked there, the likeliest first, and pairs whose groups have been
+   joined meanwhile are left out. Only links that join groups leave the task. So every pair that shares a bucket is
+   linked, grouped already, or refused, and the pairs of a large group are never listed.
 4. Groups are connected components by alternating large and small stars, with a stored table per round.
 
 Null or empty text, or one without words: empty set, linked with nothing. Fewer words than five: the sequence is the one
@@ -37,7 +39,7 @@ SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
 PERCENT = 75
 AGREEMENT = 0.55
-BLOCK = 1_000
+BLOCK = 500
 # Elements whose permutations are walked together.
 GROUP_ELEMENTS = 60_000
 FEATURES = "n_shingles long, key_a long, key_b long, bands array<long>"
@@ -134,36 +136,39 @@ def _unpack(data: bytes) -> np.ndarray:
     return full.view("<u8").reshape(-1)
 
 
-def similar(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Whether two stored sets (each with its size) reach the similarity."""
-    for a, b, n_a, n_b in batches:
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
+def similar_sets(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
         result, last, left = [], None, np.zeros(0, np.uint64)
-        for x, y, n, m in zip(a.tolist(), b.tolist(), n_a.tolist(), n_b.tolist()):
-            if 100 * min(n, m) < PERCENT * max(n, m):
-                result.append(False)
-                continue
+        for x, y in zip(a.tolist(), b.tolist()):
             if x is not last:
                 last, left = x, _unpack(x)
-            both = np.sort(np.concatenate([left, _unpack(y)]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            result.append(100 * common >= PERCENT * (n + m - common))
+            result.append(similar(left, _unpack(y)))
         yield pd.Series(result, dtype=bool)
 
 
-def verified(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """The edges (a, b) whose documents' full sets are similar. Sets are made for documents with an edge only."""
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, set) of the documents named by ``nodes``."""
     held = docs.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "text")
-    sets = materialize(held.select("doc_id", F.pandas_udf(packed_set, "binary")("text").alias("set")).withColumn(
-        "n", (F.octet_length("set") / KEY_BYTES).cast("long")))
+    return materialize(held.select(F.col("doc_id").alias("node"), F.pandas_udf(packed_set, "binary")("text").alias("set")))
+
 
+def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges (a, b) whose documents' full sets are similar. A hub's many edges are split by the runtime."""
     def side(name: str) -> DataFrame:
-        return sets.select(F.col("doc_id").alias(name), F.col("set").alias(f"set_{name}"), F.col("n").alias(f"n_{name}"))
+        return sets.select(F.col("node").alias(name), F.col("set").alias(f"set_{name}"))
 
-    # Hubs are on side a: its rows are one per document there, so the runtime can split a hub's many edges.
     return (
         edges.join(side("b"), "b").join(side("a"), "a")
-        .where(F.pandas_udf(similar, "boolean")("set_a", "set_b", "n_a", "n_b")).select("a", "b").distinct()
+        .where(F.pandas_udf(similar_sets, "boolean")("set_a", "set_b")).select("a", "b").distinct()
     )
 
 
@@ -191,51 +196,101 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def unlinked_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different groups in a bucket whose signatures agree enough.
-
-    ``members``: (band, key, node, root, bands). A bucket is dealt to blocks; a task holds two blocks of it.
-    """
-    kind = members.schema["node"].dataType.simpleString()
-    size = members.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(size, ["band", "key"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    twice = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "key", "node", "root", "bands", "mine",
-        F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("node", kind="stable")
-        left, right = block[block["mine"] == block["i"]], block[block["mine"] == block["j"]]
-        roots = right["root"].to_numpy()
-        marks = np.stack(right["bands"].to_list()).astype(np.int64).view(np.uint16) if len(right) else None
-        found = []
-        for node, root, bands in zip(left["node"], left["root"], left["bands"]):
-            others = np.flatnonzero(roots != root)
-            if len(others):
-                agree = (marks[others] == np.asarray(bands, np.int64).view(np.uint16)).mean(axis=1)
-                found += [(min(node, b), max(node, b)) for b in right["node"].to_numpy()[others[agree >= AGREEMENT]]]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return twice.groupBy("band", "key", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+class Groups:
+    """Union-find over the labels of a task's rows."""
+
+    def __init__(self, labels: np.ndarray):
+        names, self.of = np.unique(labels, return_inverse=True)
+        self.parent = list(range(len(names)))
+
+    def find(self, row: int) -> int:
+        at = int(self.of[row])
+        while self.parent[at] != at:
+            self.parent[at] = self.parent[self.parent[at]]
+            at = self.parent[at]
+        return at
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether two rows were in different groups before they are joined."""
+        a, b = self.find(x), self.find(y)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a key dealt to blocks of about BLOCK rows; every two blocks of a key meet in one group (keys, i, j)."""
+    size = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(size, keys).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
+        {"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("blocks", "other")
+
+
+def agreeing(block: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per row of block i, the rows of block j that agree enough, as positions in ``block``, and how much they agree."""
+    marks = np.stack(block["bands"].to_list()).astype(np.int64).view(np.uint16)
+    mine = block["mine"].to_numpy()
+    left, right = (np.flatnonzero(mine == block[k].to_numpy()) for k in ("i", "j"))
+    same = block["i"].iat[0] == block["j"].iat[0]
+    for n, x in enumerate(left):
+        others = right[n + 1:] if same else right
+        agree = (marks[others] == marks[x]).mean(axis=1)
+        enough = agree >= AGREEMENT
+        yield int(x), others[enough], agree[enough]
+
+
+def may_be_linked(block: pd.DataFrame) -> pd.DataFrame:
+    """Of a bucket's block: pairs of roots that join all groups with members that agree enough."""
+    groups, found = Groups(block["root"].to_numpy()), []
+    roots = block["root"].tolist()
+    if len(set(roots)) > 1:
+        for x, others, _ in agreeing(block):
+            found += [(roots[x], roots[y]) for y in others.tolist() if groups.join(x, y)]
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
+def links_of_cluster(block: pd.DataFrame) -> pd.DataFrame:
+    """Of a cluster's block: verified pairs that join groups, the likeliest tried first."""
+    groups, tried = Groups(block["root"].to_numpy()), []
+    if len(set(block["root"].tolist())) > 1:
+        for x, others, agree in agreeing(block):
+            tried += [(-a, x, y) for y, a in zip(others.tolist(), agree.tolist()) if groups.find(x) != groups.find(y)]
+    sets: dict[int, np.ndarray] = {}
+    nodes, packed, found = block["node"].tolist(), block["set"].tolist(), []
+    for _, x, y in sorted(tried):
+        if groups.find(x) != groups.find(y):
+            for at in (x, y):
+                if at not in sets:
+                    sets[at] = _unpack(packed[at])
+            if similar(sets[x], sets[y]):
+                groups.join(x, y)
+                found.append((nodes[x], nodes[y]))
+    return pd.DataFrame(found, columns=["a", "b"])
 
 
 def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Verified edges (a, b) between classes (node, bands)."""
+    kind = classes.schema["node"].dataType.simpleString()
+    pair = f"a {kind}, b {kind}"
     banded = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")) \
         .where(F.col("n") > 1)
     members = materialize(banded.join(shared, ["band", "key"]).select("band", "key", "node", "first"))
     stars = materialize(members.where(F.col("node") != F.col("first")).select(
         F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    links = materialize(verified(stars, docs))
+    sets = full_sets(members.select("node").distinct(), docs)
+    links = materialize(verified(stars, sets))
     root = components(links)
     grouped = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_buckets = grouped.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")) \
+    several = grouped.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")) \
         .where(F.col("x") != F.col("y")).select("band", "key")
-    open_members = grouped.join(mixed_buckets, ["band", "key"], "left_semi").select("band", "key", "node", "root")
-    pairs = unlinked_pairs(open_members.join(classes, "node")).join(stars, ["a", "b"], "left_anti")
-    more = verified(materialize(pairs), docs)
-    return links.unionByName(more)
+    open_members = materialize(
+        grouped.join(several, ["band", "key"], "left_semi").select("band", "key", "node", "root").join(classes, "node"))
+    between = in_blocks(open_members, ["band", "key"]).groupBy("band", "key", "i", "j").applyInPandas(may_be_linked, pair)
+    clusters = components(between).withColumnsRenamed({"node": "of", "root": "cluster"})
+    waiting = open_members.select("node", "root", "bands").distinct().join(clusters, F.col("root") == F.col("of"))
+    more = in_blocks(waiting.select("cluster", "node", "root", "bands").join(sets, "node"), ["cluster"]) \
+        .groupBy("cluster", "i", "j").applyInPandas(links_of_cluster, pair)
+    return links.unionByName(materialize(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
