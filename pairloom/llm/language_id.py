@@ -144,7 +144,8 @@ def learn(rows: DataFrame, max_languages: int = MAX_LANGUAGES) -> dict[str, np.n
                 if size:
                     unit = np.rint(1e4 * v / size).astype(np.int64)
                     sums[langs[i]] = sums.get(langs[i], 0) + unit
-        yield pd.DataFrame({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]})
 
     parts = rows.mapInPandas(bundle, "lang string, sums array<long>").select("lang", F.posexplode("sums"))
     by_place = parts.groupBy("lang", "pos").agg(F.sum("col").alias("v"))
