@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Marker line of a decompiled function and the decompiler's warning of a truncated body.
 MARKER_PREFIX = "// FUNCTION "
 # "d": only \n ends a line, as in the files' own format; plain "m" would also break at NEL and U+2028.
-MARKER_PATTERN = r"(?md)^// FUNCTION (.+)$"
+# A marker needs a name: at least one more character in its line.
+MARKER_START = r"(?md)^// FUNCTION (?=.)"
 TRUNCATION_WARNING = "Truncating control flow here"
 
 _REPLACEMENT = "\ufffd"

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import MARKER_PATTERN, TRUNCATION_WARNING, function_id, has_body, split_function
+from pairloom.functions.text import MARKER_START, TRUNCATION_WARNING, function_id, has_body, split_function
 
 
 def marked_functions(text: Column) -> Column:
     """Array of (name, text), one per marker line; the preamble is dropped.
 
-    Names and texts are zipped before any explode, so an exploded row carries its own text only.
+    The text is cut once; a piece begins with its name, which ends with the line.
     """
-    names = F.regexp_extract_all(text, F.lit(MARKER_PATTERN), F.lit(1))
-    texts = F.slice(F.split(text, MARKER_PATTERN, -1), F.lit(2), F.size(names))
-    return F.zip_with(names, texts, lambda n, t: F.struct(n.alias("name"), t.alias("text")))
+    pieces = F.filter(F.split(text, MARKER_START, -1), lambda piece, i: i > 0)
+    name = lambda piece: F.substring_index(piece, "\n", 1)
+    return F.transform(pieces, lambda p: F.struct(
+        name(p).alias("name"), F.substr(p, F.length(name(p)) + 1).alias("text")))
 
 
 def split_marked_functions(files_text: DataFrame) -> DataFrame:

@@ -73,36 +73,42 @@ def object_path() -> Column:
     return F.expr(f"concat({_STEM}, '.o')")
 
 
-def _files(docs: DataFrame, path: Column, content: Column) -> DataFrame:
+def _files(docs: DataFrame, *files: tuple[Column, Column]) -> DataFrame:
+    """The files (path, content) of every document, from one read."""
+    made = F.array(*[F.struct(path.alias("path"), F.encode(content, "UTF-8").alias("content")) for path, content in files])
     # The explode keeps the rendering from being repeated in every expression that reads the content.
-    rendered = docs.select("source", path.alias("path"), F.explode(F.array(F.encode(content, "UTF-8"))).alias("content"))
+    rendered = docs.select("source", F.explode(made).alias("_f")).select("source", "_f.path", "_f.content")
     return rendered.select(
         F.lit("docs").alias("repo"), F.col("source").alias("artifact"), "path", F.col("path").alias("rel_path"),
         file_name("path").alias("file_name"), F.octet_length("content").cast("long").alias("length"), "content",
     )
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source file per document, one function per line."""
-    docs = documents(spark, sf_dir)
-    content = F.expr(f"array_join(transform(split(text, '\\n'), x -> {source_function('x')}), '\\n')")
-    return _files(docs, source_path(), content)
+def _source_file() -> tuple[Column, Column]:
+    return source_path(), F.expr(f"array_join(transform(split(text, '\\n'), x -> {source_function('x')}), '\\n')")
 
 
-def marked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A marked file per document, one function per line."""
-    docs = documents(spark, sf_dir)
+def _marked_file() -> tuple[Column, Column]:
     function = f"concat('{MARKER_PREFIX}', {marker_name('x')}, '\\n', {decompiled_function('x')})"
-    content = F.expr(
+    return marked_path(), F.expr(
         "concat('/* doc ', cast(doc_id as string), ' */\\n', "
         f"array_join(transform(split(text, '\\n'), x -> {function}), ''))"
     )
-    return _files(docs, marked_path(), content)
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file per document, one function per line."""
+    return _files(documents(spark, sf_dir), _source_file())
+
+
+def marked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A marked file per document, one function per line."""
+    return _files(documents(spark, sf_dir), _marked_file())
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both files of every document."""
-    return source_files(spark, sf_dir).unionByName(marked_files(spark, sf_dir))
+    return _files(documents(spark, sf_dir), _source_file(), _marked_file())
 
 
 def faulty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +127,7 @@ def files_with_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = f"if(length(x) % 7 = 0, concat('int ', {_name('x')}, '(void) {{ imported(); }}\\n'), '')"
     content = F.expr(f"array_join(transform(split(text, '\\n'), x -> {line}), '')")
     folder = F.substring_index(source_path(), "/", 2)
-    headers = _files(docs, F.concat(folder, F.lit("/h.h")), F.concat(F.lit("/* header */\n"), content))
+    headers = _files(docs, (F.concat(folder, F.lit("/h.h")), F.concat(F.lit("/* header */\n"), content)))
     include = F.when(F.endswith("path", F.lit(".o.c")), F.lit("")).otherwise(F.lit('#include "h.h"\n'))
     code = code_files(spark, sf_dir).withColumn("content", F.concat(F.encode(include, "UTF-8"), "content"))
     both = code.unionByName(headers)
