@@ -135,20 +135,24 @@ def _below_ancestors(local: DataFrame, known: DataFrame, key: list[str], depth:
 def include_closure(includes: DataFrame, roots: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(root, path) for every file reachable from each root over resolved includes; a root reaches itself.
 
-    Semi-naive rounds of one hop: only pairs found in the last round are extended, pairs already found are removed, so
-    cycles end. Each round is written to reliable storage, which cuts the lineage. ``max_hops`` leaves out what is
-    farther away than so many includes; without it the closure is complete.
+    Rounds of one hop: only pairs found in the last round are extended. Each round is one grouping of the pairs known and
+    found, which drops repeats before the shuffle and keeps the smallest number of hops, so cycles end; it is written to
+    reliable storage, which cuts the lineage. ``max_hops`` leaves out what is farther away than so many includes; without
+    it the closure is complete.
     """
     edges = materialize(
         includes.where(F.col("resolved_path").isNotNull()).select("path", "resolved_path").distinct()
     )
-    frontier = materialize(roots.select(F.col("path").alias("root"), "path").distinct())
-    visited, hops = frontier, 0
-    while (max_hops is None or hops < max_hops) and not frontier.isEmpty():
-        step = frontier.join(edges, "path").select("root", F.col("resolved_path").alias("path")).distinct()
-        frontier = materialize(step.join(visited, ["root", "path"], "left_anti"))
-        visited, hops = visited.unionByName(frontier), hops + 1
-    return visited
+    known = materialize(roots.select(F.col("path").alias("root"), "path", F.lit(0).alias("hops")).distinct())
+    hops = 0
+    while max_hops is None or hops < max_hops:
+        last = known.where(F.col("hops") == hops)
+        if last.isEmpty():
+            break
+        hops += 1
+        step = last.join(edges, "path").select("root", F.col("resolved_path").alias("path"), F.lit(hops).alias("hops"))
+        known = materialize(known.unionByName(step).groupBy("root", "path").agg(F.min("hops").alias("hops")))
+    return known.drop("hops")
 
 
 def functions_with_imports(functions: DataFrame, closure: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
