@@ -125,12 +125,16 @@ def vectors(texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         yield from flush()
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(lang, text) of the sample to learn from."""
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+    """(lang, text) of the sample to learn from. Texts are filtered where they are read, and not shuffled."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    share = labelled.groupBy(F.col("lang").alias("_l")).agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("_p"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    shares = [(r["lang"], min(1.0, per_language / r["n"])) for r in counts]
+    known = F.broadcast(docs.sparkSession.createDataFrame(shares, "_l string, _p double"))  # at most max_languages rows
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2**31)) / 2**31
-    return labelled.join(share, F.col("lang") == F.col("_l")).where(drawn < F.col("_p")).select("lang", "text")
+    return labelled.join(known, F.col("lang") == F.col("_l")).where(drawn < F.col("_p")).select("lang", "text")
 
 
 def learn(rows: DataFrame, max_languages: int = MAX_LANGUAGES) -> dict[str, np.ndarray]:
