@@ -192,7 +192,8 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = pairs.select(F.col("v").alias("u"), "v").distinct()
+            return pairs.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
 
 
