@@ -15,6 +15,10 @@ linked text. From it follow the content root, the path that holds the article, a
 is nearly all links. A page's text is read along its wrapper: slots below the root, without menus and without elements
 that are boilerplate by tag or by class. A page without its host's root is read from its own article or body.
 
+A word of a class, id or role, and a form, are weak signs: they never condemn html, body, main or an outermost article,
+nor a path that holds most of the prose of the host's pages that have it, unless these pages have an article or main
+elsewhere. A page that is left without text by weak signs is judged once more by its own prose alone.
+
 Null or empty html: empty text. Null url: pages of one nameless host. Comments, scripts, styles and an unfinished tag at
 the end hold no text. Unclosed and stray tags are tolerated; elements deeper than ``DEEPEST`` count as their ancestor at
 that depth. Repeated rows have equal results. ``extract`` reads the named columns only. Empty input: empty result.
@@ -57,31 +61,52 @@ BOILERPLATE_WORDS = frozenset(
     "pagination popup promo promoted promotion related reply replies respond share sharing sidebar social sponsor "
     "sponsored subscribe subscription toolbar widget widgets".split())
 ROOT_TAGS = ("article", "main")
+# Tags that are boilerplate only if they do not hold the page.
+FORM_TAGS = frozenset(("form", "fieldset"))
+PAGE_TAGS = frozenset(("html", "body", *ROOT_TAGS))
+WEAK, STRONG = 1, 2
 
 
 @lru_cache(maxsize=20_000)
-def label_of(tag: str, attrs: str) -> tuple[str, bool]:
-    """(label, whether the element is boilerplate by itself)."""
+def label_of(tag: str, attrs: str) -> tuple[str, int]:
+    """(label, whether the element is boilerplate by itself: 0, WEAK or STRONG)."""
     names: dict[str, str] = {}
     for m in NAMED.finditer(attrs):
         names.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     classes = sorted(set(names.get("class", "").split()))
-    words = set(re.split(r"[^a-z]+", " ".join([*classes, names.get("id", ""), names.get("role", "")])))
+    role = names.get("role", "")
     own = tag + "".join(f".{c}" for c in classes) + (f"#{names['id']}" if names.get("id") else "")
-    bad = tag in BOILERPLATE_TAGS or bool(words & BOILERPLATE_WORDS)
-    return re.sub(r"[0-9]+", "0", own).replace("/", "_").replace(" ", "_"), bad
+    if words_in(role) & BOILERPLATE_WORDS:
+        own += f"@{role}"
+    sign = sign_of(tag, " ".join([*classes, names.get("id", ""), role]))
+    return re.sub(r"[0-9]+", "0", own).replace("/", "_").replace(" ", "_"), sign
+
+
+def words_in(names: str) -> set[str]:
+    return set(re.split(r"[^a-z]+", names))
+
+
+def sign_of(tag: str, names: str) -> int:
+    if tag in BOILERPLATE_TAGS and tag not in FORM_TAGS:
+        return STRONG
+    return WEAK if tag in FORM_TAGS or words_in(names) & BOILERPLATE_WORDS else 0
+
+
+def tag_of(path: str) -> str:
+    return re.split(r"[.#@]", path.rpartition("/")[2])[0]
 
 
 class Element:
-    __slots__ = ("tag", "path", "bad", "children", "linked")
+    __slots__ = ("tag", "path", "sign", "bad", "strong", "children", "linked")
 
-    def __init__(self, tag: str, path: str, bad: bool, linked: bool):
-        self.tag, self.path, self.bad, self.linked, self.children = tag, path, bad, linked, []
+    def __init__(self, tag: str, path: str, sign: int, bad: bool, strong: bool, linked: bool):
+        self.tag, self.path, self.sign, self.bad, self.strong = tag, path, sign, bad, strong
+        self.linked, self.children = linked, []
 
 
-def read(page: str) -> Iterator[tuple[str, Element, str]]:
-    """Events ("open" | "close" | "break" | "text", element, text) in page order."""
-    top = Element("", "", False, False)
+def read(page: str, spared: frozenset[str] = frozenset()) -> Iterator[tuple[str, Element, str]]:
+    """Events ("open" | "close" | "break" | "text", element, text) in page order; weak signs at ``spared`` do not count."""
+    top = Element("", "", 0, False, False, False)
     stack = [top]
 
     def close(count: int) -> Iterator[tuple[str, Element, str]]:
@@ -120,18 +145,58 @@ def read(page: str) -> Iterator[tuple[str, Element, str]]:
             while stack[-1].tag != "head":
                 yield from close(1)
             yield from close(1)
-        label, bad = label_of(tag, m["attrs"] or "")
+        label, sign = label_of(tag, m["attrs"] or "")
         parent = stack[-1]
-        if tag == "header":  # a page's header, not an article's
-            bad = bad or not any(e.tag in ROOT_TAGS for e in stack)
+        if tag == "header" and not any(e.tag in ROOT_TAGS for e in stack):  # a page's header, not an article's
+            sign = STRONG
+        if tag in PAGE_TAGS and not (tag == "article" and any(e.tag == "article" for e in stack)):
+            sign = 0
         path = parent.path if len(stack) > DEEPEST else f"{parent.path}/{label}"
-        element = Element(tag, path, bad or parent.bad, parent.linked or tag == "a")
+        bad = parent.bad or sign == STRONG or (sign == WEAK and path not in spared)
+        element = Element(tag, path, sign, bad, parent.strong or sign == STRONG, parent.linked or tag == "a")
         parent.children.append(label)
         stack.append(element)
         yield "open", element, ""
     yield from close(len(stack) - 1)
 
 
+class Judged:
+    """Prose of one page, and of it below each path with a weak sign: {path: (below the path, of the page)}."""
+
+    def __init__(self) -> None:
+        self.prose, self.mains, self.marks = 0, 0, 0
+        self.open: list[tuple[int, int]] = []
+        self.above: list[Element] = []
+        self.below: dict[str, int] = {}
+        self.apart: dict[str, int] = {}
+
+    def see(self, event: str, element: Element, words: int) -> None:
+        if event == "text":
+            if not element.linked and not element.strong:
+                self.prose += words
+        elif event == "open":
+            main = element.tag in ROOT_TAGS and not element.sign and not self.marks and not element.bad
+            self.mains += main
+            self.marks += element.sign > 0
+            self.above.append(element)
+            # Articles in the open elements are around this one; others are apart from it.
+            self.open.append((self.prose, main + (self.open[-1][1] if self.open else 0)))
+        elif event == "close":
+            self.above.pop()
+            before, around = self.open.pop()
+            self.marks -= element.sign > 0
+            if element.sign == WEAK and not any(e.path == element.path for e in self.above):
+                self.below[element.path] = self.below.get(element.path, 0) + self.prose - before
+                self.apart[element.path] = max(self.apart.get(element.path, -1), -around)
+
+    def paths(self) -> dict[str, tuple[int, int]]:
+        return {path: (0 if self.mains + self.apart[path] > 0 else n, self.prose) for path, n in self.below.items()}
+
+
+def most(below: int, around: int) -> bool:
+    return 2 * below > around
+
+
 # Content models: lists of items, an item being a label or group with marks ``+`` and ``?`` behind it.
 
 
@@ -209,36 +274,46 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-_OBSERVED = "host string, path string, model string, n long, words long, linked long"
+_OBSERVED = "host string, path string, model string, n long, words long, linked long, below long, around long"
+_AMOUNTS = ("n", "words", "linked", "below", "around")
 
 
 def observed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Child lists per host and path with the pages, words and linked words they have, counted per batch."""
+    """Child lists per host and path with the pages, words and linked words they have, counted per batch.
+
+    The prose below a path with a weak sign and that of its pages stand at the first child list that a page has for it.
+    """
     for batch in batches:
         counts: dict[tuple[str, str, str], list[int]] = {}
         for host, page in zip(batch["host"].tolist(), batch["html"].tolist()):
             amounts: dict[int, list[int]] = {}
+            judged, first = Judged(), {}
             for event, element, text in read(page or ""):
+                n = len(text.split())
+                judged.see(event, element, n)
                 if event == "text" and not text.isspace():
                     element.children.append("#")
                     own = amounts.setdefault(id(element), [0, 0])
-                    n = len(text.split())
                     own[0] += n
                     own[1] += n * element.linked
                 elif event == "close":
                     items = collapsed(element.children)
                     model = " ; ".join(items if len(items) <= LONGEST else freed(items))
                     own = amounts.pop(id(element), [0, 0])
-                    total = counts.setdefault((host, element.path, model), [0, 0, 0])
+                    total = counts.setdefault((host, element.path, model), [0] * len(_AMOUNTS))
                     total[0] += 1
                     total[1] += own[0]
                     total[2] += own[1]
+                    first.setdefault(element.path, total)
+            for path, (below_it, of_page) in judged.paths().items():
+                first[path][3] += below_it
+                first[path][4] += of_page
         yield pd.DataFrame([(*k, *v) for k, v in counts.items()], columns=[c.split()[0] for c in _OBSERVED.split(", ")])
 
 
 def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by host and path: one row per host and path, its models aligned one after the other."""
-    key, model, total = None, [], [0, 0, 0]
+    key, model, total = None, [], [0] * len(_AMOUNTS)
     for batch in batches:
         out = []
         for host, path, text, *amounts in batch.itertuples(index=False):
@@ -246,7 +321,7 @@ def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if (host, path) != key:
                 if key is not None:
                     out.append((*key, " ; ".join(model), *total))
-                key, model, total = (host, path), items, [0, 0, 0]
+                key, model, total = (host, path), items, [0] * len(_AMOUNTS)
             else:
                 model = aligned(model, items)
             total = [a + b for a, b in zip(total, amounts)]
@@ -256,10 +331,9 @@ def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def models(pages: DataFrame) -> DataFrame:
-    """Rows (host, path, model, n, words, linked): the content model of every path of every host."""
+    """Rows (host, path, model, and the sums of ``_AMOUNTS``): the content model of every path of every host."""
     seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(observed, _OBSERVED)
-    counted = seen.groupBy("host", "path", "model").agg(
-        F.sum("n").alias("n"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
+    counted = seen.groupBy("host", "path", "model").agg(*[F.sum(c).alias(c) for c in _AMOUNTS])
     part = F.pmod(F.xxhash64("model"), F.lit(PARTS))
     first = counted.repartition("host", "path", part).sortWithinPartitions("host", "path", "model") \
         .mapInPandas(folded, _OBSERVED)
@@ -270,10 +344,10 @@ def below(path: str, root: str) -> bool:
     return path == root or path.startswith(root + "/")
 
 
-def plan_of(paths: list[tuple[str, str, int, int, int]]) -> dict:
-    """The content root and the menus of a host, from rows (path, model, n, words, linked)."""
+def plan_of(paths: list[tuple]) -> dict:
+    """The content root, the menus and the spared paths of a host, from rows (path, model, and ``_AMOUNTS``)."""
     words: dict[str, list[int]] = {}
-    for path, _, _, n, linked in paths:
+    for path, _, _, n, linked, *_ in paths:
         at = path
         while at:
             own = words.setdefault(at, [0, 0])
@@ -281,29 +355,36 @@ def plan_of(paths: list[tuple[str, str, int, int, int]]) -> dict:
             own[1] += linked
             at = at.rpartition("/")[0]
     menus = sorted(
-        path for path, model, _, _, _ in paths
+        path for path, model, *_ in paths
         if "+" in model and words.get(path, [0, 0])[0] and words[path][1] >= 0.8 * words[path][0]
-        and path.rpartition("/")[2].split(".")[0].split("#")[0] in ("ul", "ol", "div", "p", "table", "section", "dl"))
+        and tag_of(path) in ("ul", "ol", "div", "p", "table", "section", "dl"))
+    spared = sorted(path for path, *_, held, around in paths if most(held, around))
 
     def usable(path: str) -> bool:
-        parts = path.strip("/").split("/")
-        bad = any(re.split(r"[.#]", p)[0] in BOILERPLATE_TAGS or set(re.split(r"[^a-z]+", p)) & BOILERPLATE_WORDS
-                  for p in parts)
-        return not bad and not any(below(path, m) for m in menus)
+        at, articles = "", 0
+        for part in path.strip("/").split("/"):
+            at, tag = f"{at}/{part}", tag_of(part)
+            sign = sign_of(tag, part[len(tag):])
+            if tag in PAGE_TAGS and not (tag == "article" and articles):
+                sign = 0
+            articles += tag == "article"
+            if sign == STRONG or (sign == WEAK and at not in spared):
+                return False
+        return not any(below(path, m) for m in menus)
 
     prose = {p: w[0] - w[1] for p, w in words.items() if usable(p)}
     for tag in ROOT_TAGS:
-        tagged = [p for p in prose if re.split(r"[.#]", p.rpartition("/")[2])[0] == tag and prose[p] > 0]
+        tagged = [p for p in prose if tag_of(p) == tag and prose[p] > 0]
         if tagged:
             # Where articles are nested, the outer one is the root.
-            return {"root": min(tagged, key=lambda p: (-prose[p], len(p), p)), "menus": menus}
-    root = next((p for p in sorted(prose, key=len) if p.endswith("/body")), "")
+            return {"root": min(tagged, key=lambda p: (-prose[p], len(p), p)), "menus": menus, "spared": spared}
+    root = next((p for p in sorted(prose, key=lambda p: (len(p), p)) if tag_of(p) == "body"), "")
     while True:  # go down while one child of the root holds nearly all of its prose in elements of its own
         inner = [p for p in prose if p.rpartition("/")[0] == root
-                 and re.split(r"[.#]", p.rpartition("/")[2])[0] in CONTAINERS]
+                 and tag_of(p) in CONTAINERS]
         best = max(inner, key=lambda p: (prose[p], p), default=None)
         if not best or not root or prose[best] < 0.7 * max(prose[root], 1):
-            return {"root": root, "menus": menus}
+            return {"root": root, "menus": menus, "spared": spared}
         root = best
 
 
@@ -327,12 +408,27 @@ def wrappers(paths: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=1_000)
-def _plan(text: str) -> tuple[str, frozenset[str]]:
+def _plan(text: str) -> tuple[str, frozenset[str], frozenset[str]]:
     plan = json.loads(text)
-    return plan["root"], frozenset(plan["menus"])
+    return plan["root"], frozenset(plan["menus"]), frozenset(plan["spared"])
+
+
+_NO_PLAN = ("", frozenset(), frozenset())
+
+
+def main_text(page: str, root: str, menus: frozenset[str], spared: frozenset[str]) -> str:
+    """The text below the root; if weak signs leave nothing of the page, its own prose decides which of them count."""
+    text = slots(page, root, menus, spared)
+    if text:
+        return text
+    judged = Judged()
+    for event, element, piece in read(page):
+        judged.see(event, element, len(piece.split()))
+    own = frozenset(path for path, amounts in judged.paths().items() if most(*amounts))
+    return slots(page, root, menus, spared | own) if own - spared else text
 
 
-def main_text(page: str, root: str, menus: frozenset[str]) -> str:
+def slots(page: str, root: str, menus: frozenset[str], spared: frozenset[str]) -> str:
     """The text of the slots below the root. Inline elements do not break a block."""
     blocks: list[str] = []
     own: list[str] = []
@@ -351,7 +447,7 @@ def main_text(page: str, root: str, menus: frozenset[str]) -> str:
     rest: list[str] = []
     for t in ("article", "main", "body"):
         spare[t + "+"] = []
-    for event, element, text in read(page):
+    for event, element, text in read(page, spared):
         if event == "text":
             if element.bad or inside["menu"]:
                 continue
@@ -376,7 +472,7 @@ def main_text(page: str, root: str, menus: frozenset[str]) -> str:
 
 def page_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for pages, plans in batches:
-        yield pd.Series([main_text(page or "", *(_plan(plan) if plan else ("", frozenset())))
+        yield pd.Series([main_text(page or "", *(_plan(plan) if plan else _NO_PLAN))
                          for page, plan in zip(pages.tolist(), plans.tolist())], dtype=object)
 
 

@@ -234,6 +234,41 @@ def test_site_without_article_elements(spark):
     assert got[3]["text"] == " ".join(f"Title 3 {'many words of page 3 ' * 8} xy <b3é closing 3 end".split())
 
 
+def extracted(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in wrappers.extract(pages).collect()}
+
+
+def test_class_words_and_forms_do_not_condemn_the_page(spark):
+    def prose(i):
+        return f"the long story of page number {i} goes on and on"
+
+    shapes = [
+        '<body class="page has-sidebar"><h1>T{i}</h1><p>{a}</p>{side}</body>',
+        '<body><main class="content with-menu"><h1>T{i}</h1><p>{a}</p></main>{side}</body>',
+        '<body><article class="post comment-open"><h1>T{i}</h1><p>{a}</p></article>{side}</body>',
+        '<body><form id="aspnetForm"><h1>T{i}</h1><p>{a}</p>{side}</form></body>',
+        '<body><form id="aspnetForm"><article><h1>T{i}</h1><p>{a}</p></article>{side}</form></body>',
+        '<body><div class="layout has-sidebar"><div class="c1"><h1>T{i}</h1><p>{a}</p></div>{side}</div></body>',
+        '<body><div role="main banner"><h1>T{i}</h1><p>{a}</p></div>{side}</body>',
+    ]
+    side = '<div class="sidebar">see this too</div><nav>home</nav>'
+    rows, want = [], {}
+    for k, shape in enumerate(shapes):
+        for i in range(4):
+            rows.append((10 * k + i, f"http://h{k}/{i}", f"<html>{shape.format(i=i, a=prose(i), side=side)}</html>"))
+            want[10 * k + i] = f"T{i} {prose(i)}"
+    # A form around one page of a host whose other pages have a form for searching only.
+    rows += [(100 + i, f"http://mixed/{i}", f"<html><body><form>find</form><div><p>{prose(i)}</p></div></body></html>") for i in range(9)]
+    rows.append((109, "http://mixed/9", f"<html><body><form><p>{prose(9)}</p></form></body></html>"))
+    want.update({100 + i: prose(i) for i in range(10)})
+    # An article says where the text is, however short it is.
+    rows.append((110, "http://short/", '<html><body><div class="ad">buy this and that now</div><article></article></body></html>'))
+    rows.append((111, "http://brief/", '<html><body><div class="ad">buy this and that now</div><article>word</article></body></html>'))
+    want.update({110: "", 111: "word"})
+    assert extracted(spark, rows) == want
+
+
 def test_wrapper_edges(spark):
     rows = [(1, "http://h/a", None), (2, "http://h/b", ""), (3, None, "<p>plain"), (4, "nonsense", "no tags &amp; &am"),
             (5, "http://h/c", "<article><p>one<p>two <b>x</b>y</article><p>out"), (5, "http://h/c", "<article><p>one<p>two <b>x</b>y</article><p>out"),
