@@ -15,6 +15,13 @@ linked text. From it follow the content root, the path that holds the article, a
 is nearly all links. A page's text is read along its wrapper: slots below the root, without menus and without elements
 that are boilerplate by tag or by class. A page without its host's root is read from its own article or body.
 
+Texts are aligned as well. A block is the text of an element that is not inline, up to the next such element; its path
+and text are counted over the host's pages of different text, hashes only, with partial sums before the shuffle. A block
+that at least ``TEMPLATE_PAGES`` of them hold, and ``TEMPLATE_SHARE`` of those with its path, is the template's, be
+it on every page or an optional item; all other blocks are slots, and only slots are returned. A label inside a block that
+differs stays. Where more than ``COPY_SHARE`` of the text would be template, in a host or in the pages holding one block,
+they are copies of one text and nothing is taken out. Hosts of fewer pages have tags and class words only.
+
 A word of a class, id or role, and a form, are weak signs: they never condemn html, body, main or an outermost article,
 nor a path that holds most of the prose of the host's pages that have it, unless these pages have an article or main
 elsewhere. A page that is left without text by weak signs is judged once more by its own prose alone.
@@ -31,6 +38,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,6 +48,7 @@ from pairloom.session import materialize
 
 LONGEST, DEEPEST, PERIOD = 40, 40, 6
 PARTS = 16
+TEMPLATE_PAGES, TEMPLATE_SHARE, COPY_SHARE = 3, 0.9, 0.9
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -416,71 +425,133 @@ def _plan(text: str) -> tuple[str, frozenset[str], frozenset[str]]:
 _NO_PLAN = ("", frozenset(), frozenset())
 
 
-def main_text(page: str, root: str, menus: frozenset[str], spared: frozenset[str]) -> str:
-    """The text below the root; if weak signs leave nothing of the page, its own prose decides which of them count."""
-    text = slots(page, root, menus, spared)
-    if text:
-        return text
+Block = tuple[str, str]  # path, text
+
+
+def read_blocks(page: str, root: str, menus: frozenset[str], spared: frozenset[str]) -> list[Block]:
+    """The blocks below the root; if weak signs leave nothing of the page, its own prose decides which of them count."""
+    blocks = below_root(page, root, menus, spared)
+    if blocks:
+        return blocks
     judged = Judged()
     for event, element, piece in read(page):
         judged.see(event, element, len(piece.split()))
     own = frozenset(path for path, amounts in judged.paths().items() if most(*amounts))
-    return slots(page, root, menus, spared | own) if own - spared else text
+    return below_root(page, root, menus, spared | own) if own - spared else blocks
 
 
-def slots(page: str, root: str, menus: frozenset[str], spared: frozenset[str]) -> str:
-    """The text of the slots below the root. Inline elements do not break a block."""
-    blocks: list[str] = []
-    own: list[str] = []
-    spare: dict[str, list[str]] = {"article": [], "main": [], "body": []}
-    other: list[str] = []
-    inside = {"root": 0, "menu": 0, "article": 0, "main": 0, "body": 0}
+@lru_cache(maxsize=20_000)
+def block_path(path: str) -> str:
+    while tag_of(path) in INLINE:
+        path = path.rpartition("/")[0]
+    return path
+
+
+def below_root(page: str, root: str, menus: frozenset[str], spared: frozenset[str]) -> list[Block]:
+    """The blocks below the root, or of the page's own article or body. Inline elements and line breaks do not end a block."""
+    regions = ("root", "article", "main", "body", "page")
+    held: dict[str, list[str]] = {r: [] for r in regions}
+    blocks: dict[str, list[Block]] = {r: [] for r in regions}
+    inside = {"root": 0, "menu": 0, "article": 0, "main": 0, "body": 0, "page": 1}
+    at = ""
 
     def flush() -> None:
-        for held, to in ((own, blocks), *((spare[t + "+"], spare[t]) for t in ("article", "main", "body")), (other, rest)):
-            if held:
-                block = " ".join(html_lib.unescape("".join(held)).split())
+        for region, texts in held.items():
+            if texts:
+                block = " ".join(html_lib.unescape("".join(texts)).split())
                 if block:
-                    to.append(block)
-                held.clear()
+                    blocks[region].append((at, block))
+                texts.clear()
 
-    rest: list[str] = []
-    for t in ("article", "main", "body"):
-        spare[t + "+"] = []
     for event, element, text in read(page, spared):
         if event == "text":
             if element.bad or inside["menu"]:
                 continue
-            if inside["root"]:
-                own.append(text)
-            for t in ("article", "main", "body"):
-                if inside[t]:
-                    spare[t + "+"].append(text)
-            other.append(text)
+            at = block_path(element.path)
+            for region, texts in held.items():
+                if inside[region]:
+                    texts.append(text)
+            continue
+        if event == "break":
+            for texts in held.values():
+                if texts:
+                    texts.append(" ")
             continue
-        if event == "break" or element.tag not in INLINE:
+        if element.tag not in INLINE:
             flush()
-        if event != "break":
-            step = 1 if event == "open" else -1
-            inside["root"] += step * (bool(root) and element.path == root)
-            inside["menu"] += step * (element.path in menus)
-            if element.tag in inside:
-                inside[element.tag] += step
+        step = 1 if event == "open" else -1
+        inside["root"] += step * (bool(root) and element.path == root)
+        inside["menu"] += step * (element.path in menus)
+        if element.tag in ROOT_TAGS or element.tag == "body":
+            inside[element.tag] += step
     flush()
-    return " ".join(blocks or spare["article"] or spare["main"] or spare["body"] or rest)
+    return next((blocks[r] for r in regions if blocks[r]), [])
+
+
+def key_of(*parts: str) -> int:
+    return int.from_bytes(blake2b("\n".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def page_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+_COUNTED = "signature long, words long, blocks array<struct<path: long, key: long, words: long>>"
+
+
+def block_keys(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Of each page: a hash of its text, its words, and its different blocks; one without a key for each of their paths."""
     for pages, plans in batches:
-        yield pd.Series([main_text(page or "", *(_plan(plan) if plan else _NO_PLAN))
-                         for page, plan in zip(pages.tolist(), plans.tolist())], dtype=object)
+        rows = []
+        for page, plan in zip(pages.tolist(), plans.tolist()):
+            blocks = read_blocks(page or "", *(_plan(plan) if plan else _NO_PLAN))
+            words = {b: len(b[1].split()) for b in blocks}
+            paths = {path: key_of(path) for path, _ in blocks}
+            rows.append((
+                key_of(*[part for b in blocks for part in b]), sum(words[b] for b in blocks),
+                [{"path": k, "key": None, "words": 0} for k in paths.values()]
+                + [{"path": paths[b[0]], "key": key_of(*b), "words": n} for b, n in words.items()]))
+        yield pd.DataFrame(rows, columns=["signature", "words", "blocks"])
+
+
+def templates(hosted: DataFrame) -> DataFrame:
+    """One row per host with a template: the keys of its blocks, as text. Pages of equal text are one page."""
+    found = hosted.select("host", F.pandas_udf(block_keys, _COUNTED)("html", "plan").alias("b")).select("host", "b.*")
+    pages = found.groupBy("host", "signature").agg(F.first("words").alias("of_page"), F.first("blocks").alias("blocks"))
+    counted = materialize(
+        pages.select("host", "of_page", F.explode("blocks").alias("b")).groupBy("host", "b.path", "b.key")
+        .agg(F.count("*").alias("n"), F.sum("b.words").alias("words"), F.sum("of_page").alias("around"))
+        .where(F.col("n") >= TEMPLATE_PAGES))
+    blocks, paths = counted.where("key is not null"), counted.where("key is null")
+    equal = (
+        blocks.join(paths.select("host", "path", F.col("n").alias("of_path")), ["host", "path"])
+        .where((F.col("n") >= TEMPLATE_SHARE * F.col("of_path")) & (F.col("words") <= COPY_SHARE * F.col("around")))
+        .groupBy("host").agg(F.sum("words").alias("words"), F.concat_ws(",", F.sort_array(F.collect_set("key").cast(
+            "array<string>"))).alias("template"))
+    )
+    size = pages.groupBy("host").agg(F.sum("of_page").alias("around"))
+    return equal.join(size, "host").where(F.col("words") <= COPY_SHARE * F.col("around")).select("host", "template")
+
+
+@lru_cache(maxsize=1_000)
+def _keys(text: str) -> frozenset[int]:
+    return frozenset(map(int, text.split(",")))
+
+
+def main_text(page: str, plan: str | None, template: str | None) -> str:
+    """The text of the page's slots."""
+    blocks = read_blocks(page, *(_plan(plan) if plan else _NO_PLAN))
+    known = _keys(template) if template else frozenset()
+    return " ".join(b[1] for b in blocks if not known or key_of(*b) not in known)
+
+
+def page_text(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for columns in batches:
+        yield pd.Series([main_text(page or "", plan, template)
+                         for page, plan, template in zip(*[c.tolist() for c in columns])], dtype=object)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages``: page_id, url, text, n_chars and the wrapper's root."""
     plans = materialize(wrappers(models(pages)))
-    hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = hosted.join(plans, "host", "left")
-    return joined.select("page_id", "url", F.pandas_udf(page_text, "string")("html", "plan").alias("text"),
+    hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(plans, "host", "left")
+    joined = hosted.join(materialize(templates(hosted)), "host", "left")
+    return joined.select("page_id", "url", F.pandas_udf(page_text, "string")("html", "plan", "template").alias("text"),
                          F.get_json_object("plan", "$.root").alias("root")) \
         .withColumn("n_chars", F.length("text").cast("long"))

@@ -269,6 +269,31 @@ def test_class_words_and_forms_do_not_condemn_the_page(spark):
     assert extracted(spark, rows) == want
 
 
+def test_text_equal_on_the_pages_of_a_host_is_template(spark):
+    notice, advert = "<div class='box3'>We use <b>cookies</b> on this site</div>", "<div class='offer'><p>Buy the book</p></div>"
+    story = ["storm", "river", "garden", "letter", "engine", "market"]
+
+    def body(i, head=True):
+        extra = advert if i % 2 else f"<div class='extra'><p>extra {story[i]}</p></div>"
+        return (f"<html><body><div class='c1'>{notice if head else ''}<h1>About the {story[i]}</h1><p><b>Note:</b> the {story[i]} "
+                f"was seen</p>{extra}<p>It ended with {story[i]}</p></div></body></html>")
+
+    def want(i):
+        return f"About the {story[i]} Note: the {story[i]} was seen{'' if i % 2 else f' extra {story[i]}'} It ended with {story[i]}"
+
+    rows = [(i, f"http://news/{i}", body(i)) for i in range(6)]
+    rows += [(10 + i, f"http://news/again/{i}", body(0)) for i in range(5)]  # copies of one page are one page
+    rows += [(20, "http://alone/", body(1, False))]  # a host of one page has no template
+    # Copies that differ in one word are no template.
+    copy = " ".join(f"<p>{' '.join(story)} part {k}</p>" for k in range(20))
+    rows += [(30 + i, f"http://mirror/{i}", f"<body><article>{copy}<p>{story[i]}</p></article></body>") for i in range(4)]
+    got = extracted(spark, rows)
+    assert {i: got[i] for i in range(6)} == {i: want(i) for i in range(6)}
+    assert {got[10 + i] for i in range(5)} == {want(0)}
+    assert got[20] == "About the river Note: the river was seen Buy the book It ended with river"
+    assert all(got[30 + i].startswith(" ".join(story)) and got[30 + i].endswith(f"part 19 {story[i]}") for i in range(4))
+
+
 def test_wrapper_edges(spark):
     rows = [(1, "http://h/a", None), (2, "http://h/b", ""), (3, None, "<p>plain"), (4, "nonsense", "no tags &amp; &am"),
             (5, "http://h/c", "<article><p>one<p>two <b>x</b>y</article><p>out"), (5, "http://h/c", "<article><p>one<p>two <b>x</b>y</article><p>out"),
