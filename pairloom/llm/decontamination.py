@@ -5,7 +5,9 @@ into overlapping pieces). A shard's words, lower-cased, are numbered, and the po
 order of the words that follow them: a suffix array, by doubling the compared length until it exceeds the window. Every
 suffix of every benchmark item is looked up by binary search, word by word: the range of equal training suffixes narrows
 until it is empty, which gives the longest verbatim match and, at ``WINDOW`` words (or a whole shorter item), all its
-places. Words inside a place are hit. Documents with hits are contaminated.
+places. Words inside a place are hit. Documents with hits are contaminated. Neighbouring places of neighbouring suffixes
+are one verbatim match, also across the pieces of a long document; ``longest`` is the longest of them in words, and
+``places`` are all of them as runs (start, end, item) of word numbers, joined where matches of one item meet.
 
 The benchmark reaches the tasks in blocks of at most ``BLOCK_BYTES`` of words and item ids (one item at least): each
 block is collected, sent, and used in one pass over the documents, whose rows carry what earlier blocks found. So neither
@@ -33,7 +35,7 @@ WINDOW = 10
 BLOCK_BYTES = 16 * 1024 * 1024
 SHARD_WORDS = 250_000
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-RESULT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"]
+RESULT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "places"]
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     """Positions of ``words`` (small whole numbers, 0 for a border) in the order of their first ``depth`` words or more."""
@@ -117,12 +119,28 @@ def _narrow(padded: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.nda
     return low
 
 
-def _longest(words: np.ndarray, block: Block, place: int, suffix: int, end: int) -> int:
-    """Length of the verbatim match from a place on, past the window."""
-    most = min(int(block.left[suffix]), end - place)
-    a, b = words[place:place + most], block.words[suffix:suffix + most]
-    differ = np.flatnonzero(a != b)
-    return int(differ[0]) if len(differ) else most
+def matches_of(row: np.ndarray, start: np.ndarray, suffix: np.ndarray, block: Block) -> tuple[np.ndarray, ...]:
+    """(row, first word, end, number of the item) of each verbatim match: places of one item that go on word by word."""
+    item = block.item_of[suffix]
+    order = np.lexsort((start, start - suffix, item, row))
+    row, start, suffix, item = row[order], start[order], suffix[order], item[order]
+    new = np.ones(len(row), bool)
+    # Pieces overlap, so a place may be there twice.
+    new[1:] = ((np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(start - suffix) != 0) | (np.diff(start) > 1))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    return row[first], start[first], start[last] + block.window[suffix[last]], item[first]
+
+
+def joined(matches: list[tuple[str, int, int]]) -> list[dict]:
+    """Matches of one text, (item, start, end), as runs in their order; those of one item that meet are one run."""
+    out: list[dict] = []
+    for item, start, end in sorted(matches):
+        if out and out[-1]["item"] == item and start <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], end)
+        else:
+            out.append({"start": start, "end": end, "item": item})
+    return sorted(out, key=lambda r: (r["start"], r["end"], r["item"]))
 
 
 def _shards(texts: list[bytes | None]) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray]]:
@@ -143,11 +161,12 @@ def _shards(texts: list[bytes | None]) -> Iterator[tuple[list[tuple[int, int, in
 
 
 def find_in_texts(texts: list[bytes | None], block: Block) -> pd.DataFrame:
-    """Per text: n_words, the hit words as runs, the items found, and the longest match."""
+    """Per text: n_words, the hit words as runs, the items found, the longest match, and the matches by item."""
     n = len(texts)
     n_words, longest = np.zeros(n, np.int64), np.zeros(n, np.int64)
     runs: list[list[list[int]]] = [[] for _ in range(n)]
     items: list[set[str]] = [set() for _ in range(n)]
+    seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for held, words in _shards(texts):
         ends = np.cumsum([size for _, _, size in held])
         for row, first, size in held:
@@ -157,8 +176,12 @@ def find_in_texts(texts: list[bytes | None], block: Block) -> pd.DataFrame:
         borders = np.zeros(len(words), bool)
         borders[[e - 1 for e, (_, _, size) in zip(ends, held) if size]] = True
         place, size, suffix = search(words, borders, block)
+        if not len(place):
+            continue
         which = np.searchsorted(ends, place, side="right")
-        previous = -1
+        in_row, in_text, in_shard = (np.array(x, np.int64) for x in zip(*held))
+        begins = ends - in_shard
+        seen.append((in_row[which], in_text[which] + place - begins[which], suffix))
         for at in np.lexsort((size, place)):
             row, first, count = held[which[at]]
             p, begin = int(place[at]), int(ends[which[at]]) - count
@@ -168,13 +191,17 @@ def find_in_texts(texts: list[bytes | None], block: Block) -> pd.DataFrame:
                 runs[row][-1][1] = max(runs[row][-1][1], end)
             else:
                 runs[row].append([start, end])
-            if p != previous + 1 or longest[row] == 0:  # a match that goes on is measured from its first word
-                longest[row] = max(longest[row], _longest(words, block, p, int(suffix[at]), int(ends[which[at]])))
-            previous = p
-    return pd.DataFrame({"n_words": n_words, "runs": runs, "items": [sorted(x) for x in items], "longest": longest})
+    places: list[list[tuple[str, int, int]]] = [[] for _ in range(n)]
+    if seen:
+        for row, start, end, item in zip(*(x.tolist() for x in matches_of(*(np.concatenate(x) for x in zip(*seen)), block))):
+            longest[row] = max(longest[row], end - start)
+            places[row].append((block.items[item], start, end))
+    return pd.DataFrame({"n_words": n_words, "runs": runs, "items": [sorted(x) for x in items], "longest": longest,
+                         "places": [joined(x) for x in places]})
 
 
-_FOUND = "n_words long, runs array<array<long>>, items array<string>, longest long"
+_PLACES = "array<struct<start: long, end: long, item: string>>"
+_FOUND = f"n_words long, runs array<array<long>>, items array<string>, longest long, places {_PLACES}"
 
 
 def _finder(block: Block, spark):
@@ -201,7 +228,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Blo
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All rows and columns of ``docs`` with n_words, n_hit, n_items, items_sha256, contaminated and longest."""
+    """All rows and columns of ``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, longest and places."""
     kept = [f"`{c}`" for c in docs.columns if c not in (*RESULT, "__found", "__more")]
     found = None
     for block in blocks(benchmark, block_bytes):
@@ -213,12 +240,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
         found = docs.select(*kept, F.struct(
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
             F.lit(None).cast("array<array<long>>").alias("runs"), F.array().cast("array<string>").alias("items"),
-            F.lit(0).cast("long").alias("longest")).alias("__found"))
+            F.lit(0).cast("long").alias("longest"), F.array().cast(_PLACES).alias("places")).alias("__found"))
     return found.select(
         *kept, "__found.n_words", hit_words(F.col("__found.runs")).alias("n_hit"),
         F.size("__found.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("__found.items", ",").cast("binary"), 256).alias("items_sha256"),
-        (hit_words(F.col("__found.runs")) > 0).alias("contaminated"), "__found.longest",
+        (hit_words(F.col("__found.runs")) > 0).alias("contaminated"), "__found.longest", "__found.places",
     )
 
 
@@ -238,7 +265,8 @@ def _merged() -> Column:
     return F.struct(
         old["n_words"].alias("n_words"), F.concat(old["runs"], new["runs"]).alias("runs"),
         F.array_sort(F.array_union(old["items"], new["items"])).alias("items"),
-        F.greatest(old["longest"], new["longest"]).alias("longest"))
+        F.greatest(old["longest"], new["longest"]).alias("longest"),
+        F.array_sort(F.array_union(old["places"], new["places"])).alias("places"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

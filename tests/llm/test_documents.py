@@ -172,6 +172,22 @@ def test_longest_match(spark, frame):
     assert got[1]["longest"] == 17 and got[1]["n_hit"] == 17 and got[2]["longest"] == 0
 
 
+def test_matches_are_measured_across_pieces_and_by_item(spark, frame, monkeypatch):
+    monkeypatch.setattr(decontamination, "SHARD_WORDS", 30)
+
+    def words(first, end):
+        return " ".join(f"w{i}" for i in range(first, end))
+
+    items = [(1, words(0, 60)), (2, f"{words(100, 110)} x"), (3, words(101, 130)), (4, "short one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, f"{words(900, 920)} {words(0, 60)} tail"), (2, words(100, 130)), (3, "a short one " * 2), (4, "none")]
+    got = {r["doc_id"]: r for b in (1 << 20, 200) for r in
+           decontamination.find_contamination(frame(rows), bench, block_bytes=b).withColumn("b", F.lit(b)).collect()}
+    assert {d: r["longest"] for d, r in got.items()} == {1: 60, 2: 29, 3: 2, 4: 0}
+    assert {d: [tuple(p) for p in r["places"]] for d, r in got.items()} == {
+        1: [(20, 80, "1")], 2: [(0, 10, "2"), (1, 30, "3")], 3: [(1, 3, "4"), (4, 6, "4")], 4: []}
+
+
 def test_decontamination_edges(spark, frame):
     rows = [(1, None), (2, ""), (None, "a b c"), (3, "a b c"), (3, "a b c"), (4, "x")]
     docs = frame(rows).withColumn("n_hit", F.lit("mine"))
