@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import (
-    decontamination, language_id, line_dedup, line_quality, mixing, pii, preference, secrets, superminhash, wrappers,
+    decontamination, language_id, line_dedup, line_quality, mixing, periodic_runs, pii, preference, secrets, superminhash, wrappers,
 )
 from pairloom.llm.common import bound_batches, table
 
@@ -80,3 +80,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.planted(documents(spark, sf_dir))))
