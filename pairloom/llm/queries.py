@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import (
-    decontamination, language_id, line_dedup, line_quality, mixing, periodic_runs, pii, preference, secrets, superminhash, wrappers,
+    decontamination, importance, language_id, line_dedup, line_quality, mixing, periodic_runs, pii, preference, secrets, superminhash, wrappers,
 )
 from pairloom.llm.common import bound_batches, table
 
@@ -85,3 +85,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.planted(documents(spark, sf_dir))))
+
+
+@query
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
