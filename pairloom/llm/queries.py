@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import (
-    decontamination, importance, language_id, line_dedup, line_quality, mixing, periodic_runs, pii, preference, secrets, superminhash, wrappers,
+    decontamination, importance, language_id, line_dedup, line_quality, mixing, periodic_runs, pii, preference,
+    retrieval_packing, secrets, superminhash, wrappers,
 )
 from pairloom.llm.common import bound_batches, table
 
@@ -90,3 +91,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing.digests(retrieval_packing.pack(documents(spark, sf_dir)))
