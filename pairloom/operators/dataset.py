@@ -7,20 +7,11 @@ ident);
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pairloom.code_types import CODE_TYPES, resolve
-from pairloom.operators.ordering import (
-    keys_at,
-    numbered,
-    ordered_slice,
-    precedes,
-    running_total,
-    with_order_columns,
-)
+from pairloom.operators.ordering import equals, ordered_slice, ordered_split, precedes, running_total, with_place
 from pairloom.operators.pairing import within
 from pairloom.session import materialize
 
@@ -64,27 +55,17 @@ def sort_by_length(examples: DataFrame) -> DataFrame:
 
 
 def with_position(examples: DataFrame, out: str = "idx") -> DataFrame:
-    """Add each row's 0-based position in the set's order. Only keys are numbered, then joined back."""
-    keyed, names = with_order_columns(examples, order_of(examples))
-    ident = within(examples, "artifact", "code_type", "ident")
-    positions = numbered(keyed.select(*[F.col(c).alias(f"_of_{c}") for c in ident], *names), [], names, out)
-    same = reduce(lambda a, b: a & b, [examples[c].eqNullSafe(F.col(f"_of_{c}")) for c in ident])
-    return examples.join(positions.drop(*names), same).drop(*[f"_of_{c}" for c in ident])
+    """Add each row's 0-based position in the set's order: n rows get n numbers, equal rows too."""
+    return with_place(examples, order_of(examples), out)
 
 
 def split_off_end(examples: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
     """The first ``int(n * ratio)`` rows of the set's order, and the rest.
 
-    The cut is found on the keys alone; both parts are then plain filters, so no text is shuffled.
+    The cut is found on the keys alone; both parts are then filters, so no text is shuffled. Among rows with equal keys the
+    order is that of their content, so together the parts hold every row once.
     """
-    order = order_of(examples)
-    cut = int(examples.count() * ratio)
-    if cut <= 0:
-        return examples.limit(0), examples
-    key = keys_at(examples, order, [cut])[0]
-    if key is None:
-        return examples, examples.limit(0)
-    return examples.where(precedes(order, key)), examples.where(~precedes(order, key))
+    return ordered_split(examples, order_of(examples), ratio)
 
 
 def train_eval_split(examples: DataFrame, *, eval: DataFrame | float | None = None, code_types=None,
@@ -156,5 +137,4 @@ def artifact_cutoff(examples: DataFrame, max_len: int) -> DataFrame:
         return examples
     order = [F.col(c) for c in key]
     named = Row(*[last[c] for c in key])
-    same = reduce(lambda a, b: a & b, [c.eqNullSafe(F.lit(v)) for c, v in zip(order, named)])
-    return examples.where(precedes(order, named) | same)
+    return examples.where(precedes(order, named) | equals(order, named))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,12 +43,21 @@ def dedupe_decompiled(functions: DataFrame) -> DataFrame:
     return dedupe_functions(functions)
 
 
+def join_on(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key equals a null key, as it does in a grouping. The result has the key once."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in key})
+    joined = left.join(renamed, reduce(lambda a, b: a & b, [left[c].eqNullSafe(renamed[f"_right_{c}"]) for c in key]), how)
+    if how == "full_outer":
+        joined = joined.withColumns({c: F.coalesce(c, f"_right_{c}") for c in key})
+    return joined.drop(*[f"_right_{c}" for c in key])
+
+
 def pair_examples(source: DataFrame, decompiled: DataFrame) -> DataFrame:
-    """One example per id present on both sides of the same repo, artifact and code type."""
+    """One example per id present on both sides of the same repo, artifact and code type. Null keys are keys."""
     key = within(source, *KEY)
     s = source.select(*key, F.col("body").alias("source"))
     d = decompiled.select(*key, F.col("body").alias("decompiled"), "seq")
-    return s.join(d, key).select(
+    return join_on(s, d, key).select(
         *within(source), "artifact", "code_type", F.col("function_id").alias("ident"), "source", "decompiled", "seq"
     )
 
@@ -55,13 +65,13 @@ def pair_examples(source: DataFrame, decompiled: DataFrame) -> DataFrame:
 def missing_sources(source: DataFrame, decompiled: DataFrame) -> DataFrame:
     """Decompiled ids without a source."""
     key = within(source, *KEY)
-    return decompiled.select(*key).join(source.select(*key), key, "left_anti")
+    return join_on(decompiled.select(*key), source.select(*key), key, "left_anti")
 
 
 def missing_decompileds(source: DataFrame, decompiled: DataFrame) -> DataFrame:
     """Source ids that no decompiled function claimed."""
     key = within(source, *KEY)
-    return source.select(*key).join(decompiled.select(*key), key, "left_anti")
+    return join_on(source.select(*key), decompiled.select(*key), key, "left_anti")
 
 
 def missing_report(source: DataFrame, decompiled: DataFrame, sample: int = 100) -> DataFrame:
@@ -71,9 +81,8 @@ def missing_report(source: DataFrame, decompiled: DataFrame, sample: int = 100)
     holding most ids sends at most ``sample`` of them per task. The missing ids are stored once, for both uses.
     """
     key = within(source, *KEY)
-    sides = source.select(*key, F.lit(True).alias("_s")).join(
-        decompiled.select(*key, F.lit(True).alias("_d")), key, "full_outer"
-    )
+    sides = join_on(source.select(*key, F.lit(True).alias("_s")), decompiled.select(*key, F.lit(True).alias("_d")), key,
+                    "full_outer")
     missing = materialize(
         sides.where(F.col("_s").isNull() | F.col("_d").isNull()).select(
             *key, F.when(F.col("_s").isNull(), "source").otherwise("decompiled").alias("side")
@@ -86,7 +95,7 @@ def missing_report(source: DataFrame, decompiled: DataFrame, sample: int = 100)
         missing.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample)
         .groupBy(*group).agg(F.array_sort(F.collect_list("function_id")).alias("sample"))
     )
-    return counts.join(samples, group, "left").select(*group, "n", "sample")
+    return join_on(counts, samples, group, "left").select(*group, "n", "sample")
 
 
 def drop_half_blank(examples: DataFrame) -> DataFrame:
@@ -140,11 +149,12 @@ def new_ids_per_file(functions: DataFrame) -> DataFrame:
     first = pairs.groupBy(*within(pairs, "artifact", "code_type", "side", "function_id")).agg(F.min("path").alias("path"))
     new = first.groupBy(*file_key).agg(F.count("*").alias("new_ids"))
     return (
-        pairs.select(*file_key).distinct().join(new, file_key, "left")
+        join_on(pairs.select(*file_key).distinct(), new, file_key, "left")
         .select(*file_key, F.coalesce("new_ids", F.lit(0)).cast("long").alias("new_ids"))
     )
 
 
 def examples_per_artifact(examples: DataFrame) -> DataFrame:
-    """Example counts per (artifact, code type), per artifact (code_type null) and in total (both null)."""
-    return examples.rollup("artifact", "code_type").agg(F.count("*").alias("n"))
+    """Example counts per (artifact, code type), per artifact (code_type null) and in total (both null). A set with
+    ``repo`` is counted within each repo, with one more line per repo."""
+    return examples.rollup(*within(examples, "artifact", "code_type")).agg(F.count("*").alias("n"))

@@ -340,6 +340,8 @@ SELECT path, code_type, regexp_replace(path, '\\.o\\.c$', '.c') AS out_path FROM
 WHERE side = 'decompiled'""".replace("\\\\", "\\")
     q["decompiled_path"] = _with(_CLASSIFIED) + "SELECT doc_id, fstem || '.o.c' AS path FROM docs"
     q["render_examples"] = _corpus(_rendered(f"(SELECT *, {_ORDERED} - 1 AS idx FROM ex)"))
+    q["render_repeats"] = _corpus(_rendered(
+        f"(SELECT *, {_ORDERED} - 1 AS idx FROM (SELECT * FROM ex UNION ALL SELECT * FROM ex))"))
 
     # Extraction.
     q["extract_functions"] = _with(_LINES) + """
@@ -386,6 +388,26 @@ SELECT repo, artifact, code_type, function_id AS ident, s.body AS source, d.body
 FROM (SELECT repo, artifact, code_type, function_id, last(body ORDER BY path, pos) AS body FROM rs GROUP BY ALL) s
 JOIN (SELECT repo, artifact, code_type, function_id, last(body ORDER BY path, pos) AS body FROM rd GROUP BY ALL) d
 USING (repo, artifact, code_type, function_id)"""
+    q["examples_per_artifact_repos"] = _with(_LINES, _FUNCTIONS, repos) + """
+SELECT repo, artifact, code_type, count(*) AS n
+FROM (SELECT DISTINCT repo, artifact, code_type, function_id FROM rs)
+JOIN (SELECT DISTINCT repo, artifact, code_type, function_id FROM rd) USING (repo, artifact, code_type, function_id)
+GROUP BY ROLLUP (repo, artifact, code_type)"""
+    loose = """
+ns AS (SELECT CASE WHEN pos % 4 <> 0 THEN artifact END AS a, code_type, function_id, last(body ORDER BY path, pos) AS body
+       FROM sfun WHERE code_type = 'cpp' GROUP BY ALL),
+nd AS (SELECT CASE WHEN pos % 4 <> 0 THEN artifact END AS a, code_type, function_id, last(body ORDER BY path, pos) AS body
+       FROM dfun WHERE code_type = 'cpp' GROUP BY ALL),
+both_sides AS (
+  SELECT coalesce(s.a, d.a) AS artifact, 'cpp' AS code_type, coalesce(s.function_id, d.function_id) AS ident,
+         s.body AS source, d.body AS decompiled
+  FROM ns s FULL JOIN nd d ON s.a IS NOT DISTINCT FROM d.a AND s.function_id = d.function_id)"""
+    q["pair_examples_nulls"] = _with(_LINES, _FUNCTIONS, loose) + """
+SELECT * FROM both_sides WHERE source IS NOT NULL AND decompiled IS NOT NULL"""
+    q["missing_report_nulls"] = _with(_LINES, _FUNCTIONS, loose) + """
+SELECT artifact, code_type, CASE WHEN source IS NULL THEN 'source' ELSE 'decompiled' END AS side, count(*) AS n,
+       array_to_string(list(ident ORDER BY ident)[1:100], ' ') AS sample
+FROM both_sides WHERE source IS NULL OR decompiled IS NULL GROUP BY ALL"""
     q["missing_sources"] = _sides_missing("SELECT artifact, code_type, function_id FROM missing WHERE side = 'source'")
     q["missing_decompileds"] = _sides_missing(
         "SELECT artifact, code_type, function_id FROM missing WHERE side = 'decompiled'")
@@ -421,6 +443,12 @@ placed AS (SELECT *, row_number() OVER (
     q["split_off_end_nulls"] = _with(holes) + """
 SELECT artifact, code_type, ident, CASE WHEN r <= floor(n * CAST(0.3 AS DOUBLE)) THEN 'left' ELSE 'right' END AS part
 FROM placed"""
+    ties = """
+ties AS (SELECT l_returnflag AS artifact, l_linestatus AS code_type, l_linenumber AS ident FROM lineitem)"""
+    q["limit_count_ties"] = _with(ties) + "SELECT * FROM ties ORDER BY artifact, code_type, ident LIMIT 2000 OFFSET 777"
+    q["split_off_end_ties"] = _with(ties) + """
+SELECT artifact, code_type, ident, CASE WHEN row_number() OVER (ORDER BY artifact, code_type, ident)
+  <= floor((SELECT count(*) FROM ties) * CAST(0.37 AS DOUBLE)) THEN 'left' ELSE 'right' END AS part FROM ties"""
     q["artifact_cutoff"] = _corpus("""
 SELECT artifact, code_type, ident FROM ex JOIN (
   SELECT artifact, coalesce(sum(n) OVER (ORDER BY artifact ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before

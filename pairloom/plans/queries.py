@@ -288,6 +288,14 @@ def render_examples(spark, sf_dir):
     return rendered.select(F.col("idx").cast("long").alias("idx"), "rendered")
 
 
+@query
+def render_repeats(spark, sf_dir):
+    """Every example given twice."""
+    examples = _examples(spark, sf_dir)
+    rendered = dataset.render_examples(examples.unionByName(examples))
+    return rendered.select(F.col("idx").cast("long").alias("idx"), "rendered")
+
+
 # Extraction.
 
 @query
@@ -379,17 +387,41 @@ def pair_examples(spark, sf_dir):
     return _example_columns(pairing.pair_examples(*_sides(spark, sf_dir)))
 
 
+def _two_sides(functions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (pairing.dedupe_source(functions.where(F.col("side") == "source")),
+            pairing.dedupe_decompiled(functions.where(F.col("side") == "decompiled")))
+
+
+def _two_repos(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The same artifacts in two repos: functions at even and at odd places of their files."""
+    return _two_sides(read_functions(X.code_files(spark, sf_dir)).withColumn(
+        "repo", F.concat(F.lit("r"), (F.col("pos") % 2).cast("string"))))
+
+
 @query
 def pair_examples_repos(spark, sf_dir):
-    """The same artifacts in two repos: functions at even and at odd places of their files."""
-    functions = read_functions(X.code_files(spark, sf_dir)).withColumn(
-        "repo", F.concat(F.lit("r"), (F.col("pos") % 2).cast("string")))
-    source = pairing.dedupe_source(functions.where(F.col("side") == "source"))
-    decompiled = pairing.dedupe_decompiled(functions.where(F.col("side") == "decompiled"))
-    return pairing.pair_examples(source, decompiled).select(
+    return pairing.pair_examples(*_two_repos(spark, sf_dir)).select(
         "repo", "artifact", "code_type", "ident", "source", "decompiled")
 
 
+def _no_artifact(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Functions at every fourth place belong to no artifact."""
+    return _two_sides(read_functions(X.code_files(spark, sf_dir)).withColumn(
+        "artifact", F.when(F.col("pos") % 4 != 0, F.col("artifact"))))
+
+
+@query
+def pair_examples_nulls(spark, sf_dir):
+    return pairing.pair_examples(*_no_artifact(spark, sf_dir)).select(
+        "artifact", "code_type", "ident", "source", "decompiled")
+
+
+@query
+def missing_report_nulls(spark, sf_dir):
+    report = pairing.missing_report(*_no_artifact(spark, sf_dir)).drop("repo")
+    return report.withColumn("sample", F.array_join("sample", " "))
+
+
 @query
 def missing_sources(spark, sf_dir):
     return pairing.missing_sources(*_sides(spark, sf_dir)).drop("repo")
@@ -474,6 +506,24 @@ def split_off_end_nulls(spark, sf_dir):
     return left.withColumn("part", F.lit("left")).unionByName(right.withColumn("part", F.lit("right"))).drop("seq")
 
 
+def _ties(spark, sf_dir):
+    """A set of few different rows, each repeated many times."""
+    return X.table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("artifact"), F.col("l_linestatus").alias("code_type"),
+        F.col("l_linenumber").alias("ident"), F.struct(F.lit("p").alias("path"), F.lit(0).alias("pos")).alias("seq"))
+
+
+@query
+def limit_count_ties(spark, sf_dir):
+    return dataset.limit_count(_ties(spark, sf_dir), 2000, 777).drop("seq")
+
+
+@query
+def split_off_end_ties(spark, sf_dir):
+    left, right = dataset.split_off_end(_ties(spark, sf_dir), 0.37)
+    return left.withColumn("part", F.lit("left")).unionByName(right.withColumn("part", F.lit("right"))).drop("seq")
+
+
 def _new_ids(spark, sf_dir):
     return pairing.new_ids_per_file(read_functions(X.code_files(spark, sf_dir), BOTH))
 
@@ -538,7 +588,12 @@ def new_ids_per_file(spark, sf_dir):
 
 @query
 def examples_per_artifact(spark, sf_dir):
-    return pairing.examples_per_artifact(build_examples(X.code_files(spark, sf_dir), BOTH))
+    return pairing.examples_per_artifact(build_examples(X.code_files(spark, sf_dir), BOTH).drop("repo"))
+
+
+@query
+def examples_per_artifact_repos(spark, sf_dir):
+    return pairing.examples_per_artifact(pairing.pair_examples(*_two_repos(spark, sf_dir)))
 
 
 def _objects(spark, sf_dir):

@@ -78,3 +78,41 @@ def test_running_total_with_null_groups(spark, rows):
     for group in (None, 0, 1, 2):
         members = sorted((r for r in NULLS if r[0] == group), key=nulls_first)
         assert [got[c] for _, _, c in members] == list(range(len(members)))
+
+
+# Equal keys with other content, and copies of whole rows.
+REPEATS = [(i % 3, f"c{i % 4}") for i in range(60)] + [(1, "c9")] * 25 + [(None, None)] * 7
+
+
+@pytest.mark.parametrize("skip, count", [(0, 1), (0, 2), (5, 1), (3, 40), (30, 3), (0, 92), (50, None), (91, 9), (92, 1)])
+def test_slices_among_equal_keys(spark, skip, count):
+    df = spark.createDataFrame(REPEATS, "a int, b string").repartition(4)
+    order = [F.col("a")]
+    end = len(REPEATS) if count is None else min(skip + count, len(REPEATS))
+    part = [tuple(r) for r in O.ordered_slice(df, order, skip, count).collect()]
+    ranked = sorted((a for a, _ in REPEATS), key=lambda a: (a is not None, a))
+    assert sorted((a for a, _ in part), key=repr) == sorted(ranked[skip:end], key=repr)
+    # With what is before and after it, the set is whole.
+    before = O.ordered_slice(df, order, 0, skip).collect()
+    after = [] if count is None else O.ordered_slice(df, order, skip + count, None).collect()
+    assert sorted([*part, *map(tuple, before), *map(tuple, after)], key=repr) == sorted(REPEATS, key=repr)
+
+
+@pytest.mark.parametrize("ratio", [0.0, 0.1, 0.5, 0.77, 1.0, 2.0])
+def test_split_parts_are_complete(spark, ratio):
+    df = spark.createDataFrame(REPEATS, "a int, b string").repartition(4)
+    left, right = (list(map(tuple, part.collect())) for part in O.ordered_split(df, [F.col("a")], ratio))
+    assert len(left) == min(len(REPEATS), int(len(REPEATS) * ratio))
+    assert sorted(left + right, key=repr) == sorted(REPEATS, key=repr)
+
+
+def test_empty_set_is_split_and_cut(spark):
+    df = spark.createDataFrame([], "a int, b string")
+    assert [p.count() for p in O.ordered_split(df, [F.col("a")], 0.5)] == [0, 0]
+    assert O.ordered_slice(df, [F.col("a")], 0, 3).count() == 0
+
+
+def test_places_of_equal_rows(spark):
+    df = spark.createDataFrame(REPEATS, "a int, b string").repartition(4)
+    got = sorted((r.n, r.a) for r in O.with_place(df, [F.col("a")], "n").collect() if r.a is not None)
+    assert [n for n, _ in got] == list(range(7, len(REPEATS))) and [a for _, a in got] == sorted(a for _, a in got)
