@@ -157,6 +157,15 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def artifact_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as entries of 40 packages, half of them artifacts of the code tree; every sixth package always fails."""
+    package = F.col("user_id") % 40
+    good = (F.col("event_type") != "error") & (package % 6 != 5)
+    return table(spark, sf_dir, "events").select(
+        F.lit("docs").alias("repo"), F.concat(F.lit("src"), package.cast("string")).alias("package"),
+        F.when(good, "success").otherwise("failed").alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+
+
 def header_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header per document with include lines to other documents' headers, the text following as comments.
 

@@ -607,4 +607,9 @@ QUALIFY row_number() OVER (PARTITION BY out_path ORDER BY rel_path DESC) = 1"""
 
     # Streaming.
     q["watch_ledger"] = _with(_LEDGER) + "SELECT DISTINCT 'main' AS repo, package FROM led WHERE status = 'success'"
+    q["watch_build"] = _corpus("""
+SELECT batches, artifact, code_type, ident, source, decompiled FROM ex, (VALUES (1), (8)) b(batches)
+WHERE artifact IN (SELECT 'src' || (user_id % 40) FROM events WHERE event_type <> 'error' AND (user_id % 40) % 6 <> 5)""")
+    q["ledger_snapshot"] = _with(_LEDGER) + "SELECT 'main' AS repo, package, status FROM latest"
+    q["marker_ledger"] = _with(_LEDGER) + "SELECT DISTINCT 'main' AS repo, package, status FROM led"
     return q

@@ -17,7 +17,10 @@ from pairloom.plans.build import build, build_examples, match_sides, read_functi
 from pairloom.session import materialize, scratch
 from pairloom.sources import examples as example_files
 from pairloom.sources import files as file_source
+from pairloom.sources import ledger as ledger_store
+from pairloom.sources import status_markers
 from pairloom.sources import tree as tree_source
+from pairloom.streaming import maintain
 from pairloom.streaming.watch import watch_ledger as start_watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -925,3 +928,45 @@ def watch_ledger(spark, sf_dir):
     stream = start_watch(spark, f"{root}/ledger", process, f"{root}/state", files_per_batch=1)
     stream.awaitTermination()
     return spark.read.schema("repo string, package string").parquet(f"{root}/out").select("repo", "package")
+
+
+@query
+def watch_build(spark, sf_dir):
+    """Examples kept by a watch over the ledger of artifacts, in one batch and in eight."""
+    ledger = scratch(spark, "ledger")
+    X.artifact_ledger(spark, sf_dir).repartitionByRange(8, "package").write.parquet(ledger)
+
+    def files(changed: DataFrame) -> DataFrame:
+        return X.code_files(spark, sf_dir)
+
+    kept = []
+    for files_per_batch in (8, 1):
+        root = scratch(spark, "watch")
+        process = maintain.example_keeper(files, f"{root}/examples")
+        start_watch(spark, ledger, process, f"{root}/state", files_per_batch=files_per_batch).awaitTermination()
+        kept.append(maintain.read_maintained(spark, f"{root}/examples").select(
+            F.lit(8 // files_per_batch).alias("batches"), "artifact", "code_type", "ident", "source", "decompiled"))
+    return kept[0].unionByName(kept[1])
+
+
+@query
+def ledger_snapshot(spark, sf_dir):
+    """Newest status from a snapshot of a snapshot, and the entries after it."""
+    root, entries = scratch(spark, "ledger"), X.ledger(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    for k in range(4):
+        ledger_store.append_entries(entries.where(F.pmod(F.unix_seconds("ts"), F.lit(4)) == k), root)
+        if k in (1, 2):
+            ledger_store.compact(spark, root)
+    ledger_store.vacuum(spark, root, keep=1)
+    return ledger_store.newest_entries(spark, root).select("repo", "package", "status")
+
+
+@query
+def marker_ledger(spark, sf_dir):
+    """Status markers written from the events and drained as a stream of ledger entries."""
+    root = scratch(spark, "markers")
+    status_markers.write_markers(X.ledger(spark, sf_dir), f"{root}/stats")
+    entries = status_markers.marker_stream(spark, f"{root}/stats", "main", lag=0)
+    entries.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).format("parquet") \
+        .start(f"{root}/entries").awaitTermination()
+    return spark.read.schema("repo string, package string, status string").parquet(f"{root}/entries")

@@ -40,7 +40,7 @@ def _file_system(scheme: str, authority: str) -> tuple[pafs.FileSystem, str]:
     return found, root.rstrip("/")
 
 
-def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a qualified path, and the path in it. The path is taken as it is, never as an encoded URI."""
     scheme, authority, plain = _LOCATION.fullmatch(path).groups()
     found, root = _file_system(scheme, authority or "")
@@ -55,7 +55,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Files and directories of the directories, in bounded batches. Links to directories are left out: no cycles."""
     for batch in batches:
         for directory in batch.column(0).to_pylist():
-            filesystem, plain = _opened(directory)
+            filesystem, plain = opened(directory)
             kept = [i for i in filesystem.get_file_info(pafs.FileSelector(plain))
                     if i.type == pafs.FileType.File
                     or i.type == pafs.FileType.Directory and not _is_link(filesystem, i.path)]
@@ -111,7 +111,7 @@ def with_content(files: DataFrame) -> DataFrame:
         for batch in batches:
             contents, start, held = [], 0, 0
             for i, location in enumerate(batch.column(names.index("path")).to_pylist()):
-                filesystem, plain = _opened(location)
+                filesystem, plain = opened(location)
                 try:
                     with filesystem.open_input_stream(plain) as stream:
                         contents.append(stream.read())

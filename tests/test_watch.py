@@ -51,3 +51,34 @@ def test_forced_watch_repeats(spark, tmp_path):
     watch_ledger(spark, ledger, lambda p, b: seen.append(p.count()), str(tmp_path / "state"), force=True,
                  files_per_batch=1).awaitTermination()
     assert seen == [1, 1]
+
+
+def test_a_late_failure_takes_a_success_back_until_it_has_settled(spark, tmp_path):
+    ledger, seen = str(tmp_path / "ledger"), []
+
+    def batch(*rows):
+        data = [("r", p, s, T0 + dt.timedelta(minutes=m)) for p, s, m in rows]
+        spark.createDataFrame(data, schemas.LEDGER).coalesce(1).write.mode("append").parquet(ledger)
+        watch_ledger(spark, ledger, lambda packages, _: seen.extend(r.package for r in packages.collect()),
+                     str(tmp_path / "state"), settle="10 minutes").awaitTermination()
+
+    batch(("a", "success", 0), ("b", "success", 1))
+    assert seen == []
+    batch(("a", "failed", 5))
+    batch(("c", "failed", 60), ("c", "failed", 61))
+    assert seen == ["b"]
+    batch(("b", "success", 62), ("c", "failed", 120))
+    batch(("c", "failed", 240))
+    assert seen == ["b"]
+
+
+def test_state_is_kept_for_the_packages_of_a_batch_only(spark, tmp_path):
+    ledger, seen = str(tmp_path / "ledger"), []
+    write(spark, ledger, [(f"p{i}", "success") for i in range(300)])
+    query = watch_ledger(spark, ledger, lambda p, b: seen.append(p.count()), str(tmp_path / "state"))
+    query.awaitTermination()
+    write(spark, ledger, [("p7", "success"), ("new", "success")])
+    query = watch_ledger(spark, ledger, lambda p, b: seen.append(p.count()), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert seen == [300, 1]
+    assert sum(op["numRowsUpdated"] for op in query.lastProgress["stateOperators"]) == 2
