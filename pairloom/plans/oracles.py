@@ -293,6 +293,13 @@ SELECT 'docs' AS repo, 'source=' || source AS artifact, CAST(sum(length(text) +
        CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS newlines,
        CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes
 FROM documents GROUP BY source"""
+    tree = _with(_LINES, _RENDERED_FILES, """
+whole AS (SELECT rel_path, content FROM filetext UNION ALL SELECT 'html/p' || page_id || '.html', html FROM pages)""")
+    q["tree_scan"] = tree + """
+SELECT 'docs' AS repo, split_part(rel_path, '/', 1) AS artifact, rel_path,
+       CAST(len(string_split(rel_path, '/')) AS INTEGER) AS depth, octet_length(encode(content)) AS length
+FROM whole WHERE regexp_matches(rel_path, '[.](cpp|cc|html)$') AND octet_length(encode(content)) > 2000"""
+    q["tree_sink"] = tree + "SELECT rel_path, octet_length(encode(content)) AS length, content AS text FROM whole"
     q["scan_files_depth"] = f"SELECT * FROM ({_PAGE_PATHS}) WHERE len(string_split(rel_path, '/')) <= 3"
     q["derive_artifact"] = (f"SELECT page_id, rel_path, split_part(rel_path, '/', 1) AS artifact FROM ({_PAGE_PATHS}) "
                             "WHERE contains(rel_path, '/')")

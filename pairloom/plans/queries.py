@@ -16,6 +16,7 @@ from pairloom.plans import fixtures as X
 from pairloom.plans.build import build, build_examples, match_sides, read_functions
 from pairloom.session import materialize, scratch
 from pairloom.sources import examples as example_files
+from pairloom.sources import file_tree
 from pairloom.sources import files as file_source
 from pairloom.sources import ledger as ledger_store
 from pairloom.sources import status_markers
@@ -133,6 +134,30 @@ def scan_files(spark, sf_dir):
     )
 
 
+def _written_tree(spark, sf_dir) -> str:
+    """Source and marked files and pages as files of a tree."""
+    root = scratch(spark, "tree")
+    files = X.code_files(spark, sf_dir).select("rel_path", "content").unionByName(_page_files(spark, sf_dir))
+    file_tree.write_tree_files(files.withColumn("part", F.lit(0)), root)
+    return root
+
+
+@query
+def tree_scan(spark, sf_dir):
+    """A listing that gets depth, ending and length as pushed filters."""
+    tree = file_tree.read_tree(spark, _written_tree(spark, sf_dir), "docs")
+    wanted = (F.col("depth") <= 3) & F.col("ending").isin(".cpp", ".cc", ".html") & (F.col("length") > 2000)
+    return tree.where(wanted).select("repo", "artifact", "rel_path", "depth", "length")
+
+
+@query
+def tree_sink(spark, sf_dir):
+    """Every file of a written tree, read back."""
+    tree = file_tree.read_tree(spark, _written_tree(spark, sf_dir))
+    files = tree.where(F.col("problem").isNull()).select("artifact", "path", "rel_path", "file_name", "length")
+    return file_source.read_text(file_source.with_content(files)).select("rel_path", "length", "text")
+
+
 def _page_paths(spark, sf_dir):
     return X.table(spark, sf_dir, "pages").select(
         "page_id", F.regexp_replace("url", "^https?://", "").alias("rel_path")

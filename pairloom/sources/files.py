@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache, reduce
 
 import pyarrow as pa
@@ -47,36 +48,57 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return found, root + plain
 
 
-def _is_link(filesystem: pafs.FileSystem, path: str) -> bool:
-    return isinstance(filesystem, pafs.LocalFileSystem) and os.path.islink(path)
+@dataclass(frozen=True)
+class Entry:
+    name: str
+    folder: bool
+    length: int | None
+
+
+def entries_of(filesystem: pafs.FileSystem, plain: str, sizes: bool = True) -> Iterator[Entry]:
+    """Files and folders of a folder; links to folders are left out. A local folder is never held as a whole."""
+    if isinstance(filesystem, pafs.LocalFileSystem):
+        with os.scandir(plain) as found:
+            for entry in found:
+                if entry.is_dir(follow_symlinks=False):
+                    yield Entry(entry.name, True, None)
+                elif entry.is_file():
+                    yield Entry(entry.name, False, entry.stat().st_size if sizes else None)
+        return
+    for info in filesystem.get_file_info(pafs.FileSelector(plain)):
+        if info.type in (pafs.FileType.File, pafs.FileType.Directory):
+            yield Entry(info.base_name, info.type == pafs.FileType.Directory, info.size)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Files and directories of the directories, in bounded batches. Links to directories are left out: no cycles."""
+    """Files and directories of the directories, in bounded batches; a directory that cannot be listed, with the reason."""
     for batch in batches:
         for directory in batch.column(0).to_pylist():
             filesystem, plain = opened(directory)
-            kept = [i for i in filesystem.get_file_info(pafs.FileSelector(plain))
-                    if i.type == pafs.FileType.File
-                    or i.type == pafs.FileType.Directory and not _is_link(filesystem, i.path)]
-            for at in range(0, len(kept), LISTING_BATCH):
-                part = kept[at:at + LISTING_BATCH]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([f"{directory.rstrip('/')}/{i.base_name}" for i in part], pa.string()),
-                        pa.array([i.type == pafs.FileType.Directory for i in part], pa.bool_()),
-                        pa.array([i.size or 0 for i in part], pa.int64()),
-                    ],
-                    names=["path", "is_dir", "length"],
-                )
+            rows: list[tuple] = []
+            try:
+                for entry in entries_of(filesystem, plain):
+                    rows.append((f"{directory.rstrip('/')}/{entry.name}", entry.folder, entry.length or 0, None))
+                    if len(rows) == LISTING_BATCH:
+                        yield _listed(rows)
+                        rows = []
+            except OSError as trouble:
+                rows.append((directory, False, None, f"{type(trouble).__name__}: {trouble.strerror or trouble}"))
+            yield _listed(rows)
 
 
-def list_files(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
-    """Every regular file below ``root`` without its content, empty and hidden ones included.
+def _listed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.string())
+    columns = zip(*rows) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds)), names=["path", "is_dir", "length", "problem"])
+
+
+def list_tree(spark: SparkSession, root: str, repo: str = "") -> tuple[DataFrame, DataFrame]:
+    """Every regular file below ``root`` without its content, empty and hidden ones included, and the directories that
+    could not be listed, as rejects.
 
     Directories are listed level by level in tasks, so the list of a very large tree is never held by the driver. Names
-    may hold any characters. Linked files are files, linked directories are not entered. Add ``with_content`` after
-    filtering: only files that are still wanted get opened.
+    may hold any characters. Linked files are files, linked directories are not entered.
     """
     qualified, fs = hadoop_path(spark, root)
     if not fs.exists(qualified):
@@ -87,17 +109,26 @@ def list_files(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
     while True:
         # Hash partitioning spreads the directories of a level over the tasks.
         spread = directories.repartition("path")
-        level = materialize(spread.mapInArrow(_entries, "path string, is_dir boolean, length long"))
-        levels.append(level.where(~F.col("is_dir")).select("path", "length"))
+        level = materialize(spread.mapInArrow(_entries, "path string, is_dir boolean, length long, problem string"))
+        levels.append(level.where(~F.col("is_dir")).select("path", "length", "problem"))
         directories = level.where("is_dir").select("path")
         if directories.isEmpty():
             break
-    found = reduce(DataFrame.unionByName, levels)
-    files = found.select(
+    found = reduce(DataFrame.unionByName, levels).select(
         F.lit(repo).alias("repo"), "path", F.substr("path", F.lit(len(base) + 2)).alias("rel_path"),
-        file_name("path").alias("file_name"), "length",
+        file_name("path").alias("file_name"), "length", "problem",
     )
-    return derive_artifact(files).select("repo", "artifact", "path", "rel_path", "file_name", "length")
+    files = derive_artifact(found.where(F.col("problem").isNull()))
+    artifact = F.when(F.col("rel_path") != "", F.substring_index("rel_path", "/", 1))
+    rejects = found.where(F.col("problem").isNotNull()).select(
+        artifact.alias("artifact"), "path", F.lit(None).cast("int").alias("pos"), F.lit("unlisted").alias("reason"),
+        F.col("problem").alias("detail"))
+    return files.select("repo", "artifact", "path", "rel_path", "file_name", "length"), rejects
+
+
+def list_files(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
+    """The files of ``list_tree``. Add ``with_content`` after filtering: only files that are still wanted get opened."""
+    return list_tree(spark, root, repo)[0]
 
 
 def with_content(files: DataFrame) -> DataFrame:

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections.abc import Iterable
-
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import MARKER_PREFIX
-from pairloom.sources.files import hadoop_path
+from pairloom.sources.file_tree import write_tree_files  # noqa: F401
 
 
 def ordered_concat(pieces: DataFrame, key: str, pos: str, text: str, sep: str,
@@ -60,44 +56,3 @@ def write_tree(tree: DataFrame, out_root: str, force: bool = False) -> None:
         tree.repartitionByRange(*keys).sortWithinPartitions(*keys)
         .write.mode("overwrite" if force else "errorifexists").parquet(out_root)
     )
-
-
-def write_tree_files(tree: DataFrame, out_root: str, force: bool = False) -> None:
-    """Write (rel_path, part, content) rows as separate files below a folder mounted on every executor.
-
-    Each file is streamed by one task into a temporary name and then renamed, so a repeated task leaves the same tree.
-    """
-    spark = tree.sparkSession
-    path, fs = hadoop_path(spark, out_root)
-    if fs.exists(path):
-        if not force:
-            raise ValueError(f"{out_root} is there already; force replaces it")
-        fs.delete(path, True)
-    fs.mkdirs(path)
-    root = path.toUri().getPath()
-
-    def write(rows: Iterable[Row]) -> None:
-        current, tmp, handle = None, None, None
-
-        def close() -> None:
-            if handle is not None:
-                handle.close()
-                os.replace(tmp, os.path.join(root, current))
-
-        for row in rows:
-            if row.rel_path != current:
-                close()
-                current = row.rel_path
-                target = os.path.join(root, current)
-                if not os.path.realpath(target).startswith(os.path.realpath(root) + os.sep):
-                    raise ValueError(f"{current} leads out of the output folder")
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                tmp = f"{target}.{uuid.uuid4().hex}.tmp"
-                handle = open(tmp, "wb")
-            handle.write(bytes(row.content))
-        close()
-
-    (
-        tree.select("rel_path", "part", F.col("content").cast("binary").alias("content"))
-        .repartition("rel_path").sortWithinPartitions("rel_path", "part").foreachPartition(write)
-    )
