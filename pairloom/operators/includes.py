@@ -132,27 +132,54 @@ def _below_ancestors(local: DataFrame, known: DataFrame, key: list[str], depth:
     )
 
 
+def _doubled(edges: DataFrame, most: int | None) -> DataFrame:
+    """(root, path, hops): every node of ``edges`` with all it reaches, itself included, and the least number of hops.
+
+    After round k all pairs up to ``2 ** k`` hops apart are known. A pair farther away, up to twice as far, has a node in
+    between that is exactly ``2 ** k`` hops from its start: so only the pairs at that distance are extended, by all known
+    ones. The rounds grow with the logarithm of the depth; cycles end, as no pair is farther apart than it needs to be.
+    """
+    nodes = edges.select("path").unionByName(edges.select(F.col("resolved_path").alias("path"))).distinct()
+    own = nodes.select(F.col("path").alias("root"), "path", F.lit(0).alias("hops"))
+    once = edges.where(F.col("path") != F.col("resolved_path")).select(
+        F.col("path").alias("root"), F.col("resolved_path").alias("path"), F.lit(1).alias("hops"))
+    known = materialize(own.unionByName(once))
+    reach = 1
+    while most is None or reach < most:
+        far = known.where(F.col("hops") == reach)
+        if far.isEmpty():
+            break
+        on = known.where(F.col("hops") > 0).select(F.col("root").alias("path"), F.col("path").alias("_to"), F.col("hops").alias("_on"))
+        step = far.join(on, "path").select("root", F.col("_to").alias("path"), (F.col("hops") + F.col("_on")).alias("hops"))
+        known = materialize(known.unionByName(step).groupBy("root", "path").agg(F.min("hops").alias("hops")))
+        reach *= 2
+    return known
+
+
 def include_closure(includes: DataFrame, roots: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(root, path) for every file reachable from each root over resolved includes; a root reaches itself.
 
-    Rounds of one hop: only pairs found in the last round are extended. Each round is one grouping of the pairs known and
-    found, which drops repeats before the shuffle and keeps the smallest number of hops, so cycles end; it is written to
-    reliable storage, which cuts the lineage. ``max_hops`` leaves out what is farther away than so many includes; without
-    it the closure is complete.
+    The files that are included by others reach each other in a number of rounds that grows with the logarithm of the
+    depth (``_doubled``); each round is written to reliable storage, which cuts the lineage. What a root reaches is then
+    one join away: its own includes, and what these reach. Cost follows the closure of all included files: give the
+    includes of the part of a tree that the roots belong to. ``max_hops`` leaves out what is farther away.
     """
     edges = materialize(
         includes.where(F.col("resolved_path").isNotNull()).select("path", "resolved_path").distinct()
     )
-    known = materialize(roots.select(F.col("path").alias("root"), "path", F.lit(0).alias("hops")).distinct())
-    hops = 0
-    while max_hops is None or hops < max_hops:
-        last = known.where(F.col("hops") == hops)
-        if last.isEmpty():
-            break
-        hops += 1
-        step = last.join(edges, "path").select("root", F.col("resolved_path").alias("path"), F.lit(hops).alias("hops"))
-        known = materialize(known.unionByName(step).groupBy("root", "path").agg(F.min("hops").alias("hops")))
-    return known.drop("hops")
+    start = materialize(roots.select("path").distinct())
+    alone = start.select(F.col("path").alias("root"), "path")
+    if max_hops == 0:
+        return alone
+    included = edges.select(F.col("resolved_path").alias("path")).distinct()
+    inner = _doubled(edges.join(included, "path", "left_semi"), None if max_hops is None else max_hops)
+    if max_hops is not None:
+        inner = inner.where(F.col("hops") < max_hops)
+    # An included file without includes of its own is no node of an edge between included files; it reaches itself.
+    reached = inner.select(F.col("root").alias("resolved_path"), F.col("path").alias("_to"))
+    first = start.join(edges, "path").join(reached, "resolved_path", "left")
+    return alone.unionByName(
+        first.select(F.col("path").alias("root"), F.coalesce("_to", "resolved_path").alias("path"))).distinct()
 
 
 def functions_with_imports(functions: DataFrame, closure: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
