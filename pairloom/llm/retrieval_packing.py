@@ -13,7 +13,7 @@
 
 Text null or empty: only the end id, packed like any other. Repeated rows, or rows with equal ids: each is packed. Equal
 scores go to the rest that comes first in the order. Very long texts: one row per whole window, no other limit; the
-tokenizer gets each different word of a batch once and a worker remembers ``REMEMBERED`` words. Texts that hold
+tokenizer gets each different word of a batch once and a worker remembers up to twice ``REMEMBERED`` words. Texts that hold
 a special token's mark are tokenized whole. Empty input: empty result. Columns other than ``doc_id`` and
 ``text`` are not read. Sequence numbers are unique, not dense; they depend on the partitioning.
 """
@@ -39,7 +39,7 @@ END = 1
 SHARD = 4_096
 # Of BM25: how soon repeats of a word count for less, and how much length counts.
 K1, B = 1.2, 0.75
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 TOKENIZER = "word_bpe_49k.json"
 
 CUT = "doc_id {id}, start long, length long, doc_tokens long, number long, whole boolean, near_a long, near_b long, ids binary"
@@ -71,7 +71,9 @@ class Tokens:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        # Words of late, and those before them: what is met again moves up, the rest is forgotten.
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.independent = self._independent()
 
@@ -111,8 +113,11 @@ class Tokens:
         special = [not self.independent or any(mark in data for mark in self.marks) for data in small]
         words = [[] if alone else data.split() for data, alone in zip(small, special)]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         new = set(chain.from_iterable(words)).difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        new.difference_update(again)
         # A word with a comma or full stop at its end is the word and that sign.
         signed = [w for w in new if len(w) > 1 and w[-1] in b",." and (48 <= w[-2] <= 57 or 97 <= w[-2] <= 122)]
         need = new.difference(signed).union(w[:-1] for w in signed).union(w[-1:] for w in signed).difference(self.known)
@@ -128,8 +133,7 @@ class Tokens:
 
 
 def min_hashes(ids: np.ndarray) -> tuple[int, int]:
-    distinct = np.flatnonzero(np.bincount(ids)).astype(np.uint64)
-    return tuple(int(mixed(distinct + np.uint64(seed)).min() >> np.uint64(1)) for seed in (1 << 32, 2 << 32))
+    return tuple(int(mixed(ids + np.uint64(seed)).min() >> np.uint64(1)) for seed in (1 << 32, 2 << 32))
 
 
 def cut_documents(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
@@ -161,7 +165,10 @@ def cut_documents(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame
 
 
 class Index:
-    """Inverted index of a shard: per id the rests that hold it, with BM25 weights."""
+    """Inverted index of a shard: per id the rests that hold it, with BM25 weights. The lists of frequent ids, which hold
+    most of the entries, are kept as rows over all rests."""
+
+    FREQUENT = 16  # an id is frequent if a rest in so many holds it
 
     def __init__(self, rests: list[np.ndarray]):
         n = len(rests)
@@ -174,19 +181,29 @@ class Index:
         rare = np.log1p((n - holding + 0.5) / (holding + 0.5))
         self.weight = rare[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[self.rest] / lengths.mean()))
         self.n = n
+        frequent = holding * self.FREQUENT > n
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.rows = np.zeros((int(frequent.sum()), n))
+        dense = frequent[term]
+        self.rows[self.row[term[dense]], self.rest[dense]] = self.weight[dense]
+        self._leave(~dense)
+
+    def _leave(self, held: np.ndarray) -> None:
+        self.first = np.concatenate([[0], np.cumsum(held)])[self.first]
+        self.rest, self.weight = self.rest[held], self.weight[held]
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """The BM25 score of every rest for a query of different ids."""
         ids = ids[ids < len(self.first) - 1]
         low, many = self.first[ids], self.first[ids + 1] - self.first[ids]
         at = np.arange(int(many.sum())) + np.repeat(low - np.cumsum(many) + many, many)
-        return np.bincount(self.rest[at], self.weight[at], self.n)
+        rows = self.row[ids]
+        # Rounded, so that equal scores are equal in whatever order they were added up.
+        return np.round(np.bincount(self.rest[at], self.weight[at], self.n) + self.rows[rows[rows >= 0]].sum(axis=0), 9)
 
     def keep(self, unused: np.ndarray) -> None:
-        """Forget the other rests."""
-        held = unused[self.rest]
-        self.first = np.concatenate([[0], np.cumsum(held)])[self.first]
-        self.rest, self.weight = self.rest[held], self.weight[held]
+        """Forget other rests where that saves time; their scores mean nothing from then on."""
+        self._leave(unused[self.rest])
 
 
 Piece = tuple[object, int, int]  # key of a rest, start in it, end in it
@@ -203,7 +220,7 @@ class Packer:
 
     def _put(self, piece: Piece, ids: np.ndarray) -> None:
         if not self.window:
-            self.query = np.flatnonzero(np.bincount(ids))
+            self.query = np.unique(ids).astype(np.int64)
         self.window.append(piece)
         self.room -= piece[2] - piece[1]
 

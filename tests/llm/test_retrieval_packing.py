@@ -90,7 +90,7 @@ def test_scores_are_bm25():
     assert np.allclose(index.scores(np.array(query)), want)
     unused = np.arange(25) % 3 == 0
     index.keep(unused)
-    assert np.allclose(index.scores(np.array(query)), np.where(unused, want, 0))
+    assert np.allclose(index.scores(np.array(query))[unused], np.array(want)[unused])
 
 
 def brute_windows(rests, length):
