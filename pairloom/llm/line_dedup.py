@@ -5,15 +5,18 @@ A document is its sequence of lines that hold a word, each with a hash and its n
 1. A window is the shortest run of lines from a line on that holds ``min_words`` words. Its fingerprint is the smallest
    line hash in it, carried with a hash of the whole window, so that only equal windows meet: any passage of at least
    ``min_words`` words in whole lines contains a window, and equal passages have equal fingerprints.
-2. Positions of equal fingerprints are joined to the first one, in the order of document id and position. One partner
+2. Every window is kept, not only a document's minima: so a repeated passage is found from its first whole line on.
+   Positions of equal fingerprints are joined to the first one, in the order of document id and position. One partner
    per position: the work grows with the positions, not with the pairs of a group.
 3. A match is extended both ways. To the left nothing is left to do: a longer equal run to the left begins with a window
-   that is a match itself. To the right the lines that follow both places and are equal are added; they hold fewer than
-   ``min_words`` words, or they would hold a window of their own.
+   that is a match itself. To the right the lines that follow are added, fewer than ``min_words`` words, or they would
+   hold a window of their own: a repeated window is looked up together with its first following line, with the first two,
+   and so on, each such run having a first place of its own. So a passage that goes on differently in several groups of
+   documents is followed in each group.
 4. All lines of later matches, with the blank lines between them, are deleted. The first place of a window stays; a
    window that overlaps its own first place in the same document loses only the lines beyond it.
 
-Null text stays null, empty text stays empty; neither matches anything. Rows with equal id and text are one document and
+Null text stays null, empty text stays empty; neither matches anything; an empty table stays empty. Rows with equal id and text are one document and
 each keeps its row, with the same result. Rows with equal id and different text are different documents, ordered by a
 hash of their text. A null id comes first. Lines are compared without white space at their ends. A match needs two equal
 64-bit hashes. Very long documents are windows over one document's lines, never over a group. All columns are kept.
@@ -62,34 +65,40 @@ def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def equal_tail(own: Column, first: Column, end: Column) -> Column:
-    """Line number of the last line that still equals its counterpart, or ``end``."""
-    def grow(acc: Column, pair: Column) -> Column:
-        same = acc["open"] & F.coalesce(pair["own"]["h"] == pair["first"]["h"], F.lit(False))
-        return F.struct(same.alias("open"), F.when(same, pair["own"]["pos"]).otherwise(acc["end"]).alias("end"))
+def longer_runs() -> Column:
+    """Of a window: structs (key, end) of the window alone and with its first one, two, ... following lines."""
+    start = F.array(F.struct(F.col("window").alias("key"), F.col("end").alias("end")))
 
-    start = F.struct(F.lit(True).alias("open"), end.alias("end"))
-    return F.aggregate(F.arrays_zip(own.alias("own"), first.alias("first")), start, grow, lambda acc: acc["end"])
+    def add(runs: Column, line: Column) -> Column:
+        key = F.xxhash64(F.element_at(runs, -1)["key"], line["h"])
+        return F.concat(runs, F.array(F.struct(key.alias("key"), line["pos"].alias("end"))))
+
+    return F.aggregate(F.coalesce("tail", F.array().cast("array<struct<h:bigint,pos:int>>")), start, add)
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (doc_id, __text_key, __gone): per document the numbers of the lines to delete."""
     prints = materialize(fingerprints(docs, min_words))
-    twice = prints.groupBy("low", "window").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    found = materialize(prints.join(twice, ["low", "window"], "left_semi"))
-    place = F.struct(*KEY, "pos", "end", F.col("tail.h").alias("tail_h"))
-    first = found.groupBy("low", "window").agg(F.min(place).alias("first"))
+    twice = prints.groupBy("low", "window").agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    windows = prints.join(twice, ["low", "window"], "left_semi")
+    runs = materialize(
+        windows.select(*KEY, "pos", "low", F.explode(longer_runs()).alias("run"))
+        .select(*KEY, "pos", "low", "run.key", "run.end"))
+    # Stored, so that the join reads two plain tables and the runtime may split a run that very many places hold.
+    first = materialize(
+        runs.groupBy("low", "key").agg(F.min(F.struct(*KEY, "pos", "end")).alias("first"), F.count("*").alias("n"))
+        .where(F.col("n") > 1).drop("n"))
     same_document = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("__text_key") == F.col("first.__text_key"))
     matches = (
-        found.join(first, ["low", "window"])
+        runs.join(first, ["low", "key"])
         .where(~(same_document & (F.col("pos") == F.col("first.pos"))))
-        .withColumn("first_tail", F.transform("first.tail_h", lambda h: F.struct(h.alias("h"))))
-        .withColumn("to", equal_tail(F.col("tail"), F.col("first_tail"), F.col("end")))
         .withColumn("from", F.when(same_document, F.greatest(F.col("pos"), F.col("first.end") + 1))
                     .otherwise(F.col("pos")))
-        .where(F.col("from") <= F.col("to"))
+        .where(F.col("from") <= F.col("end"))
+        # Of the runs from one place the longest says it all; both groupings use one exchange.
+        .select(*KEY, "from", "end").repartition(*KEY).groupBy(*KEY, "from").agg(F.max("end").alias("to"))
     )
-    return matches.groupBy(*KEY).agg(F.collect_set(F.struct("from", "to")).alias("runs")).select(
+    return matches.groupBy(*KEY).agg(F.collect_list(F.struct("from", "to")).alias("runs")).select(
         *KEY, F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["from"], r["to"])))).alias("__gone"))
 
 

@@ -1,8 +1,11 @@
 """Quality rules from the frequency of lines across documents, with built-in functions only.
 
-Lines are normalised (white space and case, digits to one digit) and hashed; for each host the documents holding a line
-are counted. A line that more documents of its host hold than the limit is boilerplate and is removed; a document left
-with too few words, absolutely or as a share of what it had, is depleted and rejected. Base counts of words, symbols,
+Lines are normalised (white space and case, digits to one digit) and hashed; for each host the different texts holding a
+line are counted: copies of a document are one text, so a document is not boilerplate for being copied. A line is
+boilerplate and is removed if at least ``MIN_TEXTS`` texts of its host hold it, and these are at least a share
+``MIN_SHARE`` of the host's texts or more than ``MANY_TEXTS``: so the limit acts in small hosts, and does not grow without
+end in very large ones. A document left with too few words, absolutely or as a share of what it had, is depleted and
+rejected. Base counts of words, symbols,
 repeated lines and repeated three-word windows are taken inside the row.
 
 Host null: a host of its own. Null or empty text: no words, no lines; the base rule rejects it. Rows with equal id and
@@ -19,9 +22,11 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import GAP, SPACES, let, null_safe, text_key, trimmed, without, word_list
 from pairloom.session import materialize
 
-# A line is boilerplate in its host if more documents than both of these hold it.
-MAX_DOCUMENTS = 100
-MAX_SHARE = 0.02
+# A line is boilerplate if so many different texts of its host hold it, and
+MIN_TEXTS = 5
+# these are such a share of the host's texts, or more than so many.
+MIN_SHARE = 0.05
+MANY_TEXTS = 200
 # A document is depleted if fewer words, or a smaller share of its words, are left.
 MIN_WORDS = 50
 MIN_LEFT = 0.3
@@ -83,19 +88,23 @@ def host_lines(docs: DataFrame, host: str) -> DataFrame:
         .select("host", "line", *KEY, (F.col("copies") * F.col("each")).alias("words"))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS,
-                   max_share: float = MAX_SHARE) -> DataFrame:
+def frequent_lines(docs: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE,
+                   many_texts: int = MANY_TEXTS) -> DataFrame:
     """Rows (host, line, doc_id, __text_key, words) of the lines to remove, by document.
 
     The lines of all documents are stored once, hashes only. A line's documents are counted with partial sums before the
-    shuffle; a hot line's rows meet its single count in a join that the runtime splits.
+    shuffle, and different texts only for lines that enough documents hold; a hot line's rows meet its single count in a
+    join that the runtime splits.
     """
     lines = materialize(host_lines(docs, host))
-    size = docs.groupBy(F.col(host).alias("host")).agg(F.count_distinct(*[
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_key(F.col("text"))]).alias("host_docs"))
-    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_documents)
-    above = null_safe(counted, size, ["host"], "left").where(F.col("n_docs") > max_share * F.col("host_docs"))
-    return null_safe(lines, above.select("host", "line"), ["host", "line"], "left_semi")
+    size = docs.groupBy(F.col(host).alias("host")).agg(F.count_distinct(text_key(F.col("text"))).alias("host_texts"))
+    some = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts)
+    repeated = materialize(null_safe(lines, some.select("host", "line"), ["host", "line"], "left_semi"))
+    counted = repeated.groupBy("host", "line").agg(F.count_distinct("__text_key").alias("n_texts"))
+    frequent = null_safe(counted, size, ["host"], "left").where(
+        (F.col("n_texts") >= min_texts)
+        & ((F.col("n_texts") >= min_share * F.col("host_texts")) | (F.col("n_texts") > many_texts)))
+    return null_safe(repeated, frequent.select("host", "line"), ["host", "line"], "left_semi")
 
 
 def judge(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:

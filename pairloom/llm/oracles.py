@@ -66,10 +66,12 @@ WITH d AS (
   SELECT doc_id, source, regexp_replace(regexp_replace(lower(regexp_replace(l, '{EDGE}', '', 'g')), '[0-9]+', '0', 'g'),
     '[\x20\x09-\x0D]+', ' ', 'g') AS line, len(regexp_extract_all(l, '{WORD}')) AS n FROM lines
 ), hosts AS (
-  SELECT source, count(DISTINCT doc_id) AS host_docs FROM documents GROUP BY source
+  SELECT source, count(DISTINCT coalesce('t' || text, 'n')) AS host_texts FROM documents GROUP BY source
 ), frequent AS (
-  SELECT source, line FROM (SELECT source, line, count(DISTINCT doc_id) AS c FROM normal GROUP BY source, line)
-  JOIN hosts USING (source) WHERE c > 100 AND c > 0.02 * host_docs
+  SELECT source, line FROM (
+    SELECT source, line, count(DISTINCT coalesce('t' || text, 'n')) AS c FROM normal JOIN documents USING (doc_id, source)
+    GROUP BY source, line)
+  JOIN hosts USING (source) WHERE c >= 5 AND (c >= 0.05 * host_texts OR c > 200)
 ), removed AS (
   SELECT doc_id, sum(n)::BIGINT AS n_frequent_words FROM normal JOIN frequent USING (source, line) GROUP BY doc_id
 ), counted AS (
@@ -100,18 +102,17 @@ WITH split AS (
   SELECT doc_id, pos, start, max(pos) OVER w AS e, max(upto) OVER w - start AS words, list(h) OVER w AS g,
     last(tail) OVER w AS tail
   FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), runs AS (
+  SELECT doc_id, pos, CASE WHEN k = 0 THEN e ELSE tail[k].pos END AS e,
+    md5(array_to_string(list_concat(g, list_transform(coalesce(tail, [])[1:k], lambda x: x.h)), chr(10))) AS k,
+    k AS more
+  FROM windows, unnest(range(coalesce(len(tail), 0) + 1)) AS u(k) WHERE words >= 50
 ), prints AS (
-  SELECT *, row_number() OVER (PARTITION BY md5(array_to_string(g, chr(10))) ORDER BY doc_id, pos) AS nth,
-    md5(array_to_string(g, chr(10))) AS k FROM windows WHERE words >= 50
-), matches AS (
-  SELECT p.doc_id, CASE WHEN p.doc_id = f.doc_id THEN greatest(p.pos, f.e + 1) ELSE p.pos END AS a, p.e,
-    p.tail AS own, f.tail AS other
-  FROM prints p JOIN prints f ON p.k = f.k AND f.nth = 1 AND p.nth > 1
-), equal AS (
-  SELECT *, coalesce(list_min(list_filter(range(1, coalesce(len(own), 0) + 1),
-    lambda i: i > coalesce(len(other), 0) OR own[i].h <> other[i].h)), coalesce(len(own), 0) + 1) - 1 AS same FROM matches
+  SELECT *, row_number() OVER (PARTITION BY k, more ORDER BY doc_id, pos) AS nth FROM runs
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(a, CASE WHEN same > 0 THEN own[same].pos ELSE e END + 1)) AS pos FROM equal
+  SELECT DISTINCT p.doc_id,
+    unnest(range(CASE WHEN p.doc_id = f.doc_id THEN greatest(p.pos, f.e + 1) ELSE p.pos END, p.e + 1)) AS pos
+  FROM prints p JOIN prints f ON p.k = f.k AND p.more = f.more AND f.nth = 1 AND p.nth > 1
 ), kept AS (
   SELECT l.doc_id, count(g.pos) AS n_deleted FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos
   GROUP BY l.doc_id

@@ -67,7 +67,7 @@ def test_frequent_lines_are_counted_per_host_and_removed(spark, frame):
             for i in range(12)]
     rows += [(100, f"{letters('q', 60)}\n{notice}", "other"), (101, f"{notice}\n{letters('z', 3)}", "h")]
     docs = frame(rows, "doc_id long, text string, source string")
-    limits = {"max_documents": 10, "max_share": 0.1}
+    limits = {"min_texts": 11, "min_share": 0.1}
     got = {r["doc_id"]: r for r in line_quality.judge(docs, **limits).collect()}
     assert [got[i]["n_frequent_words"] for i in (0, 1, 100, 101)] == [4, 4, 0, 4]
     assert got[0]["kept"] and got[100]["kept"] and not got[101]["kept"]
@@ -78,10 +78,39 @@ def test_frequent_lines_are_counted_per_host_and_removed(spark, frame):
 def test_depleted_documents_are_rejected(spark, frame):
     shared = "\n".join(letters(f"s{k}x", 40) for k in range(5))
     rows = [(i, f"{shared}\n{letters(f'own{i}x', 55)}", "h") for i in range(12)]
-    got = line_quality.judge(frame(rows, "doc_id long, text string, source string"), max_documents=10, max_share=0.1)
+    got = line_quality.judge(frame(rows, "doc_id long, text string, source string"), min_texts=11, min_share=0.1)
     assert {(r["n_frequent_words"], r["base_failed"], r["kept"]) for r in got.collect()} == {(200, False, False)}
 
 
+def notices(host, texts, holders, first=0):
+    return [(first + i, f"{letters(f'{host}{i}x', 60)}" + ("\nread our Terms 7" if i < holders else ""), host)
+            for i in range(texts)]
+
+
+def test_production_limits_act_in_small_and_in_large_hosts(spark, frame):
+    """Five texts and a twentieth of a host, or more than two hundred texts."""
+    rows = [*notices("p", 20, 5), *notices("q", 20, 4, 100), *notices("r", 400, 20, 1000), *notices("s", 400, 19, 2000),
+            *notices("t", 4300, 201, 10_000), *notices("u", 4300, 200, 20_000)]
+    got = line_quality.judge(frame(rows, "doc_id long, text string, source string"))
+    found = {r["h"]: r["n"] for r in got.groupBy(F.when(F.col("doc_id") < 100, "p").when(F.col("doc_id") < 1000, "q")
+             .when(F.col("doc_id") < 2000, "r").when(F.col("doc_id") < 10_000, "s").when(F.col("doc_id") < 20_000, "t")
+             .otherwise("u").alias("h")).agg(F.sum("n_frequent_words").alias("n")).collect()}
+    assert found == {"p": 20, "q": 0, "r": 80, "s": 0, "t": 804, "u": 0}
+
+
+def test_copies_are_not_boilerplate(spark, frame):
+    text = "\n".join(letters(f"c{k}x", 30) for k in range(4))
+    rows = [(i, text, "h") for i in range(30)] + notices("h", 30, 0, 100)
+    got = line_quality.judge(frame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r["n_frequent_words"] == 0 and r["kept"] for r in got)
+
+
+def test_lines_go_from_the_given_table(spark, sf):
+    """The limits act on given documents: a notice that stands in many documents of a host."""
+    got = line_quality.judge(spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet"))
+    assert got.agg(F.sum("n_frequent_words")).first()[0] > 0
+
+
 def test_line_quality_edges(spark, frame):
     rows = [(1, None, None), (2, "", "h"), (3, "a a a a", "h"), (4, " \n\t\n", "h"), (None, "x y", None),
             (5, "l one\nl one\n\nl one ", "h"), (5, "l one\nl one\n\nl one ", "h"), (6, "a b c d a b c", "h")]
@@ -113,6 +142,40 @@ def test_later_passages_go_and_the_first_stays(spark, frame):
     assert got[2] == f"{words('c', 9)}\n{words('d', 9)}"
 
 
+def test_a_passage_that_goes_on_differently_is_followed_in_each_group(spark, frame):
+    start, one, two = words("w", 55), words("x", 40), words("y", 40)
+    rows = [(1, f"{start}\n{one}"), (2, f"{start}\n{two}"), (3, f"{start}\n{two}"), (4, f"{start}\n{two}\n{words('z', 5)}"),
+            (5, f"{start}\n{one}\n{two}")]
+    got = lines_left(frame(rows))
+    assert got == {1: rows[0][1], 2: two, 3: "", 4: words("z", 5), 5: two}
+
+
+def test_no_repeated_tail_is_left(spark, frame):
+    import random
+    draw = random.Random(11)
+    pool = [words(f"l{k}x", draw.choice([3, 9, 20, 26, 60])) for k in range(9)]
+    rows = [(d, "\n".join(draw.choice(pool) for _ in range(draw.randint(1, 9)))) for d in range(40)]
+    got = lines_left(frame(rows))
+    # Whatever is left holds no run of 50 words that an earlier document holds as it was.
+    texts = dict(rows)
+    for d, left in got.items():
+        for e in range(d):
+            assert not shares_run(left.split("\n"), texts[e].split("\n"), texts[d].split("\n"))
+
+
+def shares_run(left, other, whole):
+    """A run of 50 words that stands in all three, where ``left`` is what was kept of ``whole``."""
+    for a in range(len(left)):
+        for b in range(len(other)):
+            n = size = 0
+            while a + n < len(left) and b + n < len(other) and left[a + n] == other[b + n]:
+                size += len(left[a + n].split())
+                n += 1
+            if size >= 50 and any(whole[i:i + n] == left[a:a + n] for i in range(len(whole))):
+                return True
+    return False
+
+
 def test_short_repeats_stay(spark, frame):
     rows = [(i, f"{words('same', 49)}\n{words(f'own{i}x', 10)}") for i in range(5)]
     assert lines_left(frame(rows)) == dict(rows)
