@@ -15,12 +15,15 @@ linked text. From it follow the content root, the path that holds the article, a
 is nearly all links. A page's text is read along its wrapper: slots below the root, without menus and without elements
 that are boilerplate by tag or by class. A page without its host's root is read from its own article or body.
 
-Texts are aligned as well. A block is the text of an element that is not inline, up to the next such element; its path
-and text are counted over the host's pages of different text, hashes only, with partial sums before the shuffle. A block
-that at least ``TEMPLATE_PAGES`` of them hold, and ``TEMPLATE_SHARE`` of those with its path, is the template's, be
-it on every page or an optional item; all other blocks are slots, and only slots are returned. A label inside a block that
-differs stays. Where more than ``COPY_SHARE`` of the text would be template, in a host or in the pages holding one block,
-they are copies of one text and nothing is taken out. Hosts of fewer pages have tags and class words only.
+Texts are aligned as well, where a page does not say itself what its article is: on hosts whose root is no article or main
+element. A block is the text of an element that is not inline, up to the next such element. Where the root's model has a
+container (a div, a section, a list) once or as an optional item, not in a repeated group, its blocks are counted by path
+and text over the host's pages of different text, hashes only, with partial sums before the shuffle. A block that at least
+``TEMPLATE_PAGES`` of them hold, and ``TEMPLATE_SHARE`` of those with its path, is constant. A container of which this
+share is constant is the template's (a notice, an advert), and its constant blocks go; all other blocks are slots and are
+returned. So headings, paragraphs and bylines of the root itself, items of repeated groups, and whatever stands inside an
+article or main element, are never template, however often they recur. Where more than ``COPY_SHARE`` of the text would be
+template, in a host or in the pages holding one block, they are copies of one text and nothing is taken out.
 
 A word of a class, id or role, and a form, are weak signs: they never condemn html, body, main or an outermost article,
 nor a path that holds most of the prose of the host's pages that have it, unless these pages have an article or main
@@ -381,19 +384,28 @@ def plan_of(paths: list[tuple]) -> dict:
                 return False
         return not any(below(path, m) for m in menus)
 
+    def planned(root: str) -> dict:
+        repeated = set()
+        for path, model, *_ in paths:
+            if path == root:
+                for item in model.split(" ; "):
+                    if "+" in item[len(item.rstrip("+?")):]:
+                        repeated |= set(re.findall(r"[^\s()*+?]+", item))
+        return {"root": root, "menus": menus, "spared": spared, "repeated": sorted(repeated)}
+
     prose = {p: w[0] - w[1] for p, w in words.items() if usable(p)}
     for tag in ROOT_TAGS:
         tagged = [p for p in prose if tag_of(p) == tag and prose[p] > 0]
         if tagged:
             # Where articles are nested, the outer one is the root.
-            return {"root": min(tagged, key=lambda p: (-prose[p], len(p), p)), "menus": menus, "spared": spared}
+            return planned(min(tagged, key=lambda p: (-prose[p], len(p), p)))
     root = next((p for p in sorted(prose, key=lambda p: (len(p), p)) if tag_of(p) == "body"), "")
     while True:  # go down while one child of the root holds nearly all of its prose in elements of its own
         inner = [p for p in prose if p.rpartition("/")[0] == root
                  and tag_of(p) in CONTAINERS]
         best = max(inner, key=lambda p: (prose[p], p), default=None)
         if not best or not root or prose[best] < 0.7 * max(prose[root], 1):
-            return {"root": root, "menus": menus, "spared": spared}
+            return planned(root)
         root = best
 
 
@@ -492,38 +504,74 @@ def key_of(*parts: str) -> int:
     return int.from_bytes(blake2b("\n".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-_COUNTED = "signature long, words long, blocks array<struct<path: long, key: long, words: long>>"
+@lru_cache(maxsize=1_000)
+def _template_places(text: str) -> tuple[str, frozenset[str]] | None:
+    """The root, and the labels of its repeated groups, if blocks below it may be template at all."""
+    plan = json.loads(text)
+    held = any(tag_of(part) in ROOT_TAGS for part in plan["root"].strip("/").split("/"))
+    return None if held or not plan["root"] else (plan["root"], frozenset(plan["repeated"]))
+
+
+def container_of(path: str, root: str, repeated: frozenset[str]) -> str | None:
+    """The container directly below the root that holds a block, if it is no item of a repeated group and the block lies
+    in no article or main element."""
+    if not path.startswith(root + "/"):
+        return None
+    steps = path[len(root) + 1:].split("/")
+    if steps[0] in repeated or tag_of(steps[0]) not in CONTAINERS or any(tag_of(x) in ROOT_TAGS for x in steps):
+        return None
+    return f"{root}/{steps[0]}"
+
+
+_COUNTED = "signature long, words long, blocks array<struct<container: long, path: long, key: long, words: long>>"
 
 
 def block_keys(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Of each page: a hash of its text, its words, and its different blocks; one without a key for each of their paths."""
+    """Of each page that may hold template: a hash of its text, its words, and its different blocks in containers; one
+    without a key for each of their paths. Other pages give null and are not read."""
     for pages, plans in batches:
         rows = []
         for page, plan in zip(pages.tolist(), plans.tolist()):
-            blocks = read_blocks(page or "", *(_plan(plan) if plan else _NO_PLAN))
-            words = {b: len(b[1].split()) for b in blocks}
-            paths = {path: key_of(path) for path, _ in blocks}
+            places = _template_places(plan) if plan else None
+            if places is None:
+                rows.append((None, None, None))
+                continue
+            blocks = read_blocks(page or "", *_plan(plan))
+            found = {b: (c, len(b[1].split())) for b in blocks if (c := container_of(b[0], *places))}
+            paths = {b[0]: key_of(c) for b, (c, _) in found.items()}
             rows.append((
-                key_of(*[part for b in blocks for part in b]), sum(words[b] for b in blocks),
-                [{"path": k, "key": None, "words": 0} for k in paths.values()]
-                + [{"path": paths[b[0]], "key": key_of(*b), "words": n} for b, n in words.items()]))
-        yield pd.DataFrame(rows, columns=["signature", "words", "blocks"])
+                key_of(*[part for b in blocks for part in b]), sum(len(b[1].split()) for b in blocks),
+                [{"container": c, "path": key_of(path), "key": None, "words": 0} for path, c in paths.items()]
+                + [{"container": key_of(c), "path": key_of(b[0]), "key": key_of(*b), "words": n}
+                   for b, (c, n) in found.items()]))
+        frame = pd.DataFrame(rows, columns=["signature", "words", "blocks"])
+        yield frame.astype({"signature": "Int64", "words": "Int64"})
 
 
 def templates(hosted: DataFrame) -> DataFrame:
     """One row per host with a template: the keys of its blocks, as text. Pages of equal text are one page."""
     found = hosted.select("host", F.pandas_udf(block_keys, _COUNTED)("html", "plan").alias("b")).select("host", "b.*")
-    pages = found.groupBy("host", "signature").agg(F.first("words").alias("of_page"), F.first("blocks").alias("blocks"))
+    pages = found.where(F.col("signature").isNotNull()).groupBy("host", "signature").agg(
+        F.first("words").alias("of_page"), F.first("blocks").alias("blocks"))
     counted = materialize(
-        pages.select("host", "of_page", F.explode("blocks").alias("b")).groupBy("host", "b.path", "b.key")
-        .agg(F.count("*").alias("n"), F.sum("b.words").alias("words"), F.sum("of_page").alias("around"))
-        .where(F.col("n") >= TEMPLATE_PAGES))
-    blocks, paths = counted.where("key is not null"), counted.where("key is null")
-    equal = (
-        blocks.join(paths.select("host", "path", F.col("n").alias("of_path")), ["host", "path"])
+        pages.select("host", "signature", "of_page", F.explode_outer("blocks").alias("b"))
+        .groupBy("host", "b.container", "b.path", "b.key")
+        .agg(F.count("*").alias("n"), F.sum("b.words").alias("words"), F.sum("of_page").alias("around")))
+    blocks, paths = counted.where("key is not null"), counted.where("key is null and path is not null")
+    constant = (
+        blocks.where(F.col("n") >= TEMPLATE_PAGES)
+        .join(paths.select("host", "path", F.col("n").alias("of_path")), ["host", "path"])
         .where((F.col("n") >= TEMPLATE_SHARE * F.col("of_path")) & (F.col("words") <= COPY_SHARE * F.col("around")))
-        .groupBy("host").agg(F.sum("words").alias("words"), F.concat_ws(",", F.sort_array(F.collect_set("key").cast(
-            "array<string>"))).alias("template"))
+    )
+    whole = blocks.groupBy("host", "container").agg(F.sum("n").alias("of_all"))
+    of_template = (
+        constant.groupBy("host", "container").agg(F.sum("n").alias("n")).join(whole, ["host", "container"])
+        .where(F.col("n") >= TEMPLATE_SHARE * F.col("of_all")).select("host", "container")
+    )
+    equal = (
+        constant.join(of_template, ["host", "container"], "left_semi").groupBy("host")
+        .agg(F.sum("words").alias("words"), F.concat_ws(",", F.sort_array(F.collect_set("key").cast("array<string>")))
+             .alias("template"))
     )
     size = pages.groupBy("host").agg(F.sum("of_page").alias("around"))
     return equal.join(size, "host").where(F.col("words") <= COPY_SHARE * F.col("around")).select("host", "template")

@@ -310,6 +310,34 @@ def test_text_equal_on_the_pages_of_a_host_is_template(spark):
     assert all(got[30 + i].startswith(" ".join(story)) and got[30 + i].endswith(f"part 19 {story[i]}") for i in range(4))
 
 
+STORIES = ["storm", "river", "garden", "letter", "engine", "market"]
+RECURRING = ('<p class="by">By Jane Doe</p><div class="byline">Staff</div><h2>Introduction</h2><p>About the {s}, {n}.</p>'
+             '<div class="box7">No advice is given here.</div><h2>Conclusion</h2><p>It ended with {s} number {n}.</p>')
+
+
+@pytest.mark.parametrize("pages", [1, 2, 6, 60])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main><div class='x'>{}</div></main>", "<div><article>{}</article></div>"])
+def test_what_recurs_inside_an_article_is_content(spark, pages, around):
+    notice = "<div class='box3'>We use cookies here</div>"
+    rows = [(n, f"http://host/{n}", "<html><body>" + around.format(RECURRING.format(s=STORIES[n % 6], n=n)) + notice + "</body></html>")
+            for n in range(pages)]
+    got = extracted(spark, rows)
+    assert got == {n: f"By Jane Doe Staff Introduction About the {STORIES[n % 6]}, {n}. No advice is given here. Conclusion "
+                      f"It ended with {STORIES[n % 6]} number {n}." for n in range(pages)}
+
+
+@pytest.mark.parametrize("pages", [3, 6, 60])
+def test_headings_and_bylines_of_a_plain_root_are_content_and_a_constant_container_is_template(spark, pages):
+    def body(n):
+        items = "".join(f"<div class='part'><p>Same start</p><p>part {k} of {STORIES[n % 6]} {n}</p></div>" for k in range(3))
+        return (f"<html><body><div class='c1'><div class='box3'><p>We use cookies</p></div><p class='by'>By Jane Doe</p>"
+                f"<h2>Introduction</h2><p>About the {STORIES[n % 6]}, {n}.</p>{items}<h2>Conclusion</h2></div></body></html>")
+
+    got = extracted(spark, [(n, f"http://plain/{n}", body(n)) for n in range(pages)])
+    assert got == {n: f"By Jane Doe Introduction About the {STORIES[n % 6]}, {n}. " + "".join(
+        f"Same start part {k} of {STORIES[n % 6]} {n} " for k in range(3)) + "Conclusion" for n in range(pages)}
+
+
 def test_wrapper_edges(spark):
     rows = [(1, "http://h/a", None), (2, "http://h/b", ""), (3, None, "<p>plain"), (4, "nonsense", "no tags &amp; &am"),
             (5, "http://h/c", "<article><p>one<p>two <b>x</b>y</article><p>out"), (5, "http://h/c", "<article><p>one<p>two <b>x</b>y</article><p>out"),
