@@ -20,6 +20,8 @@ a special token's mark are tokenized whole. Empty input: empty result. Columns o
 
 from __future__ import annotations
 
+import os
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -69,8 +71,9 @@ class Tokens:
     _loaded: dict[str, "Tokens"] = {}
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one of many on its machine
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         # Words of late, and those before them: what is met again moves up, the rest is forgotten.
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -94,17 +97,9 @@ class Tokens:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[bytes]) -> None:
-        """Tokenize new words, joined to one text; a token belongs to the word that holds its first character."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        starts = np.cumsum(lengths) - lengths
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(found.ids, self.kind)
-        at = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
-        bounds = np.searchsorted(at, np.append(starts, starts[-1] + lengths[-1])).tolist()
-        data, size = ids.tobytes(), ids.itemsize
-        for word, first, last in zip(words, bounds[:-1], bounds[1:]):
-            self.known[word] = data[first * size:last * size]
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            self.known[word] = array(self.code, found.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         end = np.array([END], self.kind).tobytes()
@@ -122,7 +117,7 @@ class Tokens:
         signed = [w for w in new if len(w) > 1 and w[-1] in b",." and (48 <= w[-2] <= 57 or 97 <= w[-2] <= 122)]
         need = new.difference(signed).union(w[:-1] for w in signed).union(w[-1:] for w in signed).difference(self.known)
         if need:
-            self._learn(sorted(need))
+            self._learn(list(need))
         known = self.known
         for w in signed:
             known[w] = known[w[:-1]] + known[w[-1:]]
