@@ -23,7 +23,6 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -74,11 +73,11 @@ class Tokens:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one of many on its machine
         self.tokenizer = Tokenizer.from_file(path)
         self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
-        # Words of late, and those before them: what is met again moves up, the rest is forgotten.
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known = Words()
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.independent = self._independent()
+        # Latin letters may take the shorter way if the tokenizer does the same with them.
+        self.short = all(self._short(w) == self._ids(w) for w in ("a", "word", "Gr\u00f6\u00dfe", "\u00c9t\u00e9s", "\u0141\u00f3d\u017a", "na\u00efvet\u00e9xq"))
 
     @classmethod
     def of(cls, path: str) -> "Tokens":
@@ -96,39 +95,89 @@ class Tokens:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _short(self, word: str) -> list[int]:
+        """The ids of a word of Latin letters: one piece, whose bytes the model reads as the characters of ``BYTES``."""
+        return [t.id for t in self.tokenizer.model.tokenize(word.lower().encode().decode("latin-1").translate(BYTES))]
+
     def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.known[word] = array(self.code, found.ids).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        end = np.array([END], self.kind).tobytes()
-        plain = [(text or "").encode("utf-8", "replace") for text in texts]
-        small = [data.lower() for data in plain]  # ASCII only
-        special = [not self.independent or any(mark in data for mark in self.marks) for data in small]
-        words = [[] if alone else data.split() for data, alone in zip(small, special)]
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        new = set(chain.from_iterable(words)).difference(self.known)
-        again = new.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
-        new.difference_update(again)
-        # A word with a comma or full stop at its end is the word and that sign.
-        signed = [w for w in new if len(w) > 1 and w[-1] in b",." and (48 <= w[-2] <= 57 or 97 <= w[-2] <= 122)]
-        need = new.difference(signed).union(w[:-1] for w in signed).union(w[-1:] for w in signed).difference(self.known)
-        if need:
-            self._learn(list(need))
-        known = self.known
-        for w in signed:
-            known[w] = known[w[:-1]] + known[w[-1:]]
-        return [
-            (np.array(self._ids(data.decode()), self.kind).tobytes() if alone else b"".join(map(known.__getitem__, own))) + end
-            for data, own, alone in zip(plain, words, special)
-        ]
+        rest = []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            if self.short and text.isalpha() and (text.isascii() or max(text) < "\u0250" and "\u0130" not in text):
+                self.known[word] = array(self.code, self._short(text)).tobytes()
+            else:
+                rest.append((word, text))
+        if rest:
+            found = self.tokenizer.encode_batch_fast([text for _, text in rest], add_special_tokens=False)
+            for (word, _), ids in zip(rest, found):
+                self.known[word] = array(self.code, ids.ids).tobytes()
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of UTF-8 texts, each followed by the end id."""
+        end = array(self.code, [END]).tobytes()
+        known, held, out = self.known, [], []
+        known.turn()
+        for data in texts:
+            small = (data or b"").lower()  # ASCII only
+            if not self.independent or any(mark in small for mark in self.marks):
+                ids = self._ids((data or b"").decode("utf-8", "replace"))
+                held.append((None, [array(self.code, ids).tobytes()]))
+                continue
+            words = small.split()
+            held.append((words, list(map(known.__getitem__, words))))
+        if known.missed:
+            self._learn(list(known.missed))
+            known.missed.clear()
+        for words, parts in held:
+            if None in parts:
+                at = -1
+                try:
+                    while True:
+                        at = parts.index(None, at + 1)
+                        parts[at] = known[words[at]]
+                except ValueError:  # no further one
+                    pass
+            parts.append(end)
+            out.append(b"".join(parts))
+        return out
+
+
+# How byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on, in order.
+_PLAIN_BYTES = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: b if b in _PLAIN_BYTES else 256 + sum(c not in _PLAIN_BYTES for c in range(b)) for b in range(256)}
+
+
+class Words(dict):
+    """Ids of words as bytes. Of the words before the last ``REMEMBERED`` those met again move up; others are forgotten. A
+    word that is not known is noted, and has no ids yet. One with a comma or full stop at its end has the ids of the word
+    and of that sign."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict[bytes, bytes] = {}
+        self.missed: set[bytes] = set()
+
+    def __missing__(self, word: bytes) -> bytes | None:
+        ids = self.older.get(word)
+        if ids is None and len(word) > 1 and word[-1] in b",." and (97 <= word[-2] <= 122 or 48 <= word[-2] <= 57):
+            parts = self[word[:-1]], self[word[-1:]]
+            ids = parts[0] + parts[1] if None not in parts else None
+        elif ids is None:
+            self.missed.add(word)
+        if ids is not None:
+            self[word] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
 
 
 def min_hashes(ids: np.ndarray) -> tuple[int, int]:
-    return tuple(int(mixed(ids + np.uint64(seed)).min() >> np.uint64(1)) for seed in (1 << 32, 2 << 32))
+    """The least hash of the ids, and the least of another one: the halves of 64 bits."""
+    hashed = mixed(ids + np.uint64(1 << 32))
+    return int((hashed >> np.uint64(32)).min()), int(hashed.astype(np.uint32).min())
 
 
 def cut_documents(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
@@ -141,7 +190,7 @@ def cut_documents(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame
         size = np.dtype(tokens.kind).itemsize
         for batch in batches:
             row, out = [], [[] for _ in range(8)]
-            for n, data in enumerate(tokens.encode(batch.column(1).to_pylist())):
+            for n, data in enumerate(tokens.encode(batch.column(1).cast(pa.binary()).to_pylist())):
                 total = len(data) // size
                 for start in range(0, total, length):
                     part = data[start * size:(start + length) * size]
@@ -188,7 +237,7 @@ class Index:
         self.rest, self.weight = self.rest[held], self.weight[held]
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        """The BM25 score of every rest for a query of different ids."""
+        """The BM25 score of every rest that is left for a query of different ids."""
         ids = ids[ids < len(self.first) - 1]
         low, many = self.first[ids], self.first[ids + 1] - self.first[ids]
         at = np.arange(int(many.sum())) + np.repeat(low - np.cumsum(many) + many, many)
@@ -196,9 +245,11 @@ class Index:
         # Rounded, so that equal scores are equal in whatever order they were added up.
         return np.round(np.bincount(self.rest[at], self.weight[at], self.n) + self.rows[rows[rows >= 0]].sum(axis=0), 9)
 
-    def keep(self, unused: np.ndarray) -> None:
-        """Forget other rests where that saves time; their scores mean nothing from then on."""
-        self._leave(unused[self.rest])
+    def keep(self, kept: np.ndarray) -> None:
+        """Leave the other rests out; those kept are numbered anew, in the same order."""
+        self._leave(kept[self.rest])
+        self.rest = (np.cumsum(kept) - 1)[self.rest]
+        self.rows, self.n = np.compress(kept, self.rows, axis=1), int(kept.sum())
 
 
 Piece = tuple[object, int, int]  # key of a rest, start in it, end in it
@@ -227,7 +278,8 @@ class Packer:
         """The windows filled with a shard's rests, each shorter than a window."""
         index, unused = Index(rests), np.ones(len(rests), bool)
         lengths = np.array([len(r) for r in rests], np.int64)
-        left, indexed, seed = len(rests), len(rests), 0
+        alive = np.arange(len(rests))  # what the index holds
+        left, seed = len(rests), 0
         while left:
             if not self.window:
                 while not unused[seed]:
@@ -235,10 +287,12 @@ class Packer:
                 unused[seed] = False
                 left -= 1
                 self._put((keys[seed], 0, int(lengths[seed])), rests[seed])
-            if left < indexed // 2:
-                index.keep(unused)
-                indexed = left
-            best = self._best(np.where(unused, index.scores(self.query), -1.0), lengths, left)
+            if left < 0.9 * len(alive):
+                kept = unused[alive]
+                index.keep(kept)
+                alive = alive[kept]
+            scores = np.where(unused[alive], index.scores(self.query), -1.0)
+            best = alive[self._best(scores, lengths[alive], left)]
             fitting = int(np.searchsorted(np.cumsum(lengths[best]), self.room, side="right"))
             for k in best[:fitting].tolist():
                 self._put((keys[k], 0, int(lengths[k])), rests[k])

@@ -15,8 +15,11 @@ from pairloom.llm.queries import QUERIES
 PATH = packing.tokenizer_path()
 
 
+PLAIN = Tokenizer.from_file(PATH)
+
+
 def plain_ids(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1]
+    return PLAIN.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def check_pieces(rows, ids_of, length):
@@ -55,19 +58,29 @@ def test_query_holds_all_ids_once(spark, sf, documents):
 
 @pytest.mark.parametrize("text", [
     None, "", " \t", "Hello, World. It's 'S mr. X.", "a,b ,. .,x ,x. x,. 1, 2.5.", "É,é é, İ ́a ﬁ K",
-    "x<|endoftext|>Y <|ENDOFTEXT|> z", "no break em\u0085next\x1cunit", "ß ſ Σίσυφος ΣΊΣΥΦΟΣ, 東京。", "\U0001f600, \U0001f468‍\U0001f469.",
+    "x<|endoftext|>Y <|ENDOFTEXT|> z", "a.. b., c,. d.\te,\rf.", "end.", "3.14, 2,5. x.y,z.", "no break em\u0085next\x1cunit", "ß ſ Σίσυφος ΣΊΣΥΦΟΣ, 東京。", "\U0001f600, \U0001f468‍\U0001f469.",
 ])
 def test_ids_equal_the_tokenizers(text):
-    [data] = packing.Tokens(PATH).encode([text])
+    [data] = packing.Tokens(PATH).encode([None if text is None else text.encode()])
     assert np.frombuffer(data, "<u2").tolist() == plain_ids(text)
 
 
-def test_remembered_words_do_not_change_ids(documents):
-    tokens, plain = packing.Tokens(PATH), Tokenizer.from_file(PATH)
+def test_words_of_latin_letters_take_a_shorter_way_to_the_same_ids():
+    tokens = packing.Tokens(PATH)
+    assert tokens.short
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    words = letters + [a + b for a in "az\u00e9\u00df\u0130" for b in letters] + ["".join(letters[i:i + 7]) for i in range(0, len(letters), 3)]
+    for data, word in zip(tokens.encode([w.encode() for w in words]), words):
+        assert np.frombuffer(data, "<u2").tolist() == plain_ids(word)
+
+
+def test_remembered_words_do_not_change_ids(documents, monkeypatch):
+    tokens = packing.Tokens(PATH)
     texts = [t for _, t in documents]
-    for _ in range(2):
-        for data, text in zip(tokens.encode(texts), texts):
-            assert np.frombuffer(data, "<u2").tolist() == plain.encode(text or "", add_special_tokens=False).ids + [1]
+    for remembered in (10**6, 500, 500, 500):  # few, so that words are forgotten and met again
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        for data, text in zip(tokens.encode([(t or "").encode() for t in texts]), texts):
+            assert np.frombuffer(data, "<u2").tolist() == plain_ids(text)
 
 
 def brute_score(rests, query, k):
@@ -90,7 +103,7 @@ def test_scores_are_bm25():
     assert np.allclose(index.scores(np.array(query)), want)
     unused = np.arange(25) % 3 == 0
     index.keep(unused)
-    assert np.allclose(index.scores(np.array(query))[unused], np.array(want)[unused])
+    assert np.allclose(index.scores(np.array(query)), np.array(want)[unused])
 
 
 def brute_windows(rests, length):
