@@ -29,6 +29,10 @@ DIMENSIONS = 1024
 PER_LANGUAGE = 2_000
 MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
+# A text is in no known language if its best cosine is not above what vectors that have nothing in common reach: their
+# cosine has a standard deviation of 1 / sqrt(DIMENSIONS), and this is twice that. Fewer letters cannot tell.
+FLOOR = 2 / DIMENSIONS ** 0.5
+LEAST_LETTERS = 8
 # Texts whose vectors are made together, and where a long text is cut.
 GROUP_TEXTS, GROUP_CHARS = 256, 1_000_000
 _BLANK = ord(" ")
@@ -201,3 +205,10 @@ def predict(docs: DataFrame, profile: dict[str, np.ndarray]) -> DataFrame:
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     """The profile of the documents that are not held out."""
     return learn(training_rows(docs.where(~held_out())))
+
+
+def in_known_language(text: str = "text") -> Column:
+    """Of a row with ``lang_pred`` and ``score``: whether the text is in one of the languages learned. False for texts
+    without a letter, and for texts of ``LEAST_LETTERS`` letters or more whose score is below ``FLOOR``."""
+    letters = F.length(F.regexp_replace(text, "\\P{L}", ""))
+    return (F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= FLOOR) | (letters < LEAST_LETTERS))

@@ -7,17 +7,22 @@
    slot can become smaller; a long text needs one or two steps. Signatures have 128 slots of 16 bits, in 32 bands of
    four: two sets of similarity 0.75 miss each other with a probability of about 5 in a million.
 3. Members of a bucket are compared with the bucket's smallest class on their full sets. What is linked is grouped.
-   Buckets that still hold several groups are looked at again: in blocks of bounded size their members' signatures are
-   compared inside the task, and groups with members that agree above ``AGREEMENT`` (over five standard deviations below
-   0.75) are put into one cluster, by at most one pair per member. Each cluster's members then meet once, in blocks, with
-   their full sets: the pairs that agree enough are checked there, the likeliest first, and pairs whose groups have been
-   joined meanwhile are left out. Only links that join groups leave the task. So every pair that shares a bucket is
-   linked, grouped already, or refused, and the pairs of a large group are never listed.
+   Buckets that still hold several groups are looked at again, by those members only that can have a partner in another
+   group: of two sets that reach the similarity the smaller has six sevenths of its shingles in common with the larger, and
+   that one three quarters. So the shingles of these members are counted by group; a member with less than three quarters
+   of its set in more than one group is done, and a bucket without a member of six sevenths too. Texts made from one
+   template, alike but below the similarity, end here, with work in proportion to their shingles. In the rest, in blocks of
+   bounded size, signatures are compared inside the task, and groups with members that agree above ``AGREEMENT`` (over five
+   standard deviations below 0.75) are put into one cluster, by at most one pair per member. Each cluster's members then
+   meet once, in blocks, with their full sets: the pairs that agree enough are checked there, the likeliest first, and pairs
+   whose groups have been joined meanwhile are left out. Only links that join groups leave the task. So every pair that
+   shares a bucket is linked, grouped already, or refused, and the pairs of a large group are never listed.
 4. Groups are connected components by alternating large and small stars, with a stored table per round.
 
 Null or empty text, or one without words: empty set, linked with nothing. Fewer words than five: the sequence is the one
 shingle. Rows with equal ids are versions of one document and always in one group. A null id cannot name a group: such a
-row follows the smallest id with an equal set; if there is none it has no component and is kept. Extra columns are not
+row follows the smallest id with an equal set; if there is none it has no component and is kept, by
+``drop_near_duplicates`` once per set. Extra columns are not
 read by ``near_duplicates``; ``drop_near_duplicates`` keeps them. Empty input: empty result.
 """
 
@@ -27,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import null_safe, text_key
@@ -115,8 +120,10 @@ def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             held.append(s)
             size += len(s)
         flush()
-        frame = pd.DataFrame(out, columns=["n_shingles", "key_a", "key_b", "bands"])
-        yield frame.astype({"key_a": "Int64", "key_b": "Int64"})
+        n, key_a, key_b, bands = zip(*out) if out else ((),) * 4
+        # Keys as whole numbers from the start: with a null among them pandas would round them to floats.
+        yield pd.DataFrame({"n_shingles": n, "key_a": pd.array(key_a, "Int64"), "key_b": pd.array(key_b, "Int64"),
+                            "bands": pd.Series(bands, dtype=object)})
 
 
 def packed_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -227,13 +234,15 @@ def in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def agreeing(block: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per row of block i, the rows of block j that agree enough, as positions in ``block``, and how much they agree."""
+    """Per row of block i, the rows of block j that agree enough, as positions in ``block``, and how much they agree. Of
+    two rows the one with fewer shingles must be one that can be the smaller of a pair."""
     marks = np.stack(block["bands"].to_list()).astype(np.int64).view(np.uint16)
-    mine = block["mine"].to_numpy()
+    mine, size, small = (block[c].to_numpy() for c in ("mine", "n", "small"))
     left, right = (np.flatnonzero(mine == block[k].to_numpy()) for k in ("i", "j"))
     same = block["i"].iat[0] == block["j"].iat[0]
     for n, x in enumerate(left):
         others = right[n + 1:] if same else right
+        others = others[(small[x] & (size[x] <= size[others])) | (small[others] & (size[others] <= size[x]))]
         agree = (marks[others] == marks[x]).mean(axis=1)
         enough = agree >= AGREEMENT
         yield int(x), others[enough], agree[enough]
@@ -268,6 +277,34 @@ def links_of_cluster(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"])
 
 
+def several_groups(members: DataFrame, also: Column) -> DataFrame:
+    """The members (band, key, node, root, ...) of buckets that hold several groups and for which ``also`` is true."""
+    several = members.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y"), also.alias("also")) \
+        .where((F.col("x") != F.col("y")) & F.col("also")).select("band", "key")
+    return materialize(members.join(several, ["band", "key"], "left_semi"))
+
+
+def set_elements(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for packed in batches:
+        yield pd.Series([_unpack(data).astype(np.int64) for data in packed.tolist()], dtype=object)
+
+
+def with_partners(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of (node, root) those whose set may reach the similarity with one of another root, with its size ``n`` and whether
+    it can be the smaller of such a pair. Shingles are counted with partial minima before the shuffle."""
+    elements = materialize(
+        members.join(sets, "node").select("node", "root", F.pandas_udf(set_elements, "array<long>")("set").alias("s"))
+        .select("node", "root", F.explode("s").alias("shingle")))
+    between = elements.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
+    held = elements.join(between.select("shingle"), "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
+    # The smaller of a pair has 2 * 0.75 / 1.75 of its set in common with the larger, that one 0.75 of its own.
+    return materialize(
+        sets.join(held, "node").withColumn("n", F.length("set") / KEY_BYTES)
+        .where(100 * F.col("common") >= PERCENT * F.col("n"))
+        .select("node", F.col("n").cast("long").alias("n"),
+                ((100 + PERCENT) * F.col("common") >= 2 * PERCENT * F.col("n")).alias("small")))
+
+
 def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Verified edges (a, b) between classes (node, bands)."""
     kind = classes.schema["node"].dataType.simpleString()
@@ -282,22 +319,28 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     links = materialize(verified(stars, sets))
     root = components(links)
     grouped = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = grouped.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")) \
-        .where(F.col("x") != F.col("y")).select("band", "key")
-    open_members = materialize(
-        grouped.join(several, ["band", "key"], "left_semi").select("band", "key", "node", "root").join(classes, "node"))
+    members_of_open = several_groups(grouped, F.lit(True))
+    able = with_partners(members_of_open.select("node", "root").distinct(), sets)
+    still_open = several_groups(members_of_open.join(able.select("node", "n", "small"), "node"), F.max("small"))
+    open_members = materialize(still_open.join(classes, "node"))
     between = in_blocks(open_members, ["band", "key"]).groupBy("band", "key", "i", "j").applyInPandas(may_be_linked, pair)
     clusters = components(between).withColumnsRenamed({"node": "of", "root": "cluster"})
-    waiting = open_members.select("node", "root", "bands").distinct().join(clusters, F.col("root") == F.col("of"))
-    more = in_blocks(waiting.select("cluster", "node", "root", "bands").join(sets, "node"), ["cluster"]) \
+    waiting = open_members.select("node", "root", "bands", "n", "small").distinct().join(clusters, F.col("root") == F.col("of"))
+    more = in_blocks(waiting.select("cluster", "node", "root", "bands", "n", "small").join(sets, "node"), ["cluster"]) \
         .groupBy("cluster", "i", "j").applyInPandas(links_of_cluster, pair)
     return links.unionByName(materialize(more))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def marked_sets(docs: DataFrame) -> DataFrame:
+    """Stored: per row its id, the size and key of its set, and the bands of its signature."""
     texts = docs.select("doc_id", "text")
-    marked = materialize(texts.select("doc_id", F.pandas_udf(features, FEATURES)("text").alias("f")).select("doc_id", "f.*"))
+    return materialize(texts.select("doc_id", F.pandas_udf(features, FEATURES)("text").alias("f")).select("doc_id", "f.*"))
+
+
+def near_duplicates(docs: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept. ``marked`` are its ``marked_sets``, if at hand."""
+    texts = docs.select("doc_id", "text")
+    marked = marked_sets(docs) if marked is None else marked
     sets = marked.where(F.col("n_shingles") > 0)
     named = sets.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
     of_row = null_safe(marked.select("doc_id", "n_shingles", "key_a", "key_b"), named, ["key_a", "key_b"], "left")
@@ -316,8 +359,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` per group. Of rows with the kept id, the one with the smallest hash of its text stays."""
-    kept = near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    """One row of ``docs`` per group. Of rows with the kept id, the one with the smallest hash of its text stays.
+
+    Of rows without an id, one of each set stays that no row with an id has; those with an empty set all stay.
+    """
+    marked = marked_sets(docs)
+    kept = near_duplicates(docs, marked).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(text_key(F.col("text")))
     named = docs.join(kept, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(one))
-    return named.where(F.col("__nth") == 1).drop("__nth").unionByName(docs.where(F.col("doc_id").isNull()))
+    key, columns = ["__f.key_a", "__f.key_b"], [f"`{c}`" for c in docs.columns]
+    nameless = docs.where(F.col("doc_id").isNull()).select(
+        F.struct(*columns).alias("__own"), F.pandas_udf(features, FEATURES)("text").alias("__f"))
+    taken = marked.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).select("key_a", "key_b").distinct()
+    empty = nameless.where(F.col("__f.n_shingles") == 0)
+    first = Window.partitionBy(*key).orderBy(text_key(F.col("__own.text")))
+    others = (
+        nameless.where(F.col("__f.n_shingles") > 0)
+        .join(taken, (F.col("__f.key_a") == F.col("key_a")) & (F.col("__f.key_b") == F.col("key_b")), "left_anti")
+        .withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") == 1)
+    )
+    return named.where(F.col("__nth") == 1).select(*columns).unionByName(empty.select("__own.*")) \
+        .unionByName(others.select("__own.*"))

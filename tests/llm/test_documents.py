@@ -104,6 +104,53 @@ def test_blocks_of_a_large_bucket(spark, frame, monkeypatch):
     compare_near(frame(rows), rows)
 
 
+def templated(n, share=0.62, size=200):
+    """Texts of one template: any two have about ``share`` of their shingles in common."""
+    common = round(size * 2 * share / (1 + share))
+    start = " ".join(f"t{i}" for i in range(common))
+    return [(k, start + " " + " ".join(f"u{k}x{i}" for i in range(size - common))) for k in range(n)]
+
+
+def test_texts_of_one_template_are_left_alone_without_comparing_pairs(spark, frame, monkeypatch):
+    rows = templated(150) + [(1000, "t0 " * 30), (1001, templated(1)[0][1] + " more")]
+    compare_near(frame(rows), rows)
+    sets = [superminhash.shingles(t) for _, t in rows[:150]]
+    stored = spark.createDataFrame([(k, superminhash._pack(s)) for k, s in enumerate(sets)], "node long, set binary")
+    members = stored.select("node", F.col("node").alias("root"))
+    able = superminhash.with_partners(members, stored).collect()
+    assert able and not any(r["small"] for r in able)  # none can be the smaller one of a pair
+
+
+def test_members_with_partners_are_never_left_out(spark):
+    r = random.Random(3)
+    pool = [f"p{i}" for i in range(60)]
+    sets = [superminhash.shingles(" ".join(r.sample(pool, r.randint(20, 60)) if k % 3 else pool[:r.randint(30, 60)])) for k in range(60)]
+    stored = spark.createDataFrame([(k, superminhash._pack(s)) for k, s in enumerate(sets)], "node long, set binary")
+    able = {r["node"]: r["small"] for r in superminhash.with_partners(
+        stored.select("node", F.col("node").alias("root")), stored).collect()}
+    for a in range(60):
+        for b in range(a):
+            if superminhash.similar(sets[a], sets[b]):
+                assert a in able and b in able and able[min(a, b, key=lambda k: len(sets[k]))]
+
+
+def test_keys_of_sets_are_exact_beside_empty_texts():
+    import pandas as pd
+    alone, beside = (next(superminhash.features(iter([pd.Series(x)]))) for x in (["a b c d e f"], [None, "a b c d e f", ""]))
+    assert alone["key_a"][0] == beside["key_a"][1] and alone["key_b"][0] == beside["key_b"][1]
+    assert beside["key_a"].isna().tolist() == [True, False, True]
+
+
+def test_rows_without_an_id_stay_once_per_set(spark, frame):
+    rows = [(1, "a b c d e f"), (None, "a b c d e f"), (None, "x y z"), (None, "X  y z"), (None, "x y z"), (None, "other"),
+            (None, None), (None, "")]
+    docs = frame(rows).withColumn("key_a", F.lit(1))
+    kept = superminhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], (r["text"] or "").lower().split()) for r in kept.collect()), key=str)
+    assert got == sorted([(1, list("abcdef")), (None, list("xyz")), (None, ["other"]), (None, []), (None, [])], key=str)
+
+
 def test_near_duplicate_edges(spark, frame):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b c"), (5, "A B  c"), (6, "a b"), (7, "a b c d e"), (None, "a b c"),
             (None, "only here now"), (8, "one two three four five six"), (8, "one two three four five six"), (9, "p q r"), (9, "a b"),
@@ -394,6 +441,40 @@ def test_pipeline_stages(spark, tmp_path):
     assert ran == {r["doc_id"]: r["taken"] for r in at.collect()}
 
 
+def test_pipeline_keeps_own_columns_and_rejects_gibberish(spark, tmp_path):
+    """The first three stages against plain rules, on rows with nulls, repeats and columns named like the operators'."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghilmnorstu") for _ in range(r.randrange(2, 8))) for _ in range(150)]
+
+    def prose(n):
+        return " ".join(r.choice(vocabulary) for _ in range(n))
+
+    shared, short = prose(55), prose(9)
+    rows = [(i, prose(90), "en", "s", f"l{i}", "keep") for i in range(30)]
+    rows += [(40, rows[0][1], "en", "s", "x", "keep"), (41, f"{shared}\n{prose(60)}", "en", None, "x", None),
+             (42, f"{prose(60)}\n{shared}", None, "s", "x", "keep"), (None, rows[1][1], "en", "s", "x", "keep"),
+             (None, short, "en", "s", "x", "keep"), (None, short.upper().replace(" ", "  "), "en", "s", "x", "keep"),
+             (50, "\u65e5\u672c\u8a9e\u306e\u30c6\u30ad\u30b9\u30c8\u3067\u3059\u3088", "en", "s", "x", "keep"), (51, "xqzj wvkq zzzz xxkq", "en", "s", "x", "keep"),
+             (52, "zq", "en", "s", "x", "keep"), (53, None, "en", "s", "x", "keep"), (54, "1234 !", "en", "s", "x", "keep"), (55, "", "en", "s", "x", "keep")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_lines string, score string")
+    docs = docs.withColumn("n.dotted", F.lit(1))
+    spark.createDataFrame([(1, "none of these")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at, ids = docs, []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        assert at.dtypes == docs.dtypes
+        ids.append(sorted((x["doc_id"] for x in at.collect()), key=str))
+    whole = sorted([*range(30), 40, 41, 42, None, None, None, 52], key=str)
+    assert ids[0] == whole
+    # Documents are one line of more than fifty words: a copy loses it all. Rows without an id come first, so document 1 is
+    # the copy; the passage goes from the later document.
+    assert ids[1] == sorted([0, *range(2, 30), 41, 42, 52, None, None, None], key=str)
+    assert ids[2] == ids[3] == sorted([0, *range(2, 30), 41, 42, 52, None, None], key=str)
+    assert {x["score"] for x in at.where("doc_id < 30").collect()} == {"keep"}
+    assert {x["n_lines"] for x in at.where("doc_id = 3").collect()} == {"l3"}
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
         f"{tmp_path}/documents.parquet")
