@@ -23,6 +23,10 @@ class CodeType:
     language: str = ""  # which built-in extraction rules apply: "c" or "cpp"
     # A type's own extractor: text to (name, text of the function) in order, and what was wrong with it, if anything.
     extract: Callable[[str], tuple[list[tuple[str, str]], str | None]] | None = None
+    # The same for its marked files, in place of the built-in marker lines.
+    split: Callable[[str], tuple[list[tuple[str, str]], str | None]] | None = None
+    # Its own cut of a function of either side into (head, body, tail); None for one without a body.
+    parts: Callable[[str], tuple[str, str, str] | None] | None = None
 
     @property
     def output_suffix(self) -> str:

@@ -48,6 +48,38 @@ def seeded_shuffle(examples: DataFrame, seed: int) -> DataFrame:
     return out.withColumn(SHUFFLE_KEY, F.md5(text))
 
 
+PERMUTATION_ROUNDS = 64
+
+
+def permuted(position: Column, n: Column | int, seed: int, inverse: bool = False) -> Column:
+    """A bijection of the positions 0 to n - 1, chosen by ``seed``; with ``inverse`` the way back.
+
+    A round swaps or does not swap each pair of positions that add up to the round's key, as a hash of the larger one
+    says: so it is its own inverse, for any n, and the rounds backwards undo the whole.
+    """
+    n = F.lit(n).cast("long") if isinstance(n, int) else n.cast("long")
+    last = PERMUTATION_ROUNDS - 1
+    rounds = F.sequence(F.lit(last), F.lit(0)) if inverse else F.sequence(F.lit(0), F.lit(last))
+
+    def swapped(at: Column, turn: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(F.lit(seed), turn), n) - at, n)
+        return F.when(F.pmod(F.xxhash64(F.lit(seed), turn, F.greatest(at, other)), F.lit(2)) == 1, other).otherwise(at)
+
+    return F.aggregate(rounds, position.cast("long"), swapped)
+
+
+def shuffled_slice(numbered: DataFrame, n: int, seed: int, count: int, skip: int = 0, rank: str = "idx") -> DataFrame:
+    """Places ``[skip, skip + count)`` of a shuffled set, with their ``place``, out of a set that has a dense ``rank``
+    (``with_position``), stored once.
+
+    The i-th shuffled example is the one of rank ``permuted(i, inverse)``: the wanted ranks are computed, nothing is sorted,
+    and of the set only the rows of these ranks are kept. Another seed needs no other table.
+    """
+    places = numbered.sparkSession.range(min(skip, n), min(skip + count, n)).select(
+        F.col("id").alias("place"), permuted(F.col("id"), n, seed, inverse=True).alias("_rank"))
+    return numbered.join(places, F.col(rank) == F.col("_rank")).drop("_rank")
+
+
 def sort_by_length(examples: DataFrame) -> DataFrame:
     """Order by the longer of the two texts; ties keep the order they had. Sorted over range partitions."""
     out = examples.withColumn(SORT_LENGTH, sort_length())

@@ -12,12 +12,15 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from pairloom.code_types import CODE_TYPES, CodeType, resolve
 from pairloom.functions.c_scan import scan_functions
+from pairloom.functions.text import has_body, split_function
+from pairloom.session import ship_package
 
 _FUNCTION = pa.struct([("name", pa.string()), ("text", pa.string())])
 _RESULT = pa.struct([("functions", pa.list_(_FUNCTION)), ("problem", pa.string())])
 _RESULT_TYPE = from_arrow_type(_RESULT)
 
 
+_MARKED = "/marked"
 Extractor = Callable[[str], tuple[list[tuple[str, str]], str | None]]
 
 
@@ -25,15 +28,20 @@ def _extractor(ct: CodeType) -> Extractor:
     return ct.extract or partial(scan_functions, cpp=ct.language == "cpp")
 
 
-def scanned(text: Column, language: str | None = None, code_types=None) -> Column:
+def scanned(text: Column, language: str | None = None, code_types=None, marked: Column | None = None) -> Column:
     """Struct (functions: array of (name, text) in order, problem) of one file; null text gives null.
 
     ``language`` is "c" or "cpp"; by default each row's ``code_type`` decides, which is one of ``code_types`` (names or
-    types of the caller's, which bring their own rules) or of the registry.
+    types of the caller's, which bring their own rules) or of the registry. Where ``marked`` is true a type's rules for
+    marked files count, if it has some.
     """
     if language is None:
         types = {**CODE_TYPES, **{ct.name: ct for ct in resolve(code_types)}}
         kind, rules = F.col("code_type"), {name: _extractor(ct) for name, ct in types.items()}
+        own = {name: ct.split for name, ct in types.items() if ct.split}
+        if marked is not None and own:
+            kind = F.when(marked & kind.isin(list(own)), F.concat(kind, F.lit(_MARKED))).otherwise(kind)
+            rules |= {name + _MARKED: split for name, split in own.items()}
     else:
         kind, rules = F.lit(language), {language: partial(scan_functions, cpp=language == "cpp")}
 
@@ -53,15 +61,35 @@ def scanned(text: Column, language: str | None = None, code_types=None) -> Colum
     return F.arrow_udf(scan, _RESULT_TYPE)(text, kind)
 
 
+def function_parts(text: Column, code_types=None) -> Column:
+    """Struct (head, body, tail) of a function, null for one without a body; types with ``parts`` cut by themselves."""
+    plain = F.when(has_body(text), split_function(text))
+    own = {ct.name: ct.parts for ct in resolve(code_types) if ct.parts}
+    if not own:
+        return plain
+
+    def cut(texts: pa.Array, kinds: pa.Array) -> pa.Array:
+        found = [own[k](t) if t is not None else None for t, k in zip(texts.to_pylist(), kinds.to_pylist())]
+        return pa.array([p and dict(zip(("head", "body", "tail"), p)) for p in found], _PARTS)
+
+    mine = F.col("code_type").isin(list(own))
+    return F.when(mine, F.arrow_udf(cut, from_arrow_type(_PARTS))(F.when(mine, text), F.col("code_type"))).otherwise(plain)
+
+
+_PARTS = pa.struct([("head", pa.string()), ("body", pa.string()), ("tail", pa.string())])
+
+
 def extract_functions(files_text: DataFrame, language: str | None = None, keep_empty: bool = False,
-                      code_types=None) -> tuple[DataFrame, DataFrame]:
+                      code_types=None, marked: bool = False) -> tuple[DataFrame, DataFrame]:
     """Every function definition of each file's ``text``, and the files that were not well formed.
 
     Filter before this step: nothing can be pushed through it. The two results are separate scans of the input.
-    ``keep_empty`` gives files without functions one nameless, empty row.
+    ``keep_empty`` gives files without functions one nameless, empty row. ``marked`` says that the files are marked ones,
+    for types with rules of their own for these.
     """
+    ship_package(files_text.sparkSession)
     keep = [c for c in files_text.columns if c != "text"]
-    rows = files_text.select(*keep, scanned(F.col("text"), language, code_types).alias("_r"))
+    rows = files_text.select(*keep, scanned(F.col("text"), language, code_types, F.lit(marked)).alias("_r"))
     explode = F.posexplode_outer if keep_empty else F.posexplode
     found = rows.select(*keep, explode("_r.functions").alias("pos", "_f"))
     functions = found.select(

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from pairloom.code_types import resolve
-from pairloom.functions.text import decode_lossy, file_name, has_body, output_path, split_function
-from pairloom.operators.extract import extract_functions
+from pairloom.functions.text import decode_lossy, file_name, output_path
+from pairloom.operators.extract import extract_functions, function_parts, scanned
 from pairloom.operators.ordering import keys_at, precedes
+from pairloom.session import materialize, ship_package
+from pairloom.sources.files import hadoop_path
 from pairloom.sources.tree import ordered_concat
 
 REGULAR, PASS_THROUGH = 0, 1
@@ -21,12 +27,12 @@ TRANSFORM, OVER_COUNT, COPY, UNSUPPORTED = "transform", "copy_over_count", "copy
 Model = Callable[[pd.Series], pd.Series]
 
 
-def segment_files(functions: DataFrame) -> DataFrame:
+def segment_files(functions: DataFrame, code_types=None) -> DataFrame:
     """Extracted functions to ordered segments: head and tail pass through, the body is for the model.
 
     A function without a body passes through whole. Text between functions is not kept.
     """
-    cut = split_function("text")
+    cut = function_parts(F.col("text"), code_types)
 
     def segment(kind: int, text: Column) -> Column:
         return F.struct(F.lit(kind).cast("byte").alias("kind"), text.alias("text"))
@@ -36,11 +42,46 @@ def segment_files(functions: DataFrame) -> DataFrame:
                     segment(PASS_THROUGH, F.col("_cut.tail")))
     return (
         functions.select("rel_path", F.col("pos").alias("_fn"), "text", cut.alias("_cut"))
-        .select("rel_path", "_fn", F.posexplode(F.when(has_body("text"), parts).otherwise(whole)).alias("_i", "_s"))
+        .select("rel_path", "_fn", F.posexplode(F.when(F.col("_cut").isNotNull(), parts).otherwise(whole)).alias("_i", "_s"))
         .select("rel_path", (F.col("_fn") * 3 + F.col("_i")).cast("int").alias("pos"), "_s.kind", "_s.text")
     )
 
 
+def _cut(texts: pa.Array, functions: pa.Array) -> pa.Array:
+    """Per file its segments in order; together they are the file, character for character."""
+    out = []
+    for text, found in zip(texts.to_pylist(), functions.to_pylist()):
+        if text is None:
+            out.append(None)
+            continue
+        segments, at = [], 0
+        for function in found or ():
+            # The functions come in the order they stand; one that lies in the one before is part of it.
+            start = text.find(function["text"], at)
+            first, last = function["text"].find("{"), function["text"].rfind("}")
+            if start < 0 or first < 0 or last < first:
+                continue
+            segments += [(PASS_THROUGH, text[at:start + first + 1]), (REGULAR, text[start + first + 1:start + last])]
+            at = start + last
+        segments.append((PASS_THROUGH, text[at:]))
+        out.append([{"kind": kind, "text": part} for kind, part in segments if part or kind == REGULAR])
+    return pa.array(out, _SEGMENTS)
+
+
+_SEGMENTS = pa.list_(pa.struct([("kind", pa.int8()), ("text", pa.string())]))
+
+
+def segment_whole_files(files_text: DataFrame, code_types=None) -> DataFrame:
+    """Files (rel_path, code_type, text) to ordered segments that keep all text: bodies are for the model, everything else,
+    also what stands between functions, passes through. Joined with nothing between them they are the file again."""
+    ship_package(files_text.sparkSession)
+    cut = F.arrow_udf(_cut, from_arrow_type(_SEGMENTS))("text", F.col("_scan.functions"))
+    return (
+        files_text.select("rel_path", "text", scanned(F.col("text"), code_types=code_types).alias("_scan"))
+        .select("rel_path", F.posexplode(cut).alias("pos", "_s")).select("rel_path", "pos", "_s.kind", "_s.text")
+    )
+
+
 def _model_column(fn: Model | None, loader: Callable[[], Model] | None, text: Column) -> Column:
     if (fn is None) == (loader is None):
         raise ValueError("give either fn or loader")
@@ -72,6 +113,44 @@ def apply_model(segments: DataFrame, fn: Model | None = None, *, loader: Callabl
     return answers.withColumn("text", F.when(regular, F.col("_answer")).otherwise(F.col("text"))).drop("_answer")
 
 
+STORED = "text_hash string, answer string"
+
+
+def model_answers(spark: SparkSession, store: str, model_id: str) -> DataFrame:
+    """(text_hash, answer) that the store holds for a model; each text once."""
+    path, fs = hadoop_path(spark, f"{store}/{quote(model_id, safe='')}")
+    parts = [s.getPath().toString() for s in fs.listStatus(path)] if fs.exists(path) else []
+    whole = [part for part in parts if fs.exists(hadoop_path(spark, f"{part}/_SUCCESS")[0])]
+    if not whole:
+        return spark.createDataFrame([], STORED)
+    return spark.read.schema(STORED).parquet(*whole).dropDuplicates(["text_hash"])
+
+
+def apply_model_once(segments: DataFrame, store: str, model_id: str, fn: Model | None = None, *,
+                     loader: Callable[[], Model] | None = None, slices: int = 1) -> DataFrame:
+    """``apply_model`` with a store of results by (model id, hash of the text): a text that occurs often goes to the model
+    once, and one that the store knows not at all.
+
+    New texts are done in ``slices`` by their hash, each stored when it is complete, so a run that was stopped goes on with
+    the slices it has not done. A text's hash is its SHA-256. Texts that very many segments share meet their one answer in
+    a join that the runtime splits.
+    """
+    spark = segments.sparkSession
+    regular = (F.col("kind") == REGULAR) & F.col("text").isNotNull()
+    new = materialize(
+        segments.where(regular).select(F.sha2("text", 256).alias("text_hash"), "text")
+        .join(model_answers(spark, store, model_id), "text_hash", "left_anti").dropDuplicates(["text_hash"]))
+    for k in range(slices):
+        part = new.where(F.pmod(F.conv(F.substring("text_hash", 1, 8), 16, 10).cast("long"), F.lit(slices)) == k)
+        if not part.isEmpty():
+            answers = part.repartition("text_hash").select("text_hash", _model_column(fn, loader, F.col("text")).alias("answer"))
+            answers.write.parquet(f"{store}/{quote(model_id, safe='')}/{uuid.uuid4().hex}")
+    known = model_answers(spark, store, model_id)
+    answered = segments.withColumn("text_hash", F.when(regular, F.sha2("text", 256))).join(known, "text_hash", "left")
+    return answered.withColumn("text", F.when(regular, F.col("answer")).otherwise(F.col("text"))).select(
+        *[f"`{c}`" for c in segments.columns])
+
+
 def reassemble(segments: DataFrame, sep: str = SEPARATOR, part_pieces: int | None = None) -> DataFrame:
     """Join the segments of each file in order into (rel_path, part, content)."""
     return ordered_concat(segments, "rel_path", "pos", "text", sep, part_pieces)
@@ -145,18 +224,22 @@ def transform_raw(files: DataFrame, fn: Model | None = None, count: int | None =
 
 
 def transform_tree(files: DataFrame, fn: Model | None = None, code_types=None, count: int | None = None, *,
-                   loader: Callable[[], Model] | None = None) -> DataFrame:
+                   loader: Callable[[], Model] | None = None, gaps: bool = False) -> DataFrame:
     """Plan, segment, run the model and reassemble: (rel_path, part, content) of the whole output tree.
 
-    Unsupported files have no output; ``plan_tree`` lists them. A file without functions becomes an empty one. Only
-    the segments of transformed files are shuffled.
+    Unsupported files have no output; ``plan_tree`` lists them. A file without functions becomes an empty one. With
+    ``gaps`` the text between functions is kept, and only bodies change. Only the segments of transformed files are
+    shuffled.
     """
     planned = _planned(files.select("rel_path", "content"), code_types, count, bytecode=False)
     text = planned.where(F.col("action") == TRANSFORM).select(
         "rel_path", "code_type", decode_lossy("content").alias("text")
     )
-    functions, _ = extract_functions(text, keep_empty=True, code_types=code_types)
-    answered = apply_model(segment_files(functions), fn, loader=loader)
-    joined = reassemble(answered).withColumn("content", F.col("content").cast("binary"))
+    if gaps:
+        answered = apply_model(segment_whole_files(text, code_types), fn, loader=loader)
+    else:
+        functions, _ = extract_functions(text, keep_empty=True, code_types=code_types, marked=True)
+        answered = apply_model(segment_files(functions, code_types), fn, loader=loader)
+    joined = reassemble(answered, "" if gaps else SEPARATOR).withColumn("content", F.col("content").cast("binary"))
     done = _planned(joined, code_types, None, bytecode=False)
     return _finish(planned, done)

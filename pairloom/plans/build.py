@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.code_types import resolve
-from pairloom.functions.text import file_name, function_id, has_body, split_function
+from pairloom.functions.text import file_name, function_id
 from pairloom.operators.dataset import artifact_cutoff, soft_cap_files
-from pairloom.operators.extract import scanned
+from pairloom.operators.extract import function_parts, scanned
 from pairloom.operators.includes import extract_includes, functions_with_imports, include_closure, resolve_includes
 from pairloom.operators.markers import marked_functions
 from pairloom.operators.pairing import KEY, drop_half_blank, half_blank_report, new_ids_per_file, within
-from pairloom.session import materialize
+from pairloom.session import materialize, ship_package
 from pairloom.sources.files import classify_files, read_text, recognised_files, skip_empty_files, with_content
 
 # Suffixes of files that are read for what they define when a source includes them.
@@ -40,13 +40,20 @@ def _scanned(files: DataFrame, code_types) -> DataFrame:
     ``files`` may come with content (``scan_files``) or without (``list_files``); in the latter case only recognised,
     non-empty files are opened. Every file is read once, and only source texts cross to Python.
     """
+    ship_package(files.sparkSession)
     texts = read_text(classify_files(_opened(recognised_files(skip_empty_files(files), code_types)), code_types))
-    source = F.when(F.col("side") == "source", F.col("text"))
-    return texts.withColumn("_scan", scanned(source, code_types=code_types))
+    return texts.withColumn("_scan", scanned(
+        F.when(_parsed(code_types), F.col("text")), code_types=code_types, marked=F.col("side") == "decompiled"))
 
 
-def _functions() -> Column:
-    return F.when(F.col("side") == "source", F.col("_scan.functions")).otherwise(marked_functions(F.col("text")))
+def _parsed(code_types) -> Column:
+    """Files that go through a parser: sources, and marked files of types with rules of their own."""
+    own = [ct.name for ct in resolve(code_types) if ct.split]
+    return (F.col("side") == "source") | (F.col("code_type").isin(own) if own else F.lit(False))
+
+
+def _functions(code_types) -> Column:
+    return F.when(_parsed(code_types), F.col("_scan.functions")).otherwise(marked_functions(F.col("text")))
 
 
 def _exploded(files: DataFrame, functions: Column) -> DataFrame:
@@ -54,10 +61,9 @@ def _exploded(files: DataFrame, functions: Column) -> DataFrame:
     return files.select(*keys, F.posexplode(functions).alias("pos", "_f")).select(*keys, "pos", "_f.name", "_f.text")
 
 
-def _with_parts(functions: DataFrame) -> DataFrame:
+def _with_parts(functions: DataFrame, code_types=None) -> DataFrame:
     return (
-        functions.where(has_body("text"))
-        .withColumn("_s", split_function("text"))
+        functions.withColumn("_s", function_parts(F.col("text"), code_types)).where(F.col("_s").isNotNull())
         .select("*", "_s.head", "_s.body", "_s.tail", function_id("path", "name").alias("function_id"))
         .drop("_s")
     )
@@ -66,7 +72,7 @@ def _with_parts(functions: DataFrame) -> DataFrame:
 def read_functions(files: DataFrame, code_types=None) -> DataFrame:
     """Functions with a body of both sides."""
     # Exploded where it is made: a named array would be filtered first, and the parser called for that once more.
-    return _with_parts(_exploded(_scanned(files, code_types), _functions()))
+    return _with_parts(_exploded(_scanned(files, code_types), _functions(code_types)), code_types)
 
 
 def match_sides(functions: DataFrame) -> DataFrame:
@@ -141,16 +147,16 @@ def build(files: DataFrame, code_types=None, max_len: int = 0, imports: bool = F
     could not follow; functions found all the same are kept), ``no_body``, ``blank_source``, ``blank_decompiled``.
     """
     parsed = materialize(_scanned(files, code_types).select(
-        *within(files, "artifact", "code_type", "side", "path"), _functions().alias("functions"),
+        *within(files, "artifact", "code_type", "side", "path"), _functions(code_types).alias("functions"),
         F.when(F.col("text").isNull(), "unreadable").otherwise(F.col("_scan.problem")).alias("problem")))
     plain = _exploded(parsed, F.col("functions"))
-    functions = _with_parts(plain)
+    functions = _with_parts(plain, code_types)
     if max_len > 0:
         file_key = within(functions, "artifact", "code_type", "side", "path")
         kept = soft_cap_files(new_ids_per_file(functions), max_len).select(*file_key)
         functions = materialize(functions.join(kept, file_key, "left_semi"))
     if imports:
-        extra = _with_parts(imported_functions(files, functions, code_types, library_dirs, child_depth))
+        extra = _with_parts(imported_functions(files, functions, code_types, library_dirs, child_depth), code_types)
         functions = functions.withColumns({"def_path": F.col("path"), "imported": F.lit(False)}).unionByName(extra)
     pairs = materialize(_pairs(functions))
     examples = artifact_cutoff(drop_half_blank(pairs), max_len)
@@ -159,7 +165,7 @@ def build(files: DataFrame, code_types=None, max_len: int = 0, imports: bool = F
     faults = parsed.where(F.col("problem").isNotNull()).select(
         *columns, "path", nowhere, F.when(F.col("problem") == "unreadable", "unreadable").otherwise("extraction")
         .alias("reason"), F.col("problem").alias("detail"))
-    bodiless = plain.where(~has_body("text")).select(
+    bodiless = plain.where(function_parts(F.col("text"), code_types).isNull()).select(
         *columns, "path", F.col("pos").cast("int").alias("pos"), F.lit("no_body").alias("reason"),
         F.col("name").alias("detail"))
     return Build(examples, faults.unionByName(bodiless).unionByName(half_blank_report(pairs)))

@@ -286,6 +286,16 @@ rendered AS (
 rl AS (SELECT path, [x for x in string_split(content, chr(10)) if x <> ''] AS l FROM rendered)""") + """
 SELECT path, 'notes' AS code_type, CAST(i AS INTEGER) AS pos, split_part(l[i + 1], ' ', 1) AS name,
        CAST(length(l[i + 1]) AS INTEGER) AS length FROM rl, unnest(range(len(l))) AS u(i)"""
+    calls = """
+calls AS (
+  SELECT path, q, CAST(row_number() OVER (PARTITION BY path ORDER BY pos) - 1 AS INTEGER) AS pos FROM dec WHERE n % 17 <> 0),
+cut AS (SELECT path, pos, left(q, 12) AS name, 'emit(' AS head, substr(q, 6, length(q) - 7) AS body, ');' AS tail FROM calls)"""
+    q["own_type_functions"] = _with(_LINES, calls) + "SELECT path, 'calls' AS code_type, pos, name, head, body, tail FROM cut"
+    q["own_type_tree"] = _with(_LINES, calls) + """
+SELECT left(p.path, length(p.path) - 4) || '.c' AS rel_path, 0 AS part, coalesce(content, '') AS content
+FROM (SELECT DISTINCT path FROM dec) p LEFT JOIN (
+  SELECT path, string_agg(head || chr(10) || chr(10) || replace(body, ' ', '_') || chr(10) || chr(10) || tail,
+                          chr(10) || chr(10) ORDER BY pos) AS content FROM cut GROUP BY path) USING (path)"""
 
     # Scans, sources, sinks.
     q["scan_files"] = """
@@ -464,6 +474,8 @@ SELECT artifact, code_type, ident FROM ex JOIN (
     q["seeded_shuffle"] = _corpus(f"""
 SELECT row_number() OVER (ORDER BY shuffle_key, {_NATURAL}) - 1 AS idx, artifact, ident, shuffle_key
 FROM (SELECT *, {key.format(7)} AS shuffle_key FROM ex)""")
+    q["permuted_positions"] = "SELECT unnest(range(count(*))) AS place, true AS back FROM documents"
+    q["shuffled_slices"] = "SELECT doc_id AS ident, true AS inside FROM documents"
     q["split_off_end"] = _corpus(f"""
 SELECT artifact, code_type, ident, CASE WHEN {_ORDERED} <= floor((SELECT count(*) FROM ex) * CAST(0.7 AS DOUBLE))
        THEN 'left' ELSE 'right' END AS part FROM ex""")
@@ -612,6 +624,26 @@ SELECT out_path AS rel_path, 0 AS part, content FROM (
   WHERE action <> 'unsupported')
 QUALIFY row_number() OVER (PARTITION BY out_path ORDER BY rel_path DESC) = 1"""
 
+    header = """
+headers AS (
+  SELECT artifact || '/' || split_part(fstem, '/', 2) || '/h.h' AS rel_path, '/* header */' || chr(10) || string_agg(
+    CASE WHEN n % 7 = 0 THEN 'int ' || nm || '(void) { imported(); }' || chr(10) ELSE '' END, '' ORDER BY pos) AS content
+  FROM ln GROUP BY artifact, fstem),
+everything AS (
+  SELECT rel_path, CASE WHEN rel_path LIKE '%.o.c' THEN content ELSE '#include "h.h"' || chr(10) || content END AS content
+  FROM filetext UNION ALL SELECT * FROM headers)"""
+    q["transform_tree_gaps"] = _with(_LINES, _RENDERED_FILES, header, """
+named AS (
+  SELECT *, CASE WHEN rel_path LIKE '%.o.c' THEN left(rel_path, length(rel_path) - 4) || '.c' ELSE rel_path END AS out_path
+  FROM everything)""") + """
+SELECT out_path AS rel_path, 0 AS part, content FROM named
+QUALIFY row_number() OVER (PARTITION BY out_path ORDER BY named.rel_path DESC) = 1"""
+    q["model_store"] = q["apply_model"]
+    regular = "SELECT DISTINCT text FROM conversations WHERE role <> 'system'"
+    q["model_store_calls"] = f"""
+SELECT 1 AS run, count(*) AS calls FROM ({regular} AND conv_id % 2 = 0)
+UNION ALL SELECT 2, count(*) FROM ({regular}) WHERE text NOT IN ({regular} AND conv_id % 2 = 0)"""
+
     # Streaming.
     q["watch_ledger"] = _with(_LEDGER) + "SELECT DISTINCT 'main' AS repo, package FROM led WHERE status = 'success'"
     q["watch_build"] = _corpus("""

@@ -118,6 +118,36 @@ def extract_own_type(spark, sf_dir):
     return functions.select("path", "code_type", "pos", "name", F.length("text").alias("length"))
 
 
+def _marked_lines(text: str) -> tuple[list[tuple[str, str]], str | None]:
+    """Rules of an own type for marked files: a line that calls something, named by the text up to its bracket."""
+    lines = [line.strip() for line in text.split("\n") if "emit(" in line]
+    return [(line[:12], line) for line in lines], None
+
+
+def _called(text: str) -> tuple[str, str, str] | None:
+    """An own cut of functions: what stands between the first opening and the last closing bracket."""
+    first, last = text.find("("), text.rfind(")")
+    return (text[:first + 1], text[first + 1:last], text[last:]) if 0 <= first < last else None
+
+
+CALLS = CodeType("calls", "Calls", (".c", ".cpp", ".cc"), (), (".o.c",), extract=_lines_of, split=_marked_lines, parts=_called)
+
+
+@query
+def own_type_functions(spark, sf_dir):
+    """Both sides of an own type with its own rules for marked files and its own cut of functions."""
+    functions = read_functions(X.code_files(spark, sf_dir), [CALLS]).where(F.col("side") == "decompiled")
+    return functions.select("path", "code_type", "pos", "name", "head", "body", "tail")
+
+
+@query
+def own_type_tree(spark, sf_dir):
+    """Marked files of an own type through a model: only what its cut calls the body changes."""
+    files = X.marked_files(spark, sf_dir).select("rel_path", "content")
+    done = transform.transform_tree(files, stand_in_model, [CALLS])
+    return done.select("rel_path", "part", F.decode("content", "UTF-8").alias("content"))
+
+
 # Scans, sources, sinks.
 
 @query
@@ -572,6 +602,31 @@ def seeded_shuffle(spark, sf_dir):
     return dataset.with_position(shuffled).select("idx", "artifact", "ident", dataset.SHUFFLE_KEY)
 
 
+def _numbered_documents(spark, sf_dir) -> tuple[DataFrame, int]:
+    examples = X.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("artifact"), F.lit("cpp").alias("code_type"), F.col("doc_id").alias("ident"),
+        F.struct(F.col("lang").alias("path"), F.lit(0).alias("pos")).alias("seq"))
+    numbered = materialize(dataset.with_position(examples))
+    return numbered, numbered.count()
+
+
+@query
+def permuted_positions(spark, sf_dir):
+    """Every place of the shuffled order, and whether the way back leads to the rank it came from."""
+    numbered, n = _numbered_documents(spark, sf_dir)
+    place = numbered.select("idx", dataset.permuted(F.col("idx"), n, 7).alias("place"))
+    return place.select("place", (dataset.permuted(F.col("place"), n, 7, inverse=True) == F.col("idx")).alias("back"))
+
+
+@query
+def shuffled_slices(spark, sf_dir):
+    """The shuffled set in three slices: every document once, at a place of its slice."""
+    numbered, n = _numbered_documents(spark, sf_dir)
+    slices = [dataset.shuffled_slice(numbered, n, 11, 60, 60 * k) for k in (0, 1)]
+    slices.append(dataset.shuffled_slice(numbered, n, 11, n, 120))
+    return reduce(DataFrame.unionByName, slices).select("ident", (F.col("place") < n).alias("inside"))
+
+
 @query
 def split_off_end(spark, sf_dir):
     left, right = dataset.split_off_end(_examples(spark, sf_dir), 0.7)
@@ -937,6 +992,35 @@ def transform_tree(spark, sf_dir):
     return done.select("rel_path", "part", F.decode("content", "UTF-8").alias("content"))
 
 
+@query
+def transform_tree_gaps(spark, sf_dir):
+    """A model that changes nothing, with the text between functions kept: every file as it was."""
+    files = X.files_with_headers(spark, sf_dir).select("rel_path", "content")
+    done = transform.transform_tree(files, lambda texts: texts, gaps=True)
+    return done.select("rel_path", "part", F.decode("content", "UTF-8").alias("content"))
+
+
+def _stored_runs(spark, sf_dir):
+    """Two runs with one store: the conversations with even numbers, then all; the segments, and the calls of each run."""
+    store = scratch(spark, "answers")
+    segments = X.segments(spark, sf_dir)
+    even = segments.where(F.col("rel_path").cast("long") % 2 == 0)
+    transform.apply_model_once(even, store, "stand in/1", stand_in_model, slices=2)
+    first = transform.model_answers(spark, store, "stand in/1").count()
+    done = transform.apply_model_once(segments, store, "stand in/1", stand_in_model)
+    return done, [(1, first), (2, transform.model_answers(spark, store, "stand in/1").count() - first)]
+
+
+@query
+def model_store(spark, sf_dir):
+    return _stored_runs(spark, sf_dir)[0].select("rel_path", "pos", F.col("kind").cast("int").alias("kind"), "text")
+
+
+@query
+def model_store_calls(spark, sf_dir):
+    return spark.createDataFrame(_stored_runs(spark, sf_dir)[1], "run int, calls long")
+
+
 # Streaming.
 
 @query

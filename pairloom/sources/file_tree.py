@@ -27,6 +27,7 @@ from pyspark.sql.datasource import (
     IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage,
 )
 
+from pairloom.session import ship_package
 from pairloom.sources.files import entries_of, hadoop_path, opened
 
 SCHEMA = ("repo string, artifact string, path string, rel_path string, file_name string, ending string, depth int, "
@@ -248,6 +249,7 @@ class FileTree(DataSource):
 
 
 def _registered(spark: SparkSession, root: str):
+    ship_package(spark)
     spark.dataSource.register(FileTree)
     return hadoop_path(spark, root)
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pairloom import schemas
 from pairloom.code_types import resolve
 from pairloom.functions.text import decode_lossy, file_name
-from pairloom.session import materialize
+from pairloom.session import materialize, ship_package
 
 # Bytes of file contents a task holds before it passes them on.
 CONTENT_BATCH_BYTES = 64 * 1024 * 1024
@@ -100,6 +100,7 @@ def list_tree(spark: SparkSession, root: str, repo: str = "") -> tuple[DataFrame
     Directories are listed level by level in tasks, so the list of a very large tree is never held by the driver. Names
     may hold any characters. Linked files are files, linked directories are not entered.
     """
+    ship_package(spark)
     qualified, fs = hadoop_path(spark, root)
     if not fs.exists(qualified):
         raise ValueError(f"no folder at {root}")
@@ -136,6 +137,7 @@ def with_content(files: DataFrame) -> DataFrame:
 
     A file that cannot be read has null content; ``unreadable`` lists such files, and the others are not affected.
     """
+    ship_package(files.sparkSession)
     names = files.columns
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from pairloom.session import ship_package
 from pairloom.sources.files import hadoop_path, opened
 
 # Endings of marker files and what they mean.
@@ -86,6 +87,7 @@ def marker_stream(spark: SparkSession, root: str, repo: str = "", marker: str |
     With ``marker`` the files are ``<package>/<marker>.success`` in any depth. A file counts when it is ``lag`` seconds
     old: until then one with an earlier time, from a machine with another clock, may still appear.
     """
+    ship_package(spark)
     spark.dataSource.register(MarkerSource)
     path, _ = hadoop_path(spark, root)
     reader = spark.readStream.format("status_markers").option("path", path.toString()).option("repo", repo).option("lag", lag)
@@ -95,6 +97,7 @@ def marker_stream(spark: SparkSession, root: str, repo: str = "", marker: str |
 def write_markers(outcomes: DataFrame, root: str) -> None:
     """Leave an empty file per (package, status) in a folder, written by the tasks. Names with a slash are not allowed."""
     spark = outcomes.sparkSession
+    ship_package(spark)
     path, fs = hadoop_path(spark, root)
     fs.mkdirs(path)
     base = path.toString().rstrip("/")

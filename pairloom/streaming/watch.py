@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from pairloom import schemas
+from pairloom.session import ship_package
 from pairloom.sources.files import hadoop_path
 
 _STATE = "handled boolean, ts timestamp, status string"
@@ -76,6 +77,7 @@ def watch_entries(entries: DataFrame, process: Callable[[DataFrame, int], None],
     later than that are ignored.
     """
     spark = entries.sparkSession
+    ship_package(spark)
     base = checkpoint.rstrip("/")
     known = entries.where(F.col("ts").isNotNull()).select(*schemas.LEDGER.names)
     if settle is None:
