@@ -125,3 +125,22 @@ def test_artifacts_of_two_repos_are_cut_apart(spark):
     examples = spark.createDataFrame(data, schema)
     assert {r.repo for r in D.artifact_cutoff(examples, 3).collect()} == {"r1"}
     assert D.artifact_cutoff(examples, 6).count() == 10
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
+def test_permutation_is_a_bijection_with_a_way_back(spark, n):
+    got = spark.range(n).select("id", D.permuted(F.col("id"), n, 5).alias("p"), D.permuted(F.col("id"), n, 6).alias("q")) \
+        .withColumn("back", D.permuted(F.col("p"), n, 5, inverse=True)).collect()
+    assert sorted(r.p for r in got) == sorted(r.q for r in got) == list(range(n))
+    assert all(r.back == r.id for r in got)
+    if n == 1000:  # spread, and another order for another seed
+        assert sum(r.p == r.q for r in got) < 20 and sum(abs(r.p - r.id) < 10 for r in got) < 60
+
+
+def test_shuffled_slices_read_their_rows_only(spark):
+    numbered = spark.range(100).select(F.col("id").alias("idx"), (F.col("id") * 3).alias("v"))
+    parts = [[(r.place, r.idx, r.v) for r in D.shuffled_slice(numbered, 100, 9, 40, skip).collect()] for skip in (0, 40, 80, 120)]
+    assert [len(p) for p in parts] == [40, 40, 20, 0]
+    everything = sorted(sum(parts, []))
+    assert [p for p, _, _ in everything] == list(range(100)) and sorted(i for _, i, _ in everything) == list(range(100))
+    assert all(v == 3 * i for _, i, v in everything) and [i for _, i, _ in everything] != list(range(100))

@@ -115,3 +115,57 @@ def test_write_tree(spark, files, tmp_path, rows):
     bad = spark.createDataFrame([("../out", 0, b"x")], tree.schema)
     with pytest.raises(Exception, match="leads out"):
         write_tree_files(bad.withColumn("content", F.col("content")), str(tmp_path / "bad"))
+
+
+WHOLE = ["int f(void) { a; }\n", "// only a comment\n", "", "\n\nint f(void)\n{\n}\n  \n/* between { } */\nint g(int x) { if (x) { y; } }\ntail",
+         "int f(void) { a; } int f(void) { a; }", "struct s { int x; };\nint h(void) {\r\n b;\r\n}\r\n", "int broken(void) { {"]
+
+
+def test_segments_with_gaps_are_the_file(spark):
+    files = spark.createDataFrame([(f"f{i}", "cpp", t) for i, t in enumerate(WHOLE)], "rel_path string, code_type string, text string")
+    got = {}
+    for r in X.segment_whole_files(files).orderBy("rel_path", "pos").collect():
+        got.setdefault(r.rel_path, []).append((r.kind, r.text))
+    for i, text in enumerate(WHOLE):
+        assert "".join(t for _, t in got.get(f"f{i}", [])) == text
+    assert [t for k, t in got["f4"] if k == 0] == [" a; ", " a; "]
+    assert [t for k, t in got["f3"] if k == 0] == ["\n", " if (x) { y; } "]
+
+
+def test_a_model_sees_a_stored_text_once_and_goes_on_after_a_stop(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    texts = ["a", "b", "a", "c", None, "d"]
+    segments = spark.createDataFrame([("f", i, 0, t) for i, t in enumerate(texts)] + [("f", 9, 1, "a")],
+                                     "rel_path string, pos int, kind int, text string")
+
+    def counting(batch):
+        calls.add(len(batch))
+        return batch.str.upper()
+
+    def failing(batch):
+        raise RuntimeError("stopped")
+
+    def run(part, fn, model="m/1", slices=1):
+        return [(r.pos, r.text) for r in X.apply_model_once(part, str(tmp_path), model, fn, slices=slices).orderBy("pos").collect()]
+
+    assert run(segments.where("pos < 3"), counting, slices=3) == [(0, "A"), (1, "B"), (2, "A")]
+    assert calls.value == 2
+    with pytest.raises(Exception, match="stopped"):
+        run(segments, failing)
+    want = [(0, "A"), (1, "B"), (2, "A"), (3, "C"), (4, None), (5, "D"), (9, "a")]
+    assert run(segments, counting) == want and calls.value == 4
+    assert run(segments, failing) == want  # nothing is new
+    assert run(segments, counting, "m/2") == want and calls.value == 8
+
+
+def test_own_rules_for_marked_files(spark):
+    from pairloom.code_types import CodeType
+    from pairloom.plans.build import build
+
+    own = CodeType("own", "Own", (".src",), (), (".out",), extract=lambda t: ([(x[0], x) for x in t.split("\n")], None),
+                   split=lambda t: ([(x[0], x) for x in t.split(";") if x], None), parts=lambda t: ("", t[1:], "") if t[1:] else None)
+    rows = [("r", "a", "a/x.src", "a/x.src", "x.src", 9, b"f one\ng two\nh"), ("r", "a", "a/x.out", "a/x.out", "x.out", 9, b"f 1;h 3;k 4")]
+    files = spark.createDataFrame(rows, "repo string, artifact string, path string, rel_path string, file_name string, length long, content binary")
+    built = build(files, [own])
+    assert [(r.ident, r.source, r.decompiled) for r in built.examples.collect()] == [("x::f", " one", " 1")]
+    assert [(r.reason, r.detail) for r in built.rejects.collect()] == [("no_body", "h")]
