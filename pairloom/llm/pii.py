@@ -11,7 +11,7 @@ It is trained in numpy from labelled spans: windows of the base rules' findings,
 at most ``SAMPLE_DOCS`` documents in expectation (chosen by hashed id), at most ``SAMPLE_ROWS`` windows each. Without
 labelled spans nothing is added.
 
-Null or empty text: no spans. Spans are in code points, end exclusive. Repeated rows have equal results. Rules run in
+Null or empty text: no spans. Empty table: empty result, nothing learned. Spans are in code points, end exclusive. Repeated rows have equal results. Rules run in
 linear time, also on endless runs of digits or of address characters. ``find_personal`` keeps all columns and replaces
 those it adds.
 """

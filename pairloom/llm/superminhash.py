@@ -23,7 +23,8 @@ Null or empty text, or one without words: empty set, linked with nothing. Fewer
 shingle. Rows with equal ids are versions of one document and always in one group. A null id cannot name a group: such a
 row follows the smallest id with an equal set; if there is none it has no component and is kept, by
 ``drop_near_duplicates`` once per set. Extra columns are not
-read by ``near_duplicates``; ``drop_near_duplicates`` keeps them. Empty input: empty result.
+read by ``near_duplicates``; ``drop_near_duplicates`` keeps them. Empty input: empty result. A very long text is one cell
+and read whole; its set is, too.
 """
 
 from __future__ import annotations

@@ -31,7 +31,7 @@ elsewhere. A page that is left without text by weak signs is judged once more by
 
 Null or empty html: empty text. Null url: pages of one nameless host. Comments, scripts, styles and an unfinished tag at
 the end hold no text. Unclosed and stray tags are tolerated; elements deeper than ``DEEPEST`` count as their ancestor at
-that depth. Repeated rows have equal results. ``extract`` reads the named columns only. Empty input: empty result.
+that depth. Very long pages are read whole, a page being the unit of work. Repeated rows have equal results. ``extract`` reads the named columns only. Empty input: empty result.
 """
 
 from __future__ import annotations
