@@ -89,9 +89,11 @@ def extract_functions(files_text: DataFrame, language: str | None = None, keep_e
     """
     ship_package(files_text.sparkSession)
     keep = [c for c in files_text.columns if c != "text"]
-    rows = files_text.select(*keep, scanned(F.col("text"), language, code_types, F.lit(marked)).alias("_r"))
+    scan = scanned(F.col("text"), language, code_types, F.lit(marked))
+    rows = files_text.select(*keep, scan.alias("_r"))
     explode = F.posexplode_outer if keep_empty else F.posexplode
-    found = rows.select(*keep, explode("_r.functions").alias("pos", "_f"))
+    # Exploded where it is made: a named array would be filtered first, and the parser called for that once more.
+    found = files_text.select(*keep, explode(scan["functions"]).alias("pos", "_f"))
     functions = found.select(
         *keep,
         F.coalesce("pos", F.lit(0)).alias("pos"),

@@ -82,6 +82,16 @@ def segment_whole_files(files_text: DataFrame, code_types=None) -> DataFrame:
     )
 
 
+def _answers(batch: pd.Series, model: Model) -> pd.Series:
+    """The model's answers to the texts of a batch, null for null."""
+    wanted = batch.dropna()
+    out = pd.Series([None] * len(batch), dtype=object)
+    if len(wanted):
+        # As objects: a plain list would become an array in which every text takes the room of the longest.
+        out[batch.notna().to_numpy()] = pd.Series(list(model(wanted)), dtype=object).to_numpy()
+    return out
+
+
 def _model_column(fn: Model | None, loader: Callable[[], Model] | None, text: Column) -> Column:
     if (fn is None) == (loader is None):
         raise ValueError("give either fn or loader")
@@ -90,11 +100,7 @@ def _model_column(fn: Model | None, loader: Callable[[], Model] | None, text: Co
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = loader() if loader is not None else fn  # loaded once per task, not per batch
         for batch in batches:
-            wanted = batch.dropna()
-            out = pd.Series([None] * len(batch), dtype=object)
-            if len(wanted):
-                out[batch.notna().to_numpy()] = list(model(wanted))
-            yield out
+            yield _answers(batch, model)
 
     return run(text)
 

@@ -42,3 +42,19 @@ def test_stored_tables_are_dropped(spark):
     assert os.path.exists(path)
     session.drop_materialized(spark)
     assert not os.path.exists(path)
+
+
+def test_batches_are_bounded_in_any_session():
+    set_ = {session.BATCHES[0]: "70"}
+    conf = SimpleNamespace(get=lambda key, default: set_.get(key, default), set=lambda key, value: set_.update({key: value}))
+    session.bound_batches(SimpleNamespace(conf=conf))
+    assert set_ == {session.BATCHES[0]: "70", session.BATCHES[1]: str(8 * 1024 * 1024)}
+
+
+def test_queries_bound_batches(spark):
+    fresh = spark.newSession()
+    for key in session.BATCHES:
+        fresh.conf.unset(key)
+    session.ship_package(fresh)
+    assert all(fresh.conf.get(key) for key in session.BATCHES)
+    assert int(fresh.conf.get(session.BATCHES[1]).rstrip("b")) <= 8 * 1024 * 1024

@@ -169,3 +169,24 @@ def test_own_rules_for_marked_files(spark):
     built = build(files, [own])
     assert [(r.ident, r.source, r.decompiled) for r in built.examples.collect()] == [("x::f", " one", " 1")]
     assert [(r.reason, r.detail) for r in built.rejects.collect()] == [("no_body", "h")]
+
+
+def test_a_long_answer_does_not_widen_the_others():
+    """An answer takes its own room, not that of the longest in its batch."""
+    import tracemalloc
+
+    import pandas as pd
+    batch = pd.Series([None, *["short"] * 100, "x" * 500_000])
+    tracemalloc.start()
+    got = X._answers(batch, lambda texts: texts + "!")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [None, *["short!"] * 100, "x" * 500_000 + "!"] and peak < 20_000_000
+
+
+def test_parser_is_called_once(spark, files):
+    """The rows of a file's functions come from one call; no filter before the explode repeats it."""
+    from pairloom.operators.extract import extract_functions
+    text = files.selectExpr("rel_path", "'c' code_type", "string(content) text")
+    plan = extract_functions(text)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
