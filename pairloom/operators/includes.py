@@ -185,17 +185,21 @@ def include_closure(includes: DataFrame, roots: DataFrame, max_hops: int | None
 def functions_with_imports(functions: DataFrame, closure: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Functions of each root and of everything it includes, under the root's path; ``def_path`` is where they stand.
 
-    Every file is parsed once however many roots include it. ``wanted``, if given, holds (path, name), and code_type if
-    the functions have one: only functions of that name are brought to that root, so a header's functions meet the roots
-    that can use them instead of all.
+    Every file is parsed once however many roots include it. ``wanted``, if given, says which names a root can use: it has
+    ``name``, ``path`` (the root) or further columns of ``closure`` that tell kinds of roots, and code_type if the functions
+    have one. What a root reaches is met with the names defined there before it is met with the wanted ones, and texts come
+    last: so the work follows what is reached and defined, not the names that all roots want.
     """
     defined = functions.withColumnRenamed("path", "def_path")
-    reached = closure.select("root", F.col("path").alias("def_path"))
+    reached = closure.withColumnRenamed("path", "def_path")
     if wanted is None:
-        joined = reached.join(defined, "def_path")
+        joined = reached.select("root", "def_path").join(defined, "def_path")
     else:
-        kind = ["code_type"] if "code_type" in wanted.columns else []
-        asked = wanted.select(F.col("path").alias("root"), "name", *kind).distinct()
-        joined = reached.join(asked, "root").join(defined, ["def_path", "name", *kind])
+        place = ["def_path", "name", *[c for c in ("code_type",) if c in functions.columns and c in wanted.columns]]
+        asked = wanted.withColumnRenamed("path", "root")
+        asked = asked.select(*[c for c in asked.columns if c in reached.columns or c in place]).distinct()
+        there = reached.join(defined.select(*place).distinct(), [c for c in place if c in reached.columns])
+        hits = there.join(asked, asked.columns, "left_semi").select("root", *place).distinct()
+        joined = hits.join(defined, place)
     joined = joined.withColumnRenamed("root", "path")
     return joined.withColumn("imported", F.col("path") != F.col("def_path"))

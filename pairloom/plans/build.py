@@ -122,18 +122,20 @@ def imported_functions(files: DataFrame, functions: DataFrame, code_types=None,
     key = within(files, "artifact", "code_type")
     sources = materialize(functions.where(F.col("side") == "source").select(*key, "path").distinct())
     resolved = resolve_includes(extract_includes(texts), texts.select("path"), library_dirs, child_depth)
-    closure = include_closure(resolved, sources.select("path").distinct())
+    # Only what a file gets from others counts, so files that no other includes are not parsed for it.
+    closure = materialize(include_closure(resolved, sources.select("path").distinct()).where("root != path"))
     stem = F.substring_index(file_name("path"), ".", 1)
     names = functions.where(F.col("side") == "decompiled").select(
         *key, stem.alias("_stem"), F.substring_index("name", "<", 1).alias("name")).distinct()
-    wanted = sources.withColumn("_stem", stem).join(names, [*key, "_stem"]).select("path", "code_type", "name")
     types = F.array(*[F.lit(ct.name) for ct in resolve(code_types)])
     parsed = texts.join(closure.select("path").distinct(), "path", "left_semi").select(
         "path", "text", F.explode(types).alias("code_type"))
-    defined = parsed.select("path", "code_type", scanned(F.col("text"), code_types=code_types)["functions"].alias("_fs")) \
-        .select("path", "code_type", F.posexplode("_fs").alias("pos", "_f")).select(
-            "path", "code_type", "pos", "_f.name", "_f.text")
-    found = functions_with_imports(defined, closure, wanted).where("imported")
+    defined = materialize(
+        parsed.select("path", "code_type",
+                      F.posexplode(scanned(F.col("text"), code_types=code_types)["functions"]).alias("pos", "_f"))
+        .select("path", "code_type", "pos", "_f.name", "_f.text"))
+    users = closure.join(sources.select(F.col("path").alias("root"), stem.alias("_stem"), *key), "root")
+    found = functions_with_imports(defined, users, names).where("imported")
     return found.join(sources, ["path", "code_type"]).withColumn("side", F.lit("source"))
 
 

@@ -124,3 +124,29 @@ def test_functions_with_imports(spark, rows):
                        function_id("path", "name").alias("function_id"), F.col("text").alias("body"))
     # An included definition comes after the file's own, so it is the last one.
     assert rows(dedupe_source(keyed), "function_id", "body") == [("a::f", "3"), ("a::g", "2"), ("b::f", "3"), ("b::g", "2")]
+
+
+def test_wanted_names_by_kind_of_root(spark, rows):
+    """Roots of one kind want the same names; these are met where they are defined, not spread over all roots first."""
+    functions = spark.createDataFrame(
+        [("h.h", 0, "f", "1"), ("h.h", 1, "g", "2"), ("h.h", 1, "g", "2"), ("i.h", 0, "f", "3")],
+        "path string, pos int, name string, text string")
+    closure = spark.createDataFrame(
+        [("a.c", "h.h", "x"), ("b.c", "h.h", "x"), ("b.c", "i.h", "x"), ("c.c", "h.h", "y"), ("d.c", "h.h", None)],
+        "root string, path string, kind string")
+    wanted = spark.createDataFrame([("x", "f"), ("y", "g"), ("y", "none"), (None, "f")], "kind string, name string")
+    got = I.functions_with_imports(functions, closure, wanted)
+    assert rows(got, "path", "def_path", "name", "text", "imported") == [
+        ("a.c", "h.h", "f", "1", True), ("b.c", "h.h", "f", "1", True), ("b.c", "i.h", "f", "3", True),
+        ("c.c", "h.h", "g", "2", True), ("c.c", "h.h", "g", "2", True)]
+
+
+def test_names_of_a_kind_are_not_multiplied_by_its_roots(spark):
+    """300 roots that share 300 wanted names and reach one function each make rows by the hundred, not 90,000."""
+    functions = spark.range(300).selectExpr("concat('h', id) path", "cast(0 as int) pos", "concat('n', id) name", "'t' text")
+    closure = spark.range(300).selectExpr("concat('r', id) root", "concat('h', id) path", "'x' kind")
+    wanted = spark.range(300).selectExpr("'x' kind", "concat('n', id) name")
+    got = I.functions_with_imports(functions, closure, wanted)
+    assert got.count() == 300
+    joins = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in joins
