@@ -91,23 +91,44 @@ def _ids(df: DataFrame, key: Sequence[str], texts: dict[str, Column], vocab: Dat
 def _ids_by_join(df: DataFrame, key: Sequence[str], texts: dict[str, Column], vocab: DataFrame) -> DataFrame:
     """The same by a join; a token found very often is split by the runtime. Arrays are cut already, so groups stay
     within the limit. Rows with one key are told apart by their tokens, and equal rows are counted and given back."""
-    sides = F.array(*[F.struct(F.lit(name).alias("side"), column.alias("tokens")) for name, column in texts.items()])
+    sides = F.array(*[F.struct(F.lit(name).alias("side"), F.col(name).alias("tokens")) for name in texts])
     exploded = (
-        df.select(*key, F.xxhash64(*texts.values()).alias("_row"), F.explode(sides).alias("_s"))
+        _rows_once(df.select(*key, *[column.alias(name) for name, column in texts.items()]), key, list(texts))
+        .select(*key, "_row", "_copies", F.explode(sides).alias("_s"))
+        # Taken out of the struct first: else every token would carry all tokens of its text along.
+        .select(*key, "_row", "_copies", F.col("_s.side").alias("_side"), F.col("_s.tokens").alias("_tokens"))
         # The outer explode keeps empty texts.
-        .select(*key, "_row", F.col("_s.side").alias("_side"), F.posexplode_outer("_s.tokens").alias("_pos", "token"))
+        .select(*key, "_row", "_copies", "_side", F.posexplode_outer("_tokens").alias("_pos", "token"))
     )
-    found = exploded.join(vocab, "token", "left")
-    entry = F.when(F.col("token").isNotNull(), F.struct(F.col("_pos").alias("p"), F.coalesce("id", F.lit(UNK)).alias("id")))
-    collected = [F.array_sort(F.collect_set(F.when(F.col("_side") == name, entry))).alias(name) for name in texts]
-    first = (F.col("_side") == next(iter(texts))) & (F.coalesce("_pos", F.lit(0)) == 0)
+    found = exploded.join(vocab.select("token", "id").distinct(), "token", "left")
+    packed = _packed(F.col("_pos"), F.coalesce("id", F.lit(UNK)))
+    collected = [F.array_sort(F.collect_list(F.when(F.col("_side") == name, packed))).alias(name) for name in texts]
     return (
-        found.groupBy(*key, "_row").agg(F.count_if(first).cast("int").alias("_copies"), *collected)
+        found.groupBy(*key, "_row").agg(F.first("_copies").alias("_copies"), *collected)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*key, *[_framed(F.transform(name, lambda x: x["id"])).alias(name) for name in texts])
+        .select(*key, *[_framed(F.transform(name, _unpacked)).alias(name) for name in texts])
     )
 
 
+def _rows_once(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Every different row once, told apart by its key and the hash ``_row`` of ``columns``, with its number ``_copies``.
+
+    The rows are dealt by what tells them apart, so their elements, once exploded, need no shuffle of their own to come
+    together again, unless a join in between deals them anew.
+    """
+    return df.withColumn("_row", F.xxhash64(*columns)).groupBy(*key, "_row").agg(
+        F.count("*").cast("int").alias("_copies"), *[F.first(c).alias(c) for c in columns])
+
+
+def _packed(pos: Column, value: Column) -> Column:
+    """A place and an id in one number that sorts by the place; null without a place."""
+    return F.shiftleft(pos.cast("long"), 32) + value.cast("long")
+
+
+def _unpacked(packed: Column) -> Column:
+    return packed.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
 def tokenize(df: DataFrame, col: str, vocab: DataFrame, max_len: int = DEFAULT_MAX_LEN,
              key: Sequence[str] = ("ident",), lookup: bool = False) -> DataFrame:
     """Ids of each text, framed by the sentence marks and cut to ``max_len``. A null text has the marks only.
@@ -226,14 +247,15 @@ def decode_tokens(df: DataFrame, ids_col: str, vocab: DataFrame, key: Sequence[s
             by_id[row["id"]] = row["token"]
         table = F.from_json(F.lit(json.dumps(by_id)), "array<string>")
         return df.select(*key, F.array_join(F.transform(wanted, lambda i: F.get(table, i)), " ").alias("text"))
-    exploded = df.select(*key, F.xxhash64(wanted).alias("_row"), F.posexplode_outer(wanted).alias("_pos", "id"))
-    found = exploded.join(vocab.select("id", "token"), "id", "left")
+    exploded = _rows_once(df.select(*key, wanted.alias("_ids")), key, ["_ids"]).select(
+        *key, "_row", "_copies", F.posexplode_outer("_ids").alias("_pos", "id"))
+    found = exploded.join(vocab.select("id", "token").distinct(), "id", "left")
     entry = F.when(F.col("token").isNotNull(), F.struct(F.col("_pos").alias("p"), F.col("token").alias("t")))
     # A row holds at most the encoder's limit of ids.
     return (
         found.groupBy(*key, "_row").agg(
-            F.count_if(F.coalesce("_pos", F.lit(0)) == 0).cast("int").alias("_copies"),
-            F.array_join(F.transform(F.array_sort(F.collect_set(entry)), lambda x: x["t"]), " ").alias("text"))
+            F.first("_copies").alias("_copies"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["t"]), " ").alias("text"))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*key, "text")
     )
 

@@ -91,3 +91,19 @@ def test_accuracy(spark):
     logits = spark.createDataFrame([("a", 0, [0.1, 0.9], 1), ("a", 1, [0.5, 0.5], 1)],
                                    "ident string, pos int, logits array<double>, label_id int")
     assert E.token_accuracy(logits).first().accuracy == 0.5
+
+
+def test_join_carries_no_arrays_with_each_token(spark):
+    """An exploded token has its row's key and place, not the text's whole array; one shuffle deals the rows."""
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "token string, id int")
+    df = spark.createDataFrame([(1, "a b a"), (1, "a b a"), (1, "b"), (None, ""), (2, None)], "ident int, text string")
+    ids = E.tokenize(df, "text", vocab, lookup=False)
+    assert sorted((r["ident"] or 0, r["input_ids"]) for r in ids.collect()) == [
+        (0, [1, 2]), (1, [1, 4, 5, 4, 2]), (1, [1, 4, 5, 4, 2]), (1, [1, 5, 2]), (2, [1, 2])]
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    carried = [line for line in plan.splitlines() if "Generate posexplode" in line]
+    assert carried and all("_s#" not in line.split("), [", 1)[1] and "_tokens#" not in line.split("), [", 1)[1]
+                           for line in carried)
+    back = E.decode_tokens(ids, "input_ids", vocab, lookup=False)
+    assert sorted((r["ident"] or 0, r["text"]) for r in back.collect()) == [
+        (0, ""), (1, "a b a"), (1, "a b a"), (1, "b"), (2, "")]
