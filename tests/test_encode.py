@@ -107,3 +107,11 @@ def test_join_carries_no_arrays_with_each_token(spark):
     back = E.decode_tokens(ids, "input_ids", vocab, lookup=False)
     assert sorted((r["ident"] or 0, r["text"]) for r in back.collect()) == [
         (0, ""), (1, "a b a"), (1, "a b a"), (1, "b"), (2, "")]
+
+
+def test_quick_pattern_cuts_the_same_tokens(spark):
+    from pyspark.sql import functions as F
+    texts = ["a1_b 12ab _9 9_ x", "\u00e9t\u00e9 \u0663\u0664 \U0001f600ab\n\r\t\u2028 12\u00bd", "", " ", "__a__0 0x1F;{}()''", "\u00aa\u0130k\u017f9"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.regexp_extract_all("text", F.lit(E.TOKEN_PATTERN), F.lit(0))
+    assert df.where(E.tokens("text") != plain).count() == 0
