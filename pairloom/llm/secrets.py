@@ -6,11 +6,15 @@ characters around it: characters are embedded, with a channel that marks the can
 mean value per filter, one output. A candidate longer than a window is seen in overlapping windows and has its highest
 score.
 
-It is trained in numpy on labelled findings: the base rules' findings in a sample of at most ``SAMPLE_DOCS`` documents
-in expectation (chosen by hashed id) against other words and candidates of the same documents, at most ``SAMPLE_ROWS``
-each. A fifth is held back: on it the outputs are calibrated (a logistic fit of the label on the output), and the
-threshold is the highest that still finds ``RECALL`` of the held-back findings, but not under ``LEAST``. A candidate
-above it is added as kind ``net``; the base spans stay as they are. Without findings to learn from, nothing is added.
+It is trained on labelled findings of all documents: all of the base rules' findings against all other candidates and
+all other words of a candidate's length or more (shorter ones are never judged), both labels with the same total weight.
+The findings are dealt by hash to shards of about ``SHARD_ROWS``; in each of ``ROUNDS`` rounds every shard trains the
+network in a task of its own, starting from the same weights, and the driver gets and averages only the weights. Small
+sets are seen more often. A fifth is held back: all of it is scored in tasks and counted by label and output (in steps of
+1 / ``STEPS``); on these counts the outputs are calibrated (a logistic fit of the label on the output), and the threshold
+is the highest step that still finds ``RECALL`` of the held-back findings, but not under ``LEAST``. A candidate above it
+is added as kind ``net``; the base spans stay as they are. Without findings to learn from, nothing is added; without other
+words and candidates there is nothing to judge.
 
 Null or empty text: no spans. Empty table: empty result, nothing learned. Spans are in code points, end exclusive. Repeated rows have equal results. Each text is
 scanned once in linear time. ``find_secrets`` keeps all columns and replaces those it adds.
@@ -18,6 +22,7 @@ scanned once in linear time. ``find_secrets`` keeps all columns and replaces tho
 
 from __future__ import annotations
 
+import copy
 import re
 from collections.abc import Iterator
 
@@ -26,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.spans import Cover, Span, finder, sample_bound
+from pairloom.llm.spans import Cover, Span, finder
 from pairloom.session import materialize
 
 # Kinds in the order of the contract, and their patterns.
@@ -39,10 +44,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run has no longer neighbour, so
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
-DIGIT, LETTER, WORD = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), re.compile(r"[^\x20\x09-\x0D]+")
+DIGIT, LETTER, SPACE = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), re.compile(r"[\x20\x09-\x0D]")
 LEAST_LENGTH = 16
 
-SAMPLE_DOCS, SAMPLE_ROWS = 50_000, 3_000
+# Findings of one shard, rounds over all shards, findings a small set is repeated to, passes in a round at most.
+SHARD_ROWS, ROUNDS, SEEN, PASSES = 20_000, 3, 60_000, 4
+STEPS, FARTHEST = 1_000, 30  # steps of the output's counts in 1, and the output where they end
 RECALL, LEAST = 0.98, 0.5
 BEFORE, MIDDLE, AFTER = 24, 40, 16
 WINDOW = BEFORE + MIDDLE + AFTER
@@ -75,6 +82,14 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             yield start, at
 
 
+def long_words(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    for word in SPACE.split(text):
+        if len(word) >= LEAST_LENGTH:
+            yield at, at + len(word)
+        at += len(word) + 1
+
+
 def windows(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
     """(characters, start and end of the candidate in them), as many as it takes to see all of the candidate."""
     out = []
@@ -136,7 +151,7 @@ class Network:
         }
 
     def train(self, codes: np.ndarray, mark: np.ndarray, label: np.ndarray, rounds: int = 12, rate: float = 3e-3,
-              seed: int = 5) -> None:
+              seed: int = 5, weight: tuple[float, float] = (1.0, 1.0)) -> None:
         r, step = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
         for _ in range(rounds):
@@ -147,35 +162,47 @@ class Network:
                 c[hidden] = 0
                 score, kept = self.forward(c, marked)
                 error = ((1 / (1 + np.exp(-np.clip(score, -30, 30)))) - label[part]).astype(np.float32) / len(part)
+                error *= np.where(label[part] == 1, *weight[::-1]).astype(np.float32)
                 step += 1
                 for k, g in self.gradients(c, kept, error).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.w[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, score: np.ndarray, label: np.ndarray, recall: float = RECALL) -> None:
-        """Logistic fit with a small penalty, then the highest threshold that keeps the recall."""
+    def calibrate(self, score: np.ndarray, label: np.ndarray, count: np.ndarray, recall: float = RECALL) -> None:
+        """Logistic fit with a small penalty, then the highest threshold that keeps the recall. Each score and label
+        stands for ``count`` findings; both labels have the same weight in the fit."""
         a, b = 1.0, 0.0
+        positive = np.where(label == 1, count, 0)
+        share = np.where(label == 1, positive.sum(), (count - positive).sum())
+        each = count * (count.sum() / 2 / np.maximum(share, 1))
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * score + b, -30, 30)))
-            w = p * (1 - p)
-            g = np.array([((p - label) * score).sum() + 1e-2 * (a - 1), (p - label).sum() + 1e-2 * b])
+            w = each * p * (1 - p)
+            d = each * (p - label)
+            g = np.array([(d * score).sum() + 1e-2 * (a - 1), d.sum() + 1e-2 * b])
             h = np.array([[(w * score * score).sum() + 1e-2, (w * score).sum()], [(w * score).sum(), w.sum() + 1e-2]])
             a, b = np.array([a, b]) - np.clip(np.linalg.solve(h, g), -1, 1)
         self.slope, self.offset = float(a), float(b)
-        found = np.sort(self.probability(score[label == 1]))
-        if len(found):
-            self.threshold = max(LEAST, float(found[int(np.floor((1 - recall) * len(found)))]))
+        order = np.argsort(score)
+        if positive.sum():
+            lost = int(np.floor((1 - recall) * positive.sum()))
+            lowest = score[order][np.searchsorted(np.cumsum(positive[order]), lost, side="right")]
+            self.threshold = max(LEAST, float(self.probability(lowest)))
+
+    def scores(self, rows: list[tuple[str, int, int]]) -> np.ndarray:
+        parts = [self.forward(*encoded(rows[at:at + 512]))[0] for at in range(0, len(rows), 512)]
+        return np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
 
     def probability(self, score: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * score + self.offset, -30, 30)))
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """Labelled windows (label, chars, first, last, draw) of the sampled documents; other words are every 50th word."""
+    """Labelled windows (label, chars, first, last, draw) of all documents, each different one once."""
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows = set()
             for text in batch["text"].tolist():
                 text = text or ""
                 base = base_spans(text)
@@ -183,40 +210,70 @@ def findings(docs: DataFrame) -> DataFrame:
                 for kind, start, end in base:
                     if kind == "assign":
                         start = end - len(ASSIGN.match(text, start)[1])
-                    rows += [(1, *w) for w in windows(text, start, end)]
-                rows += [(0, *w) for s, e in candidates(text) if not cover.meets(s, e)
-                         for w in windows(text, s, e)]
-                for n, m in enumerate(WORD.finditer(text)):
-                    if n % 50 == 7 and not cover.meets(m.start(), m.end()):
-                        rows += [(0, *w) for w in windows(text, m.start(), m.end())]
-            yield pd.DataFrame(rows, columns=["label", "chars", "first", "last"])
+                    rows.update((1, *w) for w in windows(text, start, end))
+                others = {*candidates(text), *long_words(text)}
+                rows.update((0, *w) for s, e in others if not cover.meets(s, e) for w in windows(text, s, e))
+            yield pd.DataFrame(list(rows), columns=["label", "chars", "first", "last"])
 
-    sampled = docs.where(sample_bound(docs.count(), SAMPLE_DOCS)).select("text")
-    return sampled.mapInPandas(label, "label int, chars string, first int, last int").distinct().withColumn(
-        "draw", F.xxhash64("label", "chars", "first"))
+    found = docs.select("text").mapInPandas(label, "label int, chars string, first int, last int")
+    return found.distinct().withColumn("draw", F.xxhash64("label", "chars", "first", "last"))
 
 
 def fit(docs: DataFrame) -> Network:
     """A trained and calibrated network; its threshold is infinite if there was nothing to learn."""
-    rows = materialize(findings(docs))
+    rows = materialize(findings(docs).withColumn("held", F.pmod("draw", F.lit(5)) == 0))
+    counts = {(r["label"], r["held"]): r["count"] for r in rows.groupBy("label", "held").count().collect()}
     net = Network()
-    picked = [r for label in (0, 1) for r in
-              rows.where(F.col("label") == label).orderBy("draw", "chars").limit(SAMPLE_ROWS).collect()]
-    if not any(r["label"] for r in picked) or all(r["label"] for r in picked):
+    if len({label for label, _ in counts}) < 2:
         return net
-    picked.sort(key=lambda r: (r["draw"], r["chars"]))
-    codes, mark = encoded([(r["chars"], r["first"], r["last"]) for r in picked])
-    label = np.array([r["label"] for r in picked], np.float32)
-    held = np.arange(len(picked)) % 5 == 0
-    if label[held].sum() == 0 or label[~held].sum() == 0:
-        held = np.ones(len(picked), bool)
-        net.train(codes, mark, label)
-    else:
-        net.train(codes[~held], mark[~held], label[~held])
-    net.calibrate(net.forward(codes[held], mark[held])[0].astype(np.float64), label[held])
+    if all((label, part) in counts for label in (0, 1) for part in (True, False)):
+        learn, held = rows.where(~F.col("held")), rows.where("held")
+        n = [counts[label, False] for label in (0, 1)]
+    else:  # too few to hold some of them back
+        learn = held = rows
+        n = [counts.get((label, True), 0) + counts.get((label, False), 0) for label in (0, 1)]
+    _train(net, learn, n)
+    _calibrate(net, held)
     return net
 
 
+def _encoded(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return encoded(list(zip(rows["chars"], rows["first"], rows["last"])))
+
+
+def _train(net: Network, learn: DataFrame, n: list[int]) -> None:
+    """Rounds over all of ``learn``, which has ``n`` findings of each label; results do not depend on partitions."""
+    shards = -(-sum(n) // SHARD_ROWS)
+    passes = min(PASSES, max(1, -(-SEEN // (ROUNDS * sum(n)))))
+    weight = (sum(n) / 2 / n[0], sum(n) / 2 / n[1])
+    dealt = learn.withColumn("shard", F.pmod(F.xxhash64("draw", F.lit("shard")), F.lit(shards)).cast("int"))
+    for turn in range(ROUNDS):
+        def train(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["draw", "chars", "first", "last"])
+            own = copy.deepcopy(net)
+            own.train(*_encoded(rows), rows["label"].to_numpy(np.float32), passes, seed=5 + turn, weight=weight)
+            flat = np.concatenate([own.w[k].ravel() for k in sorted(own.w)]).astype(np.float32)
+            return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "n": [len(rows)], "weights": [flat.tobytes()]})
+
+        trained = dealt.groupBy("shard").applyInPandas(train, "shard int, n long, weights binary").collect()
+        parts = sorted(trained, key=lambda r: r["shard"])
+        flat = np.average([np.frombuffer(r["weights"], np.float32) for r in parts], axis=0, weights=[r["n"] for r in parts])
+        at = 0
+        for k in sorted(net.w):
+            net.w[k] = flat[at:at + net.w[k].size].reshape(net.w[k].shape).astype(np.float32)
+            at += net.w[k].size
+
+
+def _calibrate(net: Network, held: DataFrame) -> None:
+    @F.pandas_udf("long")
+    def step(chars: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        score = net.scores(list(zip(chars, first, last)))
+        return pd.Series(np.floor(np.clip(score, -FARTHEST, FARTHEST) * STEPS).astype(np.int64))
+
+    counts = held.groupBy("label", step("chars", "first", "last").alias("step")).count().orderBy("label", "step").collect()
+    net.calibrate(*[np.array([r[c] for r in counts], np.float64) / d for c, d in (("step", STEPS), ("label", 1), ("count", 1))])
+
+
 def find_secrets(docs: DataFrame, net: Network) -> DataFrame:
     """All rows and columns of ``docs`` with n_assign, n_access, n_hex, base_sha256, spans and n_added."""
     def added(texts: list[str], bases: list[list[Span]]) -> list[list[Span]]:
@@ -229,10 +286,8 @@ def find_secrets(docs: DataFrame, net: Network) -> DataFrame:
             found += [(i, *c) for c in candidates(text) if not cover.meets(*c)]
         seen = [(n, w) for n, (i, start, end) in enumerate(found) for w in windows(texts[i], start, end)]
         best = np.zeros(len(found))
-        for start in range(0, len(seen), 512):
-            part = seen[start:start + 512]
-            scores = net.probability(net.forward(*encoded([w for _, w in part]))[0].astype(np.float64))
-            np.maximum.at(best, [n for n, _ in part], scores)
+        if seen:
+            np.maximum.at(best, [n for n, _ in seen], net.probability(net.scores([w for _, w in seen])))
         for (i, start, end), p in zip(found, best):
             if p >= net.threshold:
                 out[i].append(("net", start, end))

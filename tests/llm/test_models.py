@@ -117,6 +117,37 @@ def test_convolution_learns_to_tell_keys_from_words(spark, frame):
     assert net.probability(net.forward(codes, mark)[0].astype(float)).max() > 0.5
 
 
+def test_all_findings_of_all_documents_are_learnt_from(spark):
+    n = 52_000  # more than were ever drawn before
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("token=k"), F.lpad("id", 6, "0"), F.lit(" some words and a-long-other-word "), "id").alias("text"))
+    by = {r["label"]: r["count"] for r in secrets.findings(docs).groupBy("label").count().collect()}
+    assert by == {0: n, 1: n}
+
+
+def test_shards_learn_together_whatever_the_partitions(frame, monkeypatch):
+    monkeypatch.setattr(secrets, "SHARD_ROWS", 150)
+    r = random.Random(3)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(32))
+    rows = [(i, f"we set token = {key()} and see ref-2020-section-{i:04d}-of-the-manual") for i in range(300)]
+    one, other = secrets.fit(frame(rows)), secrets.fit(frame(rows[::-1]).repartition(7))
+    assert all((one.w[k] == other.w[k]).all() for k in one.w) and one.threshold == other.threshold
+    seen = secrets.windows(f"key {key()} x", 4, 36) + secrets.windows("by ref-2021-section-0001-of-the-manual", 3, 38)
+    score = one.probability(one.scores(seen))
+    assert one.threshold >= secrets.LEAST and score[0] > secrets.LEAST > score[-1]
+
+
+def test_calibration_counts_every_finding():
+    net = secrets.Network()
+    net.calibrate(np.array([-2.0, -1.0, 1.0, 2.0, 3.0]), np.array([0, 0, 1, 1, 1.0]), np.array([900, 50, 1, 99, 900.0]))
+    assert net.probability(1.0) < net.threshold == net.probability(2.0)
+
+
+def test_long_words_are_whole_words():
+    text = "é a-very-long-word-of-text\u00a0x \n\tshort " + "x" * 16 + "\x0b" + "y" * 15
+    assert [text[s:e] for s, e in secrets.long_words(text)] == ["a-very-long-word-of-text\u00a0x", "x" * 16]
+
+
 def test_convolution_gradients():
     net = secrets.Network()
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
