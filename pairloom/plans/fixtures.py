@@ -15,9 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, dealt by id: a small table is one scan task, and rendering a corpus needs all cores."""
-    return table(spark, sf_dir, "documents").repartition("doc_id")
+REPO = "docs"
+
+
+def documents(spark: SparkSession, sf_dir: str, changed: DataFrame | None = None) -> DataFrame:
+    """The documents, dealt by id: a small table is one scan task, and rendering a corpus needs all cores. With
+    ``changed`` (repo, artifact) only those of these artifacts, chosen before any text is moved."""
+    docs = table(spark, sf_dir, "documents")
+    if changed is not None:
+        wanted = changed.where(F.col("repo") == REPO).select(F.col("artifact").alias("_artifact"))
+        docs = docs.join(wanted, docs["source"].eqNullSafe(wanted["_artifact"]), "left_semi")
+    return docs.repartition("doc_id")
 
 
 def _name(line: str) -> str:
@@ -79,7 +87,7 @@ def _files(docs: DataFrame, *files: tuple[Column, Column]) -> DataFrame:
     # The explode keeps the rendering from being repeated in every expression that reads the content.
     rendered = docs.select("source", F.explode(made).alias("_f")).select("source", "_f.path", "_f.content")
     return rendered.select(
-        F.lit("docs").alias("repo"), F.col("source").alias("artifact"), "path", F.col("path").alias("rel_path"),
+        F.lit(REPO).alias("repo"), F.col("source").alias("artifact"), "path", F.col("path").alias("rel_path"),
         file_name("path").alias("file_name"), F.octet_length("content").cast("long").alias("length"), "content",
     )
 
@@ -106,9 +114,9 @@ def marked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(documents(spark, sf_dir), _marked_file())
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both files of every document."""
-    return _files(documents(spark, sf_dir), _source_file(), _marked_file())
+def code_files(spark: SparkSession, sf_dir: str, changed: DataFrame | None = None) -> DataFrame:
+    """Both files of every document, or of those of the ``changed`` artifacts."""
+    return _files(documents(spark, sf_dir, changed), _source_file(), _marked_file())
 
 
 def faulty_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1046,7 +1046,7 @@ def watch_build(spark, sf_dir):
     X.artifact_ledger(spark, sf_dir).repartitionByRange(8, "package").write.parquet(ledger)
 
     def files(changed: DataFrame) -> DataFrame:
-        return X.code_files(spark, sf_dir)
+        return X.code_files(spark, sf_dir, changed)
 
     kept = []
     for files_per_batch in (8, 1):

@@ -6,6 +6,7 @@ import os
 import pytest
 
 from pairloom import schemas
+from pairloom.plans import fixtures
 from pairloom.sources import ledger as L
 from pairloom.sources import status_markers as M
 from pairloom.streaming import maintain
@@ -137,3 +138,13 @@ def test_a_watch_over_markers(spark, tmp_path):
         watch_entries(M.marker_stream(spark, root, "r", lag=0), lambda p, _: seen.extend(r.package for r in p.collect()),
                       str(tmp_path / "state")).awaitTermination()
     assert seen == ["a"]
+
+
+def test_files_of_changed_artifacts_are_chosen_before_texts_move(spark, tmp_path):
+    docs = [(1, "one\ntwo", "src1"), (2, "three", "src2"), (3, "four", None), (2, "three", "src2"), (4, None, "src1")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    some = [("docs", "src2"), ("docs", None), ("other", "src1"), (None, "src1"), ("docs", "none"), ("docs", "src2")]
+    changed = spark.createDataFrame(some, "repo string, artifact string")
+    every = sorted(fixtures.code_files(spark, str(tmp_path)).collect(), key=str)
+    got = sorted(fixtures.code_files(spark, str(tmp_path), changed).collect(), key=str)
+    assert got == [r for r in every if r["artifact"] in ("src2", None)] and len(got) == 6
