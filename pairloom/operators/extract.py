@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -20,10 +20,25 @@ _RESULT = pa.struct([("functions", pa.list_(_FUNCTION)), ("problem", pa.string()
 _RESULT_TYPE = from_arrow_type(_RESULT)
 
 
+# Characters of input whose results are Python objects at once, whatever the size of a batch.
+PIECE_CHARS = 256 * 1024
 _MARKED = "/marked"
 Extractor = Callable[[str], tuple[list[tuple[str, str]], str | None]]
 
 
+def built(values: Iterator[tuple[object, int]], kind: pa.DataType) -> pa.Array:
+    """An Arrow array of values that come with the size of their input, made piece by piece: lists of dicts take many
+    times the room of the texts in them."""
+    pieces, waiting, held = [], [], 0
+    for value, size in values:
+        waiting.append(value)
+        held += size
+        if held >= PIECE_CHARS:
+            pieces.append(pa.array(waiting, kind))
+            waiting, held = [], 0
+    return pa.concat_arrays([*pieces, pa.array(waiting, kind)])
+
+
 def _extractor(ct: CodeType) -> Extractor:
     return ct.extract or partial(scan_functions, cpp=ct.language == "cpp")
 
@@ -45,18 +60,20 @@ def scanned(text: Column, language: str | None = None, code_types=None, marked:
     else:
         kind, rules = F.lit(language), {language: partial(scan_functions, cpp=language == "cpp")}
 
-    def scan(text: pa.Array, kind: pa.Array) -> pa.Array:
-        out = []
+    def found(text: pa.Array, kind: pa.Array) -> Iterator[tuple[dict | None, int]]:
         for content, name in zip(text, kind):
             if not content.is_valid:
-                out.append(None)
+                yield None, 0
                 continue
+            whole = content.as_py()
             try:
-                functions, problem = rules[name.as_py()](content.as_py())
+                functions, problem = rules[name.as_py()](whole)
             except Exception as error:  # one bad file must not fail the job; it is listed in the rejects
                 functions, problem = [], f"failed: {error}"
-            out.append({"functions": [{"name": n, "text": t} for n, t in functions], "problem": problem})
-        return pa.array(out, type=_RESULT)
+            yield {"functions": [{"name": n, "text": t} for n, t in functions], "problem": problem}, len(whole)
+
+    def scan(text: pa.Array, kind: pa.Array) -> pa.Array:
+        return built(found(text, kind), _RESULT)
 
     return F.arrow_udf(scan, _RESULT_TYPE)(text, kind)
 
@@ -69,8 +86,13 @@ def function_parts(text: Column, code_types=None) -> Column:
         return plain
 
     def cut(texts: pa.Array, kinds: pa.Array) -> pa.Array:
-        found = [own[k](t) if t is not None else None for t, k in zip(texts.to_pylist(), kinds.to_pylist())]
-        return pa.array([p and dict(zip(("head", "body", "tail"), p)) for p in found], _PARTS)
+        def parts() -> Iterator[tuple[dict | None, int]]:
+            for text, kind in zip(texts, kinds):
+                whole = text.as_py()
+                p = own[kind.as_py()](whole) if whole is not None else None
+                yield p and dict(zip(("head", "body", "tail"), p)), len(whole or "")
+
+        return built(parts(), _PARTS)
 
     mine = F.col("code_type").isin(list(own))
     return F.when(mine, F.arrow_udf(cut, from_arrow_type(_PARTS))(F.when(mine, text), F.col("code_type"))).otherwise(plain)

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from pairloom.code_types import resolve
 from pairloom.functions.text import decode_lossy, file_name, output_path
-from pairloom.operators.extract import extract_functions, function_parts, scanned
+from pairloom.operators.extract import built, extract_functions, function_parts, scanned
 from pairloom.operators.ordering import keys_at, precedes
 from pairloom.session import materialize, ship_package
 from pairloom.sources.files import hadoop_path
@@ -49,10 +49,13 @@ def segment_files(functions: DataFrame, code_types=None) -> DataFrame:
 
 def _cut(texts: pa.Array, functions: pa.Array) -> pa.Array:
     """Per file its segments in order; together they are the file, character for character."""
-    out = []
-    for text, found in zip(texts.to_pylist(), functions.to_pylist()):
+    return built(_segmented(texts, functions), _SEGMENTS)
+
+
+def _segmented(texts: pa.Array, functions: pa.Array) -> Iterator[tuple[list[dict] | None, int]]:
+    for text, found in ((t.as_py(), f.as_py()) for t, f in zip(texts, functions)):
         if text is None:
-            out.append(None)
+            yield None, 0
             continue
         segments, at = [], 0
         for function in found or ():
@@ -64,8 +67,7 @@ def _cut(texts: pa.Array, functions: pa.Array) -> pa.Array:
             segments += [(PASS_THROUGH, text[at:start + first + 1]), (REGULAR, text[start + first + 1:start + last])]
             at = start + last
         segments.append((PASS_THROUGH, text[at:]))
-        out.append([{"kind": kind, "text": part} for kind, part in segments if part or kind == REGULAR])
-    return pa.array(out, _SEGMENTS)
+        yield [{"kind": kind, "text": part} for kind, part in segments if part or kind == REGULAR], len(text)
 
 
 _SEGMENTS = pa.list_(pa.struct([("kind", pa.int8()), ("text", pa.string())]))

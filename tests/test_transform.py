@@ -1,7 +1,10 @@
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import transform as X
+from pairloom.operators.extract import _RESULT, built
 from pairloom.sources.tree import write_tree, write_tree_files
 
 
@@ -190,3 +193,17 @@ def test_parser_is_called_once(spark, files):
     text = files.selectExpr("rel_path", "'c' code_type", "string(content) text")
     plan = extract_functions(text)[0]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_results_become_arrow_piece_by_piece():
+    one = {"functions": [{"name": "f", "text": "x" * 90 + str(k)} for k in range(3)], "problem": None}
+    assert built(iter([(None, 0), (one, 10**9), (one, 5), (None, 0)]), _RESULT).to_pylist() == [None, one, one, None]
+    assert len(built(iter([]), _RESULT)) == 0
+    values = (({"functions": [{"name": "f", "text": "x" * 90 + str(k)} for k in range(40)], "problem": None}, 4_000)
+              for _ in range(2_000))
+    tracemalloc.start()
+    try:
+        assert len(built(values, _RESULT)) == 2_000
+        assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    finally:
+        tracemalloc.stop()
