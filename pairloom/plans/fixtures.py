@@ -5,6 +5,8 @@ The Spark formulas here and the SQL in ``oracles`` state the same rules independ
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,40 +30,72 @@ def documents(spark: SparkSession, sf_dir: str, changed: DataFrame | None = None
     return docs.repartition("doc_id")
 
 
+def _word(line: str) -> str:
+    return f"regexp_extract({line}, '^[A-Za-z]+', 0)"
+
+
 def _name(line: str) -> str:
-    return f"concat('do_', coalesce(nullif(regexp_extract({line}, '^[A-Za-z]+', 0), ''), 'anon'))"
+    return _named(_word(line))
+
+
+def _named(word: str) -> str:
+    return f"concat('do_', coalesce(nullif({word}, ''), 'anon'))"
 
 
 def _quoted(line: str) -> str:
     return rf"""concat('emit("', replace(replace({line}, r'\', r'\\'), '"', r'\"'), '");')"""
 
 
-def _every(line: str, n: int, then: str, otherwise: str = "''") -> str:
-    return f"if(length({line}) % {n} = 0, {then}, {otherwise})"
+@dataclass(frozen=True)
+class Line:
+    """SQL of a line and of what is taken from it."""
+
+    text: str
+    length: str
+    name: str
+    quoted: str
+
 
+def _line(line: str | Line) -> Line:
+    return line if isinstance(line, Line) else Line(line, f"length({line})", _name(line), _quoted(line))
 
-def source_function(line: str) -> str:
+
+# What both files of a document take from its lines, computed once, and a line of these.
+_LINES = (f"transform(split(text, '\\n'), x -> struct(x AS text, length(x) AS length, {_word('x')} AS word, "
+          f"{_quoted('x')} AS quoted))")
+_PARSED = Line("x.text", "x.length", _named("x.word"), "x.quoted")
+
+
+def _every(line: Line, n: int, then: str, otherwise: str = "''") -> str:
+    return f"if({line.length} % {n} = 0, {then}, {otherwise})"
+
+
+def source_function(line: str | Line) -> str:
     """A one-line definition; some are local to the source, some have a blank body (their line stays as a comment)."""
-    comment = _every(line, 11, f"concat('// ', {line}, '\\n')")
-    body = _every(line, 11, "' '", f"concat(' ', {_quoted(line)}, ' ')")
+    line = _line(line)
+    comment = _every(line, 11, f"concat('// ', {line.text}, '\\n')")
+    body = _every(line, 11, "' '", f"concat(' ', {line.quoted}, ' ')")
     local = _every(line, 7, "'_local'")
-    return f"concat({comment}, 'int ', {_name(line)}, {local}, '(void) {{', {body}, '}}')"
+    return f"concat({comment}, 'int ', {line.name}, {local}, '(void) {{', {body}, '}}')"
 
 
-def decompiled_name(line: str) -> str:
+def decompiled_name(line: str | Line) -> str:
+    line = _line(line)
     prefix = _every(line, 5, "'FUN_'")
-    return f"concat({prefix}, {_name(line)})"
+    return f"concat({prefix}, {line.name})"
 
 
-def marker_name(line: str) -> str:
+def marker_name(line: str | Line) -> str:
+    line = _line(line)
     template = _every(line, 13, "'<int>'")
     return f"concat({decompiled_name(line)}, {template})"
 
 
-def decompiled_function(line: str, truncated: bool = False) -> str:
+def decompiled_function(line: str | Line, truncated: bool = False) -> str:
     """A decompiled function with nested braces; some bodies are blank, some (on request) carry the warning."""
+    line = _line(line)
     warning = _every(line, 19, f"'  /* {TRUNCATION_WARNING} */\\n'") if truncated else "''"
-    full = f"concat('\\n', {warning}, '  if (ok) {{\\n    ', {_quoted(line)}, '\\n  }}\\n')"
+    full = f"concat('\\n', {warning}, '  if (ok) {{\\n    ', {line.quoted}, '\\n  }}\\n')"
     body = _every(line, 17, "''", full)
     return f"concat('\\nundefined8 ', {decompiled_name(line)}, '(void)\\n\\n{{', {body}, '}}\\n')"
 
@@ -93,30 +127,34 @@ def _files(docs: DataFrame, *files: tuple[Column, Column]) -> DataFrame:
 
 
 def _source_file() -> tuple[Column, Column]:
-    return source_path(), F.expr(f"array_join(transform(split(text, '\\n'), x -> {source_function('x')}), '\\n')")
+    return source_path(), F.expr(f"array_join(transform(_lines, x -> {source_function(_PARSED)}), '\\n')")
 
 
 def _marked_file() -> tuple[Column, Column]:
-    function = f"concat('{MARKER_PREFIX}', {marker_name('x')}, '\\n', {decompiled_function('x')})"
+    function = f"concat('{MARKER_PREFIX}', {marker_name(_PARSED)}, '\\n', {decompiled_function(_PARSED)})"
     return marked_path(), F.expr(
         "concat('/* doc ', cast(doc_id as string), ' */\\n', "
-        f"array_join(transform(split(text, '\\n'), x -> {function}), ''))"
+        f"array_join(transform(_lines, x -> {function}), ''))"
     )
 
 
+def _with_lines(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_lines", F.expr(_LINES))
+
+
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source file per document, one function per line."""
-    return _files(documents(spark, sf_dir), _source_file())
+    return _files(_with_lines(documents(spark, sf_dir)), _source_file())
 
 
 def marked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A marked file per document, one function per line."""
-    return _files(documents(spark, sf_dir), _marked_file())
+    return _files(_with_lines(documents(spark, sf_dir)), _marked_file())
 
 
 def code_files(spark: SparkSession, sf_dir: str, changed: DataFrame | None = None) -> DataFrame:
     """Both files of every document, or of those of the ``changed`` artifacts."""
-    return _files(documents(spark, sf_dir, changed), _source_file(), _marked_file())
+    return _files(_with_lines(documents(spark, sf_dir, changed)), _source_file(), _marked_file())
 
 
 def faulty_files(spark: SparkSession, sf_dir: str) -> DataFrame:

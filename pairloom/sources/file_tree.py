@@ -7,7 +7,9 @@ are not entered. Comparisons with constants reach the listing: ``artifact`` choo
 ``ending``, ``file_name`` and ``length`` are tried before a row is made.
 
 The driver looks at the folders of the first levels, without their files' sizes, and deals them to tasks; a folder of very
-many entries is dealt in parts by a hash of their names. Below these levels tasks descend by themselves.
+many entries is dealt in parts by a hash of their names. A task that has a part of a folder passes over the names of the
+others, so a folder has no more parts than its share of all entries seen asks for. Below these levels, and in folders of
+more folders than the driver is to name, tasks descend by themselves.
 """
 
 from __future__ import annotations
@@ -23,19 +25,20 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull,
+    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull,
     IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage,
 )
 
 from pairloom.session import ship_package
-from pairloom.sources.files import entries_of, hadoop_path, opened
+from pairloom.sources.files import entries_of, hadoop_path, opened, size_of
 
 SCHEMA = ("repo string, artifact string, path string, rel_path string, file_name string, ending string, depth int, "
           "length long, problem string")
 COLUMNS = [field.split()[0] for field in SCHEMA.split(", ")]
-# Levels that the driver looks at, entries of a folder dealt to one task, and rows passed on at once.
+# Levels that the driver looks at, folders it names, entries of a folder worth a task, and rows passed on at once.
 PLANNED_LEVELS = 2
-PART_ENTRIES = 20_000
+PLANNED_FOLDERS = 10_000
+PART_ENTRIES = 5_000
 BATCH_ROWS = 10_000
 
 _COMPARED = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt,
@@ -109,22 +112,30 @@ class TreeReader(DataSourceReader):
 
     def partitions(self) -> list[Folder]:
         filesystem, plain = opened(self.root)
-        units, level = [], [""]
+        looked, level, named = [], [""], 0
         for depth in range(1, PLANNED_LEVELS + 1):
             below = []
             for rel in level:
-                count = 0
+                count, inside = 0, []
                 try:
                     for entry in entries_of(filesystem, f"{plain}/{rel}" if rel else plain, sizes=False):
                         count += 1
-                        name = f"{rel}/{entry.name}".lstrip("/")
-                        if entry.folder and self._enters(name, depth + 1):
-                            below.append(name)
+                        if entry.folder and named + len(inside) <= PLANNED_FOLDERS:
+                            name = f"{rel}/{entry.name}".lstrip("/")
+                            if self._enters(name, depth + 1):
+                                inside.append(name)
                 except OSError:
                     pass  # the task that lists it says so
-                parts = max(1, -(-count // PART_ENTRIES))
-                units += [(rel, depth, False, part, parts) for part in range(parts)]
+                descend = named + len(inside) > PLANNED_FOLDERS
+                if not descend:
+                    named += len(inside)
+                    below += inside
+                looked.append((rel, depth, descend, count))
             level = below
+        seen, units = sum(count for *_, count in looked) or 1, []
+        for rel, depth, descend, count in looked:
+            parts = max(1, min(-(-count // PART_ENTRIES), -(-count * self.tasks // seen)))
+            units += [(rel, depth, descend, part, parts) for part in range(parts)]
         units += [(rel, PLANNED_LEVELS + 1, True, 0, 1) for rel in level]
         step = max(1, min(self.tasks, len(units)))
         return [Folder(units[k::step]) for k in range(step)]
@@ -143,14 +154,18 @@ class TreeReader(DataSourceReader):
         waiting = list(partition.units)
         while waiting:
             rel, depth, descend, part, parts = waiting.pop()
+            folder = f"{plain}/{rel}" if rel else plain
             try:
-                for entry in entries_of(filesystem, f"{plain}/{rel}" if rel else plain):
+                # Of a folder in parts only the own files are asked for their sizes.
+                for entry in entries_of(filesystem, folder, sizes=parts == 1):
+                    if parts > 1 and zlib.crc32(entry.name.encode("utf-8", "surrogateescape")) % parts != part:
+                        continue
                     name = f"{rel}/{entry.name}".lstrip("/")
-                    if entry.folder:
-                        if descend and self._enters(name, depth + 1):
-                            waiting.append((name, depth + 1, True, 0, 1))
-                    elif parts == 1 or zlib.crc32(entry.name.encode("utf-8", "surrogateescape")) % parts == part:
-                        yield from self._kept(name, entry.name, depth, entry.length, None)
+                    if not entry.folder:
+                        length = size_of(filesystem, f"{folder}/{entry.name}") if entry.length is None else entry.length
+                        yield from self._kept(name, entry.name, depth, length, None)
+                    elif descend and self._enters(name, depth + 1):
+                        waiting.append((name, depth + 1, True, 0, 1))
             except OSError as trouble:
                 if not part:
                     yield from self._kept(rel, None, depth, None, f"{type(trouble).__name__}: {trouble.strerror or trouble}")
@@ -177,7 +192,7 @@ class Written(WriterCommitMessage):
 
 
 class TreeWriter(DataSourceWriter):
-    """Files of rows (rel_path, part, content), which come sorted within a task, every file's rows in one task.
+    """Files of rows (rel_path, part, content), a file's rows one after another by part, all in one task.
 
     Tasks write into a folder beside the target; the commit renames it. A job that fails or is stopped never had a target.
     """
@@ -188,7 +203,12 @@ class TreeWriter(DataSourceWriter):
         self.aside = f"{parent}/_pending-{name}-{uuid.uuid4().hex}"
 
     def write(self, rows) -> Written:
+        return self._written((row.rel_path, bytes(row.content or b"")) for row in rows)
+
+    def _written(self, pieces: Iterator[tuple[str, bytes | pa.Buffer]]) -> Written:
         filesystem, base = opened(self.aside)
+        # A repeated or second attempt of the task puts the same files in the same places.
+        attempt = uuid.uuid4().hex
         current, stream, half, files = None, None, None, 0
 
         def close() -> None:
@@ -196,19 +216,21 @@ class TreeWriter(DataSourceWriter):
                 stream.close()
                 filesystem.move(half, f"{base}/{current}")
 
-        for row in rows:
-            if row.rel_path != current:
+        for rel, content in pieces:
+            if rel != current:
                 close()
-                current = row.rel_path
+                current = rel
                 steps = current.split("/")
                 if not current or any(step in ("", ".", "..") for step in steps):
                     raise ValueError(f"{current!r} leads out of the output folder")
-                filesystem.create_dir(f"{base}/{current}".rpartition("/")[0], recursive=True)
-                # A repeated or second attempt of the task puts the same file in the same place.
-                half = f"{base}/{current}.{uuid.uuid4().hex}.half"
-                stream = filesystem.open_output_stream(half)
+                half = f"{base}/{current}.{attempt}.half"
+                try:
+                    stream = filesystem.open_output_stream(half)
+                except FileNotFoundError:  # the first file of its folder
+                    filesystem.create_dir(half.rpartition("/")[0], recursive=True)
+                    stream = filesystem.open_output_stream(half)
                 files += 1
-            stream.write(bytes(row.content or b""))
+            stream.write(content)
         close()
         return Written(files)
 
@@ -233,6 +255,15 @@ class TreeWriter(DataSourceWriter):
             filesystem.delete_dir(aside)
 
 
+class ArrowTreeWriter(TreeWriter, DataSourceArrowWriter):
+    """The same from Arrow batches, whose contents are written without making Python objects of them."""
+
+    def write(self, batches) -> Written:
+        return self._written(
+            (rel.as_py(), content.as_buffer() if content.is_valid else b"")
+            for batch in batches for rel, content in zip(batch.column("rel_path"), batch.column("content")))
+
+
 class FileTree(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -244,8 +275,8 @@ class FileTree(DataSource):
     def reader(self, schema) -> TreeReader:
         return TreeReader(self.options)
 
-    def writer(self, schema, overwrite: bool) -> TreeWriter:
-        return TreeWriter(self.options, overwrite)
+    def writer(self, schema, overwrite: bool) -> ArrowTreeWriter:
+        return ArrowTreeWriter(self.options, overwrite)
 
 
 def _registered(spark: SparkSession, root: str):
@@ -280,7 +311,9 @@ def write_tree_files(tree: DataFrame, out_root: str, force: bool = False) -> Non
     if fs.exists(path) and not force:
         raise ValueError(f"{out_root} is there already; force replaces it")
     rows = tree.select("rel_path", F.col("part").cast("int").alias("part"), F.col("content").cast("binary").alias("content"))
+    # Each task takes the first folders in an order of its own; else all tasks make files in one folder at a time.
+    turn = F.xxhash64(F.substring_index("rel_path", "/", 1), F.spark_partition_id())
     (
-        rows.repartition("rel_path").sortWithinPartitions("rel_path", "part")
+        rows.repartition("rel_path").withColumn("_turn", turn).sortWithinPartitions("_turn", "rel_path", "part").drop("_turn")
         .write.format("file_tree").mode("overwrite" if force else "append").option("path", path.toString()).save()
     )

@@ -70,6 +70,11 @@ def entries_of(filesystem: pafs.FileSystem, plain: str, sizes: bool = True) -> I
             yield Entry(info.base_name, info.type == pafs.FileType.Directory, info.size)
 
 
+def size_of(filesystem: pafs.FileSystem, plain: str) -> int:
+    """The size of a file that was listed without one."""
+    return os.stat(plain).st_size if isinstance(filesystem, pafs.LocalFileSystem) else filesystem.get_file_info(plain).size
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Files and directories of the directories, in bounded batches; a directory that cannot be listed, with the reason."""
     for batch in batches:

@@ -146,3 +146,57 @@ def test_an_attempt_that_was_killed_leaves_no_target(tmp_path):
     assert message.files == 2 and not (tmp_path / "out").exists()
     writer.commit([message])
     assert open(tmp_path / "out" / "a" / "2").read() == "y"
+
+
+def test_batches_are_written_as_rows_are(tmp_path):
+    import pyarrow as pa
+
+    def batch(*rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
+            names=["rel_path", "part", "content"])
+
+    writer = T.FileTree({"path": f"file:{tmp_path}/out"}).writer(None, False)
+    # A file that goes on in the next batch, a null content, and a second file of a folder.
+    message = writer.write(iter([batch(("a/b/1", 0, b"one ")), batch(("a/b/1", 1, b"two"), ("a/b/2", 0, None)), batch(("top", 0, b"x"))]))
+    assert message.files == 3
+    writer.commit([message])
+    assert names(tmp_path / "out") == ["a/b/1", "a/b/2", "top"]
+    assert [open(tmp_path / "out" / n).read() for n in names(tmp_path / "out")] == ["one two", "", "x"]
+
+
+@pytest.fixture
+def wide(tmp_path):
+    for i in range(60):
+        folder = tmp_path / "w" / "a" / f"d{i:02d}"
+        folder.mkdir(parents=True)
+        (folder / "x.c").write_bytes(b"x" * i)
+        (tmp_path / "w" / "a" / f"f{i:02d}.h").write_bytes(b"y" * i)
+    return str(tmp_path / "w")
+
+
+def test_the_driver_does_not_name_every_folder(wide, monkeypatch):
+    monkeypatch.setattr(T, "PLANNED_FOLDERS", 10, raising=False)
+    monkeypatch.setattr(T, "PART_ENTRIES", 10)
+    reader = T.TreeReader({"path": f"file:{wide}", "tasks": "8"})
+    units = [u for p in reader.partitions() for u in p.units]
+    assert len(units) <= 10 and sum(u[0] == "a" for u in units) == 8
+    assert listed(reader) == sorted([f"a/d{i:02d}/x.c" for i in range(60)] + [f"a/f{i:02d}.h" for i in range(60)])
+
+
+def test_a_folder_in_parts_asks_each_file_once_for_its_size(wide, monkeypatch):
+    monkeypatch.setattr(T, "PART_ENTRIES", 10)
+    asked, real = [], T.entries_of
+
+    def seen(filesystem, plain, sizes=True):
+        for entry in real(filesystem, plain, sizes):
+            asked.extend([entry.name] * (entry.length is not None))
+            yield entry
+
+    monkeypatch.setattr(T, "entries_of", seen)
+    monkeypatch.setattr(T, "size_of", lambda f, p, real=getattr(T, "size_of", None): (asked.append(p.split("/")[-1]), real(f, p))[1],
+                        raising=False)
+    reader = T.TreeReader({"path": f"file:{wide}", "tasks": "8"})
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert len(rows) == 120 and sum(r["length"] for r in rows) == 2 * sum(range(60))
+    assert len(asked) == 120
